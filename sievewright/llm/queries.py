@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
-from .common import Stages, table
+from . import mixing, packing, quality, tokens
+from .common import Stages, table, workdir
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document. The query starts from an empty cache of its own, so each run counts everything."""
+    cache = f"{workdir(spark)}/token-cache-{uuid.uuid4().hex}"
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cache)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +30,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), Stages(spark)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), Stages(spark))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_source_mixing": op5_source_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, tokens
+from . import jaccard, mixing, packing, quality, tokens
 from .common import Stages, table, workdir
 
 
@@ -30,6 +30,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 0.9 over 3-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Stages(spark), k=3, percent=90)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     return mixing.mix(table(spark, sf_dir, "documents"), Stages(spark)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -43,6 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_source_mixing": op5_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

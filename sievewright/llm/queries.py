@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, tokens
+from . import jaccard, mixing, packing, quality, secrets, tokens
 from .common import Stages, table, workdir
 
 
@@ -40,6 +40,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Stages(spark)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's score and verdict; values appear as previews and digests."""
+    return secrets.report(table(spark, sf_dir, "documents"), secrets.forest(spark))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), Stages(spark))
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_source_mixing": op5_source_mixing,
+    "op8_secret_scans": op8_secret_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -22,6 +22,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def row_key(docs: DataFrame | None = None) -> Column:
+    """A 64-bit hash of a row's id and text, null or not: what decisions about rows are joined back by."""
+    column = F.col if docs is None else docs.__getitem__
+    return F.xxhash64(column("doc_id").cast("long"), column("text"))
+
+
 def workdir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; where that is unset, one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

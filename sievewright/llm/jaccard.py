@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Stages
+from .common import Stages, row_key, words
 from .components import components
 
 #: Frequent shingles ordered last: at most so many, 16 bytes each, known to every worker.
@@ -110,7 +110,7 @@ def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, heavy: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, n, class, group, light and prefix of every document; prefix is null where a group was posted before."""
+    """doc_id, row_key, n, class, group, light and prefix of every document; prefix is null where a group was posted before."""
     known = np.array(sorted(h for h, _ in heavy), np.int64)
     counts = dict(heavy)
     rank = np.array([counts[h] for h in known.tolist()], np.int64)
@@ -119,11 +119,11 @@ def profiles(docs: DataFrame, k: int, percent: int, heavy: list[tuple[int, int]]
         posted: set[int] = set()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
                 own = shingles(shingle_words(text), k)
                 n = len(own)
                 if not n:
-                    rows.append((doc, 0, None, None, None, None))
+                    rows.append((doc, key, 0, None, None, None, None))
                     continue
                 at = np.searchsorted(known, own.view(np.int64))
                 at[at == len(known)] = 0
@@ -133,11 +133,11 @@ def profiles(docs: DataFrame, k: int, percent: int, heavy: list[tuple[int, int]]
                 group = int.from_bytes(hashlib.blake2b(prefix.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
                 new = group not in posted
                 posted.add(group)
-                rows.append((doc, n, class_of(own), group, int((often[first] == 0).sum()) if new else None, prefix if new else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "cls", "grp", "light", "prefix"])
+                rows.append((doc, key, n, class_of(own), group, int((often[first] == 0).sum()) if new else None, prefix if new else None))
+            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "light", "prefix"])
             yield out.astype({"doc_id": "Int64", "n": "int64", "cls": "Int64", "grp": "Int64", "light": "Int32"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(profile, "doc_id long, n long, cls long, grp long, light int, prefix array<long>")
+    return docs.mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, light int, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,8 +161,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, n_shingles and component_id for every row of ``docs``; also row_key (a hash of id and text) and group (null without shingles)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
     own = stages.keep(profiles(docs, k, percent, frequent(docs, k)), "profiles")
     classes = stages.keep(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("members"))
@@ -209,8 +209,20 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     final = components(links.unionByName(found), stages)
     placed = classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
     least = placed.groupBy("label").agg(F.min("first_doc").alias("component"))
-    of = placed.join(least, "label").select(F.col("cls").alias("_cls"), "component")
-    return own.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    of = placed.join(least, "label").select(F.col("cls").alias("_cls"), "component", F.col("label").alias("group"))
+    return own.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
+
+
+def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays; rows without words all stay."""
+    found = jaccard_components(docs, stages, k, percent)
+    stays = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("_key")).select("_key")
+    stays = stays.union(found.where(F.col("group").isNull()).select("row_key")).distinct()
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), row_key(docs).alias("_key"))
+    # repeated rows share a key; without words they all stay
+    first = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))
+    empty = F.size(words(F.col("_row.text"))) == 0
+    return keyed.join(stays, "_key", "left_semi").withColumn("_n", first).where((F.col("_n") == 1) | empty).select("_row.*")
 
 
 def _sizes(x, y, percent: int):

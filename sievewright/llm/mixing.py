@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import words
+from .common import row_key, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -39,8 +39,8 @@ RUNG, REPAIRS = 1.15, 3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    """doc_id, source, row_key and size in words."""
+    return docs.select("doc_id", "source", row_key().alias("row_key"), F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -144,14 +144,14 @@ def _repaired(cells: DataFrame, stages, most: float) -> DataFrame:
 
 
 def deal(docs: DataFrame, cells: DataFrame) -> DataFrame:
-    """docs (doc_id, source, size) with source_size, target, copies and taken.
+    """docs (doc_id, row_key, source, size) with source_size, target, copies and taken.
 
     In a cell with n documents and k copies each gets k // n, and the k % n with the lowest hashes one more. Parts of
     a cell are counted first; only the part in which the last extra copy falls is ranked by row.
     """
     mark = F.xxhash64(F.lit("mix"), F.col("doc_id"))
     joined = docs.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")))
-    known = joined.select("d.doc_id", "d.source", "d.size", F.col("c.source_size").alias("source_size"), F.col("c.target").alias("target"), F.col("c.n").alias("n"), F.col("c.copies").alias("k"))
+    known = joined.select("d.doc_id", "d.row_key", "d.source", "d.size", F.col("c.source_size").alias("source_size"), F.col("c.target").alias("target"), F.col("c.n").alias("n"), F.col("c.copies").alias("k"))
     parts = F.ceil(F.col("n") / PART)
     known = known.withColumn("mark", mark).withColumn("part", F.pmod(F.shiftright("mark", 8), parts))
     counts = known.where("k % n > 0").groupBy("source", "size", "part").agg(F.count("*").alias("rows"))
@@ -161,7 +161,7 @@ def deal(docs: DataFrame, cells: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("mark", "doc_id"))
     extra = F.col("k") % F.col("n")
     copies = F.floor(F.col("k") / F.col("n")) + F.when((extra > 0) & (F.coalesce(F.col("ahead"), F.lit(0)) + rank <= extra), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, stages, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -172,3 +172,11 @@ def mix(docs: DataFrame, stages, weights: tuple = WEIGHTS, share: float = SHARE,
     solved = solve(cells, targets(totals, weights, share, most), stages, most)
     rounded = stages.keep(round_cells(cells, solved, stages, most), "copies")
     return deal(sized, rounded)
+
+
+def applied(docs: DataFrame, stages) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
+    wanted = mix(docs, stages).groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), row_key(docs).alias("_key"))
+    one = keyed.join(wanted, "_key").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))).where("_n = 1")  # repeated rows share a key and their copies
+    return one.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

@@ -51,16 +51,16 @@ def _covered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(full)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def base_counts(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the columns to carry, and base_failed.
 
     Word windows are compared by 64-bit hashes of 64-bit word hashes within one document.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    one = docs.select("doc_id", "lang", "source", words(F.col("text")).alias("_w"), lines.alias("_l"), (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    one = docs.select("doc_id", "lang", "source", *carry, words(F.col("text")).alias("_w"), lines.alias("_l"), (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     two = one.select(
-        "doc_id", "lang", "source", "n_symbols",
+        "doc_id", "lang", "source", *carry, "n_symbols",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -68,7 +68,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
     last = F.size("_h") - WINDOW
     windows = F.transform(F.slice("_h", F.lit(1), F.greatest(last + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get(F.col("_h"), i + k) for k in range(1, WINDOW))))
-    three = two.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", windows.alias("_win"))
+    three = two.select("doc_id", "lang", "source", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", windows.alias("_win"))
     four = three.select("*", _covered(F.col("_win")).cast("long").alias("n_repeat_words")).drop("_win")
     return four.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
@@ -134,6 +134,12 @@ def judge(counts: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & passed).drop("_lang", "_source")
 
 
-def quality(docs: DataFrame, stages) -> DataFrame:
-    """One row per row of ``docs``: counts, base rule, thresholds and verdict. Texts are read once."""
-    return judge(stages.keep(base_counts(docs), "counts"))
+def quality(docs: DataFrame, stages, *carry: str) -> DataFrame:
+    """One row per row of ``docs``: counts, base rule, thresholds, verdict and columns to carry. Texts are read once."""
+    return judge(stages.keep(base_counts(docs, *carry), "counts"))
+
+
+def passing(docs: DataFrame, stages) -> DataFrame:
+    """The rows of ``docs`` whose verdict is kept, with their columns as they were."""
+    packed = docs.select("doc_id", "lang", "source", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    return quality(packed, stages, "_row").where("kept").select("_row.*")

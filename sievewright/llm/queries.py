@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of 0.9 over 3-word shingles."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Stages(spark), k=3, percent=90)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Stages(spark), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,12 @@ def candidates(text: Column) -> Column:
 
 def value_of(word: Column) -> Column:
     """The value in a word, without an assigned name before it and marks around it."""
-    return F.regexp_extract(word, "^[\"'(<\\[{`]*(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+[\"'`]*)?(.*?)[\"')>\\]}`,;.!?]*$", 1)
+    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{6}))?(.*?)[^A-Za-z0-9+/=_-]*$", 1)
 
 
 def name_of(word: Column) -> Column:
     """The name to which a word assigns; empty if it doesn't."""
-    return F.regexp_extract(word, "^[\"'(<\\[{`]*([A-Za-z_][A-Za-z0-9_.-]*)[=:]", 1)
+    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*([A-Za-z_][A-Za-z0-9_.-]*)[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{6})", 1)
 
 
 def features(c: Column, path: Column) -> Column:

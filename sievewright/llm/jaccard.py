@@ -1,8 +1,9 @@
 """Exact Jaccard links between documents' word shingles, by a grouped prefix join.
 
-Two sets of shingles with Jaccard similarity t or more share an element among the first
-``n - ceil(t * n) + 1`` of each, in any order common to all. The order used puts frequent shingles last, so
-that texts repeated across many documents seldom fall into a prefix.
+Two sets of shingles with Jaccard similarity t or more share l elements among the first ``n - ceil(t * n) + l`` of
+each, in any order common to all and for any l up to their overlap: at least ceil(t * n) - l shared elements come
+after the l-th, which bounds its place. The order used puts frequent shingles last, and l is larger than one, so
+that documents which merely share a passage seldom become candidates.
 
 * Documents with equal sets form one class; classes with equal size and prefix form one group. Only groups
   are posted under their prefix elements; a worker posts a group once however many copies it reads.
@@ -41,9 +42,12 @@ from .common import Stages, row_key, words
 from .components import components
 
 #: Frequent shingles ordered last: at most so many, 16 bytes each, known to every worker.
-HEAVY = 50_000
+HEAVY = 200_000
 #: Shingles of a counting chunk, and the documents of it that must share a shingle for it to be reported.
-CHUNK, REPORTED = 2_000_000, 4
+CHUNK, REPORTED = 4_000_000, 2
+SHARED_PART = 7
+#: Bits of the filter that keeps most texts out of a shuffle: a fixed 2 MB, whatever the number of documents.
+FILTER_BITS = 1 << 24
 #: Postings of a frequent shingle in one task, on average.
 PART = 50_000
 
@@ -80,8 +84,13 @@ def class_of(ordered: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def least_shared(percent: int) -> int:
+    """Elements that prefixes of large sets have to share; smaller sets have to share a SHARED_PART of their size."""
+    return 8 + 4 * (100 - percent) // 5
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + max(1, min(least_shared(percent), n // SHARED_PART))
 
 
 def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
@@ -174,43 +183,48 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     bucket = W.partitionBy("shingle", "part")
     shared = posted.withColumns({"leader": F.min(F.struct("grp", "n")).over(bucket), "last": F.max("grp").over(bucket)}).where("leader.grp <> last or (part > 0 and %d > 1)" % parts)
     shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader"), "buckets")
+    slim = stages.keep(own.drop("prefix", "light"), "rows")
+    stages.drop(own)
 
     # first pass: groups against one leader each, members against their group's head
-    likely = shared.where((F.col("grp") != F.col("leader.grp")) & _sizes(F.col("n"), F.col("leader.n"), percent)).groupBy("grp", "leader.grp").agg(F.count("*").alias("times")).toDF("grp", "leader", "times")
-    best = likely.groupBy("grp").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    together = lambda n, m: F.greatest(F.lit(1), F.least(F.lit(least_shared(percent)), F.floor(F.least(n, m) / SHARED_PART)))
+    likely = shared.where((F.col("grp") != F.col("leader.grp")) & _sizes(F.col("n"), F.col("leader.n"), percent))
+    likely = likely.groupBy("grp", "n", "leader").agg(F.count("*").alias("times")).where(F.col("times") >= together(F.col("n"), F.col("leader.n")))
+    best = likely.groupBy("grp").agg(F.max_by("leader.grp", F.struct("times", "leader")).alias("leader"))
     heads = groups.select("grp", "head")
     stars = best.join(heads.toDF("grp", "b"), "grp").join(heads.toDF("leader", "a"), "leader").select("a", "b")
     inner = classes.join(groups.where("members > 1").select("grp", "head"), "grp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    one = stages.keep(stars.unionByName(inner).distinct(), "pairs")
-
-    wanted = shared.select("grp").union(groups.where("members > 1").select("grp")).distinct()
-    texts = stages.keep(_texts(docs, classes.join(wanted, "grp", "left_semi"), k), "texts")
-    links = stages.keep(verified(one, texts, k, percent), "links")
-    stages.drop(one)
+    links = _linked(stars.unionByName(inner).distinct(), docs, classes, stages, k, percent)
 
     # second pass: what lies in one bucket but not yet in one component
     labels = components(links, stages)
     member = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp"))
-    member = stages.keep(member.join(wanted, "grp", "left_semi"), "members")
-    sides = shared.select("shingle", "grp", "n", "pos").distinct().join(member.select("grp", "comp").distinct(), "grp")
+    member = stages.keep(member, "members")
+    sides = shared.select("shingle", "grp", "n", "pos").join(member.select("grp", "comp").distinct(), "grp")
     mixed = W.partitionBy("shingle")
     ranges = sides.groupBy("shingle", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed)}).where("c0 <> c1")
     ranges = stages.keep(ranges.select("shingle", "comp", "lo", "hi"), "ranges")
     fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
     open_ = ranges.alias("x").join(ranges.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("c"), F.col("y.comp").alias("d"))
+    # components that could share enough within all their buckets together
+    counted = open_.groupBy("c", "d").agg(F.count("*").alias("buckets"))
+    sizes = ranges.groupBy("comp").agg(F.min("lo").alias("lo"))
+    near = counted.join(sizes.toDF("c", "cn"), "c").join(sizes.toDF("d", "dn"), "d").where(F.col("buckets") >= together(F.col("cn"), F.col("dn"))).select("c", "d")
+    near = stages.keep(near, "near")
     left = sides.select("shingle", F.col("comp").alias("c"), F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"))
     right = sides.select("shingle", F.col("comp").alias("d"), F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-    rest = F.least(F.col("gn") - F.col("gp"), F.col("hn") - F.col("hp"))  # shared elements at most, if this is the first
-    enough = (100 + percent) * rest >= percent * (F.col("gn") + F.col("hn"))
-    met = open_.join(left, ["shingle", "c"]).join(right, ["shingle", "d"]).where(_sizes(F.col("gn"), F.col("hn"), percent) & enough).select("g", "c", "h", "d").distinct()
+    met = near.join(left, "c").join(right, ["d", "shingle"]).where(_sizes(F.col("gn"), F.col("hn"), percent))
+    rest = F.least(F.col("gn") - F.min("gp"), F.col("hn") - F.min("hp"))  # the first shared element leaves room for no more than this
+    met = met.groupBy("g", "c", "gn", "h", "d", "hn").agg(F.countDistinct("shingle").alias("times"), rest.alias("rest"))
+    met = met.where((F.col("times") >= together(F.col("gn"), F.col("hn"))) & ((100 + percent) * F.col("rest") >= percent * (F.col("gn") + F.col("hn"))))
     two = met.join(member.select(F.col("grp").alias("g"), F.col("comp").alias("c"), F.col("cls").alias("a")), ["g", "c"]).join(member.select(F.col("grp").alias("h"), F.col("comp").alias("d"), F.col("cls").alias("b")), ["h", "d"]).select("a", "b")
-    found = stages.keep(verified(two, texts, k, percent), "links")
+    found = _linked(two.distinct(), docs, classes, stages, k, percent)
 
     final = components(links.unionByName(found), stages)
     placed = classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
     least = placed.groupBy("label").agg(F.min("first_doc").alias("component"))
     of = placed.join(least, "label").select(F.col("cls").alias("_cls"), "component", F.col("label").alias("group"))
-    return own.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
+    return slim.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
 
 
 def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80) -> DataFrame:
@@ -229,6 +243,27 @@ def _sizes(x, y, percent: int):
     return (100 * x >= percent * y) & (100 * y >= percent * x)
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stages, k: int, percent: int) -> DataFrame:
+    """The pairs of classes that hold, of candidates; only texts of classes in a pair are moved."""
+    pairs = stages.keep(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = stages.keep(_texts(docs, stages.keep(classes.join(ids, "cls", "left_semi"), "wanted"), k), "texts")
+    links = stages.keep(verified(pairs, texts, k, percent), "links")
+    stages.drop(pairs, texts)
+    return links
+
+
+def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not among ``wanted``.first_doc: a bitmap over hashed ids, in 4 KB rows that are broadcast."""
+    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    marks = wanted.select(bit(F.col("first_doc")).alias("bit"))
+    maps = marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    tested = docs.withColumn("bit", bit(F.col("doc_id"))).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("of"))
+    place = F.bitmap_bit_position("bit").cast("int")
+    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return tested.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), place % 8 + 1)) != 0).drop("bit", "of", "map")
+
+
 def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, text): the text of each class's first document. Where rows share a doc_id, the digest tells which is meant."""
 
@@ -238,5 +273,5 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             right = [c not in seen and class_of(shingles(shingle_words(t), k)) == c and not seen.add(c) for c, t in zip(batch["cls"], batch["text"], strict=True)]
             yield batch.loc[right, ["cls", "text"]]
 
-    met = docs.where("text is not null").join(classes.select("cls", "first_doc"), F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    met = _filtered(docs.where("text is not null"), classes).join(classes.select("cls", "first_doc"), F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return met.select("cls", "text").mapInPandas(own, "cls long, text string")

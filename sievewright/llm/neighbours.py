@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 10, 8, 1.8, 100, 11
+TABLES, HASHES, WIDTH, PROBES, SEED = 12, 8, 1.8, 150, 11
 #: Rows and queries of a task, on average.
 BLOCK, QUERIES = 1024, 2048
 

@@ -22,6 +22,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+#: Bits of a membership filter: a fixed 2 MB, whatever the number of rows.
+FILTER_BITS = 1 << 24
+
+
+def bitmaps(keys: Column, rows: DataFrame) -> DataFrame:
+    """(of, map): a bitmap over hashed keys in at most 512 rows of 4 KB, so that it can be broadcast."""
+    marks = rows.select(F.pmod(F.xxhash64(keys), F.lit(FILTER_BITS)).alias("bit"))
+    return marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+
+
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not among the wanted ones, and with all whose key is."""
+    tested = rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).join(F.broadcast(bitmaps(F.col(wanted_key), wanted)), F.bitmap_bucket_number("_bit") == F.col("of"))
+    place = F.bitmap_bit_position("_bit").cast("int")
+    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return tested.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), place % 8 + 1)) != 0).drop("_bit", "of", "map")
+
+
 def row_key(docs: DataFrame | None = None) -> Column:
     """A 64-bit hash of a row's id and text, null or not: what decisions about rows are joined back by."""
     column = F.col if docs is None else docs.__getitem__

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Stages, row_key, words
+from .common import Stages, maybe_among, row_key, words
 from .components import components
 
 #: Frequent shingles ordered last: at most so many, 16 bytes each, known to every worker.
@@ -46,8 +46,6 @@ HEAVY = 200_000
 #: Shingles of a counting chunk, and the documents of it that must share a shingle for it to be reported.
 CHUNK, REPORTED = 4_000_000, 2
 SHARED_PART = 7
-#: Bits of the filter that keeps most texts out of a shuffle: a fixed 2 MB, whatever the number of documents.
-FILTER_BITS = 1 << 24
 #: Postings of a frequent shingle in one task, on average.
 PART = 50_000
 
@@ -253,17 +251,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stage
     return links
 
 
-def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs without most rows whose doc_id is not among ``wanted``.first_doc: a bitmap over hashed ids, in 4 KB rows that are broadcast."""
-    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    marks = wanted.select(bit(F.col("first_doc")).alias("bit"))
-    maps = marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    tested = docs.withColumn("bit", bit(F.col("doc_id"))).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("of"))
-    place = F.bitmap_bit_position("bit").cast("int")
-    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return tested.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), place % 8 + 1)) != 0).drop("bit", "of", "map")
-
-
 def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, text): the text of each class's first document. Where rows share a doc_id, the digest tells which is meant."""
 
@@ -273,5 +260,5 @@ def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             right = [c not in seen and class_of(shingles(shingle_words(t), k)) == c and not seen.add(c) for c, t in zip(batch["cls"], batch["text"], strict=True)]
             yield batch.loc[right, ["cls", "text"]]
 
-    met = _filtered(docs.where("text is not null"), classes).join(classes.select("cls", "first_doc"), F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    met = maybe_among(docs.where("text is not null"), "doc_id", classes, "first_doc").join(classes.select("cls", "first_doc"), F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return met.select("cls", "text").mapInPandas(own, "cls long, text string")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, neighbours, packing, quality, secrets, tokens
+from . import jaccard, language, mixing, neighbours, packing, quality, secrets, substrings, tokens
 from .common import Stages, table, workdir
 
 
@@ -46,6 +46,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Stages(spark)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 50 words that an earlier document has."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), Stages(spark)).drop("kept")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's score and verdict; values appear as previews and digests."""
     return secrets.report(table(spark, sf_dir, "documents"), secrets.forest(spark))
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_source_mixing": op5_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,

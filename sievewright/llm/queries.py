@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, neighbours, packing, quality, secrets, substrings, tokens
+from . import extraction, jaccard, language, mixing, neighbours, packing, quality, secrets, substrings, tokens
 from .common import Stages, table, workdir
 
 
@@ -51,6 +51,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), Stages(spark)).drop("kept")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"), Stages(spark))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's score and verdict; values appear as previews and digests."""
     return secrets.report(table(spark, sf_dir, "documents"), secrets.forest(spark))
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,

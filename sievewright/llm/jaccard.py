@@ -1,22 +1,23 @@
 """Exact Jaccard links between documents' word shingles, by a grouped prefix join.
 
-Two sets of shingles with Jaccard similarity t or more share l elements among the first ``n - ceil(t * n) + l`` of
-each, in any order common to all and for any l up to their overlap: at least ceil(t * n) - l shared elements come
-after the l-th, which bounds its place. The order used puts frequent shingles last, and l is larger than one, so
-that documents which merely share a passage seldom become candidates.
+Two sets of shingles with Jaccard similarity t or more share an element among the first ``n - ceil(t * n) + 1`` of each,
+in any order common to all. The order used puts frequent shingles last, so that documents which merely share a
+passage seldom become candidates.
 
-* Documents with equal sets form one class; classes with equal size and prefix form one group. Only groups
+* Documents with equal sets form one class; classes with equal size and prefix (and bitmap, see below) form one group. Only groups
   are posted under their prefix elements; a worker posts a group once however many copies it reads.
-* First pass: every member of a group is held against the group's first class, and every group against the one
-  leader with which it shares most buckets. Components of those links stand for what is already connected.
-* Second pass: within a bucket only pairs from different components are left. Buckets are joined by component
-  first, with the size filter on its range, then expanded to groups with size and position filters, then to
-  classes, and verified. Any link between components appears here, so none is lost; pairs inside a component,
-  which would grow with the square of a group of near copies, are never formed.
-
-Frequent shingles are found by counting all documents: chunks of documents report shingles that occur in
-several of them, those counts are added, and the most frequent ``HEAVY`` are kept on the driver (a fixed bound).
-The list changes only the order, so which shingles are on it never changes the result. Buckets of frequent shingles are salted.
+* Candidates pass a size filter, a position filter (the first shared element bounds the overlap) and a bitmap filter: every
+  element flips one of BITS bits, so two bitmaps differ in at most as many bits as the sets differ in elements.
+* First pass: every member of a group is held against the group's first class, and every group against the nearest of its
+  buckets' leaders. A bucket's leader is the group in which the bucket's element comes first: the one with the fewest rare elements,
+  so of a group of near copies the most typical. Components of those links stand for what is already connected.
+* Second pass: within a bucket, groups outside its leader's component are held against all from other components with the same filters, then
+  expanded to classes and verified. Any link between components appears here, so none is lost; pairs inside a component, which
+  would grow with the square of a group of near copies, are never formed.
+
+How frequent shingles are is learned from all documents: chunks of documents report shingles that occur in several of
+them, those counts are added, and their logarithms are written into a table of LEVELS hashed cells, one byte each (a fixed bound). The
+table changes only the order, so what it says never changes the result. Buckets of frequent shingles are salted.
 
 Shingles and sets are compared by 64-bit hashes when candidates are made; links are verified on the texts'
 shingles themselves.
@@ -34,18 +35,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Stages, maybe_among, row_key, words
 from .components import components
 
-#: Frequent shingles ordered last: at most so many, 16 bytes each, known to every worker.
-HEAVY = 200_000
+#: Cells of the table of frequencies, of a byte each, and cells in one of its rows.
+LEVELS, CELLS = 1 << 24, 1 << 14
 #: Shingles of a counting chunk, and the documents of it that must share a shingle for it to be reported.
 CHUNK, REPORTED = 4_000_000, 2
-SHARED_PART = 7
+#: Bits of a set's bitmap, as so many longs.
+BITS, LONGS = 512, 8
+#: Logarithm of a frequency from which on a bucket is salted.
+SALTED = 10
 #: Postings of a frequent shingle in one task, on average.
 PART = 50_000
 
@@ -82,17 +86,12 @@ def class_of(ordered: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def least_shared(percent: int) -> int:
-    """Elements that prefixes of large sets have to share; smaller sets have to share a SHARED_PART of their size."""
-    return 8 + 4 * (100 - percent) // 5
-
-
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + max(1, min(least_shared(percent), n // SHARED_PART))
+    return n - -(-percent * n // 100) + 1
 
 
-def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
-    """(shingle, documents counted) of the most frequent shingles over all documents, at most HEAVY of them."""
+def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """The logarithm of how often a shingle was counted over all documents, by hashed cell (the largest where several meet)."""
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -112,39 +111,54 @@ def frequent(docs: DataFrame, k: int) -> list[tuple[int, int]]:
         if n:
             yield counted()
 
-    top = docs.select("text").mapInPandas(report, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY)
-    return [(r["shingle"], r["n"]) for r in top.collect()]
+    def rows(group: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(CELLS, np.uint8)
+        np.maximum.at(cells, group["cell"].to_numpy(), group["level"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"row": group["row"].iloc[:1], "cells": [cells.tobytes()]})
+
+    sums = docs.select("text").mapInPandas(report, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    at = F.col("shingle").bitwiseAND(F.lit(LEVELS - 1))
+    levels = sums.groupBy(F.shiftright(at, 14).cast("int").alias("row"), at.bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level"))
+    table = np.zeros(LEVELS, np.uint8)
+    for r in levels.groupBy("row").applyInPandas(rows, "row int, cells binary").toLocalIterator():  # at most LEVELS / CELLS rows of CELLS bytes
+        table[r["row"] * CELLS : (r["row"] + 1) * CELLS] = np.frombuffer(r["cells"], np.uint8)
+    return table
+
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: a bit is set if an odd number of elements fall on it."""
+    odd = np.bincount((elements >> np.uint64(50)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def profiles(docs: DataFrame, k: int, percent: int, heavy: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, row_key, n, class, group, light and prefix of every document; prefix is null where a group was posted before."""
-    known = np.array(sorted(h for h, _ in heavy), np.int64)
-    counts = dict(heavy)
-    rank = np.array([counts[h] for h in known.tolist()], np.int64)
+
+def profiles(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
+    """doc_id, row_key, n, class, group, bitmap, light and prefix of every document; the last three are null where a group was posted before."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         posted: set[int] = set()
+        levels = shared.value
         for batch in batches:
             rows = []
             for doc, key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
                 own = shingles(shingle_words(text), k)
                 n = len(own)
                 if not n:
-                    rows.append((doc, key, 0, None, None, None, None))
+                    rows.append((doc, key, 0, None, None, None, None, None))
                     continue
-                at = np.searchsorted(known, own.view(np.int64))
-                at[at == len(known)] = 0
-                often = np.where(known[at] == own.view(np.int64), rank[at], 0) if len(known) else np.zeros(n, np.int64)
-                first = np.lexsort((own, often))[: prefix_size(n, percent)]
+                level = levels[(own & np.uint64(LEVELS - 1)).astype(np.int64)]
+                first = np.lexsort((own, level))[: prefix_size(n, percent)]
                 prefix = own[first].view(np.int64)
-                group = int.from_bytes(hashlib.blake2b(prefix.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
+                # members of a group share size and prefix; the bitmap belongs to one of them, and so to the group only if all are alike
+                bits = bitmap(own)
+                group = int.from_bytes(hashlib.blake2b(prefix.tobytes() + bits.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
                 new = group not in posted
                 posted.add(group)
-                rows.append((doc, key, n, class_of(own), group, int((often[first] == 0).sum()) if new else None, prefix if new else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "light", "prefix"])
+                rows.append((doc, key, n, class_of(own), group, bits if new else None, int((level[first] < SALTED).sum()) if new else None, prefix if new else None))
+            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "bits", "light", "prefix"])
             yield out.astype({"doc_id": "Int64", "n": "int64", "cls": "Int64", "grp": "Int64", "light": "Int32"})
 
-    return docs.mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, light int, prefix array<long>")
+    return docs.mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, bits array<long>, light int, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -170,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; also row_key (a hash of id and text) and group (null without shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
-    own = stages.keep(profiles(docs, k, percent, frequent(docs, k)), "profiles")
+    own = stages.keep(profiles(docs, k, percent, frequencies(docs, k)), "profiles")
     classes = stages.keep(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("members"))
 
@@ -179,16 +193,16 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     posted = own.where("prefix is not null").select(F.col("grp"), F.col("n").cast("int").alias("n"), "light", F.posexplode("prefix").alias("pos", "shingle"))
     posted = posted.select("shingle", "grp", "n", "pos", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
     bucket = W.partitionBy("shingle", "part")
-    shared = posted.withColumns({"leader": F.min(F.struct("grp", "n")).over(bucket), "last": F.max("grp").over(bucket)}).where("leader.grp <> last or (part > 0 and %d > 1)" % parts)
-    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader"), "buckets")
-    slim = stages.keep(own.drop("prefix", "light"), "rows")
+    shared = posted.withColumns({"leader": F.min(F.struct("pos", "grp", "n")).over(bucket), "least": F.min("grp").over(bucket), "last": F.max("grp").over(bucket)}).where("least <> last or (part > 0 and %d > 1)" % parts)
+    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", F.col("leader.grp").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
+    bits = stages.keep(own.where("bits is not null").groupBy("grp").agg(F.first("bits").alias("bits")).select("grp", F.struct(*(F.col("bits")[i].alias(f"b{i}") for i in range(LONGS))).alias("bits")), "bitmaps")
+    slim = stages.keep(own.drop("prefix", "light", "bits"), "rows")
     stages.drop(own)
 
-    # first pass: groups against one leader each, members against their group's head
-    together = lambda n, m: F.greatest(F.lit(1), F.least(F.lit(least_shared(percent)), F.floor(F.least(n, m) / SHARED_PART)))
-    likely = shared.where((F.col("grp") != F.col("leader.grp")) & _sizes(F.col("n"), F.col("leader.n"), percent))
-    likely = likely.groupBy("grp", "n", "leader").agg(F.count("*").alias("times")).where(F.col("times") >= together(F.col("n"), F.col("leader.n")))
-    best = likely.groupBy("grp").agg(F.max_by("leader.grp", F.struct("times", "leader")).alias("leader"))
+    # first pass: groups against the nearest leader, members against their group's head
+    likely = shared.where((F.col("grp") != F.col("leader")) & _passes("n", "pos", "leader_n", "leader_pos", percent)).select("grp", "n", "leader", "leader_n").distinct()
+    likely = likely.join(bits.select("grp", F.col("bits").alias("x")), "grp").join(bits.select(F.col("grp").alias("leader"), F.col("bits").alias("y")), "leader").withColumn("differ", _differing("x", "y"))
+    best = likely.where(_close("n", "leader_n", "differ", percent)).groupBy("grp").agg(F.min_by("leader", F.struct("differ", "leader")).alias("leader"))
     heads = groups.select("grp", "head")
     stars = best.join(heads.toDF("grp", "b"), "grp").join(heads.toDF("leader", "a"), "leader").select("a", "b")
     inner = classes.join(groups.where("members > 1").select("grp", "head"), "grp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
@@ -196,26 +210,19 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
 
     # second pass: what lies in one bucket but not yet in one component
     labels = components(links, stages)
-    member = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp"))
-    member = stages.keep(member, "members")
-    sides = shared.select("shingle", "grp", "n", "pos").join(member.select("grp", "comp").distinct(), "grp")
+    member = stages.keep(classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp")), "members")
+    of = member.select("grp", "comp").distinct()
     mixed = W.partitionBy("shingle")
-    ranges = sides.groupBy("shingle", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed)}).where("c0 <> c1")
-    ranges = stages.keep(ranges.select("shingle", "comp", "lo", "hi"), "ranges")
-    fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-    open_ = ranges.alias("x").join(ranges.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("c"), F.col("y.comp").alias("d"))
-    # components that could share enough within all their buckets together
-    counted = open_.groupBy("c", "d").agg(F.count("*").alias("buckets"))
-    sizes = ranges.groupBy("comp").agg(F.min("lo").alias("lo"))
-    near = counted.join(sizes.toDF("c", "cn"), "c").join(sizes.toDF("d", "dn"), "d").where(F.col("buckets") >= together(F.col("cn"), F.col("dn"))).select("c", "d")
-    near = stages.keep(near, "near")
-    left = sides.select("shingle", F.col("comp").alias("c"), F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"))
-    right = sides.select("shingle", F.col("comp").alias("d"), F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-    met = near.join(left, "c").join(right, ["d", "shingle"]).where(_sizes(F.col("gn"), F.col("hn"), percent))
-    rest = F.least(F.col("gn") - F.min("gp"), F.col("hn") - F.min("hp"))  # the first shared element leaves room for no more than this
-    met = met.groupBy("g", "c", "gn", "h", "d", "hn").agg(F.countDistinct("shingle").alias("times"), rest.alias("rest"))
-    met = met.where((F.col("times") >= together(F.col("gn"), F.col("hn"))) & ((100 + percent) * F.col("rest") >= percent * (F.col("gn") + F.col("hn"))))
-    two = met.join(member.select(F.col("grp").alias("g"), F.col("comp").alias("c"), F.col("cls").alias("a")), ["g", "c"]).join(member.select(F.col("grp").alias("h"), F.col("comp").alias("d"), F.col("cls").alias("b")), ["h", "d"]).select("a", "b")
+    sides = shared.select("shingle", "grp", "n", "pos").join(of, "grp")
+    sides = sides.withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed), "main": F.min(F.struct("pos", "grp", "comp")).over(mixed)}).where("c0 <> c1")
+    sides = stages.keep(sides.select("shingle", "grp", "n", "pos", "comp", F.col("main.comp").alias("main")).join(bits, "grp"), "sides")
+    side = lambda tag: sides.select("shingle", *(F.col(c).alias(f"{c}{tag}") for c in ("grp", "n", "pos", "comp", "main", "bits")))
+    # of two groups outside the main component, one order of the pair is enough
+    once = (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("main_y")) | (F.col("comp_x") < F.col("comp_y")))
+    passes = _passes("n_x", "pos_x", "n_y", "pos_y", percent) & _close("n_x", "n_y", _differing("bits_x", "bits_y"), percent)
+    met = side("_x").where("comp_x <> main_x").join(side("_y"), ["shingle"]).where(once & passes)
+    met = met.select("grp_x", "comp_x", "grp_y", "comp_y").distinct()
+    two = met.join(member.toDF("a", "grp_x", "comp_x"), ["grp_x", "comp_x"]).join(member.toDF("b", "grp_y", "comp_y"), ["grp_y", "comp_y"]).select("a", "b")
     found = _linked(two.distinct(), docs, classes, stages, k, percent)
 
     final = components(links.unionByName(found), stages)
@@ -237,8 +244,24 @@ def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80)
     return keyed.join(stays, "_key", "left_semi").withColumn("_n", first).where((F.col("_n") == 1) | empty).select("_row.*")
 
 
-def _sizes(x, y, percent: int):
-    return (100 * x >= percent * y) & (100 * y >= percent * x)
+def _passes(n, pos, m, at, percent: int) -> Column:
+    """Sizes that may be similar, and enough elements behind a first shared one at ``pos`` and ``at`` (from 0)."""
+    n, pos, m, at = map(F.col, (n, pos, m, at))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * F.least(n - pos, m - at) >= percent * (n + m))
+
+
+def _differing(x: str, y: str) -> Column:
+    """Bits in which two bitmaps differ: no more than the elements in which the sets do."""
+    total = F.lit(0)
+    for i in range(LONGS):
+        total = total + F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")))
+    return total
+
+
+def _close(n, m, differ, percent: int) -> Column:
+    """Whether sets of these sizes that differ in so many elements at least can still be similar enough."""
+    n, m, differ = F.col(n), F.col(m), F.col(differ) if isinstance(differ, str) else differ
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stages, k: int, percent: int) -> DataFrame:

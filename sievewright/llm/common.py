@@ -22,6 +22,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+#: What stands for a null id inside Python, where a column with nulls would turn into floating point and lose digits.
+NO_ID = -(2**63)
+
+
+def id_in(column: str = "doc_id") -> Column:
+    """An id for Python: a long that is never null."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def id_out(column: str = "doc_id") -> Column:
+    """An id from Python, null again where it was."""
+    return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
+
+
 #: Bits of a membership filter: a fixed 2 MB, whatever the number of rows.
 FILTER_BITS = 1 << 24
 

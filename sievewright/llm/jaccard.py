@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Stages, maybe_among, row_key, words
+from .common import Stages, id_in, id_out, maybe_among, row_key, words
 from .components import components
 
 #: Cells of the table of frequencies, of a byte each, and cells in one of its rows.
@@ -155,10 +155,11 @@ def profiles(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFr
                 new = group not in posted
                 posted.add(group)
                 rows.append((doc, key, n, class_of(own), group, bits if new else None, int((level[first] < SALTED).sum()) if new else None, prefix if new else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "bits", "light", "prefix"])
-            yield out.astype({"doc_id": "Int64", "n": "int64", "cls": "Int64", "grp": "Int64", "light": "Int32"})
+            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "bits", "light", "prefix"], dtype=object)
+            yield out.astype({"doc_id": "int64", "row_key": "int64", "n": "int64", "cls": "Int64", "grp": "Int64", "light": "Int32"})
 
-    return docs.mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, bits array<long>, light int, prefix array<long>")
+    made = docs.select(id_in(), "row_key", "text").mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, bits array<long>, light int, prefix array<long>")
+    return made.withColumn("doc_id", id_out())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_in, id_out
+
 BUCKETS, WIDTH = 1 << 16, 16
 #: Rows that a model learns from at most, over all languages, and languages at most (the most frequent ones).
 SAMPLE, LANGUAGES = 4000, 200
@@ -150,6 +152,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             name = [n for n, _ in found]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": name, "score": score, "accepted": (score >= own.reject) & np.array([n != UNKNOWN for n in name], dtype=bool)})
 
-    rows = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
+    rows = docs.select(id_in(), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean").withColumn("doc_id", id_out().cast(kind))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_in, id_out
+
 #: Words that a worker remembers at most.
 REMEMBERED = 600_000
 
@@ -208,6 +210,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, length: int, end: int) -> D
                 while at < n:
                     rows.append((doc, piece, at, size, zlib.crc32(all_ids[4 * at : 4 * (at + size)])))
                     at, piece, size = at + size, piece + 1, length
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64", "piece": "int32"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "int64", "piece": "int32"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return made.withColumn("doc_id", id_out())

@@ -1,0 +1,290 @@
+"""Operators on documents, held against brute force on a table with all odd cases, and on an empty one."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievewright.llm import jaccard, language, mixing, packing, quality, secrets, substrings, tokens
+from sievewright.llm.common import Stages, workdir
+from sievewright.llm.queries import tokenizer
+
+
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+
+
+def by(frame, *columns):
+    return collections.Counter(tuple(r) for r in frame.select(*columns).collect())
+
+
+def test_token_counts(spark, docs, rows, no_docs):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    cache = f"{workdir(spark)}/cache-test"
+    expected = collections.Counter((r[0], len((r[1] or "").encode()), len(model.encode(r[1] or "")), len(model.encode(r[1] or "")) > 4096) for r in rows)
+    assert by(tokens.token_counts(docs, path, cache), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    stored = spark.read.parquet(cache).count()
+    assert stored == len({r[1] or "" for r in rows})
+    assert by(tokens.token_counts(docs, path, cache), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    assert spark.read.parquet(cache).count() == stored
+    assert tokens.token_counts(no_docs, path, f"{cache}-empty").count() == 0
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "a  b", "a\nb", "\na", "a\n", "\n\n", "a \nb", "x\ty", "a▁b", "▁", "<s> é", "日本 語\nх", "it's\nI'm 12a", "<|endoftext|>", "a <|endoftext|>b", "\xa0x", "a\r\nb", "  \n  ", "\x00a"])
+def test_word_caches_equal_the_libraries(text):
+    count, ids = tokens.PieceCounter(tokenizer("piece_bpe_32k.model")), tokens.ByteIds(tokenizer("byte_bpe_50k.json"))
+    assert count.plain
+    assert count(text) == count.count(text)
+    assert list(memoryview(ids(text)).cast("I")) == ids.whole(text)
+
+
+def test_language(spark, docs, rows, no_docs):
+    english, german = "the of and to in that is was for with", "der die und das nicht ist ein zu den von"
+    made = [(i, " ".join((english if i % 2 else german).split()[j % 10] for j in range(i, i + 30)), "en" if i % 2 else "de") for i in range(400)]
+    known = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.fit(known)
+    got = {r["doc_id"]: r for r in language.identify(known, model).collect()}
+    held = [i for i, _, _ in made if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i, r in got.items() if r["held_out"]} == set(held)
+    assert sum(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in held) >= 0.95 * len(held)
+    odd = language.identify(docs, model).collect()
+    assert len(odd) == len(rows)
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for r in odd)
+    pred = collections.Counter(r["lang_pred"] == "und" for r in odd)
+    assert pred[True] == sum(not any(map(str.isalpha, r[1] or "")) for r in rows)
+    none = language.fit(no_docs)
+    assert language.identify(no_docs, none).count() == 0
+    assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
+
+
+def base(text):
+    w = words(text)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    counts = collections.Counter(windows)
+    covered = {j for i, x in enumerate(windows) if counts[x] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, docs, rows, no_docs):
+    got = quality.quality(docs, Stages(spark))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert by(got, "doc_id", *names) == collections.Counter((r[0], *base(r[1])) for r in rows)
+    for r in got.collect():
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    assert quality.quality(no_docs, Stages(spark)).count() == 0
+    passed = quality.passing(docs, Stages(spark))
+    assert passed.columns == docs.columns
+    assert passed.count() == got.where("kept").count()
+
+
+def test_sketches_merge_and_bound_quantiles(spark):
+    counts = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'en', 'de') lang", "cast(id % 7 as string) source", "100 n_words", "id + 1 word_chars", "0 n_symbols", "0 n_dup_lines", "0 n_repeat_words", "false base_failed").cache()
+    fine = quality.sketch(counts)
+    whole = quality.merge(fine)
+    assert by(whole, "metric", "bucket", "n") == by(quality.merge(quality.merge(fine, "lang")), "metric", "bucket", "n")
+    fence = quality.fences(whole).first()["mean_word_max"]
+    assert abs(fence - (37.5 + 3 * 25)) < 0.03 * 112.5
+
+
+def linked_components(rows, k, percent):
+    def shingles(text):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+        return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    sets = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return collections.Counter((r[0], len(sets[i]), r[0] if not sets[i] else least.get(find(i))) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_jaccard(spark, docs, rows, no_docs, k, percent):
+    got = jaccard.jaccard_components(docs, Stages(spark), k, percent)
+    assert by(got, "doc_id", "n_shingles", "component_id") == linked_components(rows, k, percent)
+    if k == 3:
+        assert jaccard.jaccard_components(no_docs, Stages(spark)).count() == 0
+
+
+def test_jaccard_chain_of_near_copies(spark):
+    base_words = [f"v{i}" for i in range(120)]
+    made = []
+    for i in range(40):  # each is close to the next, far ones are not
+        w = list(base_words)
+        for j in range(i):
+            w[(j * 3) % 120] = f"edit{j}"
+        made.append((i, " ".join(w)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs, Stages(spark), 3, 90)
+    assert by(got, "doc_id", "n_shingles", "component_id") == linked_components(made, 3, 90)
+
+
+def test_one_of_each(spark, docs, no_docs):
+    kept = jaccard.one_of_each(docs, Stages(spark))
+    assert kept.columns == docs.columns
+    groups = jaccard.jaccard_components(docs, Stages(spark), 5, 80)
+    lonely = docs.where(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "") == "").count()
+    assert kept.count() == groups.where(F.col("group").isNotNull()).select("group").distinct().count() + lonely
+    assert jaccard.one_of_each(no_docs, Stages(spark)).count() == 0
+
+
+def test_mixing(spark, docs, rows, no_docs):
+    got = [r.asDict() for r in mixing.mix(docs, Stages(spark)).collect()]
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(words(r[1]))) for r in rows)
+    size = collections.Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    names = sorted((s for s in size if s is not None), key=str.encode) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(size.values())
+    while open_:
+        shares = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if shares[s] > 2 * size[s]}
+        if not full:
+            target |= shares
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+        open_ -= full
+    taken = collections.Counter()
+    for r in got:
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+        assert r["source_size"] == size[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 5
+    again = mixing.mix(docs.repartition(5), Stages(spark))
+    assert by(again, "doc_id", "size", "taken") == collections.Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
+    assert mixing.mix(no_docs, Stages(spark)).count() == 0
+    applied = mixing.applied(docs, Stages(spark))
+    assert applied.columns == docs.columns
+    assert applied.count() == sum(r["copies"] for r in got)
+
+
+def removal(rows):
+    ids = {i: substrings.LATEST if r[0] is None else r[0] for i, r in enumerate(rows)}
+    first = {}
+    for i, r in enumerate(rows):
+        w = words(r[1])
+        for j in range(len(w) - 49):
+            key = tuple(w[j : j + 50])
+            first[key] = min(first.get(key, ids[i]), ids[i])
+    out = collections.Counter()
+    for i, r in enumerate(rows):
+        w = words(r[1])
+        gone = [False] * len(w)
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < ids[i]:
+                gone[j : j + 50] = [True] * 50
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out[r[0], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("split", [1, substrings.SPLIT])
+def test_substrings(spark, docs, rows, no_docs, split, monkeypatch):
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    got = substrings.remove_repeats(docs, Stages(spark))
+    assert by(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removal(rows)
+    assert substrings.remove_repeats(no_docs, Stages(spark)).count() == 0
+
+
+def test_secrets(spark, docs, rows, no_docs):
+    trees = secrets.forest(spark)
+    report = secrets.report(docs, trees).collect()
+    assert sum(r["is_secret"] for r in report) >= 2
+    assert not any("8648bd8c3532323fe990b171b6bd12c849b41765" in str(r) for r in report)
+    clean = secrets.redact(docs, trees)
+    assert clean.columns == docs.columns
+    assert clean.count() == len(rows)
+    assert clean.where("text like '%8648bd8c35%' or text like '%AKIAL7ZEV%'").count() == 0
+    assert clean.where("n_chars <> length(text)").where("doc_id is not null and doc_id <> 7").count() == 0
+    assert secrets.redact(no_docs, trees).count() == 0
+    assert secrets.report(no_docs, trees).count() == 0
+
+
+def test_secret_forest_on_findings_kept_apart(spark):
+    every = Stages(spark).keep(secrets.labelled(spark, 3000), "labelled")
+    apart = F.pmod(F.xxhash64("c.word"), F.lit(4)) == 0
+    trees = secrets.train(every.where(~apart))
+    features = Stages(spark).keep(every.where(apart).select("secret", secrets.features(F.col("c"), F.col("path")).alias("x")), "features")
+    right = features.select(((secrets.chance(F.col("x"), trees) >= 0.5).cast("int") == F.col("secret")).alias("ok"))
+    assert right.where("ok").count() >= 0.97 * right.count()
+
+
+def test_packing(spark, docs, rows, no_docs):
+    ids = tokens.ByteIds(tokenizer("byte_bpe_50k.json"))
+    got = [r.asDict() for r in packing.pack(docs, tokenizer("byte_bpe_50k.json"), Stages(spark), 256).collect()]
+    expected = collections.Counter()
+    for r in rows:
+        own = [*ids.whole(r[1] or ""), 2]
+        at, size, piece = 0, (len(own) - 1) % 256 + 1, 0
+        while at < len(own):
+            raw = b"".join(x.to_bytes(4, "little") for x in own[at : at + size])
+            expected[r[0], piece, at, size, zlib.crc32(raw)] += 1
+            at, size, piece = at + size, 256, piece + 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(bins) <= -(-sum(r["length"] for r in got) // 256) * 1.03 + 1
+    assert packing.pack(no_docs, tokenizer("byte_bpe_50k.json"), Stages(spark)).count() == 0
+
+
+def test_fullest_is_the_best_subset():
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(60):
+        counts = np.zeros(21, int)
+        for _ in range(rng.randrange(1, 8)):
+            counts[rng.randrange(1, 21)] += 1
+        room = rng.randrange(0, 21)
+        items = [s for s in range(21) for _ in range(counts[s])]
+        best = max(sum(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room)
+        chosen = packing.fullest(counts, room)
+        assert sum(chosen) == best
+        assert all(chosen.count(s) <= counts[s] for s in chosen)
+
+
+def test_pipeline_stages_keep_columns(spark, docs, no_docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for start in (docs, no_docs):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            before = now.columns
+            now = Stages(spark).keep(stage(spark, now, ""), name.replace(" ", "-"))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == before
+    assert now.count() == 0

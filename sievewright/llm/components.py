@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping, on the executors."""
+"""Connected components by contraction, on the executors."""
 
 from __future__ import annotations
 
@@ -9,20 +9,30 @@ from pyspark.sql import functions as F
 def components(edges: DataFrame, stages) -> DataFrame:
     """(id, label) for every end of an edge (a, b): label is the smallest id of its component.
 
-    A round takes the smallest label next to each vertex and then the label of that label, so stars take one
-    round and long chains a number that grows with the logarithm of their length. Ends when a round changes
-    nothing. Labels are written after each round; a vertex with very many edges is combined before shuffling.
+    A round gives every vertex the smallest label next to it, follows labels to their ends (pointer jumping), and contracts
+    the graph: edges become edges between labels, and those within one label go. So the graph shrinks by at least half its
+    vertices each round, and a vertex with very many edges is combined before it is shuffled. Tables are written after each round.
     """
-    both = stages.keep(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "edges")
-    labels = stages.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        of = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-        jumped = lower.join(of, F.col("label") == F.col("_id"), "left").select("id", "old", F.least("label", "_label").alias("label"))
-        later = stages.keep(jumped, "labels")
-        stages.drop(labels)
-        labels = later
-        if labels.where("old <> label").isEmpty():
-            stages.drop(both)
-            return labels.select("id", "label")
+    left = stages.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        step = stages.keep(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "step")
+        while True:  # labels only fall, so this ends; its rounds grow with the logarithm of a chain of labels
+            of = step.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+            later = stages.keep(step.join(of, F.col("label") == F.col("_id"), "left").select("id", F.coalesce("_label", "label").alias("label"), (F.col("_label") < F.col("label")).alias("moved")), "step")
+            stages.drop(step)
+            step = later
+            if step.where("moved").isEmpty():
+                break
+        step = step.select("id", "label")
+        if labels is None:
+            labels = step
+        else:
+            labels = labels.join(step.toDF("_id", "_label"), F.col("label") == F.col("_id"), "left").select("id", F.coalesce("_label", "label").alias("label"))
+        labels = stages.keep(labels, "labels")
+        once = left.join(step.toDF("a", "la"), "a").join(step.toDF("b", "lb"), "b").where("la <> lb")
+        later = stages.keep(once.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        stages.drop(left)
+        left = later
+    return labels

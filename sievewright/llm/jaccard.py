@@ -11,6 +11,7 @@ passage seldom become candidates.
 * First pass: every member of a group is held against the group's first class, and every group against the nearest of its
   buckets' leaders. A bucket's leader is the group in which the bucket's element comes first: the one with the fewest rare elements,
   so of a group of near copies the most typical. Components of those links stand for what is already connected.
+* Between the passes every group is held against the nearest group from another component in one of its buckets.
 * Second pass: within a bucket, groups outside its leader's component are held against all from other components with the same filters, then
   expanded to classes and verified. Any link between components appears here, so none is lost; pairs inside a component, which
   would grow with the square of a group of near copies, are never formed.
@@ -209,22 +210,16 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     inner = classes.join(groups.where("members > 1").select("grp", "head"), "grp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     links = _linked(stars.unionByName(inner).distinct(), docs, classes, stages, k, percent)
 
-    # second pass: what lies in one bucket but not yet in one component
-    labels = components(links, stages)
-    member = stages.keep(classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp")), "members")
-    of = member.select("grp", "comp").distinct()
-    mixed = W.partitionBy("shingle")
-    sides = shared.select("shingle", "grp", "n", "pos").join(of, "grp")
-    sides = sides.withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed), "main": F.min(F.struct("pos", "grp", "comp")).over(mixed)}).where("c0 <> c1")
-    sides = stages.keep(sides.select("shingle", "grp", "n", "pos", "comp", F.col("main.comp").alias("main")).join(bits, "grp"), "sides")
-    side = lambda tag: sides.select("shingle", *(F.col(c).alias(f"{c}{tag}") for c in ("grp", "n", "pos", "comp", "main", "bits")))
-    # of two groups outside the main component, one order of the pair is enough
-    once = (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("main_y")) | (F.col("comp_x") < F.col("comp_y")))
-    passes = _passes("n_x", "pos_x", "n_y", "pos_y", percent) & _close("n_x", "n_y", _differing("bits_x", "bits_y"), percent)
-    met = side("_x").where("comp_x <> main_x").join(side("_y"), ["shingle"]).where(once & passes)
-    met = met.select("grp_x", "comp_x", "grp_y", "comp_y").distinct()
-    two = met.join(member.toDF("a", "grp_x", "comp_x"), ["grp_x", "comp_x"]).join(member.toDF("b", "grp_y", "comp_y"), ["grp_y", "comp_y"]).select("a", "b")
-    found = _linked(two.distinct(), docs, classes, stages, k, percent)
+    # between the passes: each group in one of its buckets against the nearest from another component, so that components grow
+    member = _members(classes, links, stages)
+    near = _across(shared, member, bits, stages, percent, single=True)
+    best = near.groupBy("grp_x", "comp_x").agg(F.min_by(F.struct("grp_y", "comp_y"), F.struct("differ", "grp_y")).alias("y")).select("grp_x", "comp_x", "y.*")
+    links = links.unionByName(_linked(_pairs(best, member), docs, classes, stages, k, percent))
+
+    # second pass: all that lies in one bucket but not yet in one component
+    member = _members(classes, links, stages)
+    met = _across(shared, member, bits, stages, percent, single=False).select("grp_x", "comp_x", "grp_y", "comp_y").distinct()
+    found = _linked(_pairs(met, member), docs, classes, stages, k, percent)
 
     final = components(links.unionByName(found), stages)
     placed = classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
@@ -233,6 +228,35 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     return slim.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
 
 
+def _members(classes: DataFrame, links: DataFrame, stages: Stages) -> DataFrame:
+    """cls, grp and comp: where the links so far have brought every class."""
+    labels = components(links, stages)
+    return stages.keep(classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp")), "members")
+
+
+def _across(shared: DataFrame, member: DataFrame, bits: DataFrame, stages: Stages, percent: int, single: bool) -> DataFrame:
+    """Pairs of groups in one bucket and different components that pass the filters; with ``single`` each group looks into one of its buckets only."""
+    mixed = W.partitionBy("shingle")
+    sides = shared.select("shingle", "grp", "n", "pos").join(member.select("grp", "comp").distinct(), "grp")
+    sides = sides.withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed), "main": F.min(F.struct("pos", "grp", "comp")).over(mixed)}).where("c0 <> c1")
+    sides = stages.keep(sides.select("shingle", "grp", "n", "pos", "comp", F.col("main.comp").alias("main")).join(bits, "grp"), "sides")
+    side = lambda tag, rows: rows.select("shingle", *(F.col(c).alias(f"{c}{tag}") for c in ("grp", "n", "pos", "comp", "main", "bits")))
+    passes = _passes("n_x", "pos_x", "n_y", "pos_y", percent) & _close("n_x", "n_y", _differing("bits_x", "bits_y"), percent)
+    if single:
+        chosen = sides.groupBy("grp", "comp").agg(F.min_by("shingle", F.xxhash64("shingle", "grp")).alias("shingle"))
+        asking, once = sides.join(chosen, ["grp", "comp", "shingle"]), F.col("comp_x") != F.col("comp_y")
+    else:
+        # of two groups outside the main component, one order of the pair is enough
+        asking, once = sides.where("comp <> main"), (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("main_y")) | (F.col("comp_x") < F.col("comp_y")))
+    met = side("_x", asking).join(side("_y", sides), ["shingle"]).where(once & passes)
+    return met.select("grp_x", "comp_x", "grp_y", "comp_y", _differing("bits_x", "bits_y").alias("differ"))
+
+
+def _pairs(met: DataFrame, member: DataFrame) -> DataFrame:
+    """Pairs of groups as pairs of their classes."""
+    return met.join(member.toDF("a", "grp_x", "comp_x"), ["grp_x", "comp_x"]).join(member.toDF("b", "grp_y", "comp_y"), ["grp_y", "comp_y"]).select("a", "b").distinct()
+
+
 def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays; rows without words all stay."""
     found = jaccard_components(docs, stages, k, percent)

@@ -8,15 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table  # noqa: F401  shared by the modules beside
+
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a scale-factor folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

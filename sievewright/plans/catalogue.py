@@ -330,7 +330,7 @@ ORACLES: dict[str, str] = {
     "dedup_merge": f"WITH {HITS_SQL} SELECT secret_hash, rule_id, string_agg(DISTINCT p, ',' ORDER BY p) AS places, count(DISTINCT p) AS n_places FROM (SELECT *, issue_key || '|' || field_path || '|' || source_type AS p FROM hits) GROUP BY ALL",
     "severity_tally": f"WITH {HITS_SQL} SELECT count(*) AS findings_total, {', '.join(f"count(*) FILTER (severity = '{s}') AS findings_{s}" for s in reversed(fixed.SEVERITIES))} FROM hits",
     "comments_counter": "SELECT count(DISTINCT (conv_id, turn)) AS comments_scanned FROM conversations",
-    "attachment_gate": "SELECT page_id, ['keep', 'skip', CASE WHEN regexp_matches(regexp_extract(url, '[^/]*$'), '\\.') THEN 'skip' ELSE 'skip' END, 'keep', 'skip'][page_id % 5 + 1] AS verdict FROM pages",
+    "attachment_gate": "SELECT page_id, ['keep', 'skip', 'skip', 'keep', 'skip'][page_id % 5 + 1] AS verdict FROM pages",
     "same_origin": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || regexp_extract(url, '://([^/]+)', 1) || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END AS origin, starts_with(url, 'https://thther.example.org/') AS same FROM pages",
     "incremental_window": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 11:55:00' GROUP BY ALL",
     "reconcile_states": f"""WITH {_state} SELECT fingerprint, issue_key,

@@ -178,7 +178,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     known = read_cache(spark, cache).where(F.col("tokenizer") == kind).select("digest", "n_tokens")
-    missing = keyed.join(known, "digest", "left_anti").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("first"))
+    # copies are combined before anything is shuffled by digest
+    missing = keyed.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("first")).join(known, "digest", "left_anti")
     texts = docs.select(F.sha2(text, 256).alias("digest"), F.coalesce("doc_id", F.lit(-1)).alias("first"), text.alias("text"))
     wanted = texts.join(missing, ["digest", "first"]).select("digest", "text")
 

@@ -186,11 +186,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, seen = model(PieceCounter, tokenizer), set()
         for batch in batches:
-            fresh = [(d, t) for d, t in zip(batch["digest"], batch["text"], strict=True) if not (d in seen or seen.add(d))]  # repeated rows meet here
+            fresh = [(d, t) for d, t in zip(batch["digest"], batch["text"], strict=True) if not (d in seen or seen.add(d))]  # repeated rows mostly meet here
             yield pd.DataFrame({"tokenizer": kind, "digest": [d for d, _ in fresh], "n_tokens": np.array([count(t) for _, t in fresh], dtype="int64")})
 
-    wanted.mapInPandas(encode, "tokenizer string, digest string, n_tokens long").write.mode("append").parquet(cache)
-    every = read_cache(spark, cache).where(F.col("tokenizer") == kind).select("digest", "n_tokens")
+    # repeated rows may be read by different tasks, and two writers may append at once: a digest has one count
+    fresh = wanted.mapInPandas(encode, "tokenizer string, digest string, n_tokens long").groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh.write.mode("append").parquet(cache)
+    every = read_cache(spark, cache).where(F.col("tokenizer") == kind).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(every, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

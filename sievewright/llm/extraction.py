@@ -2,14 +2,15 @@
 
 A page is a stream of tags (with their class) and texts. Streams of one host are aligned one after another with the
 host's wrapper. Adjoining equal runs become a repeated group, what only one side has becomes an optional group, and
-texts that differ become a slot; texts that stay alike on every page are part of the template. Each worker
+texts that differ become a slot. Each item counts its texts by pages. Each worker
 infers a wrapper per host from all pages it reads, and partial wrappers, being streams themselves, are aligned with one
 another, so a host with a third of all pages needs no task that sees them all.
 
-Reading a page, its texts are slots or template texts of its host's wrapper. Slots are judged by their place: inside navigation,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers there is no main text; where the host marks
-an article or a main part, only slots in it count; elsewhere slots that hold mostly links on that host don't. A template text
-seen on at least ``TEMPLATE_PAGES`` pages is left out, unless an article holds it. A page whose shape no wrapper has is judged by the same places.
+Reading a page, its stream is aligned with its host's wrapper, so that each text stands in an item of it or in none. A text that stands
+on all of the host's pages, ``TEMPLATE_PAGES`` at least, and in this item, is template and left out, inside articles too; all others fill slots.
+Slots are judged by their place: inside navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
+readers there is no main text; where the page marks an article or a main part, only slots in it count; elsewhere slots that hold mostly
+links on that host don't. Texts that no item has are judged by the same places, and so is a page that would be all template, as copies are.
 
 Defined results: null or empty html gives an empty text; a page cut off in the middle is read up to there (an unfinished tag is
 dropped); a null or odd url is a host of its own; repeated rows each get a row; an empty table gives an empty result; extra
@@ -23,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out
 
-#: A text that is alike on all pages is template from so many pages on.
+#: A text that all pages have is template from so many pages on.
 TEMPLATE_PAGES = 20
+#: Counted texts of an item and of a host: counts are short by at most the texts met over this number.
+TEXTS, HOST_TEXTS = 64, 2000
+#: Items that fewer of the host's pages have are not aligned when reading: no template text can stand in them.
+READ_SHARE = 0.05
+#: Pages from which a partial wrapper is inferred, at most.
+PART_PAGES = 20_000
 #: Share of a slot's characters inside links from which on it is a menu.
 LINKS = 0.6
 #: Items of a wrapper that alignment still extends; shapes beyond are judged by place alone, with equal results for marked pages.
@@ -114,11 +122,27 @@ def stream(page: str) -> list[tuple[str, str, Element]]:
     return out
 
 
-# Wrappers: lists of [sign, text or None, optional, pages]; a repeated group is one item whose sign is "+(...)".
+# Wrappers: lists of [sign, texts with their pages, optional, pages]; a repeated group is one item whose sign is "+(...)".
 
 
-def collapsed(items: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
-    """(sign, text) of a stream with adjoining equal runs of up to RUN signs as one repeated group each, shortest runs first."""
+def mark(text: str) -> str:
+    """What stands for a text in a wrapper: itself, or its start and a digest."""
+    return text if len(text) <= 40 else f"{text[:23]}~{blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
+def counted(into: dict[str, int], more: dict[str, int], most: int) -> None:
+    """Adds counts; beyond twice ``most`` texts all lose the count of the next after the ``most`` highest."""
+    for text, n in more.items():
+        into[text] = into.get(text, 0) + n
+    if len(into) > 2 * most:
+        less = sorted(into.values(), reverse=True)[most]
+        kept = {text: n - less for text, n in into.items() if n > less}
+        into.clear()
+        into.update(kept)
+
+
+def collapsed(items: list[tuple[str, tuple]]) -> list[tuple[str, tuple]]:
+    """(sign, texts) of a stream with adjoining equal runs of up to RUN signs as one repeated group each, shortest runs first."""
     for size in range(1, RUN + 1):
         signs = [sign for sign, _ in items]
         i, out = 0, []
@@ -128,7 +152,7 @@ def collapsed(items: list[tuple[str, str | None]]) -> list[tuple[str, str | None
             while len(run) == size and signs[j : j + size] == run:
                 j += size
             if j > i + size and any(run):
-                out.append((f"+({' '.join(x or '#' for x in run)})", None))
+                out.append((f"+({' '.join(x or '#' for x in run)})", tuple(x for _, texts in items[i:j] for x in texts)))
                 i = j
             else:
                 out.append(items[i])
@@ -145,7 +169,8 @@ def aligned(wrapper: list[list], other: list[list]) -> list[list]:
     for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":
             for x, y in zip(wrapper[i:j], other[k:m], strict=True):
-                out.append([max(x[0], y[0], key=len), x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] + y[3]])
+                counted(x[1], y[1], TEXTS)
+                out.append([max(x[0], y[0], key=len), x[1], x[2] or y[2], x[3] + y[3]])
         else:
             out.extend([x[0], x[1], True, x[3]] for x in wrapper[i:j])
             if len(wrapper) < ITEMS:
@@ -155,19 +180,24 @@ def aligned(wrapper: list[list], other: list[list]) -> list[list]:
 
 def expression(wrapper: list[list]) -> str:
     """The wrapper as a union-free regular expression over tags, with ``#`` for a slot."""
-    return " ".join((x[0] or ("#" if x[1] is None else repr(x[1]))) + "?" * x[2] for x in wrapper)
+    return " ".join((x[0] or (repr(next(iter(x[1]))) if list(x[1].values()) == [x[3]] else "#")) + "?" * x[2] for x in wrapper)
+
+
+def flat(sign: str) -> list[str]:
+    """The tokens of an item, those of a group once."""
+    return [part.replace("+(", "").replace(")", "") for part in sign.split(" ")] if sign else ["#"]
 
 
 class Host:
-    """What is known of one host: its wrapper, and per place of a text the characters inside and outside links."""
+    """What is known of one host: its wrapper, its pages, the pages of its texts, and per place of a text the characters inside and outside links."""
 
-    def __init__(self, wrapper: list[list] | None = None, places: dict | None = None):
-        self.wrapper, self.places, self.shapes = wrapper, places or {}, {}
+    def __init__(self, wrapper: list[list] | None = None, places: dict | None = None, pages: int = 0, texts: dict | None = None):
+        self.wrapper, self.places, self.pages, self.texts, self.shapes = wrapper, places or {}, pages, texts or {}, {}
 
     def learn(self, tokens: list[tuple[str, str, Element]]) -> None:
         if not tokens:  # an empty page has no shape
             return
-        items: list[tuple[str, str | None]] = []
+        items: list[tuple[str, tuple]] = []
         for sign, text, element in tokens:
             if not sign:
                 text = _space.sub(" ", text).strip()
@@ -176,17 +206,21 @@ class Host:
                 if element.main == 0 and not element.out:
                     place = self.places.setdefault(element.path, [0, 0])
                     place[element.link] += len(text)
-            items.append((sign, text or None))
-        page = [[sign, text, False, 1] for sign, text in collapsed(items)]
+                items.append(("", (mark(text),)))
+            else:
+                items.append((sign, ()))
+        self.pages += 1
+        counted(self.texts, dict.fromkeys((x for _, texts in items for x in texts), 1), HOST_TEXTS)
+        page = [[sign, dict.fromkeys(texts, 1), False, 1] for sign, texts in collapsed(items)]
         key = " ".join(x[0] or "#" for x in page)
         known = self.shapes.get(key)
-        if known is None:  # a new shape is aligned later; the same shape again only turns texts into slots
+        if known is None:  # a new shape is aligned later; the same shape again only adds to its counts
             self.shapes[key] = page
         else:
             for x, y in zip(known, page, strict=True):
                 x[3] += 1
-                if x[1] != y[1]:
-                    x[1] = None
+                if y[1]:
+                    counted(x[1], y[1], TEXTS)
 
     def done(self) -> Host:
         for page in self.shapes.values():
@@ -196,23 +230,79 @@ class Host:
 
     def merge(self, other: Host) -> None:
         self.wrapper = aligned(self.wrapper, other.wrapper) if self.wrapper and other.wrapper else self.wrapper or other.wrapper
+        self.pages += other.pages
+        counted(self.texts, other.texts, HOST_TEXTS)
         for path, (plain, link) in other.places.items():
             place = self.places.setdefault(path, [0, 0])
             place[0] += plain
             place[1] += link
 
     def templates(self) -> set[str]:
-        return {x[1] for x in self.wrapper or [] if x[1] is not None and not x[2] and x[3] >= TEMPLATE_PAGES}
+        return {text for text, n in self.texts.items() if n >= max(TEMPLATE_PAGES, self.pages)}
+
+    def reading(self) -> list[list]:
+        """(sign, template texts) of the items that pages are aligned with."""
+        known = self.templates()
+        return [[x[0], sorted(known.intersection(x[1]))] for x in self.wrapper or [] if x[3] >= READ_SHARE * self.pages] if known else []
 
     def menus(self) -> set[str]:
         return {path for path, (plain, link) in self.places.items() if link > LINKS * (plain + link)}
 
 
-def main_text(page: str | None, templates: frozenset | set = frozenset(), menus: frozenset | set = frozenset()) -> str:
+class Reader:
+    """A host's wrapper, for telling its template texts from what fills its slots; pages of one shape are aligned once."""
+
+    def __init__(self, wrapper: list[list]):
+        self.known = frozenset(text for _, texts in wrapper for text in texts)
+        self.tokens, self.texts = [], []
+        for sign, texts in wrapper:
+            own = frozenset(texts)
+            for token in flat(sign):
+                self.tokens.append(texts[0] if not sign and texts else token)
+                self.texts.append(own)
+        self.shapes: dict[tuple, list] = {}
+
+    def template(self, tokens: list[tuple[str, str, Element]]) -> set[int]:
+        """The places in a page's stream that hold template texts."""
+        if not self.known:
+            return set()
+        items: list[tuple[str, tuple]] = []
+        for at, (sign, text, _) in enumerate(tokens):
+            text = "" if sign else _space.sub(" ", text).strip()
+            if sign or text:
+                items.append((sign, () if sign else ((at, mark(text)),)))
+        if not any(own in self.known for _, texts in items for _, own in texts):
+            return set()
+        page = collapsed(items)
+        single = [texts[0][1] if not sign and texts[0][1] in self.known else None for sign, texts in page]
+        shape = tuple(s or x[0] for s, x in zip(single, page, strict=True))
+        found = self.shapes.get(shape)
+        if found is None:
+            own = [(i, token) for i, (sign, _) in enumerate(page) for token in ([single[i]] if single[i] else flat(sign))]
+            found = [frozenset()] * len(page)
+            for i, j, n in SequenceMatcher(None, self.tokens, [token for _, token in own], autojunk=False).get_matching_blocks():
+                for k in range(n):
+                    found[own[j + k][0]] |= self.texts[i + k]
+            if len(self.shapes) >= 1000:
+                self.shapes.clear()
+            self.shapes[shape] = found
+        return {at for (_, texts), own in zip(page, found, strict=True) for at, text in texts if text in own}
+
+
+NO_WRAPPER = Reader([])
+
+
+def main_text(page: str | None, reader: Reader = NO_WRAPPER, menus: frozenset | set = frozenset()) -> str:
     """The blocks of the main text, in page order, joined by an empty line."""
     if not page:
         return ""
     tokens = stream(page)
+    template = reader.template(tokens)
+    return placed(tokens, template, menus) or (placed(tokens, set(), menus) if template else "")
+
+
+def placed(tokens: list[tuple[str, str, Element]], template: set[int], menus: frozenset | set) -> str:
+    """The texts of a stream that stand in places of main text and are not template."""
     marked = max((e.main for sign, text, e in tokens if not sign and not e.out and text.strip()), default=0)
     blocks, now = [], []
 
@@ -222,9 +312,9 @@ def main_text(page: str | None, templates: frozenset | set = frozenset(), menus:
             blocks.append(block)
         now.clear()
 
-    for sign, text, element in tokens:
+    for at, (sign, text, element) in enumerate(tokens):
         if not sign:
-            if element.out or element.main < marked or (marked == 0 and element.path in menus) or (marked < 2 and templates and _space.sub(" ", text).strip() in templates):
+            if element.out or element.main < marked or at in template or (marked == 0 and element.path in menus):
                 continue
             now.append(text)
         else:
@@ -242,40 +332,48 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, templates and menus (JSON): inferred from every page."""
+    """host, reading (JSON), menus and expression: inferred from every page."""
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hosts: dict[str, Host] = {}
+        n = 0
         for batch in batches:
             for name, page in zip(batch["host"], batch["html"], strict=True):
                 hosts.setdefault(name, Host()).learn(stream(page or ""))
-            if len(hosts) > 20_000:  # partial wrappers may be given at any time
+            n += len(batch)
+            if n >= PART_PAGES:  # partial wrappers may be given at any time
                 yield told(hosts)
-                hosts = {}
+                hosts, n = {}, 0
         yield told(hosts)
 
     def told(hosts: dict[str, Host]) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(hosts), "known": [json.dumps([h.done().wrapper, h.places]) for h in hosts.values()]}, dtype=object)
+        return pd.DataFrame({"host": list(hosts), "known": [json.dumps([h.done().wrapper, h.places, h.pages, h.texts]) for h in hosts.values()]}, dtype=object)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         whole = Host()
         for known in sorted(group["known"]):
             whole.merge(Host(*json.loads(known)))
-        return pd.DataFrame({"host": group["host"].iloc[:1], "known": [json.dumps([whole.wrapper, whole.places])], "templates": [sorted(whole.templates())], "menus": [sorted(whole.menus())], "expression": [expression(whole.wrapper or [])]})
+        return pd.DataFrame({"host": group["host"].iloc[:1], "reading": [json.dumps(whole.reading())], "menus": [sorted(whole.menus())], "expression": [expression(whole.wrapper or [])]})
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(infer, "host string, known string")
-    return parts.groupBy("host").applyInPandas(merged, "host string, known string, templates array<string>, menus array<string>, expression string")
+    return parts.groupBy("host").applyInPandas(merged, "host string, reading string, menus array<string>, expression string")
 
 
 def extract(pages: DataFrame, stages) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
-    known = stages.keep(wrappers(pages).select("host", "templates", "menus"), "wrappers")
+    known = stages.keep(wrappers(pages).select("host", "reading", "menus"), "wrappers")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        readers: dict[str, Reader] = {}
         for batch in batches:
-            texts = [main_text(page, frozenset(t) if t is not None else frozenset(), frozenset(m) if m is not None else frozenset()) for page, t, m in zip(batch["html"], batch["templates"], batch["menus"], strict=True)]
+            if len(readers) > 1000:
+                readers = {}
+            for known in batch["reading"].dropna().unique():
+                if known not in readers:
+                    readers[known] = Reader(json.loads(known))
+            texts = [main_text(page, readers.get(w, NO_WRAPPER), frozenset(m) if m is not None else frozenset()) for page, w, m in zip(batch["html"], batch["reading"], batch["menus"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], dtype=np.int64)})
 
-    rows = pages.select(id_in("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "templates", "menus")
+    rows = pages.select(id_in("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "reading", "menus")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(read, "page_id long, url string, text string, n_chars long").withColumn("page_id", id_out("page_id").cast(kind))

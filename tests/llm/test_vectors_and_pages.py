@@ -66,3 +66,14 @@ def test_wrappers_and_extraction(spark):
     shape = {r["host"]: r["expression"] for r in extraction.wrappers(pages).collect()}["a.example"]
     assert "+(p # /p)" in shape
     assert extraction.extract(pages.limit(0), Stages(spark)).count() == 0
+
+
+def test_template_texts_in_articles(spark):
+    tip = "".join(f"<p class=tip>Tip {j} of this site</p>" for j in range(3))
+    rows = [(i, "https://a.example/x", page(i, f"<article><h1>Title {i}</h1><div class=box><span>Read in our app</span></div>{''.join(f'<p>text {i} {j}</p>' for j in range(1 + i % 4))}<ul>{tip}</ul></article>"), "") for i in range(40)]
+    rows += [(300 + i, "https://copies.example/x", page(0, "<article>one text</article>"), "") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    for parts in (1, 4):
+        got = {r["page_id"]: r["text"] for r in extraction.extract(pages.repartition(parts), Stages(spark)).collect()}
+        assert all(got[i] == "\n\n".join([f"Title {i}", *(f"text {i} {j}" for j in range(1 + i % 4))]) for i in range(40))
+        assert all(got[300 + i] == "one text" for i in range(30))

@@ -7,7 +7,7 @@ infers a wrapper per host from all pages it reads, and partial wrappers, being s
 another, so a host with a third of all pages needs no task that sees them all.
 
 Reading a page, its stream is aligned with its host's wrapper, so that each text stands in an item of it or in none. A text that stands
-on all of the host's pages, ``TEMPLATE_PAGES`` at least, and in this item, is template and left out, inside articles too; all others fill slots.
+on a share ``TEMPLATE_SHARE`` of the host's pages, and in this item, is template and left out, inside articles too; all others fill slots.
 Slots are judged by their place: inside navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
 readers there is no main text; where the page marks an article or a main part, only slots in it count; elsewhere slots that hold mostly
 links on that host don't. Texts that no item has are judged by the same places, and so is a page that would be all template, as copies are.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out
 
-#: A text that all pages have is template from so many pages on.
-TEMPLATE_PAGES = 20
+#: Share of a host's pages from which on a text is template, and the pages that must have it: two alike may be a page and its copy.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 #: Counted texts of an item and of a host: counts are short by at most the texts met over this number.
 TEXTS, HOST_TEXTS = 64, 2000
 #: Items that fewer of the host's pages have are not aligned when reading: no template text can stand in them.
@@ -238,7 +238,7 @@ class Host:
             place[1] += link
 
     def templates(self) -> set[str]:
-        return {text for text, n in self.texts.items() if n >= max(TEMPLATE_PAGES, self.pages)}
+        return {text for text, n in self.texts.items() if n >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * self.pages)}
 
     def reading(self) -> list[list]:
         """(sign, template texts) of the items that pages are aligned with."""

@@ -77,3 +77,14 @@ def test_template_texts_in_articles(spark):
         got = {r["page_id"]: r["text"] for r in extraction.extract(pages.repartition(parts), Stages(spark)).collect()}
         assert all(got[i] == "\n\n".join([f"Title {i}", *(f"text {i} {j}" for j in range(1 + i % 4))]) for i in range(40))
         assert all(got[300 + i] == "one text" for i in range(30))
+
+
+def test_template_texts_by_their_share_of_a_host(spark):
+    rows = [(i, f"https://{host}.example/x", page(i, f"<div class=box><p>Same words here</p></div><div><p>text {i}</p></div>"), "") for host, ids in (("few", range(6)), ("many", range(10, 50))) for i in ids]
+    rows += [(100, "https://many.example/cut", "<html><head><title>t</title></head><body><div class=top><p>Cut", ""), (101, "https://few.example/odd", page(1, "<div><p>odd one</p></div>"), "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    for parts in (1, 4):
+        got = {r["page_id"]: r["text"] for r in extraction.extract(pages.repartition(parts), Stages(spark)).collect()}
+        assert all(got[i] == f"text {i}" for i in (*range(6), *range(10, 50)))
+        assert got[100] == "Cut"
+        assert got[101] == "odd one"

@@ -1,6 +1,7 @@
 """Secret scans: candidate words, and a random forest that tells secrets from look-alikes.
 
-A candidate is a word with ten or more token characters that holds a digit, or that starts like a known key.
+A candidate is a word in which, or with the words before it, a built-in rule matches (``operators.rules.BUILTIN``), or one with ten or
+more token characters that holds a digit, or that starts like a known key. A PEM block counts as one word.
 Its features are length, transitions between characters, coverage by a dictionary, shares of character
 classes, the path, and the words around it. The forest is trained on labelled findings (at most
 ``LABELLED`` rows) and read out into plain arrays; scoring walks those arrays inside a DataFrame expression,
@@ -21,7 +22,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, words
+from ..operators.rules import BUILTIN, prefilter
+from .common import SPACES, Stages, words
 
 #: Labelled findings that a forest is trained on, at most.
 LABELLED = 8000
@@ -36,25 +38,70 @@ TEST_PATH = "(?i)(?:test|example|sample|fixture|mock|docs?/|demo)"
 #: Common words of names, hosts and placeholders, longest first.
 DICTIONARY = "placeholder|password|example|service|release|version|invoice|sample|secret|change|number|server|domain|client|public|string|update|config|github|https|order|token|local|admin|guest|login|value|build|image|index|param|media|video|mail|user|name|host|test|data|file|date|time|http|demo|your|here|page|blog|html|json|port|com|org|net|www|key|the|and|dev|api|app|img|src|log|ref|xxx"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ch|ei|ie|la|el|qu|ue|os|do"
-FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known")
+FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known", "ruled", "assigned")
+
+
+#: The built-in rules by where they match: a PEM block; a value assigned to a name or after a header's scheme, maybe some words before; inside a word.
+RULES = {rule.rule_id: rule for rule in BUILTIN}
+BLOCK = RULES["private_key_block"].regex
+ASSIGNED = tuple(RULES[name] for name in ("generic_password_assignment", "generic_secret_assignment", "generic_api_key_assignment"))
+HEADERS = tuple(RULES[name] for name in ("basic_auth_header", "bearer_token_generic"))
+#: Forty characters that are a key only by the words around hold three digits, so they are candidates without a rule.
+INSIDE = "|".join(f"(?:{rule.regex})" for rule in BUILTIN if rule not in (*ASSIGNED, *HEADERS, RULES["private_key_block"], RULES["aws_secret_access_key"]))
+#: Words, with a PEM block as one.
+PARTS = f"{BLOCK}|(?:(?!-----BEGIN ){SPACES[:1]}^{SPACES[1:-1]})++|-----BEGIN "
+
+
+def inside(word: Column) -> Column:
+    """What rules match inside a word, from the first match to the last; a PEM block as it is; empty if none does."""
+    return F.when(word.startswith("-----BEGIN "), F.regexp_extract(word, BLOCK, 0)).otherwise(F.regexp_extract(word, f"(?:{INSIDE})(?:.*(?:{INSIDE}))?", 0))
+
+
+def assigned(before: Column, word: Column) -> Column:
+    """The value in a word that a rule finds assigned to a name, there or before it; empty if there is none."""
+    near = F.concat_ws(" ", before, word)
+    values = (F.regexp_extract(near, f"(?U){rule.regex}\\S*$", rule.capture_group) for rule in ASSIGNED)
+    return F.coalesce(*(F.when(value.rlike("[0-9]"), value) for value in values), F.lit(""))
+
+
+def announced(before: Column, word: Column) -> Column:
+    """The value in a word that follows a header's scheme; empty if there is none."""
+    near = F.concat_ws(" ", before, word)
+    values = (F.regexp_extract(near, f"(?U){rule.regex.replace('s+', 's+(', 1)})\\S*$", 1) for rule in HEADERS)
+    return F.coalesce(*(F.when(value != "", value) for value in values), F.lit(""))
 
 
 def candidates(text: Column) -> Column:
     """array<struct<position, word, before, after>>: candidate words with their 0-based places and neighbours."""
     could = text.rlike("[0-9]|[A-Z]{16}")
+    side = lambda all_words, start, n: F.array_join(F.slice(all_words, start, n), " ")
+    earlier = lambda all_words, i: side(all_words, F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)))
 
-    def near(all_words: Column) -> Column:
+    def near(all_words: Column, rules: bool) -> Column:
         marked = F.transform(all_words, lambda w, i: F.struct(i.alias("position"), w.alias("word")))
-        kept = F.filter(marked, lambda m: m["word"].rlike("[A-Za-z0-9+/_=.~@:-]{10,}") & (m["word"].rlike("[0-9]") | m["word"].rlike(f"{KNOWN}[A-Za-z0-9_-]{{12,}}")))
-        side = lambda start, n: F.array_join(F.slice(all_words, start, n), " ")
-        return F.transform(kept, lambda m: F.struct(
+
+        def wanted(m: Column) -> Column:
+            word, before = m["word"], earlier(all_words, m["position"])
+            own = word.rlike("[A-Za-z0-9+/_=.~@:-]{10,}") & (word.rlike("[0-9]") | word.rlike(f"{KNOWN}[A-Za-z0-9_-]{{12,}}"))
+            return own | ((F.length(word) >= 8) & ((inside(word) != "") | (assigned(before, word) != "") | (announced(before, word) != ""))) if rules else own
+
+        return F.transform(F.filter(marked, wanted), lambda m: F.struct(
             m["position"].alias("position"), m["word"].alias("word"),
-            side(F.greatest(m["position"] - AROUND, F.lit(0)) + 1, F.least(m["position"], F.lit(AROUND))).alias("before"),
-            side(m["position"] + 2, F.lit(AROUND)).alias("after"),
+            earlier(all_words, m["position"]).alias("before"),
+            side(all_words, m["position"] + 2, F.lit(AROUND)).alias("after"),
         ))
 
-    found = F.get(F.transform(F.array(words(text)), near), F.lit(0))
-    return F.when(could, found).otherwise(F.slice(near(F.array().cast("array<string>")), 1, 1))
+    found = lambda all_words, rules: F.get(F.transform(F.array(all_words), lambda w: near(w, rules)), F.lit(0))
+    parts = F.when(text.contains("-----END ") & text.rlike(BLOCK), F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))).otherwise(words(text))
+    none = F.slice(near(F.array().cast("array<string>"), False), 1, 1)
+    return F.when(text.rlike(prefilter(list(BUILTIN))), found(parts, True)).when(could, found(words(text), False)).otherwise(none)
+
+
+def value_in(c: Column) -> Column:
+    """The value of a candidate: what the rules match, or the word without what stands around a value."""
+    rule, own = inside(c["word"]), F.greatest(assigned(c["before"], c["word"]), announced(c["before"], c["word"]))
+    both = F.when(own.contains(rule), own).when(rule.contains(own), rule).otherwise(c["word"])  # an empty one is in every other
+    return F.when((rule == "") & (own == ""), value_of(c["word"])).otherwise(both)
 
 
 def value_of(word: Column) -> Column:
@@ -69,7 +116,11 @@ def name_of(word: Column) -> Column:
 
 def features(c: Column, path: Column) -> Column:
     """The features of one candidate struct as array<double>, in the order of FEATURES."""
-    value, before = value_of(c["word"]), F.concat_ws(" ", c["before"], name_of(c["word"]))
+    return F.get(F.transform(F.array(value_in(c)), lambda value: _features(c, value, path)), F.lit(0))
+
+
+def _features(c: Column, value: Column, path: Column) -> Column:
+    before = F.concat_ws(" ", c["before"], name_of(c["word"]))
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     count = lambda pattern: F.coalesce(F.regexp_count(value, F.lit(pattern)), F.lit(0))
     flag = lambda test: F.when(test, 1.0).otherwise(0.0)
@@ -90,6 +141,8 @@ def features(c: Column, path: Column) -> Column:
         flag(before.rlike(KEYWORDS)),
         flag(before.rlike(BENIGN) | c["after"].rlike(BENIGN)),
         flag(value.rlike(f"^{KNOWN}")),
+        flag((inside(c["word"]) != "") | (announced(c["before"], c["word"]) != "")),
+        flag(assigned(c["before"], c["word"]) != ""),
     )
 
 
@@ -204,7 +257,7 @@ def findings(docs: DataFrame, trees: tuple, path: Column | None = None) -> DataF
     found = docs.withColumn("_candidates", candidates(F.coalesce(F.col("text"), F.lit(""))))
 
     def judged(c: Column) -> Column:
-        value = value_of(c["word"])
+        value = value_in(c)
         return F.struct(c["position"].cast("long").alias("position"), value.alias("value"), F.round(chance(features(c, path), trees), 6).alias("score"))
 
     judged_all = F.transform("_candidates", judged)

@@ -22,6 +22,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import AWS_PREFIXES
 from ..operators.rules import BUILTIN, prefilter
 from .common import SPACES, Stages, words
 
@@ -164,17 +165,42 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     upper = F.translate(F.upper(part(h, 1, 16)), "0189", "GHIJ")
     name = pick(6, "password", "passwd", "token", "secret", "api_key", "client_secret", "access_key", "db_password", "auth_token")
     quote = pick(7, "\"", "'", "")
+    strong = F.concat(part(alnum, 1, 3), pick(22, "$", "!", "@", "#", "%"), part(alnum, 4, 2), pick(23, "$$", "!", "&", "*", "^", "?"), number(1, 2), pick(24, "", part(h, 5, 2), part(alnum, 10, 6), F.lit("!")))
+    short = pick(25, part(h, 1, 8), F.concat(part(alnum, 1, 6), number(1, 2)), F.concat(part(alnum, 1, 7), number(1, 2)), strong)
+    long = F.translate(F.concat(F.base64(F.unhex(g)), b64, F.base64(F.unhex(F.sha2(g, 256)))), "+/=", "")
+    dotted = F.concat(part(long, 1, 20), pick(26, "-", "_", "x"), part(long, 21, 15))
+    block = pick(37, "RSA ", "EC ", "DSA ", "OPENSSH ", "PGP ", "")
+    mark = pick(27, "=", ":", " = ", ": ")
+    key = pick(28, "password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "client_secret", "Password", "API_KEY")
+    user = pick(29, "svc", "app", "root", "admin", "db_user", "u1", "")
+    store = pick(30, "postgres", "postgresql", "mysql", "mongodb", "mongodb+srv", "redis", "mssql", "amqp", "elasticsearch")
+    place = pick(31, "db/app", "db.internal:5432/main", "10.0.0.7:6379/0", "localhost/data", "cache01", "mq.corp.net/v")
+    hidden = pick(32, hexes, part(long, 1, 12), short, F.concat(part(long, 1, 5), F.lit("pw"), number(1, 2)))
+    secret_part = F.translate(hidden, "@:/", "xyz")
     item = lambda word, before, after: F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
     positive = pick(
         8,
         item(F.concat(name, F.lit("="), quote, body, quote), prose, later),
         item(F.concat(quote, body, quote), F.concat_ws(" ", prose, name, F.lit("=")), later),
         item(F.concat(quote, body, quote), F.concat_ws(" ", prose, F.concat(name, F.lit(":"))), later),
-        item(F.concat(pick(9, "AKIA", "ASIA"), upper), prose, later),
-        item(F.concat(pick(10, "ghp_", "gho_", "npm_"), part(F.concat(alnum, h), 1, 36)), prose, later),
+        item(F.concat(pick(9, *AWS_PREFIXES), upper), prose, later),
+        item(part(F.concat(b64, g), 1, 40), F.concat_ws(" ", prose, pick(33, "aws_secret_access_key =", "aws_secret:", "aws secret", "secret access key")), later),
+        item(F.concat(pick(10, "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), part(F.concat(alnum, h), 1, 36)), prose, later),
+        item(F.concat(F.lit("github_pat_"), part(long, 1, 22), F.lit("_"), part(F.concat(long, h), 23, 59)), prose, later),
         item(F.concat(F.lit("glpat-"), part(alnum, 1, 20)), prose, later),
-        item(F.concat(F.lit("sk_live_"), part(alnum, 1, 24)), prose, later),
-        item(F.concat(F.lit("xoxb-"), number(1, 11), F.lit("-"), part(alnum, 1, 24)), prose, later),
+        item(F.concat(pick(34, "sk_live_", "sk_test_", "rk_live_", "rk_test_"), part(long, 1, 24)), prose, later),
+        item(F.concat(pick(35, "xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), number(1, 11), F.lit("-"), part(alnum, 1, 24)), prose, later),
+        item(F.concat(F.lit("AIza"), dotted), prose, later),
+        item(F.concat(F.lit("eyJ"), part(long, 1, 24), F.lit(".eyJ"), part(long, 25, 30), F.lit("."), part(F.concat(long, h), 55, 43)), prose, later),
+        item(F.concat(number(1, 9), F.lit(":"), dotted), prose, later),
+        item(F.concat(F.lit("SG."), part(long, 1, 22), F.lit("."), part(long, 23, 43)), prose, later),
+        item(F.concat(F.lit("jdbc:"), store, F.lit("://"), F.concat(F.lit("u"), user), F.lit(":"), secret_part, F.lit("@"), place), prose, later),
+        item(F.concat(pick(36, "", "url=", "DATABASE_URL="), store, F.lit("://"), user, F.lit(":"), secret_part, F.lit("@"), place), prose, later),
+        item(F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), block, F.lit("PRIVATE KEY-----")), F.concat(b64, long), F.concat(long, b64), F.concat(F.lit("-----END "), block, F.lit("PRIVATE KEY-----"))), prose, later),
+        item(F.concat(key, F.regexp_replace(mark, " ", ""), quote, short, quote), prose, later),
+        item(F.concat(quote, short, quote), F.concat_ws(" ", prose, F.concat(key, F.regexp_replace(mark, " $", ""))), later),
+        item(F.base64(F.concat(user, F.lit(":"), short).cast("binary")), F.concat_ws(" ", prose, F.lit("Authorization: Basic")), later),
+        item(part(long, 1, 32), F.concat_ws(" ", prose, F.lit("Authorization: Basic")), later),
         item(body, F.concat_ws(" ", prose, F.lit("Authorization: Bearer")), later),
     )
     folk = F.translate(part(g, 1, 8), "0123456789", "aeionrstlm")
@@ -195,6 +221,8 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         item(F.concat(F.lit("version-"), number(1, 1), F.lit("."), number(2, 2), F.lit("."), number(4, 3), F.lit("-release")), prose, later),
         item(F.concat(folk, number(1, 4)), prose, later),
         item(F.concat(name, F.lit("="), quote, hexes, quote), F.lit("for example the dummy"), F.lit("as a sample")),
+        item(pick(38, "changeme1", "placeholder1", "your_key_1", "yourpassword1", "xxxxxxxx1", "example_123"), F.concat_ws(" ", prose, F.concat(key, F.lit(":"))), later),
+        item(F.concat(store, F.lit("://"), pick(39, folk, F.concat(folk, number(1, 1))), pick(40, ".example.com/app", ":5432/data", ".internal:6379/0")), prose, later),
     )
     secret = dice(0, 2) == 1
     path = F.when(~secret & (dice(19, 3) == 0), pick(20, "tests/fixtures/data", "docs/example", "mock/sample")).otherwise(pick(21, "src0", "src12", "config/app", "DOC", "issue/description", ""))

@@ -74,7 +74,7 @@ def announced(before: Column, word: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<position, word, before, after>>: candidate words with their 0-based places and neighbours."""
-    could = text.rlike("[0-9]|[A-Z]{16}")
+    could = text.rlike(f"[0-9]|[A-Z]{{16}}|{KNOWN}[A-Za-z0-9_-]{{12}}")
     side = lambda all_words, start, n: F.array_join(F.slice(all_words, start, n), " ")
     earlier = lambda all_words, i: side(all_words, F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)))
 

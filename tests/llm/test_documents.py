@@ -277,6 +277,12 @@ def test_an_instance_of_each_rule_is_a_secret(spark):
     assert [t for i, t in enumerate(texts) if i not in found] == []
 
 
+def test_known_keys_of_letters_in_texts_without_digits(spark):
+    texts = ["here is glpat-abcDEFghiJKLmn for you", "here is AIzaabcDEFghiJKLmnop for you", "nothing to see"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text")
+    assert [len(r["c"]) for r in docs.select("doc_id", secrets.candidates(F.col("text")).alias("c")).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_packing(spark, docs, rows, no_docs):
     ids = tokens.ByteIds(tokenizer("byte_bpe_50k.json"))
     got = [r.asDict() for r in packing.pack(docs, tokenizer("byte_bpe_50k.json"), Stages(spark), 256).collect()]

@@ -30,7 +30,7 @@ GAMMA, LEAST = 1.02, 1e-4
 GROUP_MIN = 200
 REACH = 3.0
 #: Metric: the least spread that counts as one between the quartiles.
-SPREADS = {"symbol_rate": 0.02, "dup_line_rate": 0.06, "repeat_rate": 0.07, "mean_word": 2.0}
+SPREADS = {"symbol_rate": 0.02, "dup_line_rate": 0.06, "repeat_rate": 0.04, "mean_word": 0.5}
 
 
 def _covered(hashes: Column) -> Column:
@@ -52,7 +52,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the columns to carry, and base_failed.
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, the columns to carry, and base_failed.
 
     Word windows are compared by 64-bit hashes of 64-bit word hashes within one document.
     """
@@ -64,20 +64,22 @@ def base_counts(docs: DataFrame, *carry: str) -> DataFrame:
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.size("_l").cast("long").alias("n_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     last = F.size("_h") - WINDOW
     windows = F.transform(F.slice("_h", F.lit(1), F.greatest(last + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get(F.col("_h"), i + k) for k in range(1, WINDOW))))
-    three = two.select("doc_id", "lang", "source", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", windows.alias("_win"))
+    three = two.select("doc_id", "lang", "source", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", windows.alias("_win"))
     four = three.select("*", _covered(F.col("_win")).cast("long").alias("n_repeat_words")).drop("_win")
     return four.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _metrics() -> dict[str, Column]:
+def _metrics(counts: DataFrame) -> dict[str, Column]:
+    lines = F.col("n_lines") if "n_lines" in counts.columns else F.col("n_words")  # counts made elsewhere may lack lines
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
         "symbol_rate": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_rate": F.col("n_dup_lines") / n,
+        "dup_line_rate": F.col("n_dup_lines") / F.greatest(lines, F.lit(1)),
         "repeat_rate": F.col("n_repeat_words") / n,
         "mean_word": F.col("word_chars") / n,
     }
@@ -86,7 +88,7 @@ def _metrics() -> dict[str, Column]:
 def sketch(counts: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): one mergeable histogram per group and metric, of documents that pass the base rule."""
     bucket = lambda x: F.when(x <= LEAST, F.lit(0)).otherwise(F.ceil(F.log(x / LEAST) / math.log(GAMMA)).cast("int"))
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(x).alias("bucket")) for m, x in _metrics().items()))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(x).alias("bucket")) for m, x in _metrics(counts).items()))
     return counts.where(~F.col("base_failed")).select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -129,7 +131,7 @@ def judge(counts: DataFrame) -> DataFrame:
     limits = thresholds(counts).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     passed = F.lit(True)
-    for name, x in _metrics().items():
+    for name, x in _metrics(counts).items():
         passed = passed & F.coalesce(x <= F.col(f"{name}_max"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & passed).drop("_lang", "_source")
 

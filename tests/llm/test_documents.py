@@ -84,6 +84,20 @@ def test_quality(spark, docs, rows, no_docs):
     assert passed.columns == docs.columns
     assert passed.count() == got.where("kept").count()
 
+def test_every_adaptive_rule_rejects(spark):
+    some = lambda i, n, size=3: [f"{'abcdefgh'[(i + j) % 8] * size}{i:04d}{j:03d}" for j in range(n)]
+    lined = lambda i, between="": "\n".join(" ".join(some(i, 100)[k : k + 10]) + between for k in range(0, 100, 10))
+    bad = {
+        "dup_line_rate": lined(1000, "\nso it goes on"),
+        "repeat_rate": " ".join([*some(1001, 100), *some(1001, 8)]),
+        "mean_word": " ".join(some(1002, 100, 8)),
+        "symbol_rate": " ".join(f"{w}##" for w in some(1003, 100)),
+    }
+    docs = spark.createDataFrame([(i, lined(i), "en", "a") for i in range(300)] + [(1000 + i, text, "en", "a") for i, text in enumerate(bad.values())], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(docs, Stages(spark)).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert [(got[1000 + i]["base_failed"], got[1000 + i]["kept"]) for i in range(4)] == [(False, False)] * 4
+
 
 def test_sketches_merge_and_bound_quantiles(spark):
     counts = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'en', 'de') lang", "cast(id % 7 as string) source", "100 n_words", "id + 1 word_chars", "0 n_symbols", "0 n_dup_lines", "0 n_repeat_words", "false base_failed").cache()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table  # noqa: F401  shared by the modules beside
@@ -33,19 +33,25 @@ def id_out(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
-#: Bits of a membership filter: a fixed 2 MB, whatever the number of rows.
-FILTER_BITS = 1 << 24
+#: Bits of a membership filter, sized by the keys it holds: never more than 16 MB, which is broadcast. Beyond some ten million
+#: keys it lets more and more rows through, and the join behind it does the rest.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 12
 
 
-def bitmaps(keys: Column, rows: DataFrame) -> DataFrame:
-    """(of, map): a bitmap over hashed keys in at most 512 rows of 4 KB, so that it can be broadcast."""
-    marks = rows.select(F.pmod(F.xxhash64(keys), F.lit(FILTER_BITS)).alias("bit"))
-    return marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+def filter_bits(keys: int) -> int:
+    """The bits of a membership filter for so many keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(keys, 1) - 1).bit_length()))
 
 
-def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``rows`` without most of those whose key is not among the wanted ones, and with all whose key is."""
-    tested = rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).join(F.broadcast(bitmaps(F.col(wanted_key), wanted)), F.bitmap_bucket_number("_bit") == F.col("of"))
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, keys: int) -> DataFrame:
+    """``rows`` without most of those whose key is not among the ``keys`` wanted ones, and with all whose key is.
+
+    The filter is a bitmap in rows of 4 KB, at most MOST_BITS / 32768 of them, so that it can be broadcast.
+    """
+    bits = filter_bits(keys)
+    marks = wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(bits)).alias("bit"))
+    bitmaps = marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    tested = rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(bits))).join(F.broadcast(bitmaps), F.bitmap_bucket_number("_bit") == F.col("of"))
     place = F.bitmap_bit_position("_bit").cast("int")
     byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return tested.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), place % 8 + 1)) != 0).drop("_bit", "of", "map")
@@ -61,7 +67,9 @@ def workdir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; where that is unset, one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="checkpoint-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoint-")  # a single machine, as in tests
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -92,6 +100,12 @@ class Stages:
         self.paths[id(back)] = path
         return back
 
+    def kept(self, frame: DataFrame, name: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+        """``keep``, with aggregates over the rows that the job which writes them also gives."""
+        seen = Observation()
+        back = self.keep(frame.observe(seen, *(value.alias(of) for of, value in measures.items())), name)
+        return back, seen.get
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             drop_path(self.spark, self.paths.pop(id(frame)))

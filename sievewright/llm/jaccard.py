@@ -4,24 +4,28 @@ Two sets of shingles with Jaccard similarity t or more share an element among th
 in any order common to all. The order used puts frequent shingles last, so that documents which merely share a
 passage seldom become candidates.
 
-* Documents with equal sets form one class; classes with equal size and prefix (and bitmap, see below) form one group. Only groups
-  are posted under their prefix elements; a worker posts a group once however many copies it reads.
-* Candidates pass a size filter, a position filter (the first shared element bounds the overlap) and a bitmap filter: every
-  element flips one of BITS bits, so two bitmaps differ in at most as many bits as the sets differ in elements.
-* First pass: every member of a group is held against the group's first class, and every group against the nearest of its
-  buckets' leaders. A bucket's leader is the group in which the bucket's element comes first: the one with the fewest rare elements,
-  so of a group of near copies the most typical. Components of those links stand for what is already connected.
-* Between the passes every group is held against the nearest group from another component in one of its buckets.
-* Second pass: within a bucket, groups outside its leader's component are held against all from other components with the same filters, then
-  expanded to classes and verified. Any link between components appears here, so none is lost; pairs inside a component, which
-  would grow with the square of a group of near copies, are never formed.
+* Documents with equal sets form one class; classes of equal size and prefix form one group. Only groups are posted under
+  their prefix elements; a worker posts a group once however many copies it reads.
+* Pairs of groups pass a size filter, a position filter (the first shared element bounds the overlap) and a bitmap filter: every
+  element flips one of BITS bits, so the bitmaps of two sets differ in at most as many bits as the sets differ in elements. A
+  group holds the bits that all its members have and those that any has; bits that all of one group and none of
+  the other have bound every pair of members from below.
+* First pass: every member of a group is held against the group's first class, every group's first class against that of the
+  nearest leader and of the nearest group just before it in one of its buckets (by position, size and id). A bucket's leader is
+  the group in which the bucket's element comes first: of a group of near copies the most typical. Components
+  of those links stand for what is already connected.
+* Second pass: the members of a group that lie in one component are a unit. In every bucket the units outside its main component
+  are paired with all units of other components, those of the same group included; pairs that pass the filters are
+  expanded to their members, which pass the bitmap filter again and are verified. Any link between components appears here, so none is
+  lost; pairs inside a component, which would grow with the square of a group of near copies, are never formed.
 
 How frequent shingles are is learned from all documents: chunks of documents report shingles that occur in several of
 them, those counts are added, and their logarithms are written into a table of LEVELS hashed cells, one byte each (a fixed bound). The
-table changes only the order, so what it says never changes the result. Buckets of frequent shingles are salted.
+table changes only the order, so what it says never changes the result. Buckets of frequent shingles are salted in the first pass; in the
+second, a bucket is on both sides of a plain inner join, which Spark splits where it is skewed.
 
-Shingles and sets are compared by 64-bit hashes when candidates are made; links are verified on the texts'
-shingles themselves.
+Sets and prefixes are told apart by 128-bit digests; shingles are compared by 64-bit hashes when candidates are made, and links are
+verified on the texts' shingles themselves.
 
 Defined results: null and empty texts have no shingles and stay alone; a text with fewer words than a shingle
 is one shingle; repeated rows each get a row; a null doc_id takes part and counts as no id (its component takes
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -82,9 +87,10 @@ def exact_shingles(words: list[bytes], k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def class_of(ordered: np.ndarray) -> int:
-    """The id of a set: a signed 64-bit digest."""
-    return int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(content: bytes, n: int = 0) -> tuple[int, int]:
+    """A 128-bit digest as two signed longs."""
+    raw = hashlib.blake2b(content, digest_size=16, salt=n.to_bytes(8, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -132,34 +138,39 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def profiles(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
-    """doc_id, row_key, n, class, group, bitmap, light and prefix of every document; the last three are null where a group was posted before."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+#: A set's bitmap as columns.
+MAP = [f"b{i}" for i in range(LONGS)]
+
+
+def profiles(docs: DataFrame, k: int, percent: int, table: Broadcast) -> DataFrame:
+    """doc_id, row_key, n, digests of set (d1, d2) and group (g1, g2), bitmap, light and prefix of every document.
+
+    A worker gives the bitmap of a set and the prefix of a group once; they are null where it gave them before.
+    """
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        posted: set[int] = set()
-        levels = shared.value
+        met: set[tuple[int, int]] = set()
+        levels, none = table.value, (None,) * LONGS
         for batch in batches:
             rows = []
             for doc, key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
                 own = shingles(shingle_words(text), k)
                 n = len(own)
                 if not n:
-                    rows.append((doc, key, 0, None, None, None, None, None))
+                    rows.append((doc, key, 0, None, None, None, None, *none, None, None))
                     continue
                 level = levels[(own & np.uint64(LEVELS - 1)).astype(np.int64)]
                 first = np.lexsort((own, level))[: prefix_size(n, percent)]
                 prefix = own[first].view(np.int64)
-                # members of a group share size and prefix; the bitmap belongs to one of them, and so to the group only if all are alike
-                bits = bitmap(own)
-                group = int.from_bytes(hashlib.blake2b(prefix.tobytes() + bits.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
-                new = group not in posted
-                posted.add(group)
-                rows.append((doc, key, n, class_of(own), group, bits if new else None, int((level[first] < SALTED).sum()) if new else None, prefix if new else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "cls", "grp", "bits", "light", "prefix"], dtype=object)
-            yield out.astype({"doc_id": "int64", "row_key": "int64", "n": "int64", "cls": "Int64", "grp": "Int64", "light": "Int32"})
-
-    made = docs.select(id_in(), "row_key", "text").mapInPandas(profile, "doc_id long, row_key long, n long, cls long, grp long, bits array<long>, light int, prefix array<long>")
+                whole, group = digest(own.tobytes()), digest(prefix.tobytes(), n)
+                bits, posted = none if whole in met else bitmap(own).tolist(), group in met
+                met |= {whole, group}
+                rows.append((doc, key, n, *whole, *group, *bits, None if posted else int((level[first] < SALTED).sum()), None if posted else prefix))
+            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n", "d1", "d2", "g1", "g2", *MAP, "light", "prefix"], dtype=object)
+            yield out.astype({"doc_id": "int64", "row_key": "int64", "n": "int64", **dict.fromkeys(("d1", "d2", "g1", "g2", *MAP), "Int64"), "light": "Int32"})
+
+    longs = ", ".join(f"{c} long" for c in ("d1", "d2", "g1", "g2", *MAP))
+    made = docs.select(id_in(), "row_key", "text").mapInPandas(profile, f"doc_id long, row_key long, n long, {longs}, light int, prefix array<long>")
     return made.withColumn("doc_id", id_out())
 
 
@@ -180,81 +191,96 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(hold, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInPandas(hold, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; also row_key (a hash of id and text) and group (null without shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
-    own = stages.keep(profiles(docs, k, percent, frequencies(docs, k)), "profiles")
-    classes = stages.keep(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
-    groups = classes.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("members"))
-
-    # buckets with more than one group
-    parts = max(1, -(-own.count() // PART))
-    posted = own.where("prefix is not null").select(F.col("grp"), F.col("n").cast("int").alias("n"), "light", F.posexplode("prefix").alias("pos", "shingle"))
-    posted = posted.select("shingle", "grp", "n", "pos", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
-    bucket = W.partitionBy("shingle", "part")
-    shared = posted.withColumns({"leader": F.min(F.struct("pos", "grp", "n")).over(bucket), "least": F.min("grp").over(bucket), "last": F.max("grp").over(bucket)}).where("least <> last or (part > 0 and %d > 1)" % parts)
-    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", F.col("leader.grp").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
-    bits = stages.keep(own.where("bits is not null").groupBy("grp").agg(F.first("bits").alias("bits")).select("grp", F.struct(*(F.col("bits")[i].alias(f"b{i}") for i in range(LONGS))).alias("bits")), "bitmaps")
-    slim = stages.keep(own.drop("prefix", "light", "bits"), "rows")
-    stages.drop(own)
-
-    # first pass: groups against the nearest leader, members against their group's head
-    likely = shared.where((F.col("grp") != F.col("leader")) & _passes("n", "pos", "leader_n", "leader_pos", percent)).select("grp", "n", "leader", "leader_n").distinct()
-    likely = likely.join(bits.select("grp", F.col("bits").alias("x")), "grp").join(bits.select(F.col("grp").alias("leader"), F.col("bits").alias("y")), "leader").withColumn("differ", _differing("x", "y"))
-    best = likely.where(_close("n", "leader_n", "differ", percent)).groupBy("grp").agg(F.min_by("leader", F.struct("differ", "leader")).alias("leader"))
-    heads = groups.select("grp", "head")
-    stars = best.join(heads.toDF("grp", "b"), "grp").join(heads.toDF("leader", "a"), "leader").select("a", "b")
-    inner = classes.join(groups.where("members > 1").select("grp", "head"), "grp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    links = _linked(stars.unionByName(inner).distinct(), docs, classes, stages, k, percent)
-
-    # between the passes: each group in one of its buckets against the nearest from another component, so that components grow
-    member = _members(classes, links, stages)
-    near = _across(shared, member, bits, stages, percent, single=True)
-    best = near.groupBy("grp_x", "comp_x").agg(F.min_by(F.struct("grp_y", "comp_y"), F.struct("differ", "grp_y")).alias("y")).select("grp_x", "comp_x", "y.*")
-    links = links.unionByName(_linked(_pairs(best, member), docs, classes, stages, k, percent))
+    table = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # LEVELS bytes
+    own, counted = stages.kept(profiles(docs, k, percent, table), "profiles", {"n": F.count("*")})
+    table.destroy()
+
+    # classes get short ids, a group the id of its first class; the ids are fixed as they are written
+    firsts = [F.max(c).alias(c) for c in ("n", "g1", "g2", *MAP)]
+    sets = own.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("first_key"), *firsts)
+    sets = stages.keep(sets.withColumn("cls", F.monotonically_increasing_id()), "sets")
+    groups = sets.groupBy("g1", "g2").agg(F.min("cls").alias("grp"), F.count("*").alias("members"), *_bounds())
+    posts = own.where("prefix is not null").groupBy("g1", "g2").agg(F.max("n").cast("int").alias("n"), F.max("light").alias("light"), F.first("prefix").alias("prefix"))
+    groups = stages.keep(groups.join(posts, ["g1", "g2"]), "groups")
+    slim = stages.keep(own.select("doc_id", "row_key", "n", "d1", "d2"), "rows")
+    classes = stages.keep(sets.join(groups.select("g1", "g2", "grp"), ["g1", "g2"]).drop("g1", "g2"), "classes")
+    stages.drop(own, sets)
+
+    # buckets with more than one set
+    parts = max(1, -(-counted["n"] // PART))
+    posted = groups.select("grp", "n", "light", (F.col("members") > 1).alias("several"), F.posexplode("prefix").alias("pos", "shingle"))
+    posted = posted.select("shingle", "grp", "n", "pos", "several", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
+    bucket, here = W.partitionBy("shingle", "part").orderBy("pos", "n", "grp"), F.struct("grp", "n", "pos")
+    shared = posted.withColumns({"leader": F.first(here).over(bucket), "near": F.lag(here).over(bucket), "more": F.lead("grp").over(bucket)})
+    shared = shared.where("near is not null or more is not null or several or (part > 0 and %d > 1)" % parts)
+    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader", "near"), "buckets")
+
+    # first pass: groups against the nearest leader and the nearest group before, members against their group's first
+    other = shared.select("grp", "n", "pos", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("leader").alias("o")), F.struct(F.lit(1).alias("kind"), F.col("near").alias("o"))))).select("*", F.col("o.n").alias("o_n"), F.col("o.pos").alias("o_pos"))
+    likely = other.where((F.col("grp") != F.col("o.grp")) & _passes("n", "pos", "o_n", "o_pos", percent)).select("grp", "n", "kind", F.col("o.grp").alias("o"), "o_n").distinct()
+    bounds = groups.select("grp", *LOW, *HIGH)
+    likely = likely.join(bounds.hint("merge"), "grp").join(bounds.select(F.col("grp").alias("o"), *(F.col(c).alias(f"o_{c}") for c in (*LOW, *HIGH))).hint("merge"), "o")
+    likely = likely.withColumn("differ", _apart("", "o_")).where(_close("n", "o_n", F.col("differ"), percent))
+    best = likely.groupBy("grp", "kind").agg(F.min_by("o", F.struct("differ", "o")).alias("o"))
+    inner = classes.where("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
+    links = _linked(best.select(F.col("o").alias("a"), F.col("grp").alias("b")).union(inner).distinct(), docs, classes, stages, k, percent)
+    labels = components(links, stages)
+    placed = classes.join(labels.hint("merge").withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+    placed = stages.keep(placed, "placed")
+    stages.drop(links)
 
     # second pass: all that lies in one bucket but not yet in one component
-    member = _members(classes, links, stages)
-    met = _across(shared, member, bits, stages, percent, single=False).select("grp_x", "comp_x", "grp_y", "comp_y").distinct()
-    found = _linked(_pairs(met, member), docs, classes, stages, k, percent)
+    pairs = _across(shared, placed, stages, percent)
+    found = _linked(pairs, docs, classes, stages, k, percent)
+    comp = lambda end: placed.select(F.col("cls").alias(end), F.col("comp").alias(f"c{end}"))
+    joined = components(found.join(comp("a").hint("merge"), "a").join(comp("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), stages)
+    stages.drop(found, shared)
 
-    final = components(links.unionByName(found), stages)
-    placed = classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("label"))
-    least = placed.groupBy("label").agg(F.min("first_doc").alias("component"))
-    of = placed.join(least, "label").select(F.col("cls").alias("_cls"), "component", F.col("label").alias("group"))
-    return slim.join(of, F.col("cls") == F.col("_cls"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
+    final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("d1", "d2", "first_doc", F.coalesce("label", "comp").alias("label"))
+    least = final.groupBy("label").agg(F.min("first_doc").alias("component"))
+    of = final.join(least, "label").select("d1", "d2", "component", F.col("label").alias("group"))
+    return slim.join(of, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "row_key", "group")
 
 
-def _members(classes: DataFrame, links: DataFrame, stages: Stages) -> DataFrame:
-    """cls, grp and comp: where the links so far have brought every class."""
-    labels = components(links, stages)
-    return stages.keep(classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "grp", F.coalesce("label", "cls").alias("comp")), "members")
+#: Bits that all sets of a group, and that any of them, have.
+LOW, HIGH = [f"low{i}" for i in range(LONGS)], [f"high{i}" for i in range(LONGS)]
 
 
-def _across(shared: DataFrame, member: DataFrame, bits: DataFrame, stages: Stages, percent: int, single: bool) -> DataFrame:
-    """Pairs of groups in one bucket and different components that pass the filters; with ``single`` each group looks into one of its buckets only."""
-    mixed = W.partitionBy("shingle")
-    sides = shared.select("shingle", "grp", "n", "pos").join(member.select("grp", "comp").distinct(), "grp")
-    sides = sides.withColumns({"c0": F.min("comp").over(mixed), "c1": F.max("comp").over(mixed), "main": F.min(F.struct("pos", "grp", "comp")).over(mixed)}).where("c0 <> c1")
-    sides = stages.keep(sides.select("shingle", "grp", "n", "pos", "comp", F.col("main.comp").alias("main")).join(bits, "grp"), "sides")
-    side = lambda tag, rows: rows.select("shingle", *(F.col(c).alias(f"{c}{tag}") for c in ("grp", "n", "pos", "comp", "main", "bits")))
-    passes = _passes("n_x", "pos_x", "n_y", "pos_y", percent) & _close("n_x", "n_y", _differing("bits_x", "bits_y"), percent)
-    if single:
-        chosen = sides.groupBy("grp", "comp").agg(F.min_by("shingle", F.xxhash64("shingle", "grp")).alias("shingle"))
-        asking, once = sides.join(chosen, ["grp", "comp", "shingle"]), F.col("comp_x") != F.col("comp_y")
-    else:
-        # of two groups outside the main component, one order of the pair is enough
-        asking, once = sides.where("comp <> main"), (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("main_y")) | (F.col("comp_x") < F.col("comp_y")))
-    met = side("_x", asking).join(side("_y", sides), ["shingle"]).where(once & passes)
-    return met.select("grp_x", "comp_x", "grp_y", "comp_y", _differing("bits_x", "bits_y").alias("differ"))
+def _bounds() -> list[Column]:
+    return [F.bit_and(b).alias(low) for b, low in zip(MAP, LOW, strict=True)] + [F.bit_or(b).alias(high) for b, high in zip(MAP, HIGH, strict=True)]
+
+
+def _apart(x: str, y: str) -> Column:
+    """Bits in which any set of one group differs from any of another, from the groups' bounds."""
+    total = F.lit(0)
+    for low, high in zip(LOW, HIGH, strict=True):
+        one = F.col(x + low).bitwiseAND(F.bitwise_not(F.col(y + high)))
+        total = total + F.bit_count(one.bitwiseOR(F.col(y + low).bitwiseAND(F.bitwise_not(F.col(x + high)))))
+    return total
 
 
-def _pairs(met: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of groups as pairs of their classes."""
-    return met.join(member.toDF("a", "grp_x", "comp_x"), ["grp_x", "comp_x"]).join(member.toDF("b", "grp_y", "comp_y"), ["grp_y", "comp_y"]).select("a", "b").distinct()
+def _across(shared: DataFrame, placed: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that pass the filters, from units (a group's members in one component) that meet in a bucket."""
+    units = placed.groupBy("grp", "comp").agg(*_bounds())
+    sides = shared.select("shingle", "grp", "n", "pos").join(placed.select("grp", "comp").distinct().hint("merge"), "grp")
+    place = F.col("pos").cast("long") * F.lit(1 << 40) + F.pmod("grp", F.lit(1 << 40))
+    marks = sides.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", place).alias("main")).where("c0 <> c1").select("shingle", "main")
+    sides = sides.join(marks.hint("merge"), "shingle").join(units.hint("merge"), ["grp", "comp"])
+    sides = stages.keep(sides, "sides")
+    side = lambda tag, rows: rows.select("shingle", *(F.col(c).alias(f"{tag}{c}") for c in ("grp", "n", "pos", "comp", "main", *LOW, *HIGH)))
+    # of two units outside the main component, one order of the pair is enough
+    once = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_comp") < F.col("y_comp")))
+    met = side("x_", sides.where("comp <> main")).join(side("y_", sides), "shingle").where(once & _passes("x_n", "x_pos", "y_n", "y_pos", percent))
+    met = met.where(_close("x_n", "y_n", _apart("x_", "y_"), percent)).select("x_grp", "x_comp", "y_grp", "y_comp").distinct()
+    member = lambda tag, name: placed.select(F.col("grp").alias(f"{tag}grp"), F.col("comp").alias(f"{tag}comp"), F.col("cls").alias(name), F.col("n").alias(f"{tag}n"), *(F.col(b).alias(f"{tag}{b}") for b in MAP))
+    expanded = met.join(member("x_", "a").hint("merge"), ["x_grp", "x_comp"]).join(member("y_", "b").hint("merge"), ["y_grp", "y_comp"])
+    return expanded.where(_close("x_n", "y_n", _differing("x_", "y_"), percent)).select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80) -> DataFrame:
@@ -278,35 +304,41 @@ def _passes(n, pos, m, at, percent: int) -> Column:
 def _differing(x: str, y: str) -> Column:
     """Bits in which two bitmaps differ: no more than the elements in which the sets do."""
     total = F.lit(0)
-    for i in range(LONGS):
-        total = total + F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")))
+    for b in MAP:
+        total = total + F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b)))
     return total
 
 
-def _close(n, m, differ, percent: int) -> Column:
+def _close(n: str, m: str, differ: Column, percent: int) -> Column:
     """Whether sets of these sizes that differ in so many elements at least can still be similar enough."""
-    n, m, differ = F.col(n), F.col(m), F.col(differ) if isinstance(differ, str) else differ
+    n, m = F.col(n), F.col(m)
     return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stages, k: int, percent: int) -> DataFrame:
     """The pairs of classes that hold, of candidates; only texts of classes in a pair are moved."""
     pairs = stages.keep(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = stages.keep(_texts(docs, stages.keep(classes.join(ids, "cls", "left_semi"), "wanted"), k), "texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted, counted = stages.kept(classes.select("cls", "first_key", "d1", "d2").join(ids.hint("merge"), "cls", "left_semi"), "wanted", {"n": F.count("*")})
+    texts = stages.keep(_texts(docs, wanted, counted["n"], k), "texts")
     links = stages.keep(verified(pairs, texts, k, percent), "links")
-    stages.drop(pairs, texts)
+    stages.drop(pairs, wanted, texts)
     return links
 
 
-def _texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cls, text): the text of each class's first document. Where rows share a doc_id, the digest tells which is meant."""
+def _texts(docs: DataFrame, wanted: DataFrame, n: int, k: int) -> DataFrame:
+    """(cls, text): a text of each wanted class. Where keys of rows meet, the digest tells which is meant."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # repeated rows share a doc_id and so meet in one task
+        seen: set[int] = set()  # repeated rows share a key and so meet in one task
         for batch in batches:
-            right = [c not in seen and class_of(shingles(shingle_words(t), k)) == c and not seen.add(c) for c, t in zip(batch["cls"], batch["text"], strict=True)]
+            right = []
+            for cls, d1, d2, text in zip(batch["cls"], batch["d1"], batch["d2"], batch["text"], strict=True):
+                right.append(cls not in seen and digest(shingles(shingle_words(text), k).tobytes()) == (d1, d2))
+                if right[-1]:
+                    seen.add(cls)
             yield batch.loc[right, ["cls", "text"]]
 
-    met = maybe_among(docs.where("text is not null"), "doc_id", classes, "first_doc").join(classes.select("cls", "first_doc"), F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    return met.select("cls", "text").mapInPandas(own, "cls long, text string")
+    rows = maybe_among(docs.where("text is not null").select("row_key", "text"), "row_key", wanted, "first_key", n)
+    met = rows.join(wanted.hint("merge"), F.col("row_key") == F.col("first_key"))
+    return met.select("cls", "d1", "d2", "text").mapInPandas(own, "cls long, text string")

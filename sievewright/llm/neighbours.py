@@ -1,25 +1,30 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Unit vectors are hashed by ``floor((a . x + b) / w)`` with Gaussian ``a``, several such values to a table. A query
+Unit vectors are hashed by ``floor((a . x + b) / w)`` with Gaussian ``a``, several such values to a table's bucket. A query
 visits its own bucket in every table and then perturbed ones, in the order of their estimated success: by the
 sum of squared distances to the bucket walls that a perturbation crosses, following a template that is worked
-out once from the expected distances. What the tables find is merged and ranked by the exact cosine.
+out once from the expected distances. What the tables give is merged and ranked by the exact cosine.
 
-The index is sharded: rows are dealt into blocks by a hash of their id, every block builds its tables, and a
-query asks every block, so neither a full bucket nor near-equal vectors gather in one task, and a task holds one block
-of rows and one block of queries. No pair of rows leaves a task but the best few of each query. Where the tables
-give a query fewer rows of a block than it asks for, the whole block is ranked for it, so no query goes short.
-
-Nothing is fitted: hash functions come from a seed, and every row is indexed.
+1. Equal vectors are one point that carries its ``k + 1`` smallest ids: no answer can hold others of them.
+2. Hash values, width, tables and probes are fitted on a bounded sample (FIT_QUERIES queries with their true neighbours among all
+   points, FIT_ROWS points): of the settings that find the share ``RECALL`` of those neighbours, the one with the least work.
+3. Every point is posted once a table under its bucket, and buckets are dealt to shelves by their key. A shelf with many points,
+   as of a full bucket, is split, and only its own visitors go to all parts of it.
+4. A query goes to the shelves that hold buckets it visits, once each, with the list of buckets. A shelf looks the buckets up and
+   computes cosines of what is in them, and of nothing else; the best ``k`` of each query leave it and are merged.
+5. A query that was given fewer than ``k`` points in all is held against every point, in blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors
 of different lengths are not compared; rows that share the query's id are its own and are no candidates; ties go to the
-smaller id; rows with null ids take no part; extra columns are ignored; an empty table gives an empty result.
+smaller id; rows with null ids take no part; a repeated query id asks once; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -28,9 +33,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 12, 8, 1.8, 150, 11
-#: Rows and queries of a task, on average.
-BLOCK, QUERIES = 1024, 2048
+from .common import Stages
+
+SEED, RECALL = 11, 0.95
+#: What the setting is fitted on, at most.
+FIT_QUERIES, FIT_ROWS = 64, 4096
+#: Settings that are tried: hash values of a bucket, widths, tables, and the most probes of a table.
+HASHES, WIDTHS, TABLES, PROBES = (6, 8, 10, 12, 16, 20), (0.6, 1.0, 1.6, 2.4), (8, 16), 512
+#: Work of a probe against that of a cosine.
+PROBE_COST = 4.0
+#: Postings of a shelf, on average; queries of a shelf that are held in one task; points of a block.
+SHELF, QUERIES, BLOCK = 8192, 2048, 4096
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What a table of buckets looks like, and the shares that the fit found: of true neighbours, and of points that a query is given (a point counts once a table)."""
+
+    hashes: int
+    width: float
+    tables: int
+    probes: int
+    recall: float = 1.0
+    share: float = 1.0
 
 
 @cache
@@ -58,56 +83,95 @@ def template(hashes: int, probes: int) -> np.ndarray:
 
 
 @cache
-def functions(dim: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directions, offsets and the odd multipliers that fold a table's values into one key."""
+def functions(dim: int, table: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, offsets and the odd multipliers that fold a bucket's values into one key."""
     rng = np.random.default_rng([SEED, dim, table])
-    return rng.normal(size=(dim, HASHES)), rng.uniform(0, WIDTH, HASHES), rng.integers(-(2**62), 2**62, HASHES, dtype=np.int64) | 1
-
-
-def candidates(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """queries x rows booleans: which rows the tables give to which query. All vectors are of unit length."""
-    found = np.zeros((len(queries), len(rows)), bool)
-    steps = template(HASHES, PROBES)
-    for table in range(TABLES):
-        directions, offsets, fold = functions(rows.shape[1], table)
-        keys = np.floor((rows @ directions + offsets) / WIDTH).astype(np.int64) @ fold
-        order = np.argsort(keys, kind="stable")
-        names, starts = np.unique(keys[order], return_index=True)
-        ends = np.append(starts[1:], len(keys))
-        at = (queries @ directions + offsets) / WIDTH
-        floor = np.floor(at)
-        inside = at - floor
-        walls = np.concatenate([inside**2, (1 - inside) ** 2], axis=1)
-        moves = np.concatenate([-fold, fold])
-        delta = moves[np.argsort(walls, axis=1, kind="stable")]
-        probes = (floor.astype(np.int64) @ fold)[:, None] + delta @ steps.T
-        place = np.minimum(np.searchsorted(names, probes), len(names) - 1)
-        q, p = np.nonzero(names[place] == probes)
-        bucket = place[q, p]
-        sizes = ends[bucket] - starts[bucket]
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        found[np.repeat(q, sizes), order[np.repeat(starts[bucket], sizes) + within]] = True
-    return found
-
-
-def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score: each query's best k of a block."""
-    lengths = np.linalg.norm(rows, axis=1)
-    query_lengths = np.linalg.norm(queries, axis=1)
-    found = candidates(rows / lengths[:, None], queries / query_lengths[:, None])
-    own = query_ids[:, None] == row_ids[None, :]
-    found &= ~own
-    short = found.sum(axis=1) < k
-    found[short] = ~own[short]
-    rough = np.where(found, (queries @ rows.T) / np.outer(query_lengths, lengths), -np.inf)
-    kth = -np.partition(-rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-    q, r = np.nonzero((rough >= kth[:, None] - 1e-12) & found)  # a product of matrices may round equal rows apart
-    score = np.einsum("ij,ij->i", rows[r], queries[q]) / (lengths[r] * query_lengths[q])
-    order = np.lexsort((row_ids[r], -score, q))
-    q, r, score = q[order], r[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    best = place < k
-    return pd.DataFrame({"query_id": query_ids[q[best]], "vec_id": row_ids[r[best]], "score": score[best]})
+    directions, offsets = rng.normal(size=(dim, max(HASHES))), rng.uniform(0, 1, max(HASHES))
+    fold = rng.integers(-(2**62), 2**62, max(HASHES), dtype=np.int64) | 1
+    return directions[:, :hashes], offsets[:hashes] * width, fold[:hashes]
+
+
+def buckets(points: np.ndarray, table: int, setting: Setting) -> np.ndarray:
+    """The bucket's key of every unit vector."""
+    directions, offsets, fold = functions(points.shape[1], table, setting.hashes, setting.width)
+    return np.floor((points @ directions + offsets) / setting.width).astype(np.int64) @ fold + np.int64(table)
+
+
+def visits(queries: np.ndarray, table: int, setting: Setting) -> np.ndarray:
+    """queries x probes: the buckets that each query visits, in order of estimated success."""
+    directions, offsets, fold = functions(queries.shape[1], table, setting.hashes, setting.width)
+    at = (queries @ directions + offsets) / setting.width
+    floor = np.floor(at)
+    inside = at - floor
+    walls = np.concatenate([inside**2, (1 - inside) ** 2], axis=1)
+    moves = np.concatenate([-fold, fold])
+    delta = moves[np.argsort(walls, axis=1, kind="stable")]
+    return (floor.astype(np.int64) @ fold + np.int64(table))[:, None] + delta @ template(setting.hashes, setting.probes).T
+
+
+def fitted(queries: np.ndarray, answers: list[np.ndarray], points: np.ndarray, total: int) -> Setting:
+    """The setting with the least work for a query among ``total`` points, of those that find the share RECALL of the answers; else the one that finds most."""
+    best = None
+    if not len(queries):
+        return Setting(HASHES[0], WIDTHS[-1], TABLES[0], 1)
+    whose = np.repeat(np.arange(len(queries)), [len(a) for a in answers])
+    true = np.concatenate(answers)
+    for hashes in HASHES:
+        for width in WIDTHS:
+            setting = Setting(hashes, width, max(TABLES), PROBES)
+            when, given = np.full((max(TABLES), len(true)), PROBES), np.zeros((max(TABLES), PROBES))
+            for table in range(max(TABLES)):
+                asked = visits(queries, table, setting)
+                match = asked[whose] == buckets(true, table, setting)[:, None]
+                when[table] = np.where(match.any(axis=1), match.argmax(axis=1), PROBES)
+                names, counts = np.unique(buckets(points, table, setting), return_counts=True)
+                place = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                given[table, : asked.shape[1]] = np.where(names[place] == asked, counts[place], 0).mean(axis=0)
+            upto = given.cumsum(axis=1) / len(points)
+            for tables in TABLES:
+                first = np.sort(when[:tables].min(axis=0))
+                need = int(first[min(len(first) - 1, int(np.ceil(RECALL * len(first))) - 1)]) + 1
+                probes = min(need, PROBES)
+                recall, share = float((first < probes).mean()), float(upto[:tables, probes - 1].sum())
+                found = Setting(hashes, width, tables, probes, round(recall, 4), round(share, 4))
+                rank = (recall < RECALL, -recall if recall < RECALL else 0.0, tables * probes * PROBE_COST + share * total)
+                if best is None or rank < best[0]:
+                    best = (rank, found)
+    return best[1]
+
+
+def search_shelf(points: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, id, score: each query's best k of the points in the buckets that it visits here, exactly.
+
+    points: key, ids, unit; asked: query_id, own vector, keys. A point met in several buckets counts once.
+    """
+    order = np.argsort(points["key"].to_numpy(), kind="stable")
+    names, starts = np.unique(points["key"].to_numpy()[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    rows, ids = np.stack(points["embedding"].to_numpy()), points["ids"].to_numpy()
+    lengths, first = np.sqrt(np.einsum("ij,ij->i", rows, rows)), np.array([i[0] for i in ids])
+    out: list[tuple[int, int, float]] = []
+    for query, vector, keys in zip(asked["query_id"], asked["embedding"], asked["keys"], strict=True):
+        place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        place = np.unique(place[names[place] == keys])
+        if len(place):
+            met = np.concatenate([order[starts[p] : ends[p]] for p in place])
+            met = met[np.unique(first[met], return_index=True)[1]]  # a point stands in a bucket of each table
+            score = scores(rows[met], lengths[met], np.asarray(vector, float))
+            out.extend((query, i, s) for i, s in best_of(query, score, [ids[m] for m in met], k))
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def scores(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines, each from its own two vectors alone, so that equal rows have equal scores wherever they are computed."""
+    return np.einsum("ij,j->i", rows, query) / (lengths * np.sqrt(np.einsum("j,j->", query, query)))
+
+
+def best_of(query: int, score: np.ndarray, ids: list, k: int) -> list[tuple[int, float]]:
+    """The k best (id, score) without the query's own id; ties to the smaller id. Points give their ids in order."""
+    kth = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf  # one more than k: the query's own point may be among them
+    near = [(-float(score[m]), i) for m in np.flatnonzero(score >= kth) for i in ids[m] if i != query]
+    return [(i, -s) for s, i in heapq.nsmallest(k, near)]
 
 
 def usable(vector: Column) -> Column:
@@ -117,23 +181,104 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(doubles, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest rows; both tables hold (vec_id, embedding)."""
-    part = lambda frame: frame.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
-    rows, asked = part(vectors), part(queries)
-    blocks, asks = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    mark = F.xxhash64("vec_id")
-    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("block", F.pmod(mark, F.lit(blocks)).cast("int")).withColumn("ask", number(asks))
-    right = asked.withColumn("ask", F.pmod(F.shiftright(mark, 16), F.lit(asks)).cast("int")).withColumn("block", number(blocks))
+FOUND = "query_id long, vec_id long, score double"
+NOTHING = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+
+def exhaustive(points: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    """Each asked query's best k of every block of points: asked queries are a stated set against all points, in blocks."""
+    blocks = max(1, -(-n // BLOCK))
+    left = points.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int"))
+    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(some):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        return search_block(np.stack(block["embedding"].to_numpy()), block["vec_id"].to_numpy(), np.stack(some["embedding"].to_numpy()), some["vec_id"].to_numpy(), k)
+        out: list[tuple[int, int, float]] = []
+        if len(block) and len(some):
+            rows = np.stack(block["embedding"].to_numpy())
+            lengths, ids = np.sqrt(np.einsum("ij,ij->i", rows, rows)), block["ids"].tolist()
+            for query, vector in zip(some["query_id"], some["embedding"], strict=True):
+                out.extend((query, i, s) for i, s in best_of(query, scores(rows, lengths, np.asarray(vector, float)), ids, k))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return left.groupBy("dim", "block").cogroup(right.groupBy("dim", "block")).applyInPandas(search, FOUND)
+
 
-    key = ["dim", "block", "ask"]
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    # a repeated query id asks once: equal answers are one
-    return best.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def fit(points: DataFrame, asked: DataFrame, n: int, k: int) -> dict[int, Setting]:
+    """A setting for every vector length, from at most FIT_QUERIES queries and FIT_ROWS points in all."""
+    dice = F.xxhash64(F.lit("fit"), "embedding")
+    some = asked.orderBy(F.xxhash64(F.lit("fit"), "query_id"), "query_id").limit(FIT_QUERIES)
+    told = some.collect()
+    near = exhaustive(points, asked.sparkSession.createDataFrame(told, asked.schema), n, k) if told else None
+    true = ranked(near, k).select("query_id", F.col("vec_id").alias("_id")).join(points.select(F.explode("ids").alias("_id"), "embedding"), "_id").select("query_id", "embedding").collect() if told else []
+    rows = points.orderBy(dice, "embedding").limit(FIT_ROWS).select("dim", "embedding").collect()
+    unit = lambda x: np.asarray(x, float) / np.linalg.norm(x)
+    answers: dict[int, list] = {}
+    for r in true:
+        answers.setdefault(r["query_id"], []).append(unit(r["embedding"]))
+    out = {}
+    for dim in sorted({r["dim"] for r in told}):
+        own = [r for r in told if r["dim"] == dim and r["query_id"] in answers]
+        sample = np.array([unit(r["embedding"]) for r in rows if r["dim"] == dim] or [unit(r["embedding"]) for r in own])
+        out[dim] = fitted(np.array([unit(r["embedding"]) for r in own]), [np.array(answers[r["query_id"]]) for r in own], sample, n)
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, stages: Stages, k: int = 5, settings: dict[int, Setting] | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest rows; both tables hold (vec_id, embedding).
+
+    ``settings`` gives the tables' shape by vector length; where it is None it is fitted.
+    """
+    part = lambda frame: frame.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    least = part(vectors).groupBy("embedding", "vec_id").count().withColumn("place", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    points = least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding"))
+    points, counted = stages.kept(points, "points", {"n": F.count("*")})
+    asked, asking = stages.kept(part(queries).groupBy(F.col("vec_id").alias("query_id"), "embedding").count().select("query_id", "embedding", F.size("embedding").alias("dim")), "queries", {"n": F.count("*")})
+    n = counted["n"]
+    settings = fit(points, asked, n, k) if settings is None else settings
+    shelves = max(1, -(-n * max((s.tables for s in settings.values()), default=1) // SHELF))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Setting]]:
+        for batch in batches:
+            for dim, some in batch.groupby("dim"):
+                if dim in settings:
+                    rows = np.stack(some["embedding"].to_numpy())
+                    yield some, rows / np.linalg.norm(rows, axis=1)[:, None], settings[dim]
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, unit, setting in dealt(batches):
+            for table in range(setting.tables):
+                key = buckets(unit, table, setting)
+                yield some.assign(key=key, shelf=key % shelves)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, unit, setting in dealt(batches):
+            keys = np.concatenate([visits(unit, table, setting) for table in range(setting.tables)], axis=1)
+            for at, own in enumerate(keys):
+                own = own[np.argsort(own % shelves, kind="stable")]
+                shelf, starts = np.unique(own % shelves, return_index=True)
+                yield some.iloc[np.full(len(shelf), at)].assign(shelf=shelf, keys=np.split(own, starts[1:]))
+
+    posted = stages.keep(points.mapInPandas(post, "embedding array<double>, ids array<long>, dim int, key long, shelf long"), "postings")
+    asks = stages.keep(asked.mapInPandas(ask, "query_id long, embedding array<double>, dim int, shelf long, keys array<long>"), "visits")
+    # a shelf with many points is dealt over salts, and its queries go to all of them; one with many queries over rounds, and its points go to all of those
+    load = posted.groupBy("dim", "shelf").agg(F.ceil(F.count("*") / SHELF / 2).cast("int").alias("salts")).join(asks.groupBy("dim", "shelf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds")), ["dim", "shelf"])
+    load = stages.keep(load, "load")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = posted.join(load, ["dim", "shelf"]).select("embedding", "ids", "key", "dim", "shelf", F.pmod(F.xxhash64("embedding"), "salts").cast("int").alias("salt"), upto("rounds").alias("round"))
+    right = asks.join(load, ["dim", "shelf"]).select("query_id", "embedding", "keys", "dim", "shelf", upto("salts").alias("salt"), F.pmod(F.xxhash64("query_id"), "rounds").cast("int").alias("round"))
+
+    def search(shelf: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        return search_shelf(shelf, some, k) if len(shelf) and len(some) else NOTHING
+
+    key = ["dim", "shelf", "salt", "round"]
+    best = stages.keep(ranked(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND), k), "nearest")
+    served = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short, rest = stages.kept(asked.join(served, "query_id", "left_anti"), "short", {"n": F.count("*")})
+    if not rest["n"]:
+        return best
+    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(ranked(exhaustive(points, short, n, k), k))

@@ -64,7 +64,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every 50th vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), Stages(spark), 5)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Removal of long passages that an earlier document has, by prefix-partitioned suffix trees.
 
-A passage counts from ``LENGTH`` words on. Suffixes (a document from some word on) matter only down to that depth:
-two suffixes meet in an internal node at least that deep exactly if they begin with the same LENGTH words.
-
-1. Every run of LENGTH words has an anchor: the run of ``STEM`` words inside it with the least hash. Equal runs have
-   equal anchors, so runs whose anchor lies in one distinct text only cannot repeat, and their suffixes are left out. Anchors of
-   at least two texts are marked in a bitmap of fixed size, which workers hold while they read the documents again.
-2. The suffixes left are split by prefixes of variable length: by their first STEM words as long as the suffixes
-   with that prefix fit into memory together, by LENGTH words beyond that.
-3. A group of prefixes is one task: it sorts its suffixes into a tree by their fingerprints and reads off the deep internal nodes,
-   each with the smallest document below it. A prefix of LENGTH words is one such node already, with any number of
-   suffixes; those are combined before they are shuffled.
-4. Each suffix below a deep node with an earlier document marks its first LENGTH words. Marked words leave the text.
+A passage counts from ``LENGTH`` words on, and a suffix is a document from some word on. Two suffixes meet in an internal node at
+least that deep exactly if they begin with the same LENGTH words.
+
+1. Suffixes are split by their prefixes: the key of a suffix is its anchor, the run of ``STEM`` words with the least hash among
+   its first LENGTH words. Suffixes that meet in a deep node have equal prefixes and so equal anchors, and neighbouring
+   suffixes mostly share theirs, so one row carries a run of suffixes and their words once.
+2. Anchors that lie in one distinct text only have no deep node below them. Anchors of at least two texts are marked in
+   a bitmap sized by their number, which workers hold while they read the documents again; only runs with marked anchors are kept.
+3. Runs are gathered by anchor into groups of some TREE bytes. A task sorts the suffixes of its group by their words (prefix
+   doubling), takes the common prefix lengths of neighbours, and cuts the order wherever they are below LENGTH: what stays together
+   lies below one deep internal node, the words common to it being a maximal repeat. Words are compared themselves.
+4. An anchor with more than SPLIT suffixes is split by a longer prefix, all LENGTH words, by their 128-bit digest. Such a prefix is
+   one deep node already, with any number of suffixes; those are combined before they are shuffled.
+5. Each suffix below a deep node with an earlier document marks its first LENGTH words. Marked words leave the text.
 
 Documents with equal words are one text: all but the earliest lose all words at once, and only one takes part above.
-Runs of words are compared by 64-bit fingerprints.
 
 Defined results: null and empty texts have no words and keep none; a null doc_id counts as later than any other; rows that
 share a doc_id are one document to each other (neither is earlier); an empty table gives an empty result; extra columns are ignored.
@@ -31,39 +32,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, Stages, maybe_among
+from .common import Stages, filter_bits, maybe_among
 
 LENGTH, STEM = 50, 8
-#: Suffixes that one tree holds on average, and suffixes with one short prefix from which on it is split by the long one.
-TREE, SPLIT = 200_000, 20_000
+#: Bytes of the runs in one tree's group, on average, and suffixes of an anchor from which on it is split by a longer prefix.
+TREE, SPLIT = 4 << 20, 20_000
 LATEST = 2**63 - 1
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of runs from the hashes of their two parts."""
-    out = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + b
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def stems(words: list[bytes]) -> np.ndarray:
+    """Hashes of the runs of STEM words, by their first word."""
+    out, size = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1
+    while size < STEM:
+        mixed = (out[:-size] ^ (out[:-size] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + out[size:]
+        out, size = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), 2 * size
+    return out
 
 
-def fingerprints(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of STEM words and of LENGTH words, by their first word."""
-    runs = {1: np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))}
-    size = 1
-    while 2 * size <= LENGTH:
-        runs[2 * size] = _joined(runs[size][:-size], runs[size][size:])
-        size *= 2
-    full, at, left = None, 0, LENGTH
-    for size in sorted(runs, reverse=True):
-        if left >= size:
-            part = runs[size][at:]
-            full = part if full is None else _joined(full[: len(part)], part)
-            at, left = at + size, left - size
-    return runs[STEM], full[: len(words) - LENGTH + 1]
-
-
-def anchors(stems: np.ndarray) -> np.ndarray:
-    """For every run of LENGTH words the place of its anchor (the first of the least hashes)."""
-    inside = np.lib.stride_tricks.sliding_window_view(stems, LENGTH - STEM + 1)
+def anchors(own: np.ndarray) -> np.ndarray:
+    """For every suffix of LENGTH words or more the place of its anchor (the first of the least hashes), from the document's stems."""
+    inside = np.lib.stride_tricks.sliding_window_view(own, LENGTH - STEM + 1)
     return np.arange(len(inside)) + inside.argmin(axis=1)
 
 
@@ -90,27 +78,25 @@ def read(docs: DataFrame) -> DataFrame:
                 found = None
                 if len(words) >= LENGTH and cls not in seen:
                     seen.add(cls)
-                    stems, _ = fingerprints(words)
-                    found = np.unique(stems[anchors(stems)]).view(np.int64)
+                    own = stems(words)
+                    found = np.unique(own[anchors(own)]).view(np.int64)
                 rows.append((doc, len(words), sha, cls, found))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "sha", "cls", "anchors"]).astype({"doc_id": "int64"})
 
     return docs.mapInPandas(each, "doc_id long, n_words long, sha string, cls long, anchors array<long>")
 
 
-def suffixes(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """stem, full, doc, cls, pos: the suffixes whose anchor is marked. Of equal texts a worker gives the earliest it has met."""
-    size = FILTER_BITS // 8
-    bits = np.zeros(size, np.uint8)
-    for row in shared.collect():  # at most 512 rows of 4 KB
-        at = (row["of"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(row["map"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def runs(docs: DataFrame, shared: list, bits: int) -> DataFrame:
+    """anchor, doc, cls, start, count, words: runs of suffixes with one marked anchor. Of equal texts a worker gives the earliest it has met."""
+    marks = np.zeros(bits // 8, np.uint8)
+    for row in shared:
+        marks[(row["of"] - 1) * 4096 : row["of"] * 4096] = np.frombuffer(row["map"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(marks)  # at most MOST_BITS
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks, earliest = held.value, {}
+        known, earliest = held.value, {}
         for batch in batches:
-            out = [(np.empty(0, np.int64),) * 5]
+            out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = _split(text)
                 if len(words) < LENGTH:
@@ -119,25 +105,72 @@ def suffixes(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 if earliest.get(cls, LATEST + 1) <= doc:
                     continue
                 earliest[cls] = doc
-                stems, full = fingerprints(words)
-                bit = (stems % np.uint64(FILTER_BITS)).astype(np.int64)
-                known = (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-                pos = np.flatnonzero(known[anchors(stems)])
-                out.append((stems[pos].view(np.int64), full[pos].view(np.int64), np.full(len(pos), doc, np.int64), np.full(len(pos), cls, np.int64), pos))
-            stem, full, doc, cls, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pd.DataFrame({"stem": stem, "full": full, "doc": doc, "cls": cls, "pos": pos.astype(np.int32)})
-
-    return docs.mapInPandas(each, "stem long, full long, doc long, cls long, pos int")
+                own = stems(words)
+                at = anchors(own)
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                keys = own[at[starts]]
+                bit = (keys & np.uint64(bits - 1)).astype(np.int64)
+                marked = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+                ends = np.append(starts[1:], len(at))
+                out.extend((int(key), doc, cls, start, end - start, b" ".join(words[start : end + LENGTH - 1]).decode()) for key, start, end, m in zip(keys.view(np.int64), starts.tolist(), ends.tolist(), marked, strict=True) if m)
+            yield pd.DataFrame(out, columns=["anchor", "doc", "cls", "start", "count", "words"]).astype(dict.fromkeys(("anchor", "doc", "cls", "start", "count"), "int64"))
+
+    return docs.mapInPandas(each, "anchor long, doc long, cls long, start long, count long, words string")
+
+
+def sorted_suffixes(words: list[list[str]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, place in it, common prefix length with the one before) of the first ``counts`` suffixes of every run, in the order of their first LENGTH words.
+
+    Ranks of runs of 1, 2, 4, ... words come from pairs of ranks of half as many; a run's end is a word of its own kind.
+    Common prefix lengths are read from the same ranks, from long to short, and are exact up to 2 * LENGTH.
+    """
+    ids: dict[str, int] = {}
+    numbers = np.concatenate([np.array([ids.setdefault(w, len(ids)) for w in own] + [-i - 1]) for i, own in enumerate(words)])
+    begins = np.cumsum([0] + [len(own) + 1 for own in words])
+    rank = np.unique(numbers, return_inverse=True)[1].astype(np.int64)
+    ladder, size = [rank], 1
+    pair = lambda r, by: np.unique(r * (len(r) + 2) + np.append(r[by:] + 1, np.zeros(min(by, len(r)), np.int64)), return_inverse=True)[1].astype(np.int64)
+    while 2 * size <= LENGTH:
+        ladder.append(pair(ladder[-1], size))
+        size *= 2
+    full = pair(ladder[-1], LENGTH - size)
+    run = np.repeat(np.arange(len(words)), counts)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = begins[run] + place
+    order = np.argsort(full[at], kind="stable")
+    at, common = at[order], np.zeros(len(at), np.int64)
+    for k in range(len(ladder) - 1, -1, -1):
+        for _ in range(2 if k == len(ladder) - 1 else 1):
+            a, b = np.minimum(at[:-1] + common[1:], len(rank) - 1), np.minimum(at[1:] + common[1:], len(rank) - 1)
+            common[1:] += np.where(ladder[k][a] == ladder[k][b], 1 << k, 0)
+    return run[order], place[order], common
+
+
+def subtree(group: pd.DataFrame) -> pd.DataFrame:
+    """doc, cls, pos: the suffixes of a group that lie below a deep internal node with an earlier document."""
+    run, place, common = sorted_suffixes([w.split(" ") for w in group["words"]], group["count"].to_numpy())
+    doc, cls, pos = group["doc"].to_numpy()[run], group["cls"].to_numpy()[run], group["start"].to_numpy()[run] + place
+    nodes = np.flatnonzero(common < LENGTH)
+    first = np.repeat(np.minimum.reduceat(doc, nodes), np.diff(np.append(nodes, len(doc))))
+    later = doc > first
+    return pd.DataFrame({"doc": doc[later], "cls": cls[later], "pos": pos[later]})
+
+
+def long_prefixes(rows: DataFrame) -> DataFrame:
+    """f1, f2, doc, cls, pos: every suffix of the runs with the digest of its first LENGTH words."""
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, cls, start, count, text in zip(batch["doc"], batch["cls"], batch["start"], batch["count"], batch["words"], strict=True):
+                raw = text.encode()
+                edges = np.flatnonzero(np.frombuffer(b" " + raw + b" ", np.uint8) == 32).tolist()
+                for i in range(count):
+                    digest = xxhash.xxh3_128_intdigest(raw[edges[i] : edges[i + LENGTH] - 1])
+                    out.append(((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), doc, cls, start + i))
+            yield pd.DataFrame(out, columns=["f1", "f2", "doc", "cls", "pos"]).astype("int64")
 
-def subtree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """doc, cls, pos: the suffixes of a group of prefixes that lie below a deep internal node with an earlier document."""
-    order = np.lexsort((group["doc"], group["full"], group["stem"]))
-    stem, full, doc = (group[c].to_numpy()[order] for c in ("stem", "full", "doc"))
-    starts = np.flatnonzero(np.r_[True, (stem[1:] != stem[:-1]) | (full[1:] != full[:-1])])
-    first = np.repeat(doc[starts], np.diff(np.r_[starts, len(doc)]))  # below each node documents are in order
-    later = order[doc > first]
-    return group.iloc[later][["doc", "cls", "pos"]]
+    return rows.mapInPandas(each, "f1 long, f2 long, doc long, cls long, pos long")
 
 
 def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
@@ -146,19 +179,23 @@ def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATEST)).alias("doc_id"), "text")
     rows = stages.keep(read(docs), "rows")
     marks = rows.where("anchors is not null").select("cls", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
-    marks = marks.select((F.col("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("bit"))  # the last bits, as of an unsigned number; Spark counts from one
-    shared = marks.groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    found = stages.keep(suffixes(docs, shared), "suffixes")
-
-    total = found.count()
-    often = found.groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("stem")
-    often = stages.keep(often, "often")  # at most total / SPLIT rows
-    short = found.join(often, "stem", "left_anti").withColumn("tree", F.pmod("stem", F.lit(max(1, -(-total // TREE)))))
-    below = short.groupBy("tree").applyInPandas(subtree, "doc long, cls long, pos int")
-    long_ = found.join(often, "stem", "left_semi").select("full", "doc", "cls", "pos")
-    nodes = long_.groupBy("full").agg(F.min("doc").alias("first"))
-    below = below.unionByName(long_.join(nodes, "full").where(F.col("doc") > F.col("first")).select("doc", "cls", "pos"))
-    removed = stages.keep(below.groupBy("doc", "cls").agg(F.collect_set("pos").alias("at")), "removed")  # one row of at most all its words per document
+    marks, marked = stages.kept(marks.select("anchor"), "marks", {"n": F.count("*")})
+    bits = filter_bits(marked["n"])
+    bit = (F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1).alias("bit")  # the last bits, as of an unsigned number; Spark counts from one
+    shared = marks.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()  # at most MOST_BITS
+    found, size = stages.kept(runs(docs, shared, bits), "runs", {"bytes": F.sum(F.octet_length("words").cast("long"))})
+    stages.drop(marks)
+
+    often = found.groupBy("anchor").agg(F.sum("count").alias("n")).where(F.col("n") > SPLIT).select("anchor")
+    often = stages.keep(often, "often")  # at most one for each SPLIT suffixes
+    trees = max(1, -(-(size["bytes"] or 0) // TREE))
+    short = found.join(often, "anchor", "left_anti").withColumn("tree", F.pmod(F.xxhash64("anchor"), F.lit(trees)))
+    below = short.groupBy("tree").applyInPandas(subtree, "doc long, cls long, pos long")
+    many = stages.keep(long_prefixes(found.join(often, "anchor", "left_semi")), "long-prefixes")
+    nodes = many.groupBy("f1", "f2").agg(F.min("doc").alias("first"))
+    below = below.unionByName(many.join(nodes, ["f1", "f2"]).where(F.col("doc") > F.col("first")).select("doc", "cls", "pos"))
+    removed, cuts = stages.kept(below.groupBy("doc", "cls").agg(F.collect_set("pos").alias("at")), "removed", {"n": F.count("*")})  # one row of at most all its words per document
+    stages.drop(found, many)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,10 +212,10 @@ def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
                 out.append((doc, cls, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield pd.DataFrame(out, columns=["_doc", "_cls", "n_cut", "cut_sha", "kept"]).astype({"_doc": "int64", "_cls": "int64", "n_cut": "int64"})
 
-    texts = maybe_among(docs, "doc_id", removed, "doc").distinct()
+    texts = maybe_among(docs, "doc_id", removed, "doc", cuts["n"]).distinct()
     done = texts.join(removed, F.col("doc_id") == F.col("doc")).mapInPandas(cut, "_doc long, _cls long, n_cut long, cut_sha string, kept string")
-    first = rows.groupBy("cls").agg(F.min("doc_id").alias("first")).withColumnRenamed("cls", "_of")
-    joined = rows.select("doc_id", "n_words", "sha", "cls").join(first, F.col("cls") == F.col("_of")).join(done, (F.col("doc_id") == F.col("_doc")) & (F.col("cls") == F.col("_cls")), "left")
+    first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    joined = rows.select("doc_id", "n_words", "sha", "cls").join(first, "sha").join(done, (F.col("doc_id") == F.col("_doc")) & (F.col("cls") == F.col("_cls")), "left")
     copy = (F.col("n_words") >= LENGTH) & (F.col("first") < F.col("doc_id"))
     empty = hashlib.sha256(b"").hexdigest()
     return joined.select(

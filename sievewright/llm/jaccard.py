@@ -127,7 +127,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     at = F.col("shingle").bitwiseAND(F.lit(LEVELS - 1))
     levels = sums.groupBy(F.shiftright(at, 14).cast("int").alias("row"), at.bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level"))
     table = np.zeros(LEVELS, np.uint8)
-    for r in levels.groupBy("row").applyInPandas(rows, "row int, cells binary").toLocalIterator():  # at most LEVELS / CELLS rows of CELLS bytes
+    for r in levels.groupBy("row").applyInPandas(rows, "row int, cells binary").collect():  # at most LEVELS / CELLS rows of CELLS bytes
         table[r["row"] * CELLS : (r["row"] + 1) * CELLS] = np.frombuffer(r["cells"], np.uint8)
     return table
 

@@ -1,16 +1,23 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
-A page is a stream of tags (with their class) and texts. Streams of one host are aligned one after another with the
-host's wrapper. Adjoining equal runs become a repeated group, what only one side has becomes an optional group, and
-texts that differ become a slot. Each item counts its texts by pages. Each worker
-infers a wrapper per host from all pages it reads, and partial wrappers, being streams themselves, are aligned with one
-another, so a host with a third of all pages needs no task that sees them all.
-
-Reading a page, its stream is aligned with its host's wrapper, so that each text stands in an item of it or in none. A text that stands
-on a share ``TEMPLATE_SHARE`` of the host's pages, and in this item, is template and left out, inside articles too; all others fill slots.
-Slots are judged by their place: inside navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of
-readers there is no main text; where the page marks an article or a main part, only slots in it count; elsewhere slots that hold mostly
-links on that host don't. Texts that no item has are judged by the same places, and so is a page that would be all template, as copies are.
+A page is a stream of tags (with their first class) and texts. The streams of a host are aligned tag by tag along their nesting: tokens
+with the same path, from the root down, are one item of the host's expression. What mismatches becomes part of it: an item that some
+pages lack is optional, one that stands twice or more inside one parent is a repeated group, and texts that
+differ make a slot. All of an item's counts are sums over pages, so an expression doesn't depend on which pages are
+aligned first or where, and a host with a third of all pages is combined on all executors.
+
+1. Every page gives its items and the texts of its slots. A slot is a block (what stands between two block tags), or a part
+   of one in an element of its own kind. A page also gives a signature, one of its texts drawn by length and digest, by which copies and most
+   near copies of a page count as one.
+2. A slot's texts are counted by signature: how often it is filled, with how many different texts, how long they are, and how much
+   of them is inside links. Texts that a good part of a host's pages have in one slot are its template texts.
+3. Reading a page, its slots are found in its host's expression and weighed: BASE, a prior from the tags and names around, and the evidence of
+   the host's pages (repeated texts and links speak against a slot, length for it), less for template texts. Slots
+   with a positive sum are main text, in page order. Slots that the host's expression lacks are judged by the page alone, and so is a
+   page with nothing left, as a host of one page's copies has.
+
+The contract's own kinds (navigation, footers, asides, forms, page headers, scripts, styles, hidden parts and readers' comments) are out
+whatever their texts. All other names are only a prior: long and varied text counts inside any of them.
 
 Defined results: null or empty html gives an empty text; a page cut off in the middle is read up to there (an unfinished tag is
 dropped); a null or odd url is a host of its own; repeated rows each get a row; an empty table gives an empty result; extra
@@ -21,9 +28,9 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from hashlib import blake2b
 
 import numpy as np
@@ -33,29 +40,24 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out
 
-#: Share of a host's pages from which on a text is template, and the pages that must have it: two alike may be a page and its copy.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
-#: Counted texts of an item and of a host: counts are short by at most the texts met over this number.
-TEXTS, HOST_TEXTS = 64, 2000
-#: Items that fewer of the host's pages have are not aligned when reading: no template text can stand in them.
-READ_SHARE = 0.05
-#: Pages from which a partial wrapper is inferred, at most.
-PART_PAGES = 20_000
-#: Share of a slot's characters inside links from which on it is a menu.
-LINKS = 0.6
-#: Items of a wrapper that alignment still extends; shapes beyond are judged by place alone, with equal results for marked pages.
-ITEMS, RUN = 2000, 12
+#: Share of a host's pages from which on a text of a slot is listed as template, and the least number of different pages: two alike may be a page and its copy.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.2, 3
+#: Share of a host's pages from which on a slot is listed; what fewer have is judged by the page alone.
+SLOT_SHARE = 0.01
+#: Weights: of any slot, inside an article or a main part, beside those, of a template text by its share, of repeated texts, of links, and the range of length.
+BASE, ARTICLE, MAIN, BESIDE, TEMPLATE, REPEATED, LINKED, SHORTEST, LONGEST = 1.5, 4.0, 2.0, -3.0, 7.0, 4.0, 5.0, -1.0, 3.0
+#: Weights of names that speak of adverts and page furniture, and of such as main text also has. Characters of an even length.
+FURNITURE, DOUBTFUL, EVEN = -4.5, -2.0, 30
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 OUT_TAGS = frozenset("nav footer aside form button dialog menu label fieldset".split()) | RAW
-OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|repl(?:y|ies)|disqus|discussion|respond|shar(?:e|ing)|social|related|recommend\w*|login|signup|search|pag(?:er|ination)|skip|toolbar|copyright)(?:$|[\s_-])",
-    re.I,
-)
-READERS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|disqus|discussion|respond)(?:$|[\s_-])", re.I)
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu".split())
+_names = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+READERS = _names(r"comments?|commentlist|repl(?:y|ies)|disqus|respond")
+FURNITURE_NAMES = _names(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscri\w*|sidebar|popup|modal|overlay|nav|navbar|navigation|breadcrumbs?|masthead|topbar|login|signup|toolbar")
+DOUBTFUL_NAMES = _names(r"notices?|alert|banner|widget|menu|footer|shar(?:e|ing)|social|related|recommend\w*|search|pag(?:er|ination)|skip|copyright")
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -63,32 +65,62 @@ _space = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("link", "main", "name", "out", "path", "sign")
+    """A start tag: its path, what it says of texts inside (``out``, ``main``, ``weight``), and the element that judges them (itself, or the block around)."""
+
+    __slots__ = ("judge", "kids", "link", "main", "name", "out", "path", "weight")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         found = {k.lower(): a or b or c for k, a, b, c in _attribute.findall(attributes)} if attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         role = found.get("role", "").lower()
-        self.name = name
-        self.sign = f"{name}.{found['class'].split()[0]}" if found.get("class", "").split() else name
-        self.path = f"{parent.path}/{self.sign}" if parent else self.sign
+        sign = f"{name}.{found['class'].split()[0]}" if found.get("class", "").split() else name
+        path = f"{parent.path}/{sign}" if parent and parent.path else sign
+        self.path = path if len(path) <= 400 else f"{blake2b(path.encode('utf-8', 'replace'), digest_size=12).hexdigest()}/{sign}"  # nesting may be deep
+        self.name, self.kids = name, set()
         self.link = name == "a" or bool(parent and parent.link)
         #: 2 inside an article, 1 inside a main part
         self.main = max(parent.main if parent else 0, 2 if name == "article" else 1 if name == "main" or role == "main" else 0)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        words = READERS if name in ("html", "body", "main", "article") else OUT_WORDS
-        own = name in OUT_TAGS or (name == "header" and self.main == 0) or role in OUT_ROLES or hidden or bool(names and name not in ("html", "body") and words.search(names))
-        self.out = own or bool(parent and parent.out)
+        whole = name in ("html", "body", "main", "article")
+        readers = bool(names) and not whole and READERS.search(names)
+        self.out = bool(parent and parent.out) or name in OUT_TAGS or (name == "header" and self.main == 0) or role in OUT_ROLES or hidden or bool(readers)
+        own = 0.0 if whole or not names else FURNITURE if FURNITURE_NAMES.search(names) else DOUBTFUL if DOUBTFUL_NAMES.search(names) else 0.0
+        self.weight = min(own, parent.weight if parent else 0.0)
+        self.judge = self if parent is None or name in BLOCKS or own < 0 else parent.judge
+
+
+class Slot:
+    """A filled slot of a page: the element that judges it, its text, the characters of that inside links, and its block's number."""
+
+    __slots__ = ("block", "element", "links", "text")
 
+    def __init__(self, element: Element, text: str, links: int, block: int):
+        self.element, self.text, self.links, self.block = element, text, links, block
 
-ROOT = Element("", "", None)
 
+def parse(page: str | None) -> tuple[list[Slot], dict[str, int], set[str]]:
+    """The filled slots in order, the places of the items' paths in order of their first, and the paths that repeat inside one parent."""
+    found, places, again = [], {}, set()
+    root = Element("", "", None)
+    stack, block, parts = [root], 0, []
 
-def stream(page: str) -> list[tuple[str, str, Element]]:
-    """(sign, text, element) for every start tag, text and end tag; sign is "" for a text and "/" before an end's."""
-    out: list[tuple[str, str, Element]] = []
-    stack = [ROOT]
-    at = 0
+    def end() -> None:
+        nonlocal block
+        for judge, texts, links in parts:
+            text = entities.unescape("".join(texts))
+            if text.strip():
+                found.append(Slot(judge, text, links, block))
+        parts.clear()
+        block += 1
+
+    def put(element: Element, text: str) -> None:
+        if not element.out:
+            if not parts or (parts[-1][0] is not element.judge and text.strip()):
+                parts.append([element.judge, [], 0])
+            parts[-1][1].append(text)
+            parts[-1][2] += len(_space.sub(" ", text)) * element.link
+
+    at, page = 0, page or ""
     while at < len(page):
         token = _token.match(page, at)
         at = token.end()
@@ -96,12 +128,15 @@ def stream(page: str) -> list[tuple[str, str, Element]]:
         if name:
             name = name.lower()
             closing, rest = (token[1], token[3]) if token[2] else (token[4], token[6])
+            if name in BLOCKS:
+                end()
+            elif name in ("br", "td", "th", "img", "option"):
+                put(stack[-1], " ")
             if closing:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].name == name:
                         del stack[depth:]
                         break
-                out.append((f"/{name}", "", stack[-1]))
                 continue
             if name in BLOCKS:  # an open paragraph ends where a block begins, and a list item at the next
                 for depth in range(len(stack) - 1, 0, -1):
@@ -111,269 +146,175 @@ def stream(page: str) -> list[tuple[str, str, Element]]:
                     if stack[depth].name in BLOCKS:
                         break
             element = Element(name, rest, stack[-1])
-            out.append((element.sign, "", element))
+            places.setdefault(element.path, len(places))
+            if element.path in stack[-1].kids:
+                again.add(element.path)
+            stack[-1].kids.add(element.path)
             if name in RAW:
-                end = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                close = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
             elif name not in VOID and not rest.endswith("/"):
                 stack.append(element)
         elif not page.startswith("<", token.start()) or token[0] == "<":
-            out.append(("", token[0], stack[-1]))
-    return out
-
-
-# Wrappers: lists of [sign, texts with their pages, optional, pages]; a repeated group is one item whose sign is "+(...)".
-
-
-def mark(text: str) -> str:
-    """What stands for a text in a wrapper: itself, or its start and a digest."""
-    return text if len(text) <= 40 else f"{text[:23]}~{blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
-
-
-def counted(into: dict[str, int], more: dict[str, int], most: int) -> None:
-    """Adds counts; beyond twice ``most`` texts all lose the count of the next after the ``most`` highest."""
-    for text, n in more.items():
-        into[text] = into.get(text, 0) + n
-    if len(into) > 2 * most:
-        less = sorted(into.values(), reverse=True)[most]
-        kept = {text: n - less for text, n in into.items() if n > less}
-        into.clear()
-        into.update(kept)
-
-
-def collapsed(items: list[tuple[str, tuple]]) -> list[tuple[str, tuple]]:
-    """(sign, texts) of a stream with adjoining equal runs of up to RUN signs as one repeated group each, shortest runs first."""
-    for size in range(1, RUN + 1):
-        signs = [sign for sign, _ in items]
-        i, out = 0, []
-        while i < len(items):
-            run = signs[i : i + size]
-            j = i + size
-            while len(run) == size and signs[j : j + size] == run:
-                j += size
-            if j > i + size and any(run):
-                out.append((f"+({' '.join(x or '#' for x in run)})", tuple(x for _, texts in items[i:j] for x in texts)))
-                i = j
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
-
-
-def aligned(wrapper: list[list], other: list[list]) -> list[list]:
-    """The wrapper of both: common items stay, texts that differ become slots, what one side lacks becomes optional."""
-    single = lambda sign: sign[2:-1].replace("#", "") if sign.startswith("+(") and " " not in sign else sign  # noqa: E731  a group of one token also stands for the token
-    a, b = [single(x[0]) for x in wrapper], [single(x[0]) for x in other]
-    out: list[list] = []
-    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            for x, y in zip(wrapper[i:j], other[k:m], strict=True):
-                counted(x[1], y[1], TEXTS)
-                out.append([max(x[0], y[0], key=len), x[1], x[2] or y[2], x[3] + y[3]])
-        else:
-            out.extend([x[0], x[1], True, x[3]] for x in wrapper[i:j])
-            if len(wrapper) < ITEMS:
-                out.extend([y[0], y[1], True, y[3]] for y in other[k:m])
-    return out
-
-
-def expression(wrapper: list[list]) -> str:
-    """The wrapper as a union-free regular expression over tags, with ``#`` for a slot."""
-    return " ".join((x[0] or (repr(next(iter(x[1]))) if list(x[1].values()) == [x[3]] else "#")) + "?" * x[2] for x in wrapper)
-
-
-def flat(sign: str) -> list[str]:
-    """The tokens of an item, those of a group once."""
-    return [part.replace("+(", "").replace(")", "") for part in sign.split(" ")] if sign else ["#"]
-
-
-class Host:
-    """What is known of one host: its wrapper, its pages, the pages of its texts, and per place of a text the characters inside and outside links."""
-
-    def __init__(self, wrapper: list[list] | None = None, places: dict | None = None, pages: int = 0, texts: dict | None = None):
-        self.wrapper, self.places, self.pages, self.texts, self.shapes = wrapper, places or {}, pages, texts or {}, {}
-
-    def learn(self, tokens: list[tuple[str, str, Element]]) -> None:
-        if not tokens:  # an empty page has no shape
-            return
-        items: list[tuple[str, tuple]] = []
-        for sign, text, element in tokens:
-            if not sign:
-                text = _space.sub(" ", text).strip()
-                if not text:
-                    continue
-                if element.main == 0 and not element.out:
-                    place = self.places.setdefault(element.path, [0, 0])
-                    place[element.link] += len(text)
-                items.append(("", (mark(text),)))
-            else:
-                items.append((sign, ()))
-        self.pages += 1
-        counted(self.texts, dict.fromkeys((x for _, texts in items for x in texts), 1), HOST_TEXTS)
-        page = [[sign, dict.fromkeys(texts, 1), False, 1] for sign, texts in collapsed(items)]
-        key = " ".join(x[0] or "#" for x in page)
-        known = self.shapes.get(key)
-        if known is None:  # a new shape is aligned later; the same shape again only adds to its counts
-            self.shapes[key] = page
-        else:
-            for x, y in zip(known, page, strict=True):
-                x[3] += 1
-                if y[1]:
-                    counted(x[1], y[1], TEXTS)
-
-    def done(self) -> Host:
-        for page in self.shapes.values():
-            self.wrapper = page if self.wrapper is None else aligned(self.wrapper, page)
-        self.shapes = {}
-        return self
-
-    def merge(self, other: Host) -> None:
-        self.wrapper = aligned(self.wrapper, other.wrapper) if self.wrapper and other.wrapper else self.wrapper or other.wrapper
-        self.pages += other.pages
-        counted(self.texts, other.texts, HOST_TEXTS)
-        for path, (plain, link) in other.places.items():
-            place = self.places.setdefault(path, [0, 0])
-            place[0] += plain
-            place[1] += link
-
-    def templates(self) -> set[str]:
-        return {text for text, n in self.texts.items() if n >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * self.pages)}
-
-    def reading(self) -> list[list]:
-        """(sign, template texts) of the items that pages are aligned with."""
-        known = self.templates()
-        return [[x[0], sorted(known.intersection(x[1]))] for x in self.wrapper or [] if x[3] >= READ_SHARE * self.pages] if known else []
-
-    def menus(self) -> set[str]:
-        return {path for path, (plain, link) in self.places.items() if link > LINKS * (plain + link)}
+            put(stack[-1], token[0])
+    end()
+    return found, places, again
 
 
-class Reader:
-    """A host's wrapper, for telling its template texts from what fills its slots; pages of one shape are aligned once."""
-
-    def __init__(self, wrapper: list[list]):
-        self.known = frozenset(text for _, texts in wrapper for text in texts)
-        self.tokens, self.texts = [], []
-        for sign, texts in wrapper:
-            own = frozenset(texts)
-            for token in flat(sign):
-                self.tokens.append(texts[0] if not sign and texts else token)
-                self.texts.append(own)
-        self.shapes: dict[tuple, list] = {}
-
-    def template(self, tokens: list[tuple[str, str, Element]]) -> set[int]:
-        """The places in a page's stream that hold template texts."""
-        if not self.known:
-            return set()
-        items: list[tuple[str, tuple]] = []
-        for at, (sign, text, _) in enumerate(tokens):
-            text = "" if sign else _space.sub(" ", text).strip()
-            if sign or text:
-                items.append((sign, () if sign else ((at, mark(text)),)))
-        if not any(own in self.known for _, texts in items for _, own in texts):
-            return set()
-        page = collapsed(items)
-        single = [texts[0][1] if not sign and texts[0][1] in self.known else None for sign, texts in page]
-        shape = tuple(s or x[0] for s, x in zip(single, page, strict=True))
-        found = self.shapes.get(shape)
-        if found is None:
-            own = [(i, token) for i, (sign, _) in enumerate(page) for token in ([single[i]] if single[i] else flat(sign))]
-            found = [frozenset()] * len(page)
-            for i, j, n in SequenceMatcher(None, self.tokens, [token for _, token in own], autojunk=False).get_matching_blocks():
-                for k in range(n):
-                    found[own[j + k][0]] |= self.texts[i + k]
-            if len(self.shapes) >= 1000:
-                self.shapes.clear()
-            self.shapes[shape] = found
-        return {at for (_, texts), own in zip(page, found, strict=True) for at, text in texts if text in own}
-
-
-NO_WRAPPER = Reader([])
-
-
-def main_text(page: str | None, reader: Reader = NO_WRAPPER, menus: frozenset | set = frozenset()) -> str:
-    """The blocks of the main text, in page order, joined by an empty line."""
-    if not page:
-        return ""
-    tokens = stream(page)
-    template = reader.template(tokens)
-    return placed(tokens, template, menus) or (placed(tokens, set(), menus) if template else "")
-
-
-def placed(tokens: list[tuple[str, str, Element]], template: set[int], menus: frozenset | set) -> str:
-    """The texts of a stream that stand in places of main text and are not template."""
-    marked = max((e.main for sign, text, e in tokens if not sign and not e.out and text.strip()), default=0)
-    blocks, now = [], []
+def mark(text: str) -> int:
+    """A text's digest, whatever its white space."""
+    return int.from_bytes(blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    def end() -> None:
-        block = _space.sub(" ", entities.unescape("".join(now))).strip()
-        if block:
-            blocks.append(block)
-        now.clear()
-
-    for at, (sign, text, element) in enumerate(tokens):
-        if not sign:
-            if element.out or element.main < marked or at in template or (marked == 0 and element.path in menus):
-                continue
-            now.append(text)
-        else:
-            name = sign.lstrip("/").split(".")[0]
-            if name in BLOCKS:
-                end()
-            elif name in ("br", "td", "th", "img", "option"):
-                now.append(" ")
-    end()
-    return "\n\n".join(blocks)
+
+def signature(found: list[tuple[int, int]]) -> int:
+    """One of a page's (digest, length), drawn by length: pages that share most of their text mostly draw the same."""
+    return min(((-math.log(((digest & (2**52 - 1)) + 1) / (2**52 + 1)) / length, digest) for digest, length in found), default=(0.0, 0))[1]
+
+
+def evidence(filled: float, different: float, chars: float, links: float) -> float:
+    """What the pages say of a slot, from how often it is filled, with how many texts, of how many characters, so many inside links."""
+    length = math.log2(max(chars, 1) / max(filled, 1) / EVEN)
+    return min(max(length, SHORTEST), LONGEST) - REPEATED * max(0.0, filled - different) / (filled + 2) - LINKED * min(1.0, links / max(chars, 1))
+
+
+class Reader:
+    """A host's wrapper as it is used for reading: the counts of its slots, and the shares of its template texts."""
+
+    def __init__(self, known: str | None = None):
+        told = json.loads(known) if known else {}
+        self.slots = {s["path"]: (s["filled"], s["different"], s["chars"], s["links"]) for s in told.get("slots") or ()}
+        self.templates = {(t["path"], t["text"]): t["share"] for t in told.get("templates") or ()}
+
+    def weigh(self, page: str | None) -> list[tuple[Slot, float]]:
+        """The filled slots of a page with their weights."""
+        found, _, _ = parse(page)
+        marked = max((s.element.main for s in found), default=0)
+        own: dict[str, list[int]] = {}
+        for s in found:
+            counts = own.setdefault(s.element.path, [0, 0, 0, 0])
+            for i, n in enumerate((1, 1, len(s.text), s.links)):
+                counts[i] += n
+        out = []
+        for s in found:
+            prior = BASE + s.element.weight + (0.0, MAIN, ARTICLE)[s.element.main] + (BESIDE if s.element.main < marked else 0.0)
+            share = self.templates.get((s.element.path, mark(s.text)), 0.0) if self.templates else 0.0
+            out.append((s, prior + evidence(*(self.slots.get(s.element.path) or own[s.element.path])) - TEMPLATE * share))
+        return out
+
+    def text(self, page: str | None) -> str:
+        """The page's main text: the slots that count, in page order, blocks joined by an empty line."""
+        kept = [s for s, weight in self.weigh(page) if weight > 0]
+        if not kept and self.slots:
+            return Reader().text(page)
+        out: dict[int, list[str]] = {}
+        for s in kept:
+            out.setdefault(s.block, []).append(s.text)
+        return "\n\n".join(x for x in (_space.sub(" ", "".join(texts)).strip() for texts in out.values()) if x)
+
+
+def main_text(page: str | None, reader: Reader | None = None) -> str:
+    """The main text of a page, by its host's wrapper or, without one, by the page alone."""
+    return (reader or Reader()).text(page)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, reading (JSON), menus and expression: inferred from every page."""
-
-    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hosts: dict[str, Host] = {}
-        n = 0
-        for batch in batches:
-            for name, page in zip(batch["host"], batch["html"], strict=True):
-                hosts.setdefault(name, Host()).learn(stream(page or ""))
-            n += len(batch)
-            if n >= PART_PAGES:  # partial wrappers may be given at any time
-                yield told(hosts)
-                hosts, n = {}, 0
-        yield told(hosts)
+READ = "host string, path string, text long, sign long, n long, chars long, links long, place long, again boolean"
 
-    def told(hosts: dict[str, Host]) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(hosts), "known": [json.dumps([h.done().wrapper, h.places, h.pages, h.texts]) for h in hosts.values()]}, dtype=object)
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        whole = Host()
-        for known in sorted(group["known"]):
-            whole.merge(Host(*json.loads(known)))
-        return pd.DataFrame({"host": group["host"].iloc[:1], "reading": [json.dumps(whole.reading())], "menus": [sorted(whole.menus())], "expression": [expression(whole.wrapper or [])]})
+def items(pages: DataFrame) -> DataFrame:
+    """What every page gives: a row for each text of a slot (and one with an empty path for itself) with the page's signature, and counts of its items."""
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(infer, "host string, known string")
-    return parts.groupBy("host").applyInPandas(merged, "host string, reading string, menus array<string>, expression string")
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            counts: dict[tuple[str, str], list] = {}
+            for host, page in zip(batch["host"], batch["html"], strict=True):
+                found, places, again = parse(page)
+                texts = [(mark(s.text), len(s.text)) for s in found]
+                if not places and not texts:
+                    continue
+                sign = signature(texts)
+                rows.append((host, "", 0, sign, None, 0, 0, None, None))
+                rows.extend({(host, s.element.path, text, sign, None, n, s.links, None, None) for s, (text, n) in zip(found, texts, strict=True)})
+                for path, place in places.items():
+                    item = counts.setdefault((host, path), [0, 0, False])
+                    item[0], item[1], item[2] = item[0] + 1, item[1] + place, item[2] or path in again
+            rows.extend((host, path, None, None, n, None, None, place, again) for (host, path), (n, place, again) in counts.items())
+            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in READ.split(", ")], dtype=object)
+            yield out.astype({**dict.fromkeys(("text", "sign", "n", "chars", "links", "place"), "Int64"), "again": "boolean"})
+
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(each, READ)
+
+
+def expression(shape: list[tuple[str, int, int, bool]]) -> str:
+    """The wrapper as a union-free regular expression over tags, from (path, pages, place, again) of its items; ``?`` optional, ``+`` repeated, ``#`` a slot."""
+    below: dict[str, list] = {}
+    known = {path: pages for path, pages, _, _ in shape}
+    for path, pages, place, again in shape:
+        below.setdefault(path.rpartition("/")[0], []).append((place / pages, path, pages, again))
+
+    def told(at: str, most: int) -> str:
+        parts = []
+        for _, path, pages, again in sorted(below.get(at, ())):
+            sign = path.rpartition("/")[2]
+            inner = told(path, known.get(path, most)) or "#"
+            parts.append((f"({sign} {inner} /{sign.partition('.')[0]})+" if again else f"{sign} {inner} /{sign.partition('.')[0]}" if pages == most else f"({sign} {inner} /{sign.partition('.')[0]})") + "?" * (pages < most))
+        return " ".join(parts)
+
+    return told("", max((pages for _, pages, _, _ in shape), default=0))
+
+
+def wrappers(pages: DataFrame, stages) -> DataFrame:
+    """host and reading (JSON of slots and template texts): inferred from every page."""
+    return _wrappers(stages.keep(items(pages), "items"))
+
+
+def _wrappers(read: DataFrame) -> DataFrame:
+    # a text counts once for all pages of one signature
+    once = read.where("text is not null").groupBy("host", "path", "text", "sign").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    texts = once.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links"))
+    whole = once.where("path = ''").groupBy("host").agg(F.count("*").alias("pages"))
+    slots = texts.where("path <> ''").groupBy("host", "path").agg(
+        F.sum("n").alias("filled"), F.count("*").alias("different"), F.sum(F.col("chars") * F.col("n")).alias("chars"), F.sum(F.col("links") * F.col("n")).alias("links"),
+        F.collect_list(F.when(F.col("n") >= TEMPLATE_PAGES, F.struct("text", "n"))).alias("often"),
+    )
+    # slots that a hundredth of the pages fill and texts that a fifth have: a bounded number of times what one page holds
+    many = slots.join(whole, "host").where((F.col("filled") >= 2) & (F.col("filled") >= SLOT_SHARE * F.col("pages")))
+    share = lambda t: (t["n"] - 1) / (F.col("pages") + 1)
+    often = F.transform(F.filter("often", lambda t: share(t) >= TEMPLATE_SHARE), lambda t: F.struct(F.col("path").alias("path"), t["text"].alias("text"), share(t).alias("share")))
+    known = many.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "filled", "different", "chars", "links"))).alias("slots"), F.sort_array(F.flatten(F.collect_list(often))).alias("templates"))
+    return known.select("host", F.to_json(F.struct("slots", "templates")).alias("reading"))
+
+
+def expressions(pages: DataFrame, stages) -> DataFrame:
+    """host and its wrapper as a regular expression; items that less than SLOT_SHARE of the host's pages have are left out of the text."""
+    read = stages.keep(items(pages), "items").where("n is not null")
+    shape = read.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum("place").alias("place"), F.max("again").alias("again"))
+    most = shape.groupBy("host").agg(F.max("pages").alias("most"))
+    shape = shape.join(most, "host").where(F.col("pages") >= SLOT_SHARE * F.col("most"))
+    told = lambda group: pd.DataFrame({"host": group["host"].iloc[:1], "expression": [expression(list(group[["path", "pages", "place", "again"]].itertuples(index=False, name=None)))]})
+    return shape.groupBy("host").applyInPandas(told, "host string, expression string")
 
 
 def extract(pages: DataFrame, stages) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``."""
-    known = stages.keep(wrappers(pages).select("host", "reading", "menus"), "wrappers")
+    known = stages.keep(wrappers(pages, stages), "wrappers")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers: dict[str, Reader] = {}
+        readers: dict[str | None, Reader] = {}
         for batch in batches:
             if len(readers) > 1000:
                 readers = {}
-            for known in batch["reading"].dropna().unique():
-                if known not in readers:
-                    readers[known] = Reader(json.loads(known))
-            texts = [main_text(page, readers.get(w, NO_WRAPPER), frozenset(m) if m is not None else frozenset()) for page, w, m in zip(batch["html"], batch["reading"], batch["menus"], strict=True)]
+            texts = []
+            for page, told in zip(batch["html"], batch["reading"], strict=True):
+                if told not in readers:
+                    readers[told] = Reader(told)
+                texts.append(readers[told].text(page))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], dtype=np.int64)})
 
-    rows = pages.select(id_in("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "reading", "menus")
+    rows = pages.select(id_in("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "reading")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(read, "page_id long, url string, text string, n_chars long").withColumn("page_id", id_out("page_id").cast(kind))

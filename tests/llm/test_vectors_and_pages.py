@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from sievewright.llm import extraction, neighbours
 from sievewright.llm.common import Stages
 
@@ -14,7 +16,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
     rows = [(i, v.tolist(), "extra") for i, v in enumerate(x)]
     rows += [(3000, None, ""), (3050, [0.0] * 32, ""), (3100, [float("nan")] * 32, ""), (3150, [None] * 32, ""), (3200, [], ""), (None, [1.0] * 32, ""), (3250, [1.0, 2.0], "")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), Stages(spark)).collect()
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hits = 0
     for q in range(0, 3000, 50):
@@ -33,8 +35,51 @@ def test_neighbours_recall_and_odd_vectors(spark):
 
 def test_neighbours_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    assert [r["vec_id"] for r in sorted(neighbours.nearest(few, few.where("vec_id = 0")).collect(), key=lambda r: r["rank"])] == [1, 2]
-    assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
+    assert [r["vec_id"] for r in sorted(neighbours.nearest(few, few.where("vec_id = 0"), Stages(spark)).collect(), key=lambda r: r["rank"])] == [1, 2]
+    assert neighbours.nearest(few.limit(0), few.limit(0), Stages(spark)).count() == 0
+
+
+def exact(x, ids, q, k=5):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    score = unit @ unit[q]
+    score[q] = -2
+    return set(ids[np.lexsort((ids, -np.round(score, 12)))[:k]].tolist())
+
+
+def test_neighbours_of_clusters_come_from_few_candidates(spark):
+    """Recall against brute force, and how much of the table a query is given, on clustered vectors and with a third of all rows near-equal."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 48))
+    x = centres[rng.integers(0, 200, 6000)] + 0.15 * rng.normal(size=(6000, 48))
+    x[::3] = centres[0] + 0.01 * rng.normal(size=(2000, 48))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    queries, stages = vectors.where("vec_id % 50 = 0"), Stages(spark)
+    got = {}
+    for r in neighbours.nearest(vectors, queries, stages).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[q] & exact(x, np.arange(6000), q)) for q in range(0, 6000, 50))
+    assert hits >= 0.9 * 5 * 120
+    calm = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if i % 3], "vec_id long, embedding array<double>")
+    points = calm.select("embedding", F.array("vec_id").alias("ids"), F.lit(48).alias("dim"))
+    setting = neighbours.fit(points, calm.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(48).alias("dim")), 4000, 5)[48]
+    assert setting.recall >= 0.9 and setting.share < 0.1
+
+
+def test_neighbours_on_both_sides_of_a_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8))
+    x[:300] = x[0] + 0.001 * rng.normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())], "vec_id long, embedding array<double>").cache()
+    setting, told = {8: neighbours.Setting(6, 2.4, 8, 60)}, []
+    for shelf, queries in ((1 << 20, 1 << 20), (64, 4)):
+        monkeypatch.setattr(neighbours, "SHELF", shelf)
+        monkeypatch.setattr(neighbours, "QUERIES", queries)
+        rows = neighbours.nearest(vectors, vectors.where("vec_id % 30 = 0"), Stages(spark), settings=setting).collect()
+        told.append(sorted((r["query_id"], r["rank"], r["vec_id"]) for r in rows))
+    assert told[0] == told[1] and len(told[0]) == 5 * 30
+    none = {8: neighbours.Setting(20, 0.01, 8, 1)}  # buckets outside the cluster hold nobody else: those queries are held against everything
+    rows = neighbours.nearest(vectors, vectors.where("vec_id % 30 = 0"), Stages(spark), settings=none).collect()
+    assert all({r["vec_id"] for r in rows if r["query_id"] == q} == exact(x, np.arange(900), q) for q in range(300, 900, 30))
 
 
 def page(i, body):
@@ -63,8 +108,8 @@ def test_wrappers_and_extraction(spark):
     assert got[60]["text"] == "alone"
     assert got[61]["text"] == got[None]["text"] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
-    shape = {r["host"]: r["expression"] for r in extraction.wrappers(pages).collect()}["a.example"]
-    assert "+(p # /p)" in shape
+    shape = {r["host"]: r["expression"] for r in extraction.expressions(pages, Stages(spark)).collect()}["a.example"]
+    assert "(p # /p)+" in shape and "nav a # /a /nav" in shape
     assert extraction.extract(pages.limit(0), Stages(spark)).count() == 0
 
 
@@ -88,3 +133,42 @@ def test_template_texts_by_their_share_of_a_host(spark):
         assert all(got[i] == f"text {i}" for i in (*range(6), *range(10, 50)))
         assert got[100] == "Cut"
         assert got[101] == "odd one"
+
+
+def test_names_are_only_a_prior():
+    text, long = extraction.main_text, "A long sentence of an article that goes on for some time. " * 6
+    assert text(page(1, f'<article><div class="alert social widget"><p>{long}</p></div><div class="related search banner"><p>{long}!</p></div></article>')) == f"{long.strip()}\n\n{long.strip()} !"
+    assert text(page(1, '<article><p>See <a href=x>this</a> now</p><div class="sponsored">Buy now</div></article>')) == "See this now"
+    assert text(page(1, "<div><p>Words of a page that marks nothing.</p></div><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul>")) == "Words of a page that marks nothing."
+
+
+def test_wrappers_change_what_is_read_and_order_does_not(spark):
+    """Pages without any mark of an article: the host's pages tell the slots of its frame from those of its texts."""
+    frame = "<div class=a><p>Read us every day, in print and on the web</p></div>"
+    rows = [(i, "https://plain.example/x", f"<html><body>{frame}<div class=b><p>Text number {i} with words of its own {i * 7}</p><p>{'More of it. ' * (i % 5)}{i}</p></div><div class=c>{('Sun', 'Rain', 'Snow')[i % 3]} in the town today</div></body></html>", "") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    alone = {r[0]: extraction.main_text(r[2]) for r in rows}
+    told = []
+    for parts in (1, 5):
+        dealt = pages.repartition(parts).orderBy(F.rand(parts))
+        told.append({r["page_id"]: r["text"] for r in extraction.extract(dealt, Stages(spark)).collect()})
+    assert told[0] == told[1]
+    assert all("Read us" in alone[i] and "Read us" not in told[0][i] and "town today" not in told[0][i] and told[0][i].startswith(f"Text number {i} ") for i in range(60))
+
+
+def test_near_copies_of_a_page_are_no_template(spark):
+    body = [f"<p>{' '.join(f'word{i}x{j}' for j in range(40))}</p>" for i in range(8)]
+    rows = [(i, "https://copies.example/x", page(i, f"<article>{''.join(body[:3])}<p>edit {i} {'z' * 30}</p>{''.join(body[4:])}</article>"), "") for i in range(30)]
+    rows += [(100 + i, "https://copies.example/y", page(i, f"<article><p>{' '.join(f'other{i}y{j}' for j in range(60))}</p></article>"), "") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages, Stages(spark)).collect()}
+    assert all(got[r[0]] == extraction.main_text(r[2]) for r in rows)
+
+
+def test_very_long_and_deep_pages(spark):
+    deep = "<div>" * 3000 + "deep text here" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>paragraph {i} of many</p>" for i in range(20000)) + "</article>"
+    pages = spark.createDataFrame([(1, "https://x.example/", page(1, deep), ""), (2, "https://x.example/", page(2, long), "")], "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages, Stages(spark)).collect()}
+    assert got[1] == "deep text here"
+    assert got[2].count("\n\n") == 19999

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
-from .scan import FINDINGS, is_placeholder, redact, secret_hash
+from .scan import FINDINGS, byte_places, is_placeholder, redact, secret_hash
 
 _url, _user, _password = (re.compile(p) for p in (fixed.URL_USERINFO, fixed.USER_LINE, fixed.PASSWORD_LINE))
-#: What a text with a pair has: a URL's userinfo, an assignment at a line's start, or an object.
-HINT = "(?iU)://[^:\\s/@]+:[^@\\s/]+@|(?:pass|secret|key|pwd)[^\\n]{0,40}[:=]"
+#: What a text with a pair has: a URL's userinfo, a password's name before its sign, or an object's start. Both engines' ideas of white space are let through.
+HINT = "(?iU)://[^:\\s/@]+:[^@\\s/]+@|(?:pass(?:word|wd)?|secret|key)[\\s\\x1C-\\x1F]*[:=]|^[\\s\\x1C-\\x1F]*\\{"
 
 
 def cut(text: str, limit: int = fixed.PAIR_BYTES) -> str:
@@ -24,6 +25,15 @@ def cut(text: str, limit: int = fixed.PAIR_BYTES) -> str:
     return text if len(raw) <= limit else raw[:limit].decode(errors="ignore")
 
 
+def encodable(text: str) -> bool:
+    """Whether a text out of JSON is Unicode: an escaped lone surrogate is not."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _first(pattern: re.Pattern[str], text: str) -> list[re.Match[str]]:
     out = []
     for found in pattern.finditer(text):
@@ -45,31 +55,25 @@ def pairs(text: str) -> list[tuple[str, str, str]]:
 
     for m in _first(_url, text):
         add(m[1], m[2], "url")
-    plain = text.isascii()
-    at = lambda i: i if plain else len(text[:i].encode())
+    at = byte_places(text)
     users = [(at(m.start(1)), m[1]) for m in _first(_user, text)]
     secrets = [(at(m.start(1)), m[1]) for m in _first(_password, text)]
-    low = 0
-    for place, user in users:  # both lists are in order of place, so the window only moves on
-        while low < len(secrets) and secrets[low][0] < place - fixed.PAIR_DISTANCE:
-            low += 1
-        k = low
-        while k < len(secrets) and secrets[k][0] <= place + fixed.PAIR_DISTANCE:
-            if not add(user, secrets[k][1], "proximity") and len(out) >= fixed.PAIR_HITS:
+    places = [place for place, _ in users]
+    for place, password in secrets:  # password by password, each with the users in its window in order of place
+        for user in users[bisect_left(places, place - fixed.PAIR_DISTANCE) : bisect_right(places, place + fixed.PAIR_DISTANCE)]:
+            if not add(user[1], password, "proximity") and len(out) >= fixed.PAIR_HITS:
                 return out
-            k += 1
-    body = text.strip()
-    if body.startswith("{") and body.endswith("}"):
+    if text.lstrip().startswith("{"):
         try:
-            whole = json.loads(body)
-        except ValueError:
+            whole = json.loads(text)
+        except (ValueError, RecursionError):  # no JSON, or nested beyond what can be read
             whole = None
         if isinstance(whole, dict):
             known = set()
             for u in fixed.JSON_USER_KEYS:
                 for p in fixed.JSON_PASSWORD_KEYS:
                     user, password = whole.get(u), whole.get(p)
-                    if isinstance(user, str) and isinstance(password, str) and user and password and (user, password) not in known:
+                    if isinstance(user, str) and isinstance(password, str) and user and password and (user, password) not in known and encodable(user) and encodable(password):
                         known.add((user, password))
                         add(user, password, "json")
     return out
@@ -88,7 +92,7 @@ def detect(segments: DataFrame, floor: str = "low") -> DataFrame:
                     rows.append((key, ord_, path, kind, 1, 0, i, "credential_pair", "high", "high", redact(password), secret_hash(password), f"username={shown} password=[REDACTED:credential_pair]", 0, 0, shown, [], None))
             yield pd.DataFrame(rows, columns=names)
 
-    wanted = segments.select("issue_key", "seg_ord", "field_path", "text", "source_type").where(F.col("text").isNotNull() & (F.col("text").rlike(HINT) | F.trim("text").rlike("(?s)^\\{.*\\}$")))
+    wanted = segments.select("issue_key", "seg_ord", "field_path", "text", "source_type").where(F.col("text").rlike(HINT))
     return wanted.mapInPandas(kernel, FINDINGS)
 
 

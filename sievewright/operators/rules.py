@@ -59,6 +59,13 @@ class Rule:
         except re.error as error:
             raise RuleError(f"rule {self.rule_id}: {error}") from error
 
+    @cached_property
+    def closing(self) -> re.Pattern[str] | None:
+        """Where a match may end: a look-ahead for what follows a lazy stretch, if the pattern ends with plain text behind one."""
+        head, lazy, tail = self.regex.rpartition(".*?")
+        plain = lazy and tail and re.fullmatch(r"[\w -]*(?:\(\?:[\w |]*\)\??[\w -]*)?", tail)
+        return re.compile(f"(?=({tail}))", self.pattern.flags) if plain and head.count("(") == head.count(")") else None
+
     @cached_property
     def placeholders(self) -> tuple[str, ...]:
         return (() if self.disable_default_placeholders else fixed.PLACEHOLDERS_CONTAINED) + tuple(w.lower() for w in self.ignore_if_contains)

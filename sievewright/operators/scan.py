@@ -11,8 +11,9 @@ import hashlib
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,11 +104,25 @@ def adjusted(base: str, context: bool, random_looking: bool, placeholder: bool)
     return levels[base][context + random_looking]
 
 
+def byte_places(text: str) -> Callable[[int], int]:
+    """The byte offset of a character offset; counted once for the whole text."""
+    if text.isascii():
+        return lambda i: i
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    places = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=places[1:])
+    return lambda i: int(places[i])
+
+
 def matches(rule: Rule, text: str) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, value start, value end) in characters, by the cursor rule."""
-    cursor = 0
+    cursor, last = 0, None
+    if rule.closing:  # no match can begin behind the last closing mark, where a lazy pattern would try every opening to the text's end
+        last = max((m.end(1) for m in rule.closing.finditer(text)), default=-1)
     while cursor <= len(text):
-        rest = text[cursor:] if cursor else text
+        if last is not None and cursor > last:
+            return
+        rest = text[cursor:last] if cursor or last is not None else text
         found = rule.pattern.search(rest)
         if found is None:
             return
@@ -121,31 +136,52 @@ def matches(rule: Rule, text: str) -> Iterator[tuple[int, int, int, int]]:
         cursor += found.end()
 
 
+class Masker:
+    """Snippets around the hits of one text, with no hit's value left in them.
+
+    A snippet is short, so only values that occur in its bytes can show, and those are found through the runs of four bytes
+    that they begin with. Values of fewer bytes are few, as there are few such strings, and all are tried.
+    """
+
+    def __init__(self, raw: bytes, values: list[tuple[str, str]]):
+        self.raw, self.short, self.starts = raw, [], {}
+        for value, rule_id in dict.fromkeys(values):
+            key = value.encode()
+            if value:
+                (self.short if len(key) < 4 else self.starts.setdefault(key[:4], [])).append((value, rule_id))
+
+    def near(self, text: str) -> list[tuple[str, str]]:
+        """The values that stand in a text, longest first."""
+        raw = text.encode()
+        found = {x for i in {raw[i : i + 4] for i in range(len(raw) - 3)} for x in self.starts.get(i, ()) if x[0] in text}
+        found.update(x for x in self.short if x[0] in text)
+        return sorted(found, key=lambda x: (-len(x[0]), x))
+
+    def snippet(self, start: int, end: int, rule_id: str, value: str) -> str:
+        a, b = window(self.raw, start, end)
+        before, after = self.raw[a:start].decode(errors="ignore"), self.raw[end:b].decode(errors="ignore")
+        out = f"{before}{marker_for(rule_id, value)}{after}"
+        for other, of in self.near(out):
+            if other in out:
+                out = out.replace(other, marker_for(of, other))
+        return out.replace(value, marker_for(rule_id, value)) if value and value in out else out
+
+
 def masked(raw: bytes, start: int, end: int, rule_id: str, value: str, others: list[tuple[str, str]]) -> str:
     """The snippet around a value with it, its sibling hits' values and any other occurrence replaced."""
-    a, b = window(raw, start, end)
-    before, after = raw[a:start].decode(errors="ignore"), raw[end:b].decode(errors="ignore")
-    out = f"{before}{marker_for(rule_id, value)}{after}"
-    for other, of in sorted({*others, (value, rule_id)}, key=lambda x: (-len(x[0]), x)):
-        if other and other in out:
-            out = out.replace(other, marker_for(of, other))
-    return out
+    return Masker(raw, [*others, (value, rule_id)]).snippet(start, end, rule_id, value)
 
 
 def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist: list[Entry], floor: str, drops: bool) -> list[tuple]:
     """Hits of all rules in one text, in rule and match order; with ``drops`` also those dropped, with the reason."""
-    raw = text.encode()
-    ascii_only = len(raw) == len(text)
-    at = (lambda i: i) if ascii_only else lambda i: len(text[:i].encode())
+    raw, at = text.encode(), byte_places(text)
     hits = []
     for rule_ord, rule in enumerate(rules):
-        if rule.rule_id == "private_key_block" and "-----END" not in text:  # a lazy match would try every opening
-            continue
         for hit_ord, (s, e, vs, ve) in enumerate(matches(rule, text)):
             value = text[vs:ve]
             bs, be, start, end = at(vs), at(ve), at(s), at(e)
             near = (lambda x, y: raw[slice(*window(raw, x, y))].decode(errors="ignore"))
-            why = rejection(rule, value, near(bs, be))
+            why = rejection(rule, value, near(bs, be) if rule.context_keywords else "")
             level = rule.confidence
             if why is None:
                 allowed, reason = check(allowlist, value, rule.rule_id, issue_key, path)
@@ -156,9 +192,9 @@ def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist
                 elif fixed.CONFIDENCES.index(level) < fixed.CONFIDENCES.index(floor):
                     why = "min_confidence"
             hits.append((rule_ord, hit_ord, rule, level, value, bs, be, start, end, why))
-    values = [(h[4], h[2].rule_id) for h in hits if h[9] is None or drops]
+    masker = Masker(raw, [(h[4], h[2].rule_id) for h in hits if h[9] is None or drops])
     return [
-        (rule_ord, hit_ord, rule.rule_id, rule.severity, level, redact(value), secret_hash(value), masked(raw, bs, be, rule.rule_id, value, values), start, end, list(rule.references), why)
+        (rule_ord, hit_ord, rule.rule_id, rule.severity, level, redact(value), secret_hash(value), masker.snippet(bs, be, rule.rule_id, value), start, end, list(rule.references), why)
         for rule_ord, hit_ord, rule, level, value, bs, be, start, end, why in hits
         if why is None or drops
     ]

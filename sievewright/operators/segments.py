@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,15 +15,19 @@ from ..functions import columns as C
 from ..functions import fixed
 
 
+_surrogate = re.compile("[\ud800-\udfff]")
+
+
 def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path, text) of every string in a JSON value: keys in sorted order, elements by index."""
+    """(path, text) of every string in a JSON value: keys in sorted order, elements by index. A string with an escaped lone surrogate is no text."""
     stack = [(path, value)]
     while stack:
         at, item = stack.pop()
         if isinstance(item, str):
-            yield at, item
+            if not _surrogate.search(item):
+                yield at, item
         elif isinstance(item, dict):
-            stack.extend((f"{at}.{k}" if at else k, item[k]) for k in sorted(item, key=lambda k: k.encode(), reverse=True))
+            stack.extend((f"{at}.{k}" if at else k, item[k]) for k in sorted((k for k in item if not _surrogate.search(k)), key=lambda k: k.encode(), reverse=True))
         elif isinstance(item, list):
             stack.extend((f"{at}[{i}]", item[i]) for i in range(len(item) - 1, -1, -1))
 
@@ -39,7 +44,7 @@ def walk(records: DataFrame, root: str = "", max_kb: int = 2048) -> DataFrame:
             for key, text in zip(batch["issue_key"], batch["fields"], strict=True):
                 try:
                     value = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):  # no JSON, or nested beyond what can be read
                     value = None
                 rows.extend((key, i, path, leaf) for i, (path, leaf) in enumerate(leaves(value, root)))
             yield pd.DataFrame(rows, columns=["issue_key", "seg_ord", "field_path", "text"])

@@ -73,30 +73,32 @@ def solve(cells: DataFrame, plan: DataFrame, stages, most: float = MOST) -> Data
     """plan with each source's multiplier. cells: source, size, n. Each Newton step is one job on the executors.
 
     The words taken rise with the multiplier, so every step also narrows a bracket, and a Newton step that
-    leaves the bracket is replaced by its middle. Each step's table is written, which keeps plans short.
+    leaves the bracket is replaced by its middle. Each step's table is written, which keeps plans short; how many sources are
+    not yet close comes with that job.
     """
     at_cap = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     mean = F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1))
     now = plan.select("source", "source_size", "n_docs", "target", F.greatest(mean, F.lit(1.0)).alias("mean"), F.when(~at_cap, F.lit(0.0)).alias("m"), F.lit(-1e3).alias("lo"), F.lit(1e3).alias("hi"), F.lit(None).cast("double").alias("error"))
-    now = stages.keep(now, "multipliers")
+    open_ = {"left": F.count_if(F.col("m").isNotNull() & (F.col("error").isNull() | (F.col("error") > CLOSE)))}
+    now, seen = stages.kept(now, "multipliers", open_)
     for _ in range(STEPS):
-        if now.where("m is not null and (error is null or error > %r)" % CLOSE).isEmpty():
+        if not seen["left"]:
             break
-        joined = cells.alias("c").join(now.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-        z = F.col("c.size") / F.col("s.mean")
-        tilt = rate(F.col("s.m"), F.col("c.size"), F.col("s.mean"), most)
-        words_here = F.col("c.n") * F.col("c.size")
-        step = joined.where("m is not null").groupBy(F.col("s.source").alias("of"), F.lit(1).alias("known")).agg(F.sum(words_here * tilt).alias("got"), F.sum(F.when(tilt < most, words_here * tilt * z).otherwise(0.0)).alias("slope"))
-        told = now.join(step, F.col("source").eqNullSafe(F.col("of")) & F.col("known").isNotNull(), "left")
+        joined = cells.alias("c").join(now.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.*", "c.size", "c.n")
+        z = F.col("size") / F.col("mean")
+        tilt = rate(F.col("m"), F.col("size"), F.col("mean"), most)
+        words_here = F.col("n") * F.col("size")
+        same = [F.max(c).alias(c) for c in now.columns if c != "source"]
+        told = joined.groupBy("source").agg(*same, F.sum(words_here * tilt).alias("got"), F.sum(F.when(tilt < most, words_here * tilt * z).otherwise(0.0)).alias("slope"))
         lo, hi = F.when(F.col("got") < F.col("target"), F.col("m")).otherwise(F.col("lo")), F.when(F.col("got") >= F.col("target"), F.col("m")).otherwise(F.col("hi"))
-        told = told.withColumns({"lo": lo, "hi": hi, "error": F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))})
+        told = told.withColumns({"lo": F.coalesce(lo, "lo"), "hi": F.coalesce(hi, "hi"), "error": F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))})
         newton = F.col("m") + F.when(F.col("slope") > 0, (F.col("target") - F.col("got")) / F.col("slope"))
         inside = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        told = told.withColumn("m", F.when((F.col("error") > CLOSE), inside).otherwise(F.col("m")))
+        told = told.withColumn("m", F.when(F.col("m").isNotNull(), F.when(F.col("error") > CLOSE, inside).otherwise(F.col("m"))))
         told = told.withColumn("error", F.when(F.col("hi") - F.col("lo") < 1e-12, F.lit(0.0)).otherwise(F.coalesce(F.col("error"), F.lit(0.0))))
-        later = stages.keep(told.select(*now.columns), "multipliers")
-        stages.drop(now)
-        now = later
+        before = now
+        now, seen = stages.kept(told.select(*now.columns), "multipliers", open_)
+        stages.drop(before)
     return now
 
 
@@ -158,7 +160,7 @@ def deal(docs: DataFrame, cells: DataFrame) -> DataFrame:
     ahead = F.coalesce(F.sum("rows").over(W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("ahead", ahead)
     placed = known.alias("d").join(counts.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.part") == F.col("p.part")), "left").select("d.*", F.col("p.ahead").alias("ahead"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("mark", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("mark", "doc_id", "row_key"))
     extra = F.col("k") % F.col("n")
     copies = F.floor(F.col("k") / F.col("n")) + F.when((extra > 0) & (F.coalesce(F.col("ahead"), F.lit(0)) + rank <= extra), 1).otherwise(0)
     return placed.withColumn("copies", copies.cast("long")).select("doc_id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,14 +2,16 @@
 
 The sketch of a metric is a histogram over logarithmic buckets: each value falls into bucket
 ``ceil(log(value / LEAST) / log(GAMMA))``, so a quantile read from it is within 1 % of a true one. Adding
-counts merges two sketches exactly, in any order; that gives map-side combination for hot sources, and lets
-a small group fall back on its language's sketch, or on that of all rows. A document is rejected where a
+counts merges two sketches exactly, in any order; that gives map-side combination for hot sources. A group's
+sketch is its own counts plus those of PRIOR documents distributed as its language's and of PRIOR distributed as all rows, whatever
+the group's size: a small group leans on the others, a large one on itself, and nothing switches in between. A document is rejected where a
 metric lies beyond the upper fence ``q75 + REACH * max(q75 - q25, least spread)`` of its own group.
 
 Everything is a DataFrame expression: no Python runs on the executors.
 
 Defined results: null text has no words (and so fails the base rule); null language or source forms a group
-of its own; repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
+of its own; a group with no document that passes the base rule has no thresholds (all its rows have failed); repeated rows each get a row;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 #: Ratio between bucket bounds, and the least value told from zero.
 GAMMA, LEAST = 1.02, 1e-4
-#: Groups with fewer documents take the sketch of their language; languages with fewer take that of all rows.
-GROUP_MIN = 200
+#: Documents that a group's language, and that all rows, add to the group's own; and the parts in which such fractions are counted.
+PRIOR, PARTS = 100, 1_000_000
 REACH = 3.0
 #: Metric: the least spread that counts as one between the quartiles.
 SPREADS = {"symbol_rate": 0.02, "dup_line_rate": 0.06, "repeat_rate": 0.04, "mean_word": 0.5}
@@ -97,38 +99,39 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, *by: str) -> DataFrame:
-    """By group: how many documents it has, and the upper fence of every metric.
+def blended(sketches: DataFrame) -> DataFrame:
+    """The sketch of every group (lang, source) with its priors, in PARTS of a document."""
+    groups = sketches.groupBy("lang", "source", "metric").agg(F.sum("n").alias("own"))
+    prior = lambda frame, by: frame.withColumn("n", F.floor(PRIOR * PARTS * F.col("n") / F.sum("n").over(W.partitionBy(*by, "metric"))).cast("long"))
+    language, every = prior(merge(sketches, "lang"), ["lang"]).withColumnRenamed("lang", "_lang"), prior(merge(sketches), [])
+    own = sketches.select("lang", "source", "metric", "bucket", (F.col("n") * PARTS).alias("n"))
+    near = groups.join(language.withColumnRenamed("metric", "_metric"), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
+    far = groups.join(every, "metric")
+    names = ["lang", "source", "metric", "bucket", "n"]
+    return merge(own.unionByName(near.select(*names)).unionByName(far.select(*names)), "lang", "source")
 
-    A group's histogram has a few hundred buckets at most, however many documents it counts.
-    """
+
+def fences(sketches: DataFrame, *by: str) -> DataFrame:
+    """By group: the upper fence of every metric. A group's histogram has a few hundred buckets at most, however many documents it counts."""
     group = [*by, "metric"]
     running = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     ranked = sketches.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
     value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")))
     at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), value))
-    quartiles = ranked.groupBy(*group).agg(F.max("total").alias("n"), at(0.25).alias("q25"), at(0.75).alias("q75"))
     spread = F.coalesce(*(F.when(F.col("metric") == m, F.lit(s)) for m, s in SPREADS.items()))
+    quartiles = ranked.groupBy(*group).agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
     fence = quartiles.withColumn("fence", F.col("q75") + REACH * F.greatest(F.col("q75") - F.col("q25"), spread))
-    return fence.groupBy(*by).agg(F.max("n").alias("n_docs"), *(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"{m}_max") for m in SPREADS))
+    return fence.groupBy(*by).agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"{m}_max") for m in SPREADS))
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source and the fences that hold for that group: its own, its language's or those of all rows."""
-    fine = sketch(counts)
-    own = fences(fine, "lang", "source").withColumn("level", F.lit("group"))
-    language = fences(merge(fine, "lang"), "lang")
-    everything = fences(merge(fine)).withColumn("one", F.lit(1))
-    names = [f"{m}_max" for m in SPREADS]
-    both = own.alias("o").join(language.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(everything.alias("e"), F.lit(1) == F.col("e.one"), "left")  # a single row
-    level = F.when(F.col("o.n_docs") >= GROUP_MIN, "group").when(F.col("l.n_docs") >= GROUP_MIN, "language").otherwise("all")
-    pick = lambda c: F.when(level == "group", F.col(f"o.{c}")).when(level == "language", F.col(f"l.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
-    return both.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), level.alias("level"), *(pick(c) for c in names))
+def thresholds(counts: DataFrame, stages) -> DataFrame:
+    """lang, source and the fences that hold for that group."""
+    return fences(blended(stages.keep(sketch(counts), "sketches")), "lang", "source")
 
 
-def judge(counts: DataFrame) -> DataFrame:
-    """counts with the group's thresholds and ``kept``; groups of rejected documents only have no thresholds."""
-    limits = thresholds(counts).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+def judge(counts: DataFrame, stages) -> DataFrame:
+    """counts with the group's thresholds and ``kept``."""
+    limits = stages.keep(thresholds(counts, stages), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     passed = F.lit(True)
     for name, x in _metrics(counts).items():
@@ -138,7 +141,7 @@ def judge(counts: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, stages, *carry: str) -> DataFrame:
     """One row per row of ``docs``: counts, base rule, thresholds, verdict and columns to carry. Texts are read once."""
-    return judge(stages.keep(base_counts(docs, *carry), "counts"))
+    return judge(stages.keep(base_counts(docs, *carry), "counts"), stages)
 
 
 def passing(docs: DataFrame, stages) -> DataFrame:

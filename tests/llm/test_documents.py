@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
 import zlib
 
@@ -84,6 +86,56 @@ def test_quality(spark, docs, rows, no_docs):
     assert passed.columns == docs.columns
     assert passed.count() == got.where("kept").count()
 
+
+def verdicts(rows):
+    """Every row's verdict by plain sums: a group's own counts, and PRIOR documents each like its language's and like all rows."""
+    metrics = []
+    for _, text, lang, source in rows:
+        n, chars, symbols, dups, repeats = base(text)
+        lines = len([x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)])
+        metrics.append((n < 10 or 100 * repeats > 20 * n, lang, source, {"symbol_rate": symbols / max(chars, 1), "dup_line_rate": dups / max(lines, 1), "repeat_rate": repeats / max(n, 1), "mean_word": chars / max(n, 1)}))
+    bucket = lambda x: 0 if x <= quality.LEAST else math.ceil(math.log(x / quality.LEAST) / math.log(quality.GAMMA))
+    counts = {}
+    for failed, lang, source, values in metrics:
+        if not failed:
+            for level in ((lang, source), (lang,), ()):
+                for name, x in values.items():
+                    counts.setdefault((level, name), collections.Counter())[bucket(x)] += 1
+    out = []
+    for failed, lang, source, values in metrics:
+        kept = not failed
+        for name, x in values.items() if kept else ():
+            blend = collections.Counter({b: n * quality.PARTS for b, n in counts[(lang, source), name].items()})
+            for level in ((lang,), ()):
+                total = sum(counts[level, name].values())
+                for b, n in counts[level, name].items():
+                    blend[b] += quality.PRIOR * quality.PARTS * n // total
+            total, upto, at = sum(blend.values()), 0, {}
+            for b in sorted(blend):
+                upto += blend[b]
+                for share in (0.25, 0.75):
+                    if upto >= share * total:
+                        at.setdefault(share, 0.0 if b == 0 else quality.LEAST * quality.GAMMA**b)
+            kept = kept and x <= at[0.75] + quality.REACH * max(at[0.75] - at[0.25], quality.SPREADS[name])
+        out.append(kept)
+    return out
+
+
+def test_quality_verdicts(spark, docs, rows):
+    rng = random.Random(8)
+    some = [(r[0], r[1], r[2], r[3]) for r in rows]
+    for i in range(300):
+        words_ = [f"w{rng.randrange(3000)}" + "#" * (rng.random() < 0.02 * (i % 7)) for _ in range(rng.randrange(8, 90))]
+        lines = [" ".join(words_[j : j + 9]) for j in range(0, len(words_), 9)]
+        lines += lines[:1] * rng.randrange(3) + [" ".join(words_[:7])] * (i % 11 == 0)
+        some.append((1000 + i, "\n".join(lines), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "b", f"small{i % 20}", None])))
+    made = spark.createDataFrame(some, "doc_id long, text string, lang string, source string").repartition(3)
+    got = quality.quality(made, Stages(spark))
+    expected = verdicts(some)
+    assert by(got, "doc_id", "kept") == collections.Counter((r[0], k) for r, k in zip(some, expected, strict=True))
+    assert 0 < sum(expected) < len(expected) - 60
+
+
 def test_every_adaptive_rule_rejects(spark):
     some = lambda i, n, size=3: [f"{'abcdefgh'[(i + j) % 8] * size}{i:04d}{j:03d}" for j in range(n)]
     lined = lambda i, between="": "\n".join(" ".join(some(i, 100)[k : k + 10]) + between for k in range(0, 100, 10))

@@ -1,15 +1,17 @@
 """Secret scans: candidate words, and a random forest that tells secrets from look-alikes.
 
-A candidate is a word in which, or with the words before it, a built-in rule matches (``operators.rules.BUILTIN``), or one with ten or
-more token characters that holds a digit, or that starts like a known key. A PEM block counts as one word.
+A candidate is a word in which, or with the words before it, a built-in rule matches (``operators.rules.BUILTIN``), one that is assigned
+to a name of a secret, with or without digits, one with SHORTEST or more token characters that holds a digit, or one that starts like a known
+key. A PEM block counts as one word.
 Its features are length, transitions between characters, coverage by a dictionary, shares of character
 classes, the path, and the words around it. The forest is trained on labelled findings (at most
 ``LABELLED`` rows) and read out into plain arrays; scoring walks those arrays inside a DataFrame expression,
 so that finding, scoring and redacting happen row by row, in the JVM, without a shuffle.
 
-The tables at hold carry no labelled findings, so ``labelled`` writes them: from templates of secrets and of
-look-alikes (mail and network addresses, card numbers, checksums, version strings, identifiers, placeholders),
-filled from digests of the row number. Own findings with the same columns can be passed instead.
+Labelled findings are a table ``FINDINGS``: the candidate (word, and up to AROUND words before and after, joined by spaces), its path, and
+1 for a secret or 0 for a false alarm. ``train`` takes any such table. The tables at hold carry none, so ``labelled`` writes
+one: from templates of secrets and of look-alikes (mail and network addresses, card numbers, checksums, version strings,
+identifiers, placeholders, ordinary words), filled from digests of the row number. ``documents`` has no paths either; its source stands for one.
 
 Defined results: null and empty texts have no findings; a null path counts as no path; repeated rows and a
 value that occurs twice are found each time; an empty table gives an empty result; other columns are kept.
@@ -30,16 +32,20 @@ from .common import SPACES, Stages, words
 LABELLED = 8000
 TREES, DEPTH, SEED = 20, 7, 17
 THRESHOLD = 0.5
-AROUND = 3
+AROUND, SHORTEST = 3, 6
+#: Schema of labelled findings.
+FINDINGS = "c struct<word: string, before: string, after: string>, path string, secret int"
 
 KNOWN = "(?:AKIA|ASIA|AROA|AIDA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[bpars]-|sk_live_|rk_live_|npm_|SG\\.|AIza|eyJ)"
 KEYWORDS = "(?i)(?:passw|pwd|secret|token|api[_-]?key|access[_-]?key|bearer|authorization|credential|private[_-]?key|auth)"
 BENIGN = "(?i)(?:example|sample|dummy|placeholder|commit|checksum|sha-?\\d|md5|hash|digest|version|uuid|card|order|invoice|phone|mail|host|addr|ticket|isbn|revision|build)"
+#: A name of a secret and the sign that assigns to it.
+NAMED = "(?i)(?:passw(?:or)?d|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\\s*[:=]"
 TEST_PATH = "(?i)(?:test|example|sample|fixture|mock|docs?/|demo)"
 #: Common words of names, hosts and placeholders, longest first.
 DICTIONARY = "placeholder|password|example|service|release|version|invoice|sample|secret|change|number|server|domain|client|public|string|update|config|github|https|order|token|local|admin|guest|login|value|build|image|index|param|media|video|mail|user|name|host|test|data|file|date|time|http|demo|your|here|page|blog|html|json|port|com|org|net|www|key|the|and|dev|api|app|img|src|log|ref|xxx"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ch|ei|ie|la|el|qu|ue|os|do"
-FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known", "ruled", "assigned")
+FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known", "ruled", "assigned", "named")
 
 
 #: The built-in rules by where they match: a PEM block; a value assigned to a name or after a header's scheme, maybe some words before; inside a word.
@@ -72,6 +78,11 @@ def announced(before: Column, word: Column) -> Column:
     return F.coalesce(*(F.when(value != "", value) for value in values), F.lit(""))
 
 
+def named(before: Column, word: Column) -> Column:
+    """Whether a word is assigned to a name of a secret, there or before it."""
+    return F.concat_ws(" ", before, word).rlike(f"{NAMED}+\\s*[\"']?[^\\s:=\"']\\S{{3,}}$")
+
+
 def candidates(text: Column) -> Column:
     """array<struct<position, word, before, after>>: candidate words with their 0-based places and neighbours."""
     could = text.rlike(f"[0-9]|[A-Z]{{16}}|{KNOWN}[A-Za-z0-9_-]{{12}}")
@@ -83,8 +94,8 @@ def candidates(text: Column) -> Column:
 
         def wanted(m: Column) -> Column:
             word, before = m["word"], earlier(all_words, m["position"])
-            own = word.rlike("[A-Za-z0-9+/_=.~@:-]{10,}") & (word.rlike("[0-9]") | word.rlike(f"{KNOWN}[A-Za-z0-9_-]{{12,}}"))
-            return own | ((F.length(word) >= 8) & ((inside(word) != "") | (assigned(before, word) != "") | (announced(before, word) != ""))) if rules else own
+            own = word.rlike(f"[A-Za-z0-9+/_=.~@:-]{{{SHORTEST},}}") & (word.rlike("[0-9]") | word.rlike(f"{KNOWN}[A-Za-z0-9_-]{{12,}}"))
+            return own | ((F.length(word) >= 4) & named(before, word)) | ((F.length(word) >= 8) & ((inside(word) != "") | (assigned(before, word) != "") | (announced(before, word) != ""))) if rules else own
 
         return F.transform(F.filter(marked, wanted), lambda m: F.struct(
             m["position"].alias("position"), m["word"].alias("word"),
@@ -95,7 +106,7 @@ def candidates(text: Column) -> Column:
     found = lambda all_words, rules: F.get(F.transform(F.array(all_words), lambda w: near(w, rules)), F.lit(0))
     parts = F.when(text.contains("-----END ") & text.rlike(BLOCK), F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))).otherwise(words(text))
     none = F.slice(near(F.array().cast("array<string>"), False), 1, 1)
-    return F.when(text.rlike(prefilter(list(BUILTIN))), found(parts, True)).when(could, found(words(text), False)).otherwise(none)
+    return F.when(text.rlike(f"{prefilter(list(BUILTIN))}|(?:{NAMED})"), found(parts, True)).when(could, found(words(text), False)).otherwise(none)
 
 
 def value_in(c: Column) -> Column:
@@ -107,12 +118,12 @@ def value_in(c: Column) -> Column:
 
 def value_of(word: Column) -> Column:
     """The value in a word, without an assigned name before it and marks around it."""
-    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{6}))?(.*?)[^A-Za-z0-9+/=_-]*$", 1)
+    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{4}))?(.*?)[^A-Za-z0-9+/=_-]*$", 1)
 
 
 def name_of(word: Column) -> Column:
     """The name to which a word assigns; empty if it doesn't."""
-    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*([A-Za-z_][A-Za-z0-9_.-]*)[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{6})", 1)
+    return F.regexp_extract(word, "^[^A-Za-z0-9+/_-]*([A-Za-z_][A-Za-z0-9_.-]*)[=:]+[^A-Za-z0-9+/_-]*(?=[A-Za-z0-9+/_-]{4})", 1)
 
 
 def features(c: Column, path: Column) -> Column:
@@ -144,11 +155,12 @@ def _features(c: Column, value: Column, path: Column) -> Column:
         flag(value.rlike(f"^{KNOWN}")),
         flag((inside(c["word"]) != "") | (announced(c["before"], c["word"]) != "")),
         flag(assigned(c["before"], c["word"]) != ""),
+        flag(named(c["before"], c["word"])),
     )
 
 
 def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(word, before, after, path, secret): findings with labels, filled from digests of the row number."""
+    """FINDINGS filled from digests of the row number."""
     h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256)
     g = F.sha2(F.concat(F.lit("around "), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(h))
@@ -177,6 +189,8 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     place = pick(31, "db/app", "db.internal:5432/main", "10.0.0.7:6379/0", "localhost/data", "cache01", "mq.corp.net/v")
     hidden = pick(32, hexes, part(long, 1, 12), short, F.concat(part(long, 1, 5), F.lit("pw"), number(1, 2)))
     secret_part = F.translate(hidden, "@:/", "xyz")
+    letters = F.translate(long, "0123456789", "kqzvbjwxyg")
+    phrase = pick(41, part(letters, 1, 14), F.lower(part(letters, 3, 18)), F.concat(F.translate(part(g, 1, 7), "0123456789", "aeionrstlm"), part(letters, 9, 9)), F.concat(F.lower(part(letters, 1, 5)), F.lit("-"), F.lower(part(letters, 6, 7)), F.lit("-"), F.lower(part(letters, 14, 6))))
     item = lambda word, before, after: F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
     positive = pick(
         8,
@@ -202,6 +216,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         item(F.base64(F.concat(user, F.lit(":"), short).cast("binary")), F.concat_ws(" ", prose, F.lit("Authorization: Basic")), later),
         item(part(long, 1, 32), F.concat_ws(" ", prose, F.lit("Authorization: Basic")), later),
         item(body, F.concat_ws(" ", prose, F.lit("Authorization: Bearer")), later),
+        item(F.concat(key, F.regexp_replace(mark, " ", ""), quote, phrase, quote), prose, later),
+        item(F.concat(quote, phrase, quote), F.concat_ws(" ", prose, F.concat(key, F.regexp_replace(mark, " $", ""))), later),
+        item(F.concat(key, F.regexp_replace(mark, " ", ""), quote, part(short, 1, 6), quote), prose, later),
     )
     folk = F.translate(part(g, 1, 8), "0123456789", "aeionrstlm")
     negative = pick(
@@ -222,6 +239,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         item(F.concat(folk, number(1, 4)), prose, later),
         item(F.concat(name, F.lit("="), quote, hexes, quote), F.lit("for example the dummy"), F.lit("as a sample")),
         item(pick(38, "changeme1", "placeholder1", "your_key_1", "yourpassword1", "xxxxxxxx1", "example_123"), F.concat_ws(" ", prose, F.concat(key, F.lit(":"))), later),
+        item(pick(42, "required", "missing", "none", "null", "true", "string", "incorrect", "expired", "invalid", "optional", "unknown", "empty"), F.concat_ws(" ", prose, F.concat(key, F.regexp_replace(mark, " $", ""))), later),
+        item(F.concat(key, F.regexp_replace(mark, " ", ""), pick(43, "required", "missing", "None", "null", "true", "string", "hidden", "expired", "invalid", "default")), prose, later),
+        item(F.concat(number(1, 3), pick(44, "-", "/", "."), number(4, 3), pick(45, "", ",", ".", "km", "ms")), prose, later),
         item(F.concat(store, F.lit("://"), pick(39, folk, F.concat(folk, number(1, 1))), pick(40, ".example.com/app", ":5432/data", ".internal:6379/0")), prose, later),
     )
     secret = dice(0, 2) == 1
@@ -279,31 +299,32 @@ def chance(x: Column, trees: tuple) -> Column:
     return let(x, lambda x: F.aggregate(F.transform(roots, lambda r: F.get(leaf, walk(x, r))), F.lit(0.0), lambda a, p: a + p)) / len(trees[-1])
 
 
-def findings(docs: DataFrame, trees: tuple, path: Column | None = None) -> DataFrame:
-    """docs with ``_found``: array<struct<position, value, score, secret>>, one for each candidate of the text."""
-    path = F.col("source") if path is None else path
-    found = docs.withColumn("_candidates", candidates(F.coalesce(F.col("text"), F.lit(""))))
+def findings(text: Column, path: Column, trees: tuple) -> Column:
+    """array<struct<position, value, score, secret>> of a text: one for each candidate."""
 
     def judged(c: Column) -> Column:
         value = value_in(c)
         return F.struct(c["position"].cast("long").alias("position"), value.alias("value"), F.round(chance(features(c, path), trees), 6).alias("score"))
 
-    judged_all = F.transform("_candidates", judged)
-    return found.withColumn("_found", F.transform(judged_all, lambda f: F.struct(f["position"].alias("position"), f["value"].alias("value"), f["score"].alias("score"), ((f["score"] >= THRESHOLD) & (F.length(f["value"]) > 0)).alias("secret")))).drop("_candidates")
+    scored = F.transform(candidates(F.coalesce(text, F.lit(""))), judged)
+    return F.transform(scored, lambda f: F.struct(f["position"].alias("position"), f["value"].alias("value"), f["score"].alias("score"), ((f["score"] >= THRESHOLD) & (F.length(f["value"]) > 0)).alias("secret")))
 
 
-def report(docs: DataFrame, trees: tuple) -> DataFrame:
+def report(docs: DataFrame, trees: tuple, path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, position, length, preview, secret_hash, score, is_secret. No raw value leaves it."""
-    one = findings(docs.select("doc_id", "source", "text"), trees).select("doc_id", F.explode("_found").alias("f"))
+    one = docs.select("doc_id", F.explode(findings(F.col("text"), F.col(path), trees)).alias("f"))
     value = F.col("f.value")
     preview = F.when(F.length(value) < 8, F.lit("[REDACTED]")).otherwise(F.concat(F.left(value, F.lit(2)), F.lit("..."), F.right(value, F.lit(2))))
     return one.select("doc_id", F.col("f.position").alias("position"), F.length(value).cast("long").alias("length"), preview.alias("preview"), F.concat(F.lit("sha256:"), F.sha2(value, 256)).alias("secret_hash"), F.col("f.score").alias("score"), F.col("f.secret").alias("is_secret"))
 
 
-def redact(docs: DataFrame, trees: tuple, marker: str = "[REDACTED]") -> DataFrame:
-    """docs with every secret value in ``text`` replaced, and n_chars brought up to date; all rows stay."""
-    secret = F.transform(F.filter("_found", lambda f: f["secret"]), lambda f: f["value"])
+def redact(docs: DataFrame, trees: tuple, marker: str = "[REDACTED]", path: str = "source") -> DataFrame:
+    """docs with every secret value in ``text`` replaced, and n_chars brought up to date; all rows stay, and all columns, whatever their names."""
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), findings(docs["text"], docs[path], trees).alias("found"))
+    secret = F.transform(F.filter("found", lambda f: f["secret"]), lambda f: f["value"])
     longest_first = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(secret), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda s: s["v"])
-    clean = F.aggregate(longest_first, F.col("text"), lambda text, value: F.replace(text, value, F.lit(marker)))
-    done = findings(docs, trees).withColumn("text", F.when(F.exists("_found", lambda f: f["secret"]), clean).otherwise(F.col("text"))).drop("_found")
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    text = F.col("row")["text"]
+    clean = F.aggregate(longest_first, text, lambda text, value: F.replace(text, value, F.lit(marker)))
+    done = packed.select("row", F.when(F.exists("found", lambda f: f["secret"]), clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean"), **({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

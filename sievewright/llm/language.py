@@ -3,10 +3,11 @@
 A text is lower-cased, everything but letters becomes a space, and each run of two to four bytes of its UTF-8 form
 falls into one of ``BUCKETS`` buckets. A bucket has an embedding; the embeddings of a text's runs are averaged
 and a linear layer with softmax gives the languages. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows. A temperature is fitted on rows kept apart, and the
+numpy on a bounded sample of labelled rows: SAMPLE rows and SAMPLE_BYTES of text, the same number for every language as far as it has them.
+A language is learned if a row of it is among those. A temperature is fitted on rows kept apart, and the
 score below which a prediction is rejected is the lowest that keeps the wanted precision there.
 
-For prediction the two linear layers are multiplied once, so a worker adds up one row of logits per byte run;
+Workers hold the embeddings, of fixed size, and a row of WIDTH weights for each learned language (SAMPLE at most);
 whole texts are read, in batches, with bounded memory.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text where no
@@ -24,12 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import id_in, id_out
+from .common import id_in, id_out, row_key
 
 BUCKETS, WIDTH = 1 << 16, 16
-#: Rows that a model learns from at most, over all languages, and languages at most (the most frequent ones).
-SAMPLE, LANGUAGES = 4000, 200
+#: What a model learns from at most, over all languages: rows, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 EPOCHS, RATE, SEED = 4, 1.0, 3
 PRECISION = 0.99
 UNKNOWN = "und"
@@ -56,14 +58,15 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray
+    embeddings: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float
     reject: float
 
     def raw(self, text: str) -> np.ndarray:
         found = runs(text)
-        return self.logits[found].mean(axis=0) + self.bias if len(found) else self.bias
+        return self.embeddings[found].mean(axis=0) @ self.weights + self.bias if len(found) else self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -85,7 +88,7 @@ def train(texts: list[str], langs: list[str], apart: list[bool]) -> Model:
     embeddings, weights, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
     rows = [(text, names.index(lang)) for text, lang, out in zip(texts, langs, apart, strict=True) if not out and has_letter(text)]
     # whole texts and one line of each, so that short texts are learned too
-    lines = [(max(text.split("\n")[::2], key=len)[:400], at) for text, at in rows]
+    lines = [(max(text.split("\n")[::2], key=len), at) for text, at in rows]
     examples = []
     for text, at in rows + [x for x in lines if has_letter(x[0])]:
         found, counts = np.unique(runs(text), return_counts=True)
@@ -103,7 +106,7 @@ def train(texts: list[str], langs: list[str], apart: list[bool]) -> Model:
             weights -= rate * np.outer(hidden, error)
             bias -= 0.1 * rate * error
             embeddings[found] -= (rate * len(found) ** 0.5) * np.outer(share, back)
-    model = Model(names, embeddings @ weights, bias, 1.0, 0.0)
+    model = Model(names, embeddings, weights, bias, 1.0, 0.0)
     held = [(model.raw(text), names.index(lang)) for text, lang, out in zip(texts, langs, apart, strict=True) if out and has_letter(text)]
     if held:
         scores, truth = np.array([s for s, _ in held]), np.array([t for _, t in held])
@@ -123,26 +126,38 @@ def fold() -> Column:
 
 
 def sample(docs: DataFrame) -> list:
-    """At most SAMPLE labelled rows that are not held out, spread evenly over the languages, chosen by a hash of the id."""
+    """Labelled rows that are not held out, spread evenly over the languages, chosen by a hash of the id, within SAMPLE and SAMPLE_BYTES."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()
     if not counts:
         return []
-    each = max(SAMPLE // len(counts), 1)
-    dice = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 0.9 * each / r["count"]) * (1 << 30)))) for r in counts))
-    return known.where(dice < share).select("doc_id", "text", "lang", fold().alias("fold")).orderBy(dice, "doc_id").limit(SAMPLE).collect()
+    each, dice = max(SAMPLE // len(counts), 1), F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.5 * each / r["count"] + 4.0 / r["count"]) * (1 << 30))) for r in counts], "_of string, _share long")
+    key = row_key().alias("key")
+    drawn = known.join(shares, F.col("lang") == F.col("_of")).where(dice < F.col("_share")).select("lang", dice.alias("dice"), key, F.octet_length("text").alias("bytes"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("dice", "key"))
+    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "dice", "key").limit(SAMPLE).collect()  # ids and sizes only
+    chosen, left = [], SAMPLE_BYTES
+    for r in rows:
+        if r["bytes"] <= left:
+            chosen.append(r["key"])
+            left -= r["bytes"]
+    texts = known.where(row_key().isin(chosen)).select("doc_id", "text", "lang", fold().alias("fold"), key).dropDuplicates(["key"])
+    return texts.collect()
 
 
 def fit(docs: DataFrame) -> Model:
     """A model from the labelled rows of ``docs``; of the folds 1 to 4, the first calibrates."""
     rows = sorted(sample(docs), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], [r["fold"] == 1 for r in rows]) if rows else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+    if not rows:
+        return Model([], np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+    learned = {r["lang"] for r in rows if r["fold"] != 1}  # a language met in the calibrating fold alone is learned from that
+    return train([r["text"] for r in rows], [r["lang"] for r in rows], [r["fold"] == 1 and r["lang"] in learned for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted (false where the score calls for rejection) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of at most LANGUAGES floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + SAMPLE rows of WIDTH floats at most
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value

@@ -65,6 +65,22 @@ def test_language(spark, docs, rows, no_docs):
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_rare_languages_ties_and_the_bytes_of_the_sample(spark, monkeypatch):
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 20 * k + j) for j in range(20)] for k in range(230)}
+    made = [(i, " ".join(letters[(i + j) % 20] * 2 for j in range(25)), lang) for k, (lang, letters) in enumerate(alphabets.items()) for i in range(k * 12, k * 12 + 12)]
+    known = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.fit(known)
+    assert len(model.languages) == 230  # however many there are, and each with few rows
+    got = language.identify(known, model).where("held_out").collect()
+    truth = {i: lang for i, _, lang in made}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.9 * len(got)
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 20_000)
+    assert sum(len(r["text"].encode()) for r in language.sample(known)) <= 20_000
+    same = spark.createDataFrame([(i, "one text of two names", "ab"[i % 2]) for i in range(80)], "doc_id long, text string, lang string")
+    told = {(r["lang_pred"], r["score"]) for r in language.identify(same, language.fit(same)).collect()}
+    assert len(told) == 1  # equal texts get equal answers
+
+
 def base(text):
     w = words(text)
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

@@ -37,6 +37,8 @@ from .common import Stages, filter_bits, maybe_among
 LENGTH, STEM = 50, 8
 #: Bytes of the runs in one tree's group, on average, and suffixes of an anchor from which on it is split by a longer prefix.
 TREE, SPLIT = 4 << 20, 20_000
+#: Nodes at most that are broadcast: those that have more than this share of all suffixes of such anchors.
+HEAVY = 10_000
 LATEST = 2**63 - 1
 
 
@@ -191,9 +193,13 @@ def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
     trees = max(1, -(-(size["bytes"] or 0) // TREE))
     short = found.join(often, "anchor", "left_anti").withColumn("tree", F.pmod(F.xxhash64("anchor"), F.lit(trees)))
     below = short.groupBy("tree").applyInPandas(subtree, "doc long, cls long, pos long")
-    many = stages.keep(long_prefixes(found.join(often, "anchor", "left_semi")), "long-prefixes")
-    nodes = many.groupBy("f1", "f2").agg(F.min("doc").alias("first"))
-    below = below.unionByName(many.join(nodes, ["f1", "f2"]).where(F.col("doc") > F.col("first")).select("doc", "cls", "pos"))
+    many, suffixes = stages.kept(long_prefixes(found.join(often, "anchor", "left_semi")), "long-prefixes", {"n": F.count("*")})
+    nodes = stages.keep(many.groupBy("f1", "f2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "nodes")
+    # the fullest nodes, HEAVY at most, are told to every task, so that none gathers their suffixes; the others are met by a shuffle
+    full = F.col("n") > max(SPLIT, suffixes["n"] // HEAVY)
+    heavy, rest = F.broadcast(nodes.where(full)), nodes.where(~full)
+    for met in (many.join(heavy, ["f1", "f2"]), many.join(heavy, ["f1", "f2"], "left_anti").join(rest, ["f1", "f2"])):
+        below = below.unionByName(met.where(F.col("doc") > F.col("first")).select("doc", "cls", "pos"))
     removed, cuts = stages.kept(below.groupBy("doc", "cls").agg(F.collect_set("pos").alias("at")), "removed", {"n": F.count("*")})  # one row of at most all its words per document
     stages.drop(found, many)
 

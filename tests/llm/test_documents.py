@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,23 @@ def removal(rows):
     return out
 
 
+def test_suffixes_are_sorted_with_exact_common_prefixes():
+    rng = random.Random(6)
+    some = [rng.choices("abc", k=rng.randrange(50, 75)) for _ in range(4)]
+    runs = [*some, some[0], some[1][:60] + rng.choices("abc", k=12), ["x"] * 130, ["x"] * 90]
+    counts = np.array([len(w) - substrings.LENGTH + 1 for w in runs])
+    run, place, common = substrings.sorted_suffixes(runs, counts)
+    assert sorted(zip(run.tolist(), place.tolist(), strict=True)) == [(i, j) for i, n in enumerate(counts) for j in range(n)]
+    tails = [runs[r][p:] for r, p in zip(run.tolist(), place.tolist(), strict=True)]
+    equal = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    shared = [equal(a, b) for a, b in zip(tails, tails[1:], strict=False)]
+    for got, want in zip(common[1:].tolist(), shared, strict=True):
+        assert got == want if want < substrings.LENGTH else got >= substrings.LENGTH
+    heads = [tuple(t[: substrings.LENGTH]) for t in tails]
+    assert all((a == b) == (c >= substrings.LENGTH) for a, b, c in zip(heads, heads[1:], common[1:].tolist(), strict=False))
+    assert len({h for h in heads}) == int((common < substrings.LENGTH).sum())  # equal heads stand together
+
+
 @pytest.mark.parametrize("split", [1, substrings.SPLIT])
 def test_substrings(spark, docs, rows, no_docs, split, monkeypatch):
     monkeypatch.setattr(substrings, "SPLIT", split)

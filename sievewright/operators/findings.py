@@ -35,15 +35,14 @@ def findings(rule_hits: DataFrame, pair_hits: DataFrame, base_url: str, now: Col
 def merged(found: DataFrame) -> DataFrame:
     """One finding for each secret and rule: the first one's fields, and the distinct locations in the order they were first seen.
 
-    Locations are collected once per distinct place, not per hit, so a secret repeated in one place stays one entry.
+    Hits of one place are combined before those of one secret, so a secret repeated in one place stays one entry; the input is read once.
     """
     order = F.struct("issue_key", *ORDER)
     scalars = [c for c in found.columns if c not in ("locations", "secret_hash", "rule_id", *ORDER)]
-    places = found.select("secret_hash", "rule_id", order.alias("_o"), F.explode("locations").alias("_place"))
-    places = places.groupBy("secret_hash", "rule_id", "_place").agg(F.min("_o").alias("_o"))
-    lists = places.groupBy("secret_hash", "rule_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_place"))), lambda x: x["_place"]).alias("locations"))
-    first = found.groupBy("secret_hash", "rule_id").agg(F.min_by(F.struct(*scalars), order).alias("_first"), F.min(order).alias("ord"))
-    return first.join(lists, ["secret_hash", "rule_id"]).select("_first.*", "secret_hash", "rule_id", "locations", "ord")
+    rows = found.select("secret_hash", "rule_id", order.alias("_o"), F.struct(*scalars).alias("_fields"), F.explode("locations").alias("_place"))
+    places = rows.groupBy("secret_hash", "rule_id", "_place").agg(F.min("_o").alias("_o"), F.min_by("_fields", "_o").alias("_fields"))
+    whole = places.groupBy("secret_hash", "rule_id").agg(F.min_by("_fields", "_o").alias("_first"), F.min("_o").alias("ord"), F.transform(F.sort_array(F.collect_list(F.struct("_o", "_place"))), lambda x: x["_place"]).alias("locations"))
+    return whole.select("_first.*", "secret_hash", "rule_id", "locations", "ord")
 
 
 def locations(found: DataFrame) -> DataFrame:
@@ -64,10 +63,13 @@ def comments_scanned(segments: DataFrame) -> DataFrame:
 
 
 def scan_run(found: DataFrame, segments: DataFrame, attachments: DataFrame | None, facts: dict) -> DataFrame:
-    """The one-row record of a run: facts of the driver (ids, times, errors) beside counts taken from the data."""
+    """The one-row record of a run: facts of the driver (ids, times, errors) beside counts taken from the data.
+
+    The parts have one row each, so joining them makes one row.
+    """
     run = tally(found).join(comments_scanned(segments), F.lit(True)).join(segments.agg(F.countDistinct("issue_key").alias("issues_scanned")), F.lit(True))
     if attachments is not None:
-        counts = attachments.agg(*(F.count_if(F.col("outcome") == o).alias(f"attachments_{n}") for o, n in (("scan", "scanned"), ("skip", "skipped"), ("failed", "failed"))), F.coalesce(F.sum(F.when(F.col("outcome") == "scan", F.col("size"))), F.lit(0)).alias("attachment_bytes"))
+        counts = attachments.agg(*(F.count_if(F.col("outcome").isin(*o)).alias(f"attachments_{n}") for o, n in ((("scan",), "scanned"), (("skip", "over"), "skipped"), (("failed",), "failed"))), F.coalesce(F.sum(F.when(F.col("outcome") == "scan", F.col("size"))), F.lit(0)).alias("attachment_bytes"))
         run = run.join(counts, F.lit(True))
     run = run.withColumns({k: F.lit(v) for k, v in facts.items()})
     errors = F.lit(facts.get("errors_total", 0))
@@ -84,4 +86,4 @@ def rule_levels(found: DataFrame) -> DataFrame:
 
 def visible(found: DataFrame, floor: str = "medium", top: int = 10) -> DataFrame:
     """The first findings at or above a confidence, in finding order."""
-    return found.where(C.rank(F.col("confidence"), fixed.CONFIDENCES) >= fixed.CONFIDENCES.index(floor)).orderBy("ord").limit(top)
+    return found.where(C.rank(F.col("confidence"), fixed.CONFIDENCES) >= fixed.CONFIDENCES.index(floor)).orderBy(F.col("ord").asc_nulls_last()).limit(top)

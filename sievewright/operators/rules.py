@@ -102,6 +102,7 @@ BUILTIN = (
     Rule("basic_auth_header", r"\bBasic\s+[A-Za-z0-9+/]{16,}={0,2}\b", severity="low", confidence="medium", hint="(?U)Basic\\s"),
     Rule("bearer_token_generic", r"\bBearer\s+[A-Za-z0-9_\-\.=]{20,}\b", severity="low", confidence="low", hint="(?U)Bearer\\s"),
 )
+BUILTIN = tuple(replace(rule, description=fixed.RULE_TEXTS[rule.rule_id][0], references=fixed.RULE_TEXTS[rule.rule_id][1]) for rule in BUILTIN)
 
 
 def rule_set(user: list[Rule] | tuple[Rule, ...] = ()) -> list[Rule]:

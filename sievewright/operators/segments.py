@@ -32,8 +32,8 @@ def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
             stack.extend((f"{at}[{i}]", item[i]) for i in range(len(item) - 1, -1, -1))
 
 
-def walk(records: DataFrame, root: str = "", max_kb: int = 2048) -> DataFrame:
-    """Segments of records (issue_key, fields as JSON text), below ``root`` where it is given.
+def walk(records: DataFrame, root: str = "", max_kb: int = 2048, key: str | None = None) -> DataFrame:
+    """Segments of records (issue_key, fields as JSON text), below ``root``; a column ``root`` gives each row its own. ``key`` names the one part that is walked.
 
     Null or unreadable JSON gives no segments; empty strings give empty segments.
     """
@@ -41,21 +41,24 @@ def walk(records: DataFrame, root: str = "", max_kb: int = 2048) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["issue_key"], batch["fields"], strict=True):
+            for name, text, at in zip(batch["issue_key"], batch["fields"], batch["root"], strict=True):
                 try:
                     value = json.loads(text) if text is not None else None
                 except (ValueError, RecursionError):  # no JSON, or nested beyond what can be read
                     value = None
-                rows.extend((key, i, path, leaf) for i, (path, leaf) in enumerate(leaves(value, root)))
+                if key is not None:
+                    value = value.get(key) if isinstance(value, dict) else None
+                rows.extend((name, i, path, leaf) for i, (path, leaf) in enumerate(leaves(value, at)))
             yield pd.DataFrame(rows, columns=["issue_key", "seg_ord", "field_path", "text"])
 
-    walked = records.select("issue_key", "fields").mapInPandas(each, "issue_key string, seg_ord long, field_path string, text string")
+    own = F.col("root") if "root" in records.columns else F.lit(root).alias("root")
+    walked = records.select("issue_key", "fields", own).mapInPandas(each, "issue_key string, seg_ord long, field_path string, text string")
     return walked.withColumn("text", C.truncate_bytes(F.col("text"), max_kb * 1024)).withColumn("source_type", C.classify_path(F.col("field_path")))
 
 
-def raw_segment(rows: DataFrame, issue_key: Column, path: Column, text: Column, kind: Column | None = None, order: Column | None = None) -> DataFrame:
-    """One segment per row."""
-    return rows.select(issue_key.alias("issue_key"), (F.lit(0) if order is None else order).cast("long").alias("seg_ord"), path.alias("field_path"), text.alias("text"), (C.classify_path(path) if kind is None else kind).alias("source_type"))
+def raw_segment(rows: DataFrame, issue_key: Column, path: Column, text: Column, kind: Column | None = None, order: Column | None = None, max_kb: int = 2048) -> DataFrame:
+    """One segment per row, its text cut like any other."""
+    return rows.select(issue_key.alias("issue_key"), (F.lit(0) if order is None else order).cast("long").alias("seg_ord"), path.alias("field_path"), C.truncate_bytes(text, max_kb * 1024).alias("text"), (C.classify_path(path) if kind is None else kind).alias("source_type"))
 
 
 def union(payload: DataFrame, comments: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -74,12 +77,38 @@ def comment_paging(fields: Column) -> Column:
     return F.struct(total.alias("total"), F.when(total > 0, start + held).otherwise(F.lit(0).cast("long")).alias("next"))
 
 
-def later_comments(records: DataFrame, comments: DataFrame) -> DataFrame:
-    """Segments of comments (issue_key, pos, body) beyond those that a record's payload holds, up to the paging bound."""
+def later_comments(records: DataFrame, comments: DataFrame, max_kb: int = 2048) -> DataFrame:
+    """Segments of comments (issue_key, pos, and body, or comment as JSON text) beyond those that a record's payload holds, up to the paging bound.
+
+    A plain body is one segment; a comment as JSON is walked like a field, so a structured body gives the same paths as in the payload.
+    """
     paged = records.select("issue_key", comment_paging(F.col("fields")).alias("page")).where("page.next < page.total")
     limit = fixed.COMMENT_PAGE * fixed.COMMENT_PAGES
     joined = comments.join(paged, "issue_key").where((F.col("pos") >= F.col("page.next")) & (F.col("pos") < F.least(F.col("page.total"), F.col("page.next") + limit)))
-    return raw_segment(joined, F.col("issue_key"), F.format_string("comment.comments[%d].body", F.col("pos")), F.col("body"), F.lit("comment"), F.col("pos"))
+    path = F.format_string("comment.comments[%d].body", F.col("pos"))
+    if "comment" in comments.columns:
+        walked = walk(joined.select("issue_key", F.col("comment").alias("fields"), path.alias("root")), max_kb=max_kb, key="body")
+        place = F.regexp_extract("field_path", "^comment\\.comments\\[([0-9]+)\\]", 1).cast("long")
+        return walked.withColumn("seg_ord", place * F.lit(1 << 20) + F.col("seg_ord"))  # comments in order of place, each in order of its walk
+    return raw_segment(joined, F.col("issue_key"), path, F.col("body"), F.lit("comment"), F.col("pos"), max_kb)
+
+
+def listed_attachments(records: DataFrame, base: str) -> DataFrame:
+    """The attachments that records list in their payload: issue_key, pos, name, mime, size, url, base; entries without a name or a link are malformed."""
+    entry = "array<struct<filename: string, mimeType: string, size: long, content: string>>"
+    listed = records.select("issue_key", F.posexplode(F.from_json(F.get_json_object("fields", "$.attachment"), entry)).alias("pos", "a"))
+    return listed.select("issue_key", F.col("pos").cast("long").alias("pos"), F.col("a.filename").alias("name"), F.col("a.mimeType").alias("mime"), F.coalesce("a.size", F.lit(0)).alias("size"), F.col("a.content").alias("url"), F.lit(base).alias("base"), (F.col("a.filename").isNull() | F.col("a.content").isNull()).alias("malformed"))
+
+
+def attached(listed: DataFrame, bodies: DataFrame, per_file: int, max_kb: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(segments, attachments with their outcome): the bodies (issue_key, pos, text) that the gate and the budgets let through.
+
+    A body that should be scanned and isn't at hand has failed.
+    """
+    gated = budgeted(listed, per_file)
+    met = gated.join(bodies.select("issue_key", "pos", "text"), ["issue_key", "pos"], "left")
+    met = met.withColumn("outcome", F.when((F.col("outcome") == "scan") & F.col("text").isNull(), "failed").otherwise(F.col("outcome")))
+    return raw_segment(met.where("outcome = 'scan'"), F.col("issue_key"), attachment_path(F.col("name")), F.col("text"), F.lit("attachment"), F.col("pos"), max_kb), met.drop("text")
 
 
 def attachment_path(name: Column) -> Column:
@@ -95,13 +124,14 @@ def budgeted(attachments: DataFrame, per_file: int, count: int = fixed.ATTACHMEN
     still fit. A record's attachments are folded as one array in order of place; a record has few of them.
     """
     kept = C.attachment_verdict(F.col("name"), F.col("mime"))
-    gate = F.when(kept == "skip", "skip").when(~C.same_origin(F.col("url"), F.col("base")), "skip").when(F.col("size") > per_file, "skip")
+    bad = F.col("malformed") if "malformed" in attachments.columns else F.lit(False)
+    gate = F.when(bad, "failed").when(kept == "skip", "skip").when(~C.same_origin(F.col("url"), F.col("base")), "skip").when(F.col("size") > per_file, "skip")
     item = F.struct("pos", F.col("size").cast("long").alias("size"), gate.alias("gate"))
     empty = F.array().cast("array<struct<pos:bigint,outcome:string>>")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("files"), empty.alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        outcome = F.coalesce(x["gate"], F.when(acc["files"] >= count, "stop").when(acc["used"] >= total, "over").when(x["size"] > total - acc["used"], "failed").otherwise("scan"))
+        outcome = F.when(acc["files"] >= count, "stop").when(x["gate"].isNotNull(), x["gate"]).when(acc["used"] >= total, "over").when(x["size"] > total - acc["used"], "failed").otherwise("scan")
         took = outcome == "scan"
         return F.struct((acc["used"] + F.when(took, x["size"]).otherwise(F.lit(0).cast("long"))).alias("used"), (acc["files"] + took.cast("int")).alias("files"), F.concat(acc["done"], F.array(F.struct(x["pos"].cast("long").alias("pos"), outcome.alias("outcome")))).alias("done"))
 

@@ -1,19 +1,56 @@
 """State between scans: reconciling current findings with stored ones, as one pure function over tables.
 
 ``reconcile`` takes the current findings, the stored table, the scanned keys and the external validations, and
-gives the new stored table and the report. Nothing is updated in place: the caller writes the new snapshot and swaps
-it in, which makes a run that failed half-way repeatable.
+gives the new stored table and the report. Nothing is updated in place: the caller writes the new snapshot (``Store``),
+which makes a run that failed half-way repeatable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .findings import locations
+from ..sources.stages import Stages
+from .findings import VERSION, locations
 
-STORED = "fingerprint string, secret_hash string, rule_id string, issue_key string, field_path string, source_type string, severity string, confidence string, redacted_secret string, snippet string, username string, locations_json string, status string, first_seen string, last_seen string, times_seen int, scan_id_first string, scan_id_last string, closed_at string"
+STORED = "fingerprint string, secret_hash string, rule_id string, issue_key string, issue_url string, field_path string, source_type string, severity string, confidence string, redacted_secret string, snippet string, username string, locations_json string, references_json string, status string, first_seen string, last_seen string, times_seen int, scan_id_first string, scan_id_last string, closed_at string"
+LIVE = "secret_hash string, valid boolean, source string, checked_at string"
+SCANS = "scan_id string, started_at string, finished_at string, status string, origin string, query string, issues_scanned long, findings_total long"
+TABLES = {"findings": STORED, "live_validations": LIVE, "scans": SCANS}
+PLACES = "array<struct<issue_key: string, field_path: string, source_type: string>>"
+EXTERNAL = "struct<valid: boolean, source: string, checked_at: string>"
+
+
+class Store:
+    """The tables of past scans as Parquet snapshots below one folder; a missing table is empty, so opening creates nothing that could be half there.
+
+    A snapshot is a folder of its own and becomes the table when it is complete (its ``_SUCCESS`` file), so a failed scan leaves the last one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path(self.path))
+
+    def snapshots(self, name: str) -> list[int]:
+        where = self._path(f"{self.path}/{name}")
+        numbers = [int(f.getPath().getName()) for f in self._files.listStatus(where)] if self._files.exists(where) else []
+        return sorted(n for n in numbers if self._files.exists(self._path(f"{self.path}/{name}/{n}/_SUCCESS")))
+
+    def read(self, name: str) -> DataFrame:
+        """The latest snapshot, in the table's own columns; those that an older one lacks are null."""
+        known = self.snapshots(name)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{known[-1]}") if known else self.spark.createDataFrame([], TABLES[name])
+
+    def replace(self, name: str, frame: DataFrame) -> None:
+        """Writes the next snapshot; the one before stays for readers, older ones go."""
+        known = self.snapshots(name)
+        frame.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.mode("overwrite").parquet(f"{self.path}/{name}/{(known or [0])[-1] + 1}")
+        for old in known[:-1]:
+            self._files.delete(self._path(f"{self.path}/{name}/{old}"), True)
 
 
 def expanded(found: DataFrame) -> DataFrame:
@@ -22,38 +59,44 @@ def expanded(found: DataFrame) -> DataFrame:
     return locations(found).select("*", at.alias("at_key"), C.fingerprint(F.col("secret_hash"), F.col("rule_id"), at).alias("fingerprint"))
 
 
-def reconcile(current: DataFrame, stored: DataFrame, scanned: DataFrame, live: DataFrame, scan_id: str, now: str) -> tuple[DataFrame, DataFrame]:
+def matched(current: DataFrame, stored: DataFrame, scanned: DataFrame) -> DataFrame:
+    """fingerprint, k, new, old, in_scope: one full outer join of current locations and stored rows; all of ``reconcile`` reads from it."""
+    columns = [c.split(" ")[0] for c in STORED.split(", ")]
+    keys = scanned.select(F.col("issue_key").alias("_key")).distinct().withColumn("_scanned", F.lit(True))
+    old = stored.select(*columns).join(keys, F.col("issue_key") == F.col("_key"), "left").select("fingerprint", F.struct(*columns).alias("old"), F.coalesce("_scanned", F.lit(False)).alias("in_scope"))
+    row = F.struct("secret_hash", "rule_id", F.col("at_key").alias("issue_key"), "issue_url", F.col("location.field_path").alias("field_path"), F.col("location.source_type").alias("source_type"), "severity", "confidence", "redacted_secret", "snippet", "username", F.to_json(F.array("location")).alias("locations_json"), F.to_json(F.coalesce("references", F.array().cast("array<string>"))).alias("references_json"))
+    met = expanded(current).groupBy("fingerprint").agg(F.count("*").cast("int").alias("k"), F.max_by(row, F.struct("ord", "location")).alias("new"))
+    return met.join(old, "fingerprint", "full")
+
+
+def reconcile(current: DataFrame, stored: DataFrame, scanned: DataFrame, live: DataFrame, scan_id: str, now: str, both: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(stored table after the scan, report of current and newly closed findings).
 
     A fingerprint met k times at once counts k sightings: a new one is stored as recurring with times_seen k if
     k > 1, an old one gains k. Rows of records that were not scanned stay as they are; rows of scanned records
-    that were not met again are closed.
+    that were not met again are closed. ``both`` is what ``matched`` gives, where the caller has written it; it is written once here otherwise, as
+    table and report read it several times.
     """
-    stored = stored.select(*(c.split(" ")[0] for c in STORED.split(", ")))
-    keys = scanned.select("issue_key").distinct()
-    rows = expanded(current)
-    order = F.struct("ord", "location")
-    met = rows.groupBy("fingerprint").agg(F.count("*").cast("int").alias("k"), F.max_by(F.struct("secret_hash", "rule_id", F.col("at_key").alias("issue_key"), F.col("location.field_path").alias("field_path"), F.col("location.source_type").alias("source_type"), "severity", "confidence", "redacted_secret", "snippet", "username", F.to_json(F.array("location")).alias("locations_json")), order).alias("new"))
-    in_scope = stored.join(keys, "issue_key", "left_semi")
+    both = Stages(current.sparkSession).keep(matched(current, stored, scanned), "matched") if both is None else both
+    met, known = F.col("new").isNotNull(), F.col("old").isNotNull() & F.col("in_scope")
+    closing = ~met & known & (F.col("old.status") != "closed")
 
     # the table
-    joined = met.join(in_scope.select("fingerprint", F.struct("first_seen", "times_seen", "scan_id_first").alias("old")), "fingerprint", "left")
-    upserted = joined.select(
-        "fingerprint", "new.*",
-        F.when(F.col("old").isNotNull() | (F.col("k") > 1), "recurring").otherwise("new").alias("status"),
-        F.coalesce("old.first_seen", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_seen"),
-        (F.coalesce("old.times_seen", F.lit(0)) + F.col("k")).cast("int").alias("times_seen"),
-        F.coalesce("old.scan_id_first", F.lit(scan_id)).alias("scan_id_first"), F.lit(scan_id).alias("scan_id_last"), F.lit(None).cast("string").alias("closed_at"),
-    )
-    gone = in_scope.join(met, "fingerprint", "left_anti")
-    closing = gone.where("status <> 'closed'")
-    closed = closing.withColumns({"status": F.lit("closed"), "closed_at": F.lit(now), "last_seen": F.lit(now), "scan_id_last": F.lit(scan_id)})
-    untouched = stored.join(keys, "issue_key", "left_anti").unionByName(gone.where("status = 'closed'"))
-    table = upserted.unionByName(closed).unionByName(untouched)
+    after = {
+        "status": F.when(met, F.when(known | (F.col("k") > 1), "recurring").otherwise("new")).when(closing, "closed").otherwise(F.col("old.status")),
+        "first_seen": F.coalesce(F.when(~met | known, F.col("old.first_seen")), F.lit(now)),
+        "last_seen": F.when(met | closing, F.lit(now)).otherwise(F.col("old.last_seen")),
+        "times_seen": F.when(met, F.coalesce(F.when(known, F.col("old.times_seen")), F.lit(0)) + F.col("k")).otherwise(F.col("old.times_seen")).cast("int"),
+        "scan_id_first": F.coalesce(F.when(~met | known, F.col("old.scan_id_first")), F.lit(scan_id)),
+        "scan_id_last": F.when(met | closing, F.lit(scan_id)).otherwise(F.col("old.scan_id_last")),
+        "closed_at": F.when(closing, F.lit(now)).when(~met, F.col("old.closed_at")),
+    }
+    columns = [c.split(" ")[0] for c in STORED.split(", ")]
+    table = both.select("fingerprint", *(after.get(c, F.when(met, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) if c != "fingerprint" else None).alias(c) for c in columns if c != "fingerprint"))
 
     # the report
-    seen = rows.join(in_scope.select("fingerprint", F.col("first_seen").alias("_first"), F.col("times_seen").alias("_times")), "fingerprint", "left")
-    history = seen.groupBy("secret_hash", "rule_id").agg(F.min(F.coalesce("_first", F.lit(now))).alias("h_first"), F.sum(F.coalesce(F.col("_times") + 1, F.lit(1))).cast("int").alias("h_times"))
+    times = F.coalesce(F.when(known, F.col("old.times_seen") + 1), F.lit(1)) * F.col("k")
+    history = both.where(met).groupBy(F.col("new.secret_hash").alias("secret_hash"), F.col("new.rule_id").alias("rule_id")).agg(F.min(F.coalesce(F.when(known, F.col("old.first_seen")), F.lit(now))).alias("h_first"), F.sum(times).cast("int").alias("h_times"))
     valid = live.select("secret_hash", F.struct(F.col("valid").cast("boolean").alias("valid"), "source", "checked_at").alias("ext"))
     told = current.drop("first_seen", "times_seen", "external_validation", "status").join(history, ["secret_hash", "rule_id"]).join(valid, "secret_hash", "left")
     confirmed = F.coalesce(F.col("ext.valid"), F.lit(False))
@@ -61,10 +104,13 @@ def reconcile(current: DataFrame, stored: DataFrame, scanned: DataFrame, live: D
         "severity": F.when(confirmed, "critical").otherwise(F.col("severity")), "confidence": F.when(confirmed, "high").otherwise(F.col("confidence")),
         "status": F.when(F.col("h_first") < now, "recurring").otherwise("new"), "first_seen": F.col("h_first"), "times_seen": F.col("h_times"), "external_validation": F.col("ext"),
     }).drop("h_first", "h_times", "ext")
-    names = ["secret_hash", "rule_id", "issue_key", "severity", "confidence", "redacted_secret", "status", "first_seen", "times_seen", "external_validation"]
-    known = valid.join(current.select("secret_hash").distinct(), "secret_hash", "left_semi")
-    ended = closing.join(known, "secret_hash", "left").select("secret_hash", "rule_id", "issue_key", "severity", "confidence", "redacted_secret", F.lit("closed").alias("status"), "first_seen", "times_seen", F.col("ext").alias("external_validation"))
-    return table, told.select(*names).unionByName(ended)
+    gone = both.where(closing).select("old.*").join(valid, "secret_hash", "left")
+    ended = gone.select(
+        F.sha2(F.concat_ws("/", F.lit(scan_id), "fingerprint"), 256).alias("finding_id"), "issue_key", "issue_url", "field_path", "rule_id", "severity", "confidence", "redacted_secret", "secret_hash", "snippet",
+        F.col("last_seen").alias("detected_at"), F.lit(VERSION).alias("scanner_version"), F.coalesce(F.from_json("locations_json", PLACES), F.array().cast(PLACES)).alias("locations"), "source_type", F.lit("closed").alias("status"), "username",
+        F.coalesce(F.from_json("references_json", "array<string>"), F.array().cast("array<string>")).alias("references"), "first_seen", "times_seen", F.col("ext").cast(EXTERNAL).alias("external_validation"),
+    )
+    return table, told.withColumn("external_validation", F.col("external_validation").cast(EXTERNAL)).unionByName(ended, allowMissingColumns=True)
 
 
 def audit(scans: DataFrame, run: DataFrame) -> DataFrame:

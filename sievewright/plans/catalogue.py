@@ -5,6 +5,8 @@ Every query reads its whole tables. Arrays and structs are given as text, as the
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ from ..operators import findings as N
 from ..operators import pairs as P
 from ..operators import scan as S
 from ..operators import segments as G
+from .. import scanner
 from ..operators import store
 from ..operators.rules import BUILTIN, rule_set
 from ..sinks import reports
+from ..sources.stages import Stages
 from ..sources.tables import table
 
 BASE = "https://tracker.example"
@@ -77,8 +81,13 @@ _raw = "\n  UNION ALL ".join(
     f"SELECT issue_key, field_path, source_type, '{r}' AS rule_id, '{next(b for b in BUILTIN if b.rule_id == r).severity}' AS severity, '{next(b for b in BUILTIN if b.rule_id == r).confidence}' AS base, text, unnest(regexp_extract_all(text, '{_sql_regex(r)[0]}', {_sql_regex(r)[1]})) AS value FROM seg" for r in PRESENT
 )
 _entropy = "(SELECT -sum(n / length(value) * log2(n / length(value))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c))"
-#: Hits that pass their rules, scored. Matches of assignments hold a context word themselves; other texts lie within the window.
-HITS_SQL = f"""{SEGMENTS_SQL},
+#: Matches of the four rules whose drops are counted, whatever becomes of them.
+_dropped = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, text, unnest(regexp_extract_all(text, '{_sql_regex(r)[0]}', {_sql_regex(r)[1]})) AS value FROM seg" for r in ("aws_secret_access_key", "aws_access_key_id", "github_token", "gitlab_token"))
+
+
+def _hits_sql(seg: str) -> str:
+    """Hits that pass their rules, scored. Matches of assignments hold a context word themselves; other texts lie within the window."""
+    return f"""{seg},
 raw AS ({_raw}),
 scored AS (SELECT *, {_entropy} AS h, rule_id = 'generic_password_assignment' OR regexp_matches(lower(text), '{"|".join(fixed.CONTEXT_WORDS)}') AS ctx FROM raw),
 hits AS (SELECT issue_key, field_path, source_type, rule_id, severity,
@@ -88,6 +97,13 @@ hits AS (SELECT issue_key, field_path, source_type, rule_id, severity,
   FROM scored WHERE NOT regexp_matches(lower(value), '{_words}')
     AND (rule_id <> 'generic_password_assignment' OR (h >= 2 AND regexp_matches(value, '[0-9]')))
     AND (rule_id <> 'aws_access_key_id' OR regexp_matches(value, '^.{{4}}[A-Z2-7]{{16}}$')))"""
+
+
+HITS_SQL = _hits_sql(SEGMENTS_SQL)
+E2E_SQL = f"""{TOKENS_SQL.lstrip()}, cust AS (SELECT 'CUST-' || c_custkey AS issue_key, c_custkey AS c, c_name AS name, sha256(c_custkey::VARCHAR) AS h FROM customer),
+seg AS (SELECT 'CUST-' || c_custkey AS issue_key, 'description' AS field_path, text, 'description' AS source_type FROM tokens
+  UNION ALL SELECT issue_key, 'comment.comments[1].body', 'glpat' || '-' || h[21:40] || ' x', 'comment' FROM cust WHERE c % 3 = 0
+  UNION ALL SELECT issue_key, 'attachment[' || c || '.env]', 'user=' || name || chr(10) || 'password=' || h[41:60], 'attachment' FROM cust WHERE c % 7 = 0)"""
 FINGERPRINT_SQL = "'fp:' || sha256(secret_hash || chr(31) || rule_id || chr(31) || issue_key)"
 
 
@@ -97,8 +113,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of rules alone, with a fixed time."""
-    none = hits(spark, sf).limit(0)
-    return N.findings(hits(spark, sf), none, BASE, F.to_timestamp(F.lit(NOW)))
+    return N.findings(hits(spark, sf), spark.createDataFrame([], S.FINDINGS), BASE, F.to_timestamp(F.lit(NOW)))
+
+
+def customer_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The token texts of all customers alone."""
+    return G.raw_segment(token_text(table(spark, sf, "customer")), F.concat(F.lit("CUST-"), "c_custkey"), F.lit("customfield_10001"), F.col("text"))
 
 
 # ------------------------------------------------------------------ queries
@@ -126,13 +146,14 @@ def json_leaf_walk(spark, sf):
 
 def rule_generic_password(spark, sf):
     rules = [r for r in rule_set() if r.rule_id == "generic_password_assignment"]
-    return S.scan(segments(spark, sf).where("source_type = 'description'"), rules).select("issue_key", "severity", "confidence", "secret_hash", "redacted_secret")
+    return S.scan(segments(spark, sf), rules).select("issue_key", "severity", "confidence", "secret_hash", "redacted_secret")
 
 
 def rule_aws_secret_context(spark, sf):
     rules = [r for r in rule_set() if r.rule_id == "aws_secret_access_key"]
     docs = table(spark, sf, "documents").where(F.col("text").rlike("\\b[A-Za-z0-9/+]{40}\\b"))
-    with_key = docs.select("doc_id", F.concat(F.lit("aws_secret = "), F.regexp_extract("text", "\\b[A-Za-z0-9/+]{40}\\b", 0)).alias("text"))
+    keys = F.regexp_extract_all("text", F.lit("\\b[A-Za-z0-9/+]{40}\\b"), F.lit(0))
+    with_key = docs.select("doc_id", F.explode(keys).alias("key")).select("doc_id", F.concat(F.lit("aws_secret = "), "key").alias("text"))
     return S.scan(G.raw_segment(with_key, F.concat(F.lit("DOC-"), "doc_id"), F.lit("description"), F.col("text")), rules).select("issue_key", "rule_id", "confidence", "secret_hash")
 
 
@@ -170,7 +191,7 @@ def redact_preview(spark, sf):
 
 
 def snippet_masked(spark, sf):
-    rows = hits(spark, sf).where("source_type = 'customfield'")
+    rows = S.scan(customer_segments(spark, sf))
     return rows.select("issue_key", "rule_id", "snippet", "match_start", "match_end")
 
 
@@ -179,7 +200,7 @@ def pairs_url(spark, sf):
 
 
 def pairs_proximity(spark, sf):
-    return P.detect(segments(spark, sf).where("source_type = 'customfield'")).where("snippet not like 'username=svc %'").select("issue_key", "username", F.col("secret_hash").alias("password_hash"))
+    return P.detect(segments(spark, sf)).where("snippet not like 'username=svc %'").select("issue_key", "username", F.col("secret_hash").alias("password_hash"))
 
 
 def pairs_json(spark, sf):
@@ -241,35 +262,35 @@ def incremental_window(spark, sf):
 
 
 def _scans(spark, sf):
-    """Two scans of the token texts: all but those of mod 1, then all but those of mod 2; keys of mod 3 aren't scanned again."""
-    one = found(spark, sf).where("source_type = 'customfield'").persist().withColumn("mod", F.regexp_extract("issue_key", "([0-9]+)$", 1).cast("long") % 5)
-    first, second = one.where("mod <> 1").drop("mod"), one.where("mod not in (2, 3)").drop("mod")
-    keys = segments(spark, sf).where("source_type = 'customfield'").select("issue_key")
-    again = keys.where(F.regexp_extract("issue_key", "([0-9]+)$", 1).cast("long") % 5 != 3)
-    live = spark.createDataFrame([], "secret_hash string, valid boolean, source string, checked_at string")
-    empty = spark.createDataFrame([], store.STORED)
-    table1, _ = store.reconcile(N.merged(first), empty, keys, live, "scan-1", "2026-01-01T00:00:00+00:00")
-    return N.merged(second), table1, again, live
+    """Two scans of all segments: all but the issues of mod 1, then all but those of mod 2; keys of mod 3 aren't scanned again. Hits and the first scan's table are written once."""
+    stages, mod = Stages(spark), F.regexp_extract("issue_key", "([0-9]+)$", 1).cast("long") % 5
+    one = stages.keep(found(spark, sf), "hits")
+    keys = segments(spark, sf).select("issue_key").distinct()
+    live, empty = spark.createDataFrame([], store.LIVE), spark.createDataFrame([], store.STORED)
+    table1, _ = store.reconcile(N.merged(one.where(mod != 1)), empty, keys, live, "scan-1", "2026-01-01T00:00:00+00:00")
+    stored, again = stages.keep(table1, "stored"), keys.where(mod != 3)
+    current = stages.keep(N.merged(one.where(~mod.isin(2, 3))), "current")
+    return current, stored, again, live, stages.keep(store.matched(current, stored, again), "matched")
 
 
 def reconcile_states(spark, sf):
-    current, stored, keys, live = _scans(spark, sf)
-    after, _ = store.reconcile(current, stored, keys, live, "scan-2", NOW)
+    current, stored, keys, live, both = _scans(spark, sf)
+    after, _ = store.reconcile(current, stored, keys, live, "scan-2", NOW, both)
     return after.select("fingerprint", "issue_key", "status", "first_seen", "last_seen", "times_seen", "closed_at")
 
 
 def reconcile_report(spark, sf):
-    current, stored, keys, live = _scans(spark, sf)
-    _, report = store.reconcile(current, stored, keys, live, "scan-2", NOW)
+    current, stored, keys, live, both = _scans(spark, sf)
+    _, report = store.reconcile(current, stored, keys, live, "scan-2", NOW, both)
     return report.groupBy("status", "rule_id").agg(F.count("*").alias("n"), F.sum("times_seen").cast("long").alias("times"))
 
 
 def live_validation(spark, sf):
-    current, stored, keys, _ = _scans(spark, sf)
+    current, stored, keys, _, both = _scans(spark, sf)
     labels = table(spark, sf, "labels").groupBy((F.col("doc_id") % 1000).alias("k")).agg(F.max("toxic").alias("toxic"))
     h = token_text(table(spark, sf, "customer")).where("c_custkey % 5 = 0")
     live = h.join(labels, F.col("c_custkey") == F.col("k")).select(C.secret_hash(F.substring("text", 6, 40)).alias("secret_hash"), (F.col("toxic") == 0).alias("valid"), F.lit("labels").alias("source"), F.lit(NOW).alias("checked_at"))
-    _, report = store.reconcile(current, stored, keys, live, "scan-2", NOW)
+    _, report = store.reconcile(current, stored, keys, live, "scan-2", NOW, both)
     return report.where("status <> 'closed'").groupBy("rule_id", "severity", "confidence", F.coalesce("external_validation.valid", F.lit(False)).alias("valid")).agg(F.count("*").alias("n"))
 
 
@@ -291,6 +312,20 @@ def alert_topn(spark, sf):
     return N.visible(ordered, "high", 10).select("secret_hash", "rule_id", "confidence")
 
 
+def scan_run_e2e(spark, sf):
+    """A whole run over records with payload, later comments and attachments, rules and pairs, merged and reconciled with an empty store."""
+    h, rows = F.sha2(F.col("c_custkey").cast("string"), 256), token_text(table(spark, sf, "customer")).join(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    key, name = F.concat(F.lit("CUST-"), "c_custkey").alias("issue_key"), F.concat("c_custkey", F.lit(".env"))
+    comment = F.struct(F.lit(2).alias("total"), F.lit(0).alias("startAt"), F.array(F.struct(F.concat(F.lit("see "), "c_name").alias("body"))).alias("comments"))
+    listed = F.array(F.struct(name.alias("filename"), F.lit("text/plain").alias("mimeType"), F.lit(100).alias("size"), F.lit("/x").alias("content")), F.struct(F.lit("a.zip").alias("filename"), F.lit("").alias("mimeType"), F.lit(1).alias("size"), F.lit("/y").alias("content")))
+    records = rows.select(key, F.to_json(F.struct(F.col("text").alias("description"), comment.alias("comment"), listed.alias("attachment"))).alias("fields"))
+    later = rows.where("c_custkey % 3 = 0").select(key, F.lit(1).cast("long").alias("pos"), F.to_json(F.struct(F.concat(F.lit("glpat"), F.lit("-"), F.substring(h, 21, 20), F.lit(" x")).alias("body"))).alias("comment"))
+    bodies = rows.where("c_custkey % 7 = 0").select(key, F.lit(0).cast("long").alias("pos"), F.concat(F.lit("user="), "c_name", F.lit("\npassword="), F.substring(h, 41, 20)).alias("text"))
+    config = scanner.Config(url=BASE, auth="none", query="project = CUST", scan_attachments=True, dry_run=True, store=f"{Stages(spark).root}/store")
+    done = scanner.run(spark, config, records, later, bodies, datetime.fromisoformat(NOW))
+    return done.findings.select("rule_id", "secret_hash", "severity", "confidence", "status", "issue_key", "field_path", "source_type", "username", "times_seen", F.size("references").cast("long").alias("n_references"))
+
+
 def github_checksum(spark, sf):
     """Tokens made with a right and with a wrong checksum."""
     body = F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 30)
@@ -299,10 +334,10 @@ def github_checksum(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", C.github_checksum_ok(token).alias("ok"))
 
 
-QUERIES = {f.__name__: f for f in (flagship, segments_union, segment_truncate, json_leaf_walk, rule_generic_password, rule_aws_secret_context, rule_scan_all, drop_reasons, confidence_adjust, entropy_by_value, secret_hash_fingerprint, redact_preview, snippet_masked, pairs_url, pairs_proximity, pairs_json, proximity_band_join, allowlist_anti, findings_cap, dedup_merge, severity_tally, comments_counter, attachment_gate, attachment_budget, same_origin, incremental_window, reconcile_states, reconcile_report, live_validation, sarif_rule_levels, csv_sanitize, defectdojo_rows, alert_topn, github_checksum)}
+QUERIES = {f.__name__: f for f in (flagship, segments_union, segment_truncate, json_leaf_walk, rule_generic_password, rule_aws_secret_context, rule_scan_all, drop_reasons, confidence_adjust, entropy_by_value, secret_hash_fingerprint, redact_preview, snippet_masked, pairs_url, pairs_proximity, pairs_json, proximity_band_join, allowlist_anti, findings_cap, dedup_merge, severity_tally, comments_counter, attachment_gate, attachment_budget, same_origin, incremental_window, reconcile_states, reconcile_report, live_validation, sarif_rule_levels, csv_sanitize, defectdojo_rows, alert_topn, github_checksum, scan_run_e2e)}
 
 _state = f"""{HITS_SQL},
-f AS (SELECT DISTINCT issue_key, rule_id, secret_hash, severity, confidence, redacted_secret, regexp_extract(issue_key, '([0-9]+)$', 1)::BIGINT % 5 AS m, {FINGERPRINT_SQL} AS fingerprint FROM hits WHERE source_type = 'customfield')"""
+f AS (SELECT issue_key, rule_id, secret_hash, regexp_extract(issue_key, '([0-9]+)$', 1)::BIGINT % 5 AS m, {FINGERPRINT_SQL} AS fingerprint, count(DISTINCT field_path) AS k FROM hits GROUP BY ALL)"""
 _first, _then = "2026-01-01T00:00:00+00:00", NOW
 ORACLES: dict[str, str] = {
     "flagship": f"WITH {HITS_SQL} SELECT rule_id, severity, secret_hash, redacted_secret, count(DISTINCT issue_key) AS issues, count(*) AS hits FROM hits GROUP BY ALL",
@@ -311,9 +346,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, text, CASE WHEN strlen(text) <= 1000 THEN text ELSE (SELECT max(text[1:k]) FROM (SELECT unnest(range(240, 1001)) AS k) WHERE strlen(text[1:k]) <= 1000) END AS t FROM documents)""",
     "json_leaf_walk": """SELECT 'NAT-' || n_nationkey AS issue_key, o::BIGINT AS seg_ord, p AS field_path, t AS text, 'customfield' AS source_type FROM (
         SELECT n_nationkey, unnest([0, 1, 2, 3]) AS o, unnest(['area.blank', 'area.list[0]', 'area.list[1]', 'name']) AS p, unnest(['', r_name, n_name, n_name]) AS t FROM nation JOIN region ON n_regionkey = r_regionkey)""",
-    "rule_generic_password": f"WITH {HITS_SQL} SELECT issue_key, severity, confidence, secret_hash, redacted_secret FROM hits WHERE source_type = 'description' AND rule_id = 'generic_password_assignment'",
+    "rule_generic_password": f"WITH {HITS_SQL} SELECT issue_key, severity, confidence, secret_hash, redacted_secret FROM hits WHERE rule_id = 'generic_password_assignment'",
     "rule_aws_secret_context": f"""SELECT 'DOC-' || doc_id AS issue_key, 'aws_secret_access_key' AS rule_id, 'high' AS confidence, 'sha256:' || sha256(value) AS secret_hash FROM (
-        SELECT doc_id, regexp_extract(text, '\\b[A-Za-z0-9/+]{{40}}\\b') AS value FROM documents) WHERE value <> '' AND {_entropy} >= 3 AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND NOT regexp_matches(lower(value), '{_words}')""",
+        SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9/+]{{40}}\\b')) AS value FROM documents) WHERE {_entropy} >= 3 AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND NOT regexp_matches(lower(value), '{_words}')""",
     "rule_scan_all": f"WITH {HITS_SQL} SELECT issue_key, field_path, source_type, rule_id, severity, confidence, secret_hash, redacted_secret FROM hits",
     "confidence_adjust": """SELECT base, CASE WHEN p OR base = 'low' THEN 'low' WHEN base = 'high' THEN CASE WHEN a OR b THEN 'high' ELSE 'medium' END
         ELSE CASE WHEN a AND b THEN 'high' WHEN a OR b THEN 'medium' ELSE 'low' END END AS confidence, count(*) AS n
@@ -334,15 +369,35 @@ ORACLES: dict[str, str] = {
     "same_origin": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || regexp_extract(url, '://([^/]+)', 1) || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END AS origin, starts_with(url, 'https://thther.example.org/') AS same FROM pages",
     "incremental_window": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 11:55:00' GROUP BY ALL",
     "reconcile_states": f"""WITH {_state} SELECT fingerprint, issue_key,
-        CASE m WHEN 1 THEN 'new' WHEN 2 THEN 'closed' WHEN 3 THEN 'new' ELSE 'recurring' END AS status, CASE m WHEN 1 THEN '{_then}' ELSE '{_first}' END AS first_seen, CASE m WHEN 3 THEN '{_first}' ELSE '{_then}' END AS last_seen,
-        CASE WHEN m IN (0, 4) THEN 2 ELSE 1 END::INTEGER AS times_seen, CASE m WHEN 2 THEN '{_then}' END AS closed_at FROM f""",
-    "reconcile_report": f"WITH {_state} SELECT CASE m WHEN 1 THEN 'new' WHEN 2 THEN 'closed' ELSE 'recurring' END AS status, rule_id, count(*) AS n, sum(CASE WHEN m IN (0, 4) THEN 2 ELSE 1 END)::BIGINT AS times FROM f WHERE m <> 3 GROUP BY ALL",
-    "live_validation": f"""WITH {_state}, l AS (SELECT doc_id % 1000 AS k, max(toxic) = 0 AS valid FROM labels GROUP BY 1), g AS (SELECT f.*, coalesce(l.valid, false) AS v FROM f LEFT JOIN l ON f.m = 0 AND regexp_extract(issue_key, '([0-9]+)$', 1)::BIGINT = l.k WHERE m IN (0, 1, 4))
-        SELECT rule_id, CASE WHEN v THEN 'critical' ELSE severity END AS severity, CASE WHEN v THEN 'high' ELSE confidence END AS confidence, v AS valid, count(*) AS n FROM g GROUP BY ALL""",
+        CASE WHEN m = 2 THEN 'closed' WHEN m IN (0, 4) OR k > 1 THEN 'recurring' ELSE 'new' END AS status, CASE m WHEN 1 THEN '{_then}' ELSE '{_first}' END AS first_seen, CASE m WHEN 3 THEN '{_first}' ELSE '{_then}' END AS last_seen,
+        (CASE WHEN m IN (0, 4) THEN 2 * k ELSE k END)::INTEGER AS times_seen, CASE m WHEN 2 THEN '{_then}' END AS closed_at FROM f""",
+    "reconcile_report": f"""WITH {_state}, merged AS (SELECT rule_id, CASE WHEN bool_or(m <> 1) THEN 'recurring' ELSE 'new' END AS status, sum(CASE WHEN m = 1 THEN k ELSE k * (k + 1) END) AS times FROM f WHERE m NOT IN (2, 3) GROUP BY secret_hash, rule_id),
+        told AS (SELECT status, rule_id, times FROM merged UNION ALL SELECT 'closed', rule_id, k FROM f WHERE m = 2) SELECT status, rule_id, count(*) AS n, sum(times)::BIGINT AS times FROM told GROUP BY ALL""",
+    "live_validation": f"""WITH {_state}, l AS (SELECT doc_id % 1000 AS k, max(toxic) = 0 AS valid FROM labels GROUP BY 1),
+        g AS (SELECT secret_hash, hits.rule_id, any_value(severity) AS severity, any_value(confidence) AS confidence FROM hits JOIN f USING (issue_key, rule_id, secret_hash) WHERE m IN (0, 1, 4) GROUP BY ALL),
+        v AS (SELECT 'sha256:' || sha256(text[6:45]) AS secret_hash, l.valid FROM tokens JOIN l ON c_custkey = l.k WHERE c_custkey % 5 = 0), w AS (SELECT g.*, coalesce(valid, false) AS ok FROM g LEFT JOIN v USING (secret_hash))
+        SELECT rule_id, CASE WHEN ok THEN 'critical' ELSE severity END AS severity, CASE WHEN ok THEN 'high' ELSE confidence END AS confidence, ok AS valid, count(*) AS n FROM w GROUP BY ALL""",
     "sarif_rule_levels": f"WITH {HITS_SQL} SELECT rule_id, CASE WHEN bool_or(severity IN ('critical', 'high')) THEN 'error' WHEN bool_or(severity = 'medium') THEN 'warning' ELSE 'note' END AS level FROM hits GROUP BY rule_id",
     "csv_sanitize": "SELECT c_custkey, ['''=1+1 ', ''' @x ', 'red ', 'plain '][c_custkey % 4 + 1] || c_name AS cell FROM customer",
     "alert_topn": f"WITH {HITS_SQL} SELECT secret_hash, rule_id, max(confidence) AS confidence FROM hits WHERE confidence = 'high' GROUP BY ALL ORDER BY secret_hash, rule_id LIMIT 10",
     "defectdojo_rows": f"""WITH {HITS_SQL}, o AS (SELECT *, min(issue_key) OVER (PARTITION BY secret_hash, rule_id) AS k FROM hits)
         SELECT DISTINCT rule_id || ' in ' || k AS title, upper(severity[1:1]) || severity[2:] AS severity, true AS active, false AS verified, 'fp:' || sha256(secret_hash || chr(31) || rule_id || chr(31) || k) || '#0' AS unique_id_from_tool, 'secret-scanner,' || source_type || ',status:new' AS tags FROM o WHERE issue_key = k""",
+    "drop_reasons": f"""WITH {SEGMENTS_SQL}, m AS ({_dropped}),
+        r AS (SELECT rule_id, CASE WHEN rule_id = 'aws_secret_access_key' AND {_entropy} < 3 THEN 'min_entropy' WHEN regexp_matches(lower(value), '{_words}') THEN 'placeholder'
+          WHEN rule_id = 'aws_secret_access_key' AND length(regexp_replace(value, '[^0-9]', '', 'g')) < 3 THEN 'min_digits'
+          WHEN rule_id = 'aws_secret_access_key' AND NOT regexp_matches(lower(text), 'aws_secret_access_key|aws secret|aws_secret|secret access key') THEN 'context_keywords'
+          WHEN rule_id = 'aws_access_key_id' AND NOT regexp_matches(value, '^.{{4}}[A-Z2-7]{{16}}$') THEN 'validator' ELSE 'kept' END AS reason FROM m)
+        SELECT rule_id, reason, count(*) AS n FROM r GROUP BY ALL""",
+    "findings_cap": f"""WITH {HITS_SQL}, p AS (SELECT 'P-' || secret_hash[8:8] AS issue_key, rule_id, secret_hash, row_number() OVER (PARTITION BY secret_hash[8:8] ORDER BY ('0x' || secret_hash[8:22])::BIGINT, list_position([{", ".join(f"'{b.rule_id}'" for b in BUILTIN)}], rule_id)) AS n FROM hits)
+        SELECT issue_key, rule_id, secret_hash FROM p WHERE n <= 5""",
+    "attachment_budget": """WITH RECURSIVE a AS (SELECT 'HOST-' || page_id % 7 AS k, page_id AS pos, strlen(html)::BIGINT AS size, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS n FROM pages),
+        r AS (SELECT DISTINCT k, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS files, NULL::BIGINT AS pos, NULL::VARCHAR AS outcome FROM a
+          UNION ALL SELECT k, n, used + CASE WHEN o = 'scan' THEN size ELSE 0 END, files + CASE WHEN o = 'scan' THEN 1 ELSE 0 END, pos, o FROM (
+            SELECT a.k, a.n, a.pos, a.size, r.used, r.files, CASE WHEN r.files >= 20 THEN 'stop' WHEN a.size > 8192 THEN 'skip' WHEN r.used >= 40000 THEN 'over' WHEN a.size > 40000 - r.used THEN 'failed' ELSE 'scan' END AS o FROM r JOIN a ON a.k = r.k AND a.n = r.n + 1))
+        SELECT k AS issue_key, pos, outcome FROM r WHERE n > 0""",
+    "scan_run_e2e": f"""WITH {_hits_sql(E2E_SQL)}, pairs AS (SELECT issue_key, 'description' AS field_path, 'description' AS source_type, name AS username, h[1:20] AS password FROM cust WHERE c % 5 = 1
+          UNION ALL SELECT issue_key, 'description', 'description', 'svc', h[1:16] FROM cust WHERE c % 5 = 4 UNION ALL SELECT issue_key, 'attachment[' || c || '.env]', 'attachment', name, h[41:60] FROM cust WHERE c % 7 = 0)
+        SELECT rule_id, secret_hash, severity, confidence, 'new' AS status, issue_key, field_path, source_type, NULL::VARCHAR AS username, 1::INTEGER AS times_seen, CASE rule_id {" ".join(f"WHEN '{b.rule_id}' THEN {len(b.references)}" for b in BUILTIN)} END::BIGINT AS n_references FROM hits
+        UNION ALL SELECT 'credential_pair', 'sha256:' || sha256(password), 'high', 'high', 'new', issue_key, field_path, source_type, username, 1, 0 FROM pairs""",
     "github_checksum": "SELECT c_custkey, c_custkey % 2 = 0 AS ok FROM customer",
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.findings import visible
+from ..operators.rules import read_records
 
 log = logging.getLogger(__name__)
 
@@ -57,14 +58,28 @@ def channels(config: dict) -> list[Channel]:
             if set(own) != {key} or not str(own[key]).strip():
                 raise ValueError(f"alerts: {name} takes {key} and nothing else")
             out.append(Channel(name, own[key], payload))
-    if config.get("min_confidence", "medium") not in fixed.CONFIDENCES:
+    if str(config.get("min_confidence", "medium")).strip().lower() not in fixed.CONFIDENCES:
         raise ValueError("alerts: min_confidence is no level")
+    if not out:
+        raise ValueError("alerts: no channel is configured (slack, teams or webhook)")
     return out
 
 
+def read_alerts(path: str) -> dict:
+    """A YAML or JSON configuration on the driver, checked."""
+    try:
+        config = read_records(path) or {}
+    except (OSError, ValueError) as error:
+        raise ValueError(f"alerts: {path}: {error}") from error
+    if not isinstance(config, dict):
+        raise ValueError(f"alerts: {path} holds no configuration")
+    channels(config)
+    return config
+
+
 def payloads(found: DataFrame, run: dict, config: dict) -> list[tuple[Channel, dict]]:
     """What each channel is sent; at most twenty rows come to the driver."""
-    floor = config.get("min_confidence", "medium")
+    floor = str(config.get("min_confidence", "medium")).strip().lower()
     total = found.where(C.rank(F.col("confidence"), fixed.CONFIDENCES) >= fixed.CONFIDENCES.index(floor)).count()
     rows = [r.asDict() for r in visible(found, floor, 20).select("rule_id", "severity", "confidence", "issue_key", "issue_url", "field_path", "redacted_secret").collect()]
     return [(c, c.payload(run, rows, total)) for c in channels(config)]

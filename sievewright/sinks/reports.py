@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -15,6 +16,7 @@ from ..operators.findings import rule_levels
 
 CSV = ("finding_id", "issue_key", "issue_url", "field_path", "rule_id", "severity", "confidence", "redacted_secret", "secret_hash", "snippet", "detected_at", "source_type", "status", "first_seen", "times_seen", "external_validation")
 FREE_TEXT = ("issue_key", "issue_url", "field_path", "redacted_secret", "snippet")
+SARIF = "https://json.schemastore.org/sarif-2.1.0.json"
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 
 
@@ -24,8 +26,8 @@ class UnknownFormat(ValueError):
 
 def json_rows(found: DataFrame) -> DataFrame:
     """One JSON object per finding; what is null or an empty list of references is left out."""
-    slim = found.drop("ord", "seg_ord", "detector_ord", "rule_ord", "hit_ord").withColumn("references", F.when(F.size("references") > 0, F.col("references")))
-    return slim.select(F.to_json(F.struct(*sorted(slim.columns)), {"ignoreNullFields": "true"}).alias("value"))
+    slim = found.drop("seg_ord", "detector_ord", "rule_ord", "hit_ord").withColumn("references", F.when(F.size("references") > 0, F.col("references")))
+    return slim.select(F.to_json(F.struct(*sorted(c for c in slim.columns if c != "ord")), {"ignoreNullFields": "true"}).alias("value"), "ord")
 
 
 def csv_rows(found: DataFrame) -> DataFrame:
@@ -36,23 +38,37 @@ def csv_rows(found: DataFrame) -> DataFrame:
 
 
 def sarif_results(found: DataFrame) -> DataFrame:
-    """rule_id, level, tags and text of each result."""
+    """One result as JSON for each finding, in finding order."""
     level = F.coalesce(*(F.when(F.col("severity") == s, F.lit(v)) for s, v in LEVELS.items()), F.lit("note"))
-    live = F.when(F.coalesce(F.col("external_validation.valid"), F.lit(False)), F.lit("live-validated"))
-    return found.select("rule_id", level.alias("level"), F.array_compact(F.array(F.col("source_type"), F.col("status"), live)).alias("tags"), F.concat_ws(" in ", "rule_id", "issue_key").alias("text"), "issue_url", "field_path", F.col("secret_hash"), "ord")
+    tags = F.array_compact(F.array(F.col("source_type"), F.col("status"), F.when(_live(), F.lit("live-validated"))))
+    artifact = F.struct(
+        F.col("issue_url").alias("uri"), F.struct(F.lit("Record that contains the leaked secret").alias("text")).alias("description"),
+        F.struct(F.lit("tracker-issue").alias("artifactKind"), F.col("issue_key").alias("issueKey"), F.col("field_path").alias("fieldPath")).alias("properties"),
+    )
+    more = F.struct("finding_id", "issue_key", "field_path", "confidence", "status", "secret_hash", "detected_at", "first_seen", "times_seen", "external_validation", tags.alias("tags"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(": ", "rule_id", "redacted_secret").alias("text")).alias("message"), F.array(F.struct(F.struct(artifact.alias("artifactLocation")).alias("physicalLocation"))).alias("locations"), more.alias("properties"))
+    return found.select(F.to_json(result, {"ignoreNullFields": "false"}).alias("value"), "ord")
+
+
+def _live() -> Column:
+    return F.coalesce(F.col("external_validation.valid"), F.lit(False))
 
 
 def defectdojo_rows(found: DataFrame) -> DataFrame:
     """The columns of a tracker import, one row per finding."""
     primary = F.when(F.size("locations") > 0, F.get("locations", F.lit(0))["issue_key"]).otherwise(F.col("issue_key"))
     label = F.when(F.col("status") == "falsepositive", "false-positive").otherwise(F.col("status"))
-    live = F.when(F.coalesce(F.col("external_validation.valid"), F.lit(False)), F.lit("live-validated"))
+    ext = F.col("external_validation")
+    said = [("Rule: ", "rule_id"), ("\nIssue: ", "issue_key"), (" (", "issue_url"), (")\nField: ", "field_path"), (" (", "source_type"), (")\nDetected secret: ", "redacted_secret"), ("\nSnippet: ", "snippet"), ("\nConfidence: ", "confidence"), ("\nSecret hash (sha256): ", "secret_hash"), ("\nDetected at: ", "detected_at"), ("\nStatus: ", label), ("\nScanner version: ", "scanner_version")]
+    description = F.concat(*(x for before, value in said for x in (F.lit(before), F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")))))
+    seen = F.when(F.col("first_seen").isNotNull() & F.col("times_seen").isNotNull(), F.concat(F.lit("\nFirst seen: "), "first_seen", F.lit("\nTimes seen: "), F.col("times_seen").cast("string")))
+    checked = F.when(ext.isNotNull(), F.concat(F.lit("\nExternal validation: valid="), ext["valid"].cast("string"), F.lit(" (source: "), F.coalesce(ext["source"], F.lit("")), F.lit(", checked_at: "), F.coalesce(ext["checked_at"], F.lit("")), F.lit(")")))
     return found.select(
-        F.concat_ws(" in ", "rule_id", "issue_key").alias("title"), F.initcap("severity").alias("severity"), "redacted_secret",
-        F.coalesce(F.col("external_validation.valid"), F.lit(False)).alias("verified"),
-        (~F.col("status").isin("closed", "resolved", "falsepositive")).alias("active"), (F.col("status") == "falsepositive").alias("false_p"),
+        F.concat_ws(" in ", "rule_id", "issue_key").alias("title"), F.initcap("severity").alias("severity"), F.concat(description, F.coalesce(seen, F.lit("")), F.coalesce(checked, F.lit(""))).alias("description"), F.col("detected_at").alias("date"),
+        F.lit("Rotate the exposed credential, remove it from the record, and review who had access to it while it was exposed.").alias("mitigation"), F.col("issue_url").alias("references"), F.col("issue_key").alias("file_path"),
+        (~F.col("status").isin("closed", "resolved", "falsepositive")).alias("active"), _live().alias("verified"), (F.col("status") == "falsepositive").alias("false_p"), F.lit(False).alias("duplicate"), F.lit(True).alias("static_finding"),
         F.concat(C.fingerprint(F.col("secret_hash"), F.col("rule_id"), primary), F.lit("#0")).alias("unique_id_from_tool"),
-        F.array_join(F.array_compact(F.array(F.lit("secret-scanner"), F.col("source_type"), F.concat(F.lit("status:"), label), live)), ",").alias("tags"),
+        F.array_join(F.array_compact(F.array(F.lit("secret-scanner"), F.col("source_type"), F.concat(F.lit("status:"), label), F.when(_live(), F.lit("live-validated")))), ",").alias("tags"), "ord",
     )
 
 
@@ -66,14 +82,27 @@ def incomplete(run: dict) -> tuple[str, str] | None:
     return None
 
 
+def _lines(rows: DataFrame) -> Iterator[str]:
+    """Texts of a one-column table in finding order, a partition at a time: a report is a file of the driver, and no more than a partition is held."""
+    return (r["value"] for r in rows.sort(F.col("ord").asc_nulls_last()).select("value").toLocalIterator())
+
+
+def _document(path: Path, head: str, rows: Iterator[str], tail: str) -> None:
+    """One JSON document whose long list is written row by row."""
+    with path.open("w", encoding="utf-8") as out:
+        out.write(head)
+        for i, row in enumerate(rows):
+            out.write(f"{',' if i else ''}\n{row}")
+        out.write(tail)
+
+
 def write_json(found: DataFrame, run: dict, path: Path) -> None:
-    rows = [json.loads(r["value"]) for r in json_rows(found).toLocalIterator()]
-    path.write_text(json.dumps({"scan_run": run, "findings": rows}, indent=2), encoding="utf-8")
+    _document(path, f'{{"scan_run": {json.dumps(run)}, "findings": [', _lines(json_rows(found)), "\n]}\n")
 
 
 def write_ndjson(found: DataFrame, run: dict, path: Path) -> None:
     with path.open("w", encoding="utf-8") as out:
-        out.writelines(f"{r['value']}\n" for r in json_rows(found).toLocalIterator())
+        out.writelines(f"{row}\n" for row in _lines(json_rows(found)))
 
 
 def write_csv(found: DataFrame, run: dict, path: Path) -> None:
@@ -82,34 +111,39 @@ def write_csv(found: DataFrame, run: dict, path: Path) -> None:
     with path.open("w", encoding="utf-8", newline="") as out:
         rows = csv.writer(out)
         rows.writerow(CSV)
-        rows.writerows(tuple(r) for r in csv_rows(found).toLocalIterator())
+        rows.writerows(tuple(r) for r in csv_rows(found.sort(F.col("ord").asc_nulls_last())).toLocalIterator())
 
 
 def write_sarif(found: DataFrame, run: dict, path: Path) -> None:
-    results = [{"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["text"]}, "partialFingerprints": {"secretHash": r["secret_hash"]}, "properties": {"tags": r["tags"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["issue_url"]}}, "logicalLocations": [{"fullyQualifiedName": r["field_path"]}]}]} for r in sarif_results(found).orderBy("ord").toLocalIterator()]
-    rules = [{"id": r["rule_id"], "shortDescription": {"text": f"Secret found by {r['rule_id']}"}, "defaultConfiguration": {"level": r["level"]}} for r in rule_levels(found).orderBy("ord").toLocalIterator()]
+    rules = [{"id": r["rule_id"], "name": r["rule_id"], "shortDescription": {"text": f"Secret leak pattern '{r['rule_id']}' matched"}, "defaultConfiguration": {"level": r["level"]}} for r in rule_levels(found).orderBy(F.col("ord").asc_nulls_last()).collect()]  # one row per rule
     said = incomplete(run)
-    invocation = {"executionSuccessful": said is None, **({"toolExecutionNotifications": [{"level": said[0], "message": {"text": said[1]}}]} if said else {})}
-    whole = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "sievewright", "version": run.get("scanner_version", ""), "rules": rules}}, "results": results, "invocations": [invocation]}]}
-    path.write_text(json.dumps(whole, indent=2), encoding="utf-8")
+    invocation = {"executionSuccessful": said is None, "startTimeUtc": run.get("started_at"), "endTimeUtc": run.get("finished_at"), **({"toolExecutionNotifications": [{"level": said[0], "message": {"text": said[1]}}]} if said else {})}
+    tool = {"driver": {"name": "sievewright", "version": run.get("scanner_version", ""), "rules": rules}}
+    head = f'{{"$schema": "{SARIF}", "version": "2.1.0", "runs": [{{"tool": {json.dumps(tool)}, "invocations": [{json.dumps(invocation)}], "results": ['
+    _document(path, head, _lines(sarif_results(found)), "\n]}]}\n")
 
 
 def write_defectdojo(found: DataFrame, run: dict, path: Path) -> None:
-    rows = [{**r.asDict(), "tags": r["tags"].split(",")} for r in defectdojo_rows(found).toLocalIterator()]
-    path.write_text(json.dumps({"findings": rows}, indent=2), encoding="utf-8")
+    rows = defectdojo_rows(found).withColumn("tags", F.split("tags", ","))
+    _document(path, '{"findings": [', _lines(rows.select(F.to_json(F.struct(*(c for c in rows.columns if c != "ord"))).alias("value"), "ord")), "\n]}\n")
+
+
+def _summary(found: DataFrame, run: dict) -> Iterator[str]:
+    yield f"Scan {run.get('scan_id', '')}: {run['status']}, {run.get('issues_scanned', 0)} records, {run.get('comments_scanned', 0)} comments, {run.get('errors_total', 0)} errors"
+    yield from (f"  {s}: {run.get(f'findings_{s}', 0)}" for s in LEVELS)
+    shown = found.orderBy(F.col("ord").asc_nulls_last()).select("severity", "rule_id", *(C.terminal(F.col(c)).alias(c) for c in ("issue_key", "field_path", "redacted_secret", "snippet")))
+    for r in shown.toLocalIterator():
+        yield f"[{r['severity']}] {r['rule_id']} {r['issue_key']} {r['field_path']} {r['redacted_secret']}\n    {r['snippet']}"
 
 
 def summary(found: DataFrame, run: dict) -> str:
     """A text for a terminal; what others wrote can't steer it."""
-    lines = [f"Scan {run.get('scan_id', '')}: {run['status']}, {run.get('issues_scanned', 0)} records, {run.get('comments_scanned', 0)} comments, {run.get('errors_total', 0)} errors"]
-    lines += [f"  {s}: {run.get(f'findings_{s}', 0)}" for s in LEVELS]
-    shown = found.orderBy("ord").select("severity", "rule_id", *(C.terminal(F.col(c)).alias(c) for c in ("issue_key", "field_path", "redacted_secret", "snippet")))
-    lines += [f"[{r['severity']}] {r['rule_id']} {r['issue_key']} {r['field_path']} {r['redacted_secret']}\n    {r['snippet']}" for r in shown.toLocalIterator()]
-    return "\n".join(lines) + "\n"
+    return "\n".join(_summary(found, run)) + "\n"
 
 
 def write_summary(found: DataFrame, run: dict, path: Path) -> None:
-    path.write_text(summary(found, run), encoding="utf-8")
+    with path.open("w", encoding="utf-8") as out:
+        out.writelines(f"{line}\n" for line in _summary(found, run))
 
 
 FORMATS: dict[str, tuple[str, Callable[[DataFrame, dict, Path], None]]] = {
@@ -141,6 +175,19 @@ def secure_join(base: Path, *parts: str) -> Path:
     return base.joinpath(*parts)
 
 
+def project_segment(query: str) -> str:
+    """The folder of a nested report: the one project that a query names by ``=`` or ``in (...)``, ``_multi`` for several, ``_default`` for none.
+
+    Only letters, digits, ``_`` and ``-`` of a name are kept, so that no query leads out of the report folder.
+    """
+    said = re.search(r"(?i)(?<![A-Za-z0-9])project(?![A-Za-z0-9])\s*(?:=(.*)|in(?![A-Za-z0-9])\s*\(+([^)]*))?", query, re.S)
+    if not said or (said[1] is None and said[2] is None):
+        return "_default"
+    names = [re.match(r"[A-Za-z0-9_-]*", part.strip().lstrip('"'))[0] for part in ([said[1]] if said[1] is not None else said[2].split(","))]
+    names = [name for name in names if name]
+    return "_default" if not names else names[0] if len(names) == 1 else "_multi"
+
+
 def report_path(base: str, extension: str, at: datetime, project: str | None = None) -> Path:
     """Flat by date and time, or below project and date."""
     day, time = at.strftime("%Y-%m-%d"), at.strftime("%H-%M-%S")

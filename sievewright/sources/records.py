@@ -30,6 +30,19 @@ def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.get_json_object("issue", "$.key").alias("issue_key"), F.get_json_object("issue", "$.id").alias("id"), F.get_json_object("issue", "$.fields").alias("fields"))
 
 
+def landed_comments(spark: SparkSession, path: str) -> DataFrame:
+    """issue_key, pos, comment (JSON text) of comment pages kept as JSON files below folders ``issue_key=<key>``."""
+    whole = spark.read.text(path, wholetext=True)
+    each = F.from_json(F.get_json_object("value", "$.comments"), "array<string>")
+    start = F.coalesce(F.get_json_object("value", "$.startAt").cast("long"), F.lit(0))
+    return whole.select(F.col("issue_key").cast("string").alias("issue_key"), start.alias("start"), F.posexplode(each).alias("at", "comment")).select("issue_key", (F.col("start") + F.col("at")).alias("pos"), "comment")
+
+
+def probe(base: str, headers: dict[str, str], timeout: float = 30.0) -> dict:
+    """What the server says of itself; fails where it can't be reached."""
+    return fetch(f"{base.rstrip('/')}/rest/api/2/serverInfo", headers, timeout)
+
+
 def field_list(text: str) -> list[str]:
     """Field names of a comma-separated list."""
     return [name.strip() for name in text.split(",") if name.strip()]

@@ -114,3 +114,61 @@ def test_hostile_texts_end_soon():
     for text in ("user=a\npass=b\n" * 150_000, "https://u:p4ssw0rd@h " * 100_000, "a" * (1 << 21)):
         pairs.pairs(text)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(("text", "hits"), [
+    (" ".join(f"pw \u00e9 password=q{i:07d}z" for i in range(6000)), 5500),
+    ("-----BEGIN RSA PRIVATE" + " KEY-----\n" + ("-----BEGIN RSA PRIVATE" + " KEY-----\n") * 9000 + "-----END CERTIFICATE-----", 0),
+    ("-----END RSA PRIVATE" + " KEY-----\n" + ("-----BEGIN RSA PRIVATE" + " KEY-----\n") * 30000, 0),
+])
+def test_hostile_texts_take_no_more_than_two_seconds(text, hits):
+    start = time.monotonic()
+    assert len(scan.scan_text(text, list(rules.BUILTIN), "K-1", "d", [], "low", False)) >= hits
+    assert time.monotonic() - start < 6  # two on a machine of its own
+
+
+def test_masking_leaves_no_value_of_any_hit():
+    text = "password=abcdef12 token=abcdef12345 secret=f12345zz password=abcdef12"
+    found = scan.scan_text(text, list(rules.BUILTIN), "K-1", "d", [], "low", False)
+    assert found and not any(v in f[7] for f in found for v in ("abcdef12", "abcdef12345", "f12345zz"))
+
+
+def test_pairs_whatever_stands_between_name_and_sign():
+    import re
+
+    hint = re.compile(pairs.HINT.replace("(?iU)", "(?i)"))
+    for text in ("user=alice\npassword" + " " * 60 + "= hunter2x9", "user=alice\npassword\n= hunter2x9", "user=alice\napi_key\t: hunter2x9", '\n {"user": "alice", "password": "hunter2x9"}\n'):
+        assert [p[:2] for p in pairs.pairs(text)] == [("alice", "hunter2x9")]
+        assert hint.search(text)
+
+
+def test_pairs_come_password_by_password():
+    text = "user=a\nuser=b\npassword=first111\npassword=second22\n"
+    assert [p[:2] for p in pairs.pairs(text)] == [("a", "first111"), ("b", "first111"), ("a", "second22"), ("b", "second22")]
+
+
+def test_hostile_json_gives_nothing():
+    from sievewright.operators import segments
+
+    assert pairs.pairs('{"a":' * 30000 + "1" + "}" * 30000) == []
+    assert pairs.pairs('{"user":"\\ud800x","password":"abcdefgh1"}') == []
+    assert list(segments.leaves({"a": "\ud800", "b": "fine", "\udfff": "x"})) == [("b", "fine")]
+
+
+def test_allowlist_patterns_are_bounded_by_time_and_not_by_length():
+    entry = allowlist.compile_entries([{"pattern": "needle$"}])
+    assert allowlist.check(entry, "x" * 10_000 + "needle", "r", "K-1", "d")[0]
+    slow = allowlist.compile_entries([{"pattern": "(a+)+$"}])
+    start = time.monotonic()
+    assert not allowlist.check(slow, "a" * 5000 + "b", "r", "K-1", "d")[0]
+    assert time.monotonic() - start < 5
+
+
+def test_allowlist_files(tmp_path):
+    (tmp_path / "a.json").write_text('[{"rule_id": "jwt", "reason": "old"}]')
+    assert allowlist.read_allowlist(str(tmp_path / "a.json"))[0].reason == "old"
+    (tmp_path / "b.json").write_text("")
+    assert allowlist.read_allowlist(str(tmp_path / "b.json")) == []
+    (tmp_path / "c.json").write_text('[{"nonsense": 1}]')
+    with pytest.raises(allowlist.AllowlistError, match="c.json: record 1"):
+        allowlist.read_allowlist(str(tmp_path / "c.json"))

@@ -1,14 +1,12 @@
-"""Shared helpers: tables, words, and stage tables in the cluster's shared folder."""
+"""Shared helpers: tables, words, ids and membership filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table  # noqa: F401  shared by the modules beside
+from ..sources.stages import Stages, workdir  # noqa: F401  shared by the modules beside
+from ..sources.tables import table  # noqa: F401
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -61,51 +59,3 @@ def row_key(docs: DataFrame | None = None) -> Column:
     """A 64-bit hash of a row's id and text, null or not: what decisions about rows are joined back by."""
     column = F.col if docs is None else docs.__getitem__
     return F.xxhash64(column("doc_id").cast("long"), column("text"))
-
-
-def workdir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; where that is unset, one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="checkpoint-")  # a single machine, as in tests
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Stages:
-    """Intermediate tables written to the shared folder, so that no lost executor takes a result with it.
-
-    ``keep`` writes a DataFrame and returns it read back: the lineage is cut and nothing is computed twice.
-    ``drop`` deletes a table as soon as what follows it is written.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{workdir(spark)}/{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        frame.write.parquet(path)
-        back = self.spark.read.schema(frame.schema).parquet(path)
-        self.paths[id(back)] = path
-        return back
-
-    def kept(self, frame: DataFrame, name: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
-        """``keep``, with aggregates over the rows that the job which writes them also gives."""
-        seen = Observation()
-        back = self.keep(frame.observe(seen, *(value.alias(of) for of, value in measures.items())), name)
-        return back, seen.get
-
-    def drop(self, *frames: DataFrame) -> None:
-        for frame in frames:
-            drop_path(self.spark, self.paths.pop(id(frame)))

@@ -11,9 +11,9 @@ passage seldom become candidates.
   group holds the bits that all its members have and those that any has; bits that all of one group and none of
   the other have bound every pair of members from below.
 * First pass: every member of a group is held against the group's first class, every group's first class against that of the
-  nearest leader and of the nearest group just before it in one of its buckets (by position, size and id). A bucket's leader is
-  the group in which the bucket's element comes first: of a group of near copies the most typical. Components
-  of those links stand for what is already connected.
+  nearest leader and of the nearest of the BEFORE groups just before it in one of its buckets (by position, size and id; nearest by a
+  64-bit sketch first, then by bitmap). A bucket's leader is the group in which the bucket's element comes first: of a group of near
+  copies the most typical. Components of those links stand for what is already connected.
 * Second pass: the members of a group that lie in one component are a unit. In every bucket the units outside its main component
   are paired with all units of other components, those of the same group included; pairs that pass the filters are
   expanded to their members, which pass the bitmap filter again and are verified. Any link between components appears here, so none is
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,8 @@ LEVELS, CELLS = 1 << 24, 1 << 14
 CHUNK, REPORTED = 4_000_000, 2
 #: Bits of a set's bitmap, as so many longs.
 BITS, LONGS = 512, 8
+#: Groups just before it in a bucket among which the first pass looks for one like it. It decides only what the second pass is left with.
+BEFORE = 16
 #: Logarithm of a frequency from which on a bucket is salted.
 SALTED = 10
 #: Postings of a frequent shingle in one task, on average.
@@ -205,7 +208,7 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     firsts = [F.max(c).alias(c) for c in ("n", "g1", "g2", *MAP)]
     sets = own.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.min("row_key").alias("first_key"), *firsts)
     sets = stages.keep(sets.withColumn("cls", F.monotonically_increasing_id()), "sets")
-    groups = sets.groupBy("g1", "g2").agg(F.min("cls").alias("grp"), F.count("*").alias("members"), *_bounds())
+    groups = sets.groupBy("g1", "g2").agg(F.min("cls").alias("grp"), F.count("*").alias("members"), F.max(reduce(Column.bitwiseXOR, map(F.col, MAP))).alias("sketch"), *_bounds())
     posts = own.where("prefix is not null").groupBy("g1", "g2").agg(F.max("n").cast("int").alias("n"), F.max("light").alias("light"), F.first("prefix").alias("prefix"))
     groups = stages.keep(groups.join(posts, ["g1", "g2"]), "groups")
     slim = stages.keep(own.select("doc_id", "row_key", "n", "d1", "d2"), "rows")
@@ -214,12 +217,15 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
 
     # buckets with more than one set
     parts = max(1, -(-counted["n"] // PART))
-    posted = groups.select("grp", "n", "light", (F.col("members") > 1).alias("several"), F.posexplode("prefix").alias("pos", "shingle"))
-    posted = posted.select("shingle", "grp", "n", "pos", "several", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
+    posted = groups.select("grp", "n", "light", "sketch", (F.col("members") > 1).alias("several"), F.posexplode("prefix").alias("pos", "shingle"))
+    posted = posted.select("shingle", "grp", "n", "pos", "sketch", "several", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
     bucket, here = W.partitionBy("shingle", "part").orderBy("pos", "n", "grp"), F.struct("grp", "n", "pos")
-    shared = posted.withColumns({"leader": F.first(here).over(bucket), "near": F.lag(here).over(bucket), "more": F.lead("grp").over(bucket)})
-    shared = shared.where("near is not null or more is not null or several or (part > 0 and %d > 1)" % parts)
-    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader", "near"), "buckets")
+    seen = F.collect_list(F.struct("sketch", "grp", "n", "pos")).over(bucket.rowsBetween(-BEFORE, -1))
+    shared = posted.withColumns({"leader": F.first(here).over(bucket.rowsBetween(W.unboundedPreceding, 0)), "seen": seen, "more": F.lead("grp").over(bucket)})
+    shared = shared.where("size(seen) > 0 or more is not null or several or (part > 0 and %d > 1)" % parts)
+    near = F.array_min(F.transform("seen", lambda o: F.struct(F.bit_count(o["sketch"].bitwiseXOR(F.col("sketch"))).alias("differ"), o["grp"].alias("grp"), o["n"].alias("n"), o["pos"].alias("pos"))))
+    near = F.when(near.isNotNull(), F.struct(near["grp"].alias("grp"), near["n"].alias("n"), near["pos"].alias("pos")))
+    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader", near.alias("near")), "buckets")
 
     # first pass: groups against the nearest leader and the nearest group before, members against their group's first
     other = shared.select("grp", "n", "pos", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("leader").alias("o")), F.struct(F.lit(1).alias("kind"), F.col("near").alias("o"))))).select("*", F.col("o.n").alias("o_n"), F.col("o.pos").alias("o_pos"))

@@ -18,22 +18,27 @@ from sievewright.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go. Null and empty texts fail the base rule; an empty table stays empty."""
     return quality.passing(docs, Stages(spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id (null last); rows without words all stay."""
     return jaccard.one_of_each(docs, Stages(spark), k=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced and n_chars follows; all rows stay. A null text has none."""
     return secrets.redact(docs, secrets.forest(spark))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated or left out, so that each source's words come near its target. A row without words is taken no time."""
     return mixing.applied(docs, Stages(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences. A null text is an empty document."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), Stages(spark))
 
 
@@ -45,7 +50,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Components, forests and packing are beyond SQL; tests hold each stage against a brute-force version.
+#: Components, forests and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from .tokens import document_pieces
 
 #: Pieces that are ranked in one task, on average.
-PART = 4000
+PART = 500
 
 
 def fullest(counts: np.ndarray, room: int) -> list[int]:

@@ -33,7 +33,7 @@ STEPS = 40
 #: Newton stops when every source is this close to its target, relative to it.
 CLOSE = 1e-9
 #: Documents of one salted part of a cell, on average.
-PART = 2000
+PART = 500
 #: Rungs of the repair ladder: geometric size classes with this ratio, this many steps.
 RUNG, REPAIRS = 1.15, 3
 

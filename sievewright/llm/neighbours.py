@@ -35,9 +35,9 @@ from pyspark.sql import Window as W
 
 from .common import Stages
 
-SEED, RECALL = 11, 0.95
+SEED, RECALL = 11, 0.97
 #: What the setting is fitted on, at most.
-FIT_QUERIES, FIT_ROWS = 64, 4096
+FIT_QUERIES, FIT_ROWS = 64, 2048
 #: Settings that are tried: hash values of a bucket, widths, tables, and the most probes of a table.
 HASHES, WIDTHS, TABLES, PROBES = (6, 8, 10, 12, 16, 20), (0.6, 1.0, 1.6, 2.4), (8, 16), 512
 #: Work of a probe against that of a cosine.

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import Stages, id_in, id_out
 
 #: Words that a worker remembers at most.
 REMEMBERED = 600_000
@@ -192,7 +192,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     # repeated rows may be read by different tasks, and two writers may append at once: a digest has one count
     fresh = wanted.mapInPandas(encode, "tokenizer string, digest string, n_tokens long").groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache)
-    every = read_cache(spark, cache).where(F.col("tokenizer") == kind).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that both sides of the join are plain tables and Spark can split the rows of a frequent text
+    every = Stages(spark).keep(read_cache(spark, cache).where(F.col("tokenizer") == kind).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(every, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

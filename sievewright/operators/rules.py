@@ -59,6 +59,11 @@ class Rule:
         except re.error as error:
             raise RuleError(f"rule {self.rule_id}: {error}") from error
 
+    @cached_property
+    def hinted(self) -> re.Pattern[str] | None:
+        """The hint for this engine, whose patterns are Unicode by themselves."""
+        return re.compile(self.hint.replace("(?iU)", "(?i)").replace("(?U)", "")) if self.hint else None
+
     @cached_property
     def closing(self) -> re.Pattern[str] | None:
         """Where a match may end: a look-ahead for what follows a lazy stretch, if the pattern ends with plain text behind one."""

@@ -177,6 +177,8 @@ def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist
     raw, at = text.encode(), byte_places(text)
     hits = []
     for rule_ord, rule in enumerate(rules):
+        if rule.hinted is not None and not rule.hinted.search(text):
+            continue
         for hit_ord, (s, e, vs, ve) in enumerate(matches(rule, text)):
             value = text[vs:ve]
             bs, be, start, end = at(vs), at(ve), at(s), at(e)

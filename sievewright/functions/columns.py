@@ -53,6 +53,11 @@ def rank(level: Column, levels: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*map(F.lit, levels)), F.lower(level)).cast("int") - 1
 
 
+def parse_level(text: Column, levels: tuple[str, ...]) -> Column:
+    """A level in lower case; null for what is none."""
+    return F.when(F.lower(text).isin(*levels), F.lower(text))
+
+
 def parse_severity(text: Column) -> Column:
     return F.when(F.lower(text).isin(*fixed.SEVERITIES), F.lower(text)).otherwise(F.lit("medium"))
 

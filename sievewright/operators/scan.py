@@ -8,6 +8,7 @@ and masked snippets.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import zlib
 from collections import Counter
@@ -22,6 +23,8 @@ from ..functions import fixed
 from .allowlist import Entry, check
 from .rules import Rule, prefilter, rule_set
 
+log = logging.getLogger(__name__)
+
 FINDINGS = "issue_key string, seg_ord long, field_path string, source_type string, detector_ord int, rule_ord int, hit_ord int, rule_id string, severity string, confidence string, redacted_secret string, secret_hash string, snippet string, match_start int, match_end int, username string, `references` array<string>, drop_reason string"
 
 
@@ -55,22 +58,30 @@ def window(raw: bytes, start: int, end: int, radius: int = fixed.CONTEXT_BYTES)
     return a, max(a, b)
 
 
+def aws_key_checksum(value: str) -> bool:
+    return len(value) == 20 and value[:4] in fixed.AWS_PREFIXES and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in value[4:])
+
+
+def jwt_structure(value: str) -> bool:
+    parts = value.split(".")
+    return len(parts) == 3 and all(p and all(c.isascii() and (c.isalnum() or c in "_-") for c in p) for p in parts)
+
+
+def github_token_checksum(value: str) -> bool:
+    body, code = value[4:-6], value[-6:]
+    crc, digits = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        crc, at = divmod(crc, 62)
+        digits = fixed.BASE62[at] + digits
+    return value[:4] in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "ghw_") and len(value) >= 11 and code == digits
+
+
+#: The named validators that a rule can ask for. Others accept every value, and are warned of where rules are read.
+VALIDATORS: dict[str, Callable[[str], bool]] = {f.__name__: f for f in (aws_key_checksum, jwt_structure, github_token_checksum)}
+
+
 def valid(name: str | None, value: str) -> bool:
-    """The named validators; an unknown name accepts."""
-    if name == "aws_key_checksum":
-        return len(value) == 20 and value[:4] in fixed.AWS_PREFIXES and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in value[4:])
-    if name == "jwt_structure":
-        parts = value.split(".")
-        return len(parts) == 3 and all(p and all(c.isascii() and (c.isalnum() or c in "_-") for c in p) for p in parts)
-    if name == "github_token_checksum":
-        body, code = value[4:-6], value[-6:]
-        crc = zlib.crc32(body.encode())
-        digits = ""
-        for _ in range(6):
-            crc, at = divmod(crc, 62)
-            digits = fixed.BASE62[at] + digits
-        return value[:4] in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "ghw_") and len(value) >= 11 and code == digits
-    return True
+    return name not in VALIDATORS or VALIDATORS[name](value)
 
 
 def rejection(rule: Rule, value: str, context: str) -> str | None:
@@ -209,6 +220,9 @@ def scan(segments: DataFrame, rules: list[Rule] | None = None, allowlist: list[E
     allowlist travel with the function, as they are a driver's configuration.
     """
     rules = rule_set() if rules is None else rules
+    for rule in rules:
+        if rule.validator is not None and rule.validator not in VALIDATORS:
+            log.warning("rule %s: no validator is called %s, so all its values pass", rule.rule_id, rule.validator)
     allowlist = list(allowlist)
     could = prefilter(rules)
 

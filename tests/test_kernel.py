@@ -172,3 +172,38 @@ def test_allowlist_files(tmp_path):
     (tmp_path / "c.json").write_text('[{"nonsense": 1}]')
     with pytest.raises(allowlist.AllowlistError, match="c.json: record 1"):
         allowlist.read_allowlist(str(tmp_path / "c.json"))
+
+
+#: What a tracker is full of, and what a rule for a real secret has to walk past.
+HARMLESS = (
+    "Could you look at change 4821 before the demo?", "Build 311 broke at packaging; a rerun passed.", "We moved the launch to Friday, room 4C.", "INSERT INTO t (id, label) VALUES (1, 'a');",
+    "export LANG=C.UTF-8 EDITOR=vi", 'raise Error("apiKey is not set, see the manual")', "He is the bearer of good tidings.", "Basic knowledge of the tool is enough.", "curl -H 'Authorization: Bearer ${ACCESS}' https://svc.corp/health",
+    "The `secret` field is hidden in the form.", "password: missing", "token = <your-token>", "A token lasts for 60 minutes and is then renewed.", "name = value lines are read in order.", "server = mail.corp.example",
+    "WARN [worker-2] slow query, 812 ms", "Listening on 127.0.0.1:9090", "Reverted in 9c1e4b7 (short).", "retries: 5, delay: 250ms", "docker run -p 8443:443 web:2.4.1", "The rotation of api keys is described elsewhere.",
+    "Picked 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567 onto main.", "sha256: 3a7bd3e2360a3d29eea436fcfb7e44c735d117c42d1c1835420b6b9942dd4f1b", "Span 123e4567-e89b-12d3-a456-426614174000",
+    "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIKq7Zm2Xr9Wt4Yn3Bv6Lp8Rs1Qd5Hf2Jg0Ad2Xr9Wt4 me@host", "data:image/gif;base64,R0lGODlhAQABAIAAAAAAAP///yH5BAEAAAAALAAAAAABAAEAAAIBRAA7", "postgres://localhost:5432/app",
+)
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_look_alikes_are_no_findings(text):
+    assert scan.scan_text(text, list(rules.BUILTIN), "K-1", "d", [], "low", False) == []
+    assert pairs.pairs(text) == []
+
+
+@pytest.mark.parametrize("rule_id", ["aws_access_key_id", "gitlab_token", "google_api_key", "slack_token", "jwt", "npm_token", "sendgrid_api_key", "telegram_bot_token", "stripe_key", "github_token", "github_pat_v2"])
+def test_a_stranger_in_the_middle_is_a_near_miss(rule_id):
+    rule, text = next(r for r in rules.BUILTIN if r.rule_id == rule_id), text_for(rule_id)
+    body = max(text.split(" "), key=len)
+    place = len(body) - 8
+    broken = text.replace(body, f"{body[:place]}!{body[place + 1 :]}")
+    assert scan.scan_text(text, [rule], "K-1", "d", [], "low", False)
+    if rule_id not in ("slack_token", "jwt", "sendgrid_api_key"):  # whose bodies may end early
+        assert scan.scan_text(broken, [rule], "K-1", "d", [], "low", False) == []
+    lower = text.replace(body, body[:2].swapcase() + body[2:])
+    assert rule_id == "telegram_bot_token" or scan.scan_text(lower, [rule], "K-1", "d", [], "low", False) == []
+
+
+def test_validators_are_a_registry_that_accepts_unknown_names():
+    assert set(scan.VALIDATORS) == {"aws_key_checksum", "jwt_structure", "github_token_checksum"}
+    assert scan.valid("nonsense", "x") and scan.valid(None, "x") and not scan.valid("jwt_structure", "a.b")

@@ -80,7 +80,8 @@ def test_landed_comment_pages(spark, tmp_path):
 def test_queries_and_levels(spark):
     row = spark.range(1).select(
         C.normalize_query(F.lit("  project  =\n A ")).alias("plain"), C.narrow_query(F.lit("project = A"), F.lit(datetime(2026, 1, 2, 3, 4, 5))).alias("narrow"),
-        C.parse_severity(F.lit("HIGH")).alias("s"), C.parse_severity(F.lit("odd")).alias("s0"), C.parse_confidence(F.lit("Medium")).alias("c"), C.parse_confidence(F.lit("odd")).alias("c0"), C.rank(F.lit("critical"), ("info", "low", "medium", "high", "critical")).alias("r"),
+        C.parse_severity(F.lit("HIGH")).alias("s"), C.parse_severity(F.lit("odd")).alias("s0"), C.parse_confidence(F.lit("Medium")).alias("c"), C.parse_confidence(F.lit("odd")).alias("c0"), C.parse_level(F.lit("LOW"), ("low", "high")).alias("l"), C.parse_level(F.lit("odd"), ("low", "high")).alias("l0"), C.rank(F.lit("critical"), ("info", "low", "medium", "high", "critical")).alias("r"),
     ).first()
     assert (row["plain"], row["narrow"]) == ("project = A", '(project = A) AND updated >= "2026-01-02 03:04"')
+    assert (row["l"], row["l0"]) == ("low", None)
     assert (row["s"], row["s0"], row["c"], row["c0"], row["r"]) == ("high", "medium", "medium", "low", 4)

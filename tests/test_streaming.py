@@ -1,16 +1,29 @@
 """The streaming scan over landed files, run until nothing is left."""
 
-from sievewright.operators import store
+import os
+import shutil
+
 from sievewright.streaming import scan
 
 SCHEMA = "issue_key string, seg_ord long, field_path string, text string, source_type string"
 
 
-def test_batches_reconcile(spark, tmp_path):
+def test_batches_reconcile_and_rewrite_only_what_they_touch(spark, tmp_path):
     landed, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for i in range(2):
-        spark.createDataFrame([("A-1", 0, "description", "token = value9f8e7d6c5b4a", "description")], SCHEMA).coalesce(1).write.mode("append").parquet(landed)
+
+    def land(*rows):
+        spark.createDataFrame([(key, 0, "description", text, "description") for key, text in rows], SCHEMA).coalesce(1).write.mode("append").parquet(landed)
         query = scan.run(scan.read_segments(spark, landed, spark.createDataFrame([], SCHEMA).schema), table, "https://t.example", str(tmp_path / "checkpoint"))
         query.awaitTermination(120)
-        rows = spark.read.schema(store.STORED).parquet(f"{table}/{i}").collect()
-        assert [(r["status"], r["times_seen"]) for r in rows] == [("recurring" if i else "new", i + 1)]
+        return {r["issue_key"]: (r["status"], r["times_seen"]) for r in scan.stored(spark, table).collect()}
+
+    a = ("A-1", "token = value9f8e7d6c5b4a")
+    assert land(a, *((f"B-{i}", f"token = other{i}f8e7d6c5b4a") for i in range(9))) == {"A-1": ("new", 1), **{f"B-{i}": ("new", 1) for i in range(9)}}
+    assert land(a)["A-1"] == ("recurring", 2)
+    assert sum(n.startswith("bucket=") for n in os.listdir(f"{table}/1")) == 1
+    told = land(("A-1", "nothing left"))
+    assert told["A-1"] == ("closed", 2) and told["B-3"] == ("new", 1)
+    # a batch that is run again starts from what was before it
+    before = scan.Buckets(spark, table).folders(1)
+    shutil.rmtree(f"{table}/2")
+    assert {r["issue_key"]: r["times_seen"] for r in scan.stored(spark, table).collect()}["A-1"] == 2 and len(before) >= 5

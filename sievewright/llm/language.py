@@ -134,7 +134,8 @@ def sample(docs: DataFrame) -> list:
     each, dice = max(SAMPLE // len(counts), 1), F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.5 * each / r["count"] + 4.0 / r["count"]) * (1 << 30))) for r in counts], "_of string, _share long")
     key = row_key().alias("key")
-    drawn = known.join(shares, F.col("lang") == F.col("_of")).where(dice < F.col("_share")).select("lang", dice.alias("dice"), key, F.octet_length("text").alias("bytes"))
+    slim = known.select("lang", dice.alias("dice"), key, F.octet_length("text").alias("bytes"))  # no text moves
+    drawn = slim.join(F.broadcast(shares), F.col("lang") == F.col("_of")).where(F.col("dice") < F.col("_share")).select("lang", "dice", "key", "bytes")  # at most SAMPLE rows of shares
     rank = F.row_number().over(W.partitionBy("lang").orderBy("dice", "key"))
     rows = drawn.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "dice", "key").limit(SAMPLE).collect()  # ids and sizes only
     chosen, left = [], SAMPLE_BYTES

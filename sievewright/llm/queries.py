@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, language, middles, mixing, neighbours, packing, quality, secrets, substrings, tokens
+from . import exact, extraction, jaccard, language, middles, mixing, neighbours, packing, quality, secrets, substrings, tokens
 from .common import Stages, table, workdir
 
 
@@ -79,6 +79,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middles.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, and whether it is the one that stays."""
+    return exact.exact_groups(table(spark, sf_dir, "documents"), Stages(spark))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -107,4 +113,8 @@ ORACLES: dict[str, str] = {
         p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c)
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
             sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_exact_dedup": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
+        g AS (SELECT t, count(*) AS group_size, max(n) AS most FROM d GROUP BY t),
+        k AS (SELECT t, min(doc_id) AS keep_id FROM d JOIN g USING (t) WHERE n = most GROUP BY t)
+        SELECT doc_id, keep_id, group_size, n = most AND doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t) JOIN k USING (t)""",
 }

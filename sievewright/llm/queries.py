@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, extraction, jaccard, language, middles, mixing, neighbours, packing, quality, secrets, substrings, tokens
+from . import exact, extraction, jaccard, language, middles, mixing, neighbours, packing, quality, secrets, spelling, substrings, tokens
 from .common import Stages, table, workdir
 
 
@@ -84,6 +84,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), Stages(spark))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, its form and the root that forms lead to."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), Stages(spark))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -97,6 +102,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -15,13 +15,14 @@ from ..functions import fixed
 
 @dataclass(frozen=True)
 class Checkpoint:
-    """What a successful scan leaves behind."""
+    """What a successful scan leaves behind. The next one looks back from its start, so that nothing that changed while it ran is missed."""
 
     finished_at: str
     query: str
     origin: str
     status: str = "success"
     version: int = 2
+    started_at: str | None = None
 
 
 def read_checkpoint(path: str) -> Checkpoint | None:
@@ -46,7 +47,7 @@ def window_start(checkpoint: Checkpoint | None, query: str, origin: str, now: da
     if checkpoint is None or checkpoint.version != 2 or checkpoint.status != "success" or checkpoint.origin != origin or checkpoint.query.split() != query.split():
         return None
     try:
-        at = datetime.fromisoformat(checkpoint.finished_at)
+        at = datetime.fromisoformat(checkpoint.started_at or checkpoint.finished_at)
     except ValueError:
         return None
     if at.tzinfo is None or at > now:

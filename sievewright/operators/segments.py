@@ -32,10 +32,13 @@ def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
             stack.extend((f"{at}[{i}]", item[i]) for i in range(len(item) - 1, -1, -1))
 
 
-def walk(records: DataFrame, root: str = "", max_kb: int = 2048, key: str | None = None) -> DataFrame:
+WALKED = "issue_key string, seg_ord long, field_path string, text string, error string"
+
+
+def walk_all(records: DataFrame, root: str = "", max_kb: int = 2048, key: str | None = None) -> DataFrame:
     """Segments of records (issue_key, fields as JSON text), below ``root``; a column ``root`` gives each row its own. ``key`` names the one part that is walked.
 
-    Null or unreadable JSON gives no segments; empty strings give empty segments.
+    Null JSON and null parts give no segments; empty strings give empty segments. What can't be read gives one row with an ``error`` and no text.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,28 +47,35 @@ def walk(records: DataFrame, root: str = "", max_kb: int = 2048, key: str | None
             for name, text, at in zip(batch["issue_key"], batch["fields"], batch["root"], strict=True):
                 try:
                     value = json.loads(text) if text is not None else None
-                except (ValueError, RecursionError):  # no JSON, or nested beyond what can be read
-                    value = None
+                except (ValueError, RecursionError) as error:  # no JSON, or nested beyond what can be read
+                    rows.append((name, None, at, None, f"record: {'too deep' if isinstance(error, RecursionError) else 'no JSON'}"))
+                    continue
                 if key is not None:
                     value = value.get(key) if isinstance(value, dict) else None
-                rows.extend((name, i, path, leaf) for i, (path, leaf) in enumerate(leaves(value, at)))
-            yield pd.DataFrame(rows, columns=["issue_key", "seg_ord", "field_path", "text"])
+                rows.extend((name, i, path, leaf, None) for i, (path, leaf) in enumerate(leaves(value, at)))
+            yield pd.DataFrame(rows, columns=["issue_key", "seg_ord", "field_path", "text", "error"]).astype({"seg_ord": "Int64"})
 
     own = F.col("root") if "root" in records.columns else F.lit(root).alias("root")
-    walked = records.select("issue_key", "fields", own).mapInPandas(each, "issue_key string, seg_ord long, field_path string, text string")
+    walked = records.select("issue_key", "fields", own).mapInPandas(each, WALKED)
     return walked.withColumn("text", C.truncate_bytes(F.col("text"), max_kb * 1024)).withColumn("source_type", C.classify_path(F.col("field_path")))
 
 
+def walk(records: DataFrame, root: str = "", max_kb: int = 2048, key: str | None = None) -> DataFrame:
+    """``walk_all`` without the errors: unreadable JSON gives no segments."""
+    return walk_all(records, root, max_kb, key).where("error IS NULL").drop("error")
+
+
 def raw_segment(rows: DataFrame, issue_key: Column, path: Column, text: Column, kind: Column | None = None, order: Column | None = None, max_kb: int = 2048) -> DataFrame:
     """One segment per row, its text cut like any other."""
     return rows.select(issue_key.alias("issue_key"), (F.lit(0) if order is None else order).cast("long").alias("seg_ord"), path.alias("field_path"), C.truncate_bytes(text, max_kb * 1024).alias("text"), (C.classify_path(path) if kind is None else kind).alias("source_type"))
 
 
 def union(payload: DataFrame, comments: DataFrame, attachments: DataFrame) -> DataFrame:
-    """All segments, numbered per record: payload first, then later comment pages, then attachments."""
+    """All segments, numbered per record: payload first, then later comment pages, then attachments. Rows with an ``error`` follow those."""
     parts = [part.withColumn("_origin", F.lit(i)) for i, part in enumerate((payload, comments, attachments))]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    place = F.row_number().over(W.partitionBy("issue_key").orderBy("_origin", "seg_ord", "field_path")) - 1
+    whole = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    last = [F.col("error").isNotNull()] if "error" in whole.columns else []
+    place = F.row_number().over(W.partitionBy("issue_key").orderBy(*last, "_origin", "seg_ord", "field_path")) - 1
     return whole.withColumn("seg_ord", place.cast("long")).drop("_origin")
 
 
@@ -77,37 +87,80 @@ def comment_paging(fields: Column) -> Column:
     return F.struct(total.alias("total"), F.when(total > 0, start + held).otherwise(F.lit(0).cast("long")).alias("next"))
 
 
+def paged_records(records: DataFrame) -> DataFrame:
+    """issue_key, next and total of the records whose payload doesn't hold all of their comments."""
+    return records.select("issue_key", comment_paging(F.col("fields")).alias("page")).where("page.next < page.total").select("issue_key", "page.next", "page.total")
+
+
+def _wanted(comments: DataFrame, paged: DataFrame) -> DataFrame:
+    """The comments that records still need, up to the paging bound."""
+    bound = F.least(F.col("total"), F.col("next") + fixed.COMMENT_PAGE * fixed.COMMENT_PAGES)
+    return comments.join(paged, "issue_key").where((F.col("pos") >= F.col("next")) & (F.col("pos") < bound))
+
+
 def later_comments(records: DataFrame, comments: DataFrame, max_kb: int = 2048) -> DataFrame:
     """Segments of comments (issue_key, pos, and body, or comment as JSON text) beyond those that a record's payload holds, up to the paging bound.
 
     A plain body is one segment; a comment as JSON is walked like a field, so a structured body gives the same paths as in the payload.
+    A comment that can't be read is a row with an error.
     """
-    paged = records.select("issue_key", comment_paging(F.col("fields")).alias("page")).where("page.next < page.total")
-    limit = fixed.COMMENT_PAGE * fixed.COMMENT_PAGES
-    joined = comments.join(paged, "issue_key").where((F.col("pos") >= F.col("page.next")) & (F.col("pos") < F.least(F.col("page.total"), F.col("page.next") + limit)))
+    joined = _wanted(comments, paged_records(records))
     path = F.format_string("comment.comments[%d].body", F.col("pos"))
     if "comment" in comments.columns:
-        walked = walk(joined.select("issue_key", F.col("comment").alias("fields"), path.alias("root")), max_kb=max_kb, key="body")
+        walked = walk_all(joined.select("issue_key", F.col("comment").alias("fields"), path.alias("root")), max_kb=max_kb, key="body")
         place = F.regexp_extract("field_path", "^comment\\.comments\\[([0-9]+)\\]", 1).cast("long")
         return walked.withColumn("seg_ord", place * F.lit(1 << 20) + F.col("seg_ord"))  # comments in order of place, each in order of its walk
-    return raw_segment(joined, F.col("issue_key"), path, F.col("body"), F.lit("comment"), F.col("pos"), max_kb)
+    return raw_segment(joined, F.col("issue_key"), path, F.col("body"), F.lit("comment"), F.col("pos"), max_kb).withColumn("error", F.lit(None).cast("string"))
+
+
+def missing_comments(records: DataFrame, comments: DataFrame | None) -> DataFrame:
+    """(issue_key, error) of the records some of whose comments were not read.
+
+    Fetched comments say so themselves, by a row with an ``error``: a thread that ends early lost comments in the meantime. Of landed ones every place has to be
+    there, up to the paging bound; without a table of them, all are missing.
+    """
+    if comments is not None and "error" in comments.columns:
+        return comments.where("error IS NOT NULL").select("issue_key", "error")
+    paged = paged_records(records)
+    wanted = F.least(F.col("total") - F.col("next"), F.lit(fixed.COMMENT_PAGE * fixed.COMMENT_PAGES)).cast("long")
+    if comments is None:
+        return paged.select("issue_key", F.format_string("comments: %d not at hand", wanted).alias("error"))
+    held = _wanted(comments, paged).groupBy("issue_key").agg(F.countDistinct("pos").alias("held"))
+    short = wanted - F.coalesce("held", F.lit(0))
+    return paged.join(held, "issue_key", "left").where(short > 0).select("issue_key", F.format_string("comments: %d not at hand", short).alias("error"))
 
 
 def listed_attachments(records: DataFrame, base: str) -> DataFrame:
-    """The attachments that records list in their payload: issue_key, pos, name, mime, size, url, base; entries without a name or a link are malformed."""
-    entry = "array<struct<filename: string, mimeType: string, size: long, content: string>>"
-    listed = records.select("issue_key", F.posexplode(F.from_json(F.get_json_object("fields", "$.attachment"), entry)).alias("pos", "a"))
-    return listed.select("issue_key", F.col("pos").cast("long").alias("pos"), F.col("a.filename").alias("name"), F.col("a.mimeType").alias("mime"), F.coalesce("a.size", F.lit(0)).alias("size"), F.col("a.content").alias("url"), F.lit(base).alias("base"), (F.col("a.filename").isNull() | F.col("a.content").isNull()).alias("malformed"))
+    """The attachments that records list in their payload: issue_key, pos, name, mime, size, url, base.
+
+    Every entry is read by itself. One without a name or a link, or with a size that is no whole number, is malformed; the others are not touched by it.
+    """
+    each = F.from_json(F.get_json_object("fields", "$.attachment"), "array<string>")
+    listed = records.select("issue_key", F.posexplode(each).alias("pos", "a")).select("issue_key", F.col("pos").cast("long").alias("pos"), *(F.get_json_object("a", f"$.{key}").alias(name) for name, key in (("name", "filename"), ("mime", "mimeType"), ("said", "size"), ("url", "content"))))
+    size = F.expr("try_cast(said AS BIGINT)")
+    return listed.select("issue_key", "pos", "name", "mime", F.coalesce(size, F.lit(0)).alias("size"), "url", F.lit(base).alias("base"), (F.col("name").isNull() | F.col("url").isNull() | (F.col("said").isNotNull() & size.isNull())).alias("malformed"))
+
 
+def gate(per_file: int, malformed: Column) -> Column:
+    """What decides on an attachment (name, mime, size, url, base) before its body is asked for: failed, skip, or null."""
+    kept = C.attachment_verdict(F.col("name"), F.col("mime"))
+    return F.when(malformed, "failed").when(kept == "skip", "skip").when(~C.same_origin(F.col("url"), F.col("base")), "skip").when(F.col("size") > per_file, "skip")
 
-def attached(listed: DataFrame, bodies: DataFrame, per_file: int, max_kb: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(segments, attachments with their outcome): the bodies (issue_key, pos, text) that the gate and the budgets let through.
 
-    A body that should be scanned and isn't at hand has failed.
+def attached(listed: DataFrame, bodies: DataFrame | None, per_file: int, max_kb: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(segments, attachments with their outcome): the bodies that the gate and the budgets let through.
+
+    Landed bodies (issue_key, pos, text) are judged by the sizes that records list; one that should be scanned and isn't at hand has
+    failed, with an error. Fetched ones (``fetching.bodies``) come with their outcome, size and error.
     """
-    gated = budgeted(listed, per_file)
-    met = gated.join(bodies.select("issue_key", "pos", "text"), ["issue_key", "pos"], "left")
-    met = met.withColumn("outcome", F.when((F.col("outcome") == "scan") & F.col("text").isNull(), "failed").otherwise(F.col("outcome")))
+    if bodies is not None and "outcome" in bodies.columns:
+        met = listed.drop("size").join(bodies.withColumnRenamed("bytes", "size"), ["issue_key", "pos"])
+    else:
+        gated = budgeted(listed, per_file)
+        text = bodies.select("issue_key", "pos", "text") if bodies is not None else gated.select("issue_key", "pos", F.lit(None).cast("string").alias("text"))
+        met = gated.join(text, ["issue_key", "pos"], "left")
+        lost = (F.col("outcome") == "scan") & F.col("text").isNull()
+        met = met.withColumn("error", F.when(lost, "attachment: not at hand")).withColumn("outcome", F.when(lost, "failed").otherwise(F.col("outcome")))
     return raw_segment(met.where("outcome = 'scan'"), F.col("issue_key"), attachment_path(F.col("name")), F.col("text"), F.lit("attachment"), F.col("pos"), max_kb), met.drop("text")
 
 
@@ -123,10 +176,8 @@ def budgeted(attachments: DataFrame, per_file: int, count: int = fixed.ATTACHMEN
     A sequential rule: a body larger than what is left fails and uses up nothing, so a later, smaller one may
     still fit. A record's attachments are folded as one array in order of place; a record has few of them.
     """
-    kept = C.attachment_verdict(F.col("name"), F.col("mime"))
     bad = F.col("malformed") if "malformed" in attachments.columns else F.lit(False)
-    gate = F.when(bad, "failed").when(kept == "skip", "skip").when(~C.same_origin(F.col("url"), F.col("base")), "skip").when(F.col("size") > per_file, "skip")
-    item = F.struct("pos", F.col("size").cast("long").alias("size"), gate.alias("gate"))
+    item = F.struct("pos", F.col("size").cast("long").alias("size"), gate(per_file, bad).alias("gate"))
     empty = F.array().cast("array<struct<pos:bigint,outcome:string>>")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("files"), empty.alias("done"))
 

@@ -60,10 +60,11 @@ def expanded(found: DataFrame) -> DataFrame:
 
 
 def matched(current: DataFrame, stored: DataFrame, scanned: DataFrame) -> DataFrame:
-    """fingerprint, k, new, old, in_scope: one full outer join of current locations and stored rows; all of ``reconcile`` reads from it."""
+    """fingerprint, k, new, old, in_scope, complete: one full outer join of current locations and stored rows; all of ``reconcile`` reads from it."""
     columns = [c.split(" ")[0] for c in STORED.split(", ")]
-    keys = scanned.select(F.col("issue_key").alias("_key")).distinct().withColumn("_scanned", F.lit(True))
-    old = stored.select(*columns).join(keys, F.col("issue_key") == F.col("_key"), "left").select("fingerprint", F.struct(*columns).alias("old"), F.coalesce("_scanned", F.lit(False)).alias("in_scope"))
+    whole = F.col("complete") if "complete" in scanned.columns else F.lit(True)
+    keys = scanned.groupBy(F.col("issue_key").alias("_key")).agg(F.bool_and(whole).alias("complete"))
+    old = stored.select(*columns).join(keys, F.col("issue_key") == F.col("_key"), "left").select("fingerprint", F.struct(*columns).alias("old"), F.col("_key").isNotNull().alias("in_scope"), F.coalesce("complete", F.lit(False)).alias("complete"))
     row = F.struct("secret_hash", "rule_id", F.col("at_key").alias("issue_key"), "issue_url", F.col("location.field_path").alias("field_path"), F.col("location.source_type").alias("source_type"), "severity", "confidence", "redacted_secret", "snippet", "username", F.to_json(F.array("location")).alias("locations_json"), F.to_json(F.coalesce("references", F.array().cast("array<string>"))).alias("references_json"))
     met = expanded(current).groupBy("fingerprint").agg(F.count("*").cast("int").alias("k"), F.max_by(row, F.struct("ord", "location")).alias("new"))
     return met.join(old, "fingerprint", "full")
@@ -74,12 +75,12 @@ def reconcile(current: DataFrame, stored: DataFrame, scanned: DataFrame, live: D
 
     A fingerprint met k times at once counts k sightings: a new one is stored as recurring with times_seen k if
     k > 1, an old one gains k. Rows of records that were not scanned stay as they are; rows of scanned records
-    that were not met again are closed. ``both`` is what ``matched`` gives, where the caller has written it; it is written once here otherwise, as
+    that were not met again are closed, but for records that ``scanned`` marks as not ``complete``: what was not read may still be there. ``both`` is what ``matched`` gives, where the caller has written it; it is written once here otherwise, as
     table and report read it several times.
     """
     both = Stages(current.sparkSession).keep(matched(current, stored, scanned), "matched") if both is None else both
     met, known = F.col("new").isNotNull(), F.col("old").isNotNull() & F.col("in_scope")
-    closing = ~met & known & (F.col("old.status") != "closed")
+    closing = ~met & known & F.col("complete") & (F.col("old.status") != "closed")
 
     # the table
     after = {

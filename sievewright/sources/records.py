@@ -1,24 +1,21 @@
 """Records and their comments: landed pages, and a data source that pages through an HTTP interface.
 
-The data source plans one partition per page from the total that the first request reports, so pages are fetched
-in parallel by the executors; a retry policy sits inside the reader, as a task retry would fetch the page anew.
+The data source plans its pages from the total that the first request reports and deals them to partitions, so they are
+fetched in parallel by the executors; a retry policy sits inside the reader, as a task retry would fetch the pages anew.
 """
 
 from __future__ import annotations
 
-import base64
 import json
-import time
-import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Iterator
-from email.utils import parsedate_to_datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .fetching import Server, auth_header
+
 RECORD = "issue_key string, id string, fields string"
 
 
@@ -38,96 +35,48 @@ def landed_comments(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("issue_key").cast("string").alias("issue_key"), start.alias("start"), F.posexplode(each).alias("at", "comment")).select("issue_key", (F.col("start") + F.col("at")).alias("pos"), "comment")
 
 
-def probe(base: str, headers: dict[str, str], timeout: float = 30.0) -> dict:
-    """What the server says of itself; fails where it can't be reached."""
-    return fetch(f"{base.rstrip('/')}/rest/api/2/serverInfo", headers, timeout)
-
-
 def field_list(text: str) -> list[str]:
     """Field names of a comma-separated list."""
     return [name.strip() for name in text.split(",") if name.strip()]
 
 
-def auth_header(token: str = "", email: str = "") -> dict[str, str]:
-    """Bearer with a token alone, basic with an address too, nothing without a token."""
-    if not token:
-        return {}
-    return {"Authorization": f"Basic {base64.b64encode(f'{email}:{token}'.encode()).decode()}" if email else f"Bearer {token}"}
-
-
-def retry_after(header: str | None, now: float | None = None) -> float | None:
-    """Seconds to wait, given as a number or as an HTTP date."""
-    if not header:
-        return None
-    try:
-        return max(0.0, float(header))
-    except ValueError:
-        pass
-    try:
-        return max(0.0, parsedate_to_datetime(header).timestamp() - (time.time() if now is None else now))
-    except (TypeError, ValueError):
-        return None
-
-
-def backoff(attempt: int, status: int | None, header: str | None = None) -> float | None:
-    """Seconds before the next attempt (from 0), or None where another one is no use."""
-    if attempt >= 2 or status in (401, 403) or (status is not None and status not in (429, 503) and status < 500):
-        return None
-    if status in (429, 503):
-        asked = retry_after(header)
-        return min(60.0, asked if asked is not None else 0.5 * 2**attempt)
-    return min(30.0, 0.5 * 2**attempt)
-
-
-def fetch(url: str, headers: dict[str, str], timeout: float = 30.0, sleep=time.sleep) -> dict:
-    """A JSON document by GET, with at most three attempts."""
-    attempt = 0
-    while True:
-        status, header = None, None
-        try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:
-                return json.load(answer)
-        except urllib.error.HTTPError as error:
-            status, header, failure = error.code, error.headers.get("Retry-After"), error
-        except (urllib.error.URLError, TimeoutError) as error:
-            failure = error
-        wait = backoff(attempt, status, header)
-        if wait is None:
-            raise RuntimeError(f"request failed: {status or type(failure).__name__}") from None
-        sleep(wait)
-        attempt += 1
-
-
-class Page(InputPartition):
-    def __init__(self, start: int, take: int):
-        self.start, self.take = start, take
+class Pages(InputPartition):
+    """Pages that one task asks for, one after the other: (start, records wanted) each."""
+
+    def __init__(self, pages: list[tuple[int, int]]):
+        self.pages = pages
 
 
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict):
         self.url = options["url"].rstrip("/")
         self.query, self.size = options.get("query", ""), int(options.get("pageSize", "50"))
-        self.most = int(options.get("maxRecords", "0"))
+        self.most, self.tasks = int(options.get("maxRecords", "0")), int(options.get("concurrency", "0"))
         self.names = field_list(options.get("fields", ""))
-        self.headers = auth_header(options.get("token", ""), options.get("email", ""))
+        self.server = Server(self.url, auth_header(options.get("token", ""), options.get("email", "")), proxy=options.get("noProxy", "false") != "true")
 
     def page_url(self, start: int, size: int) -> str:
         asked = {"jql": self.query, "startAt": start, "maxResults": size, **({"fields": ",".join(self.names)} if self.names else {})}
         return f"{self.url}?{urllib.parse.urlencode(asked)}"
 
-    def partitions(self) -> list[Page]:
-        total = int(fetch(self.page_url(0, 1), self.headers).get("total", 0))
+    def partitions(self) -> list[Pages]:
+        total = int(self.server.json(self.page_url(0, 1)).get("total", 0))
         wanted = min(total, self.most) if self.most else total
-        return [Page(start, min(self.size, wanted - start)) for start in range(0, wanted, self.size)]
+        pages = [(start, min(self.size, wanted - start)) for start in range(0, wanted, self.size)]
+        tasks = min(self.tasks or len(pages), len(pages))
+        return [Pages(pages[i::tasks]) for i in range(tasks)]
 
-    def read(self, page: Page) -> Iterator[tuple]:
-        found = fetch(self.page_url(page.start, self.size), self.headers).get("issues", [])
-        for issue in found[: page.take]:
-            yield issue.get("key", ""), str(issue.get("id", "")), json.dumps(issue.get("fields", {}), sort_keys=True)
+    def read(self, part: Pages) -> Iterator[tuple]:
+        for start, take in part.pages:
+            for issue in self.server.json(self.page_url(start, self.size)).get("issues", [])[:take]:
+                yield issue.get("key", ""), str(issue.get("id", "")), json.dumps(issue.get("fields", {}), sort_keys=True)
 
 
 class RecordSource(DataSource):
-    """``spark.read.format("paged-records").option("url", ...)`` after ``spark.dataSource.register(RecordSource)``."""
+    """``spark.read.format("paged-records").option("url", ...)`` after ``spark.dataSource.register(RecordSource)``.
+
+    ``concurrency`` bounds the requests in flight: the pages are dealt to as many partitions. Without it, each page is a partition.
+    """
 
     @classmethod
     def name(cls) -> str:

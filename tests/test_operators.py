@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import columns as C
 from sievewright.operators import findings, incremental, scan, segments, store
 from sievewright.sinks import alerts, reports
-from sievewright.sources import records
+from sievewright.sources import fetching, records
 
 
 def one(spark, column):
@@ -155,10 +155,10 @@ def test_alerts_never_raise_nor_show_endpoints(spark, caplog):
 
 
 def test_retry_policy():
-    assert records.backoff(0, 401) is None and records.backoff(0, 404) is None and records.backoff(2, 500) is None
-    assert records.backoff(0, 429, "7") == 7 and records.backoff(1, 503) == 1.0 and records.backoff(0, None) == 0.5 and records.backoff(0, 429, "900") == 60
-    assert records.retry_after("Thu, 01 Jan 1970 00:00:10 GMT", 4) == 6
-    assert records.auth_header("t", "a@b") == {"Authorization": "Basic YUBiOnQ="}
+    assert fetching.backoff(0, 401) is None and fetching.backoff(0, 404) is None and fetching.backoff(2, 500) is None
+    assert fetching.backoff(0, 429, "7") == 7 and fetching.backoff(1, 503) == 1.0 and fetching.backoff(0, None) == 0.5 and fetching.backoff(0, 429, "900") == 60
+    assert fetching.retry_after("Thu, 01 Jan 1970 00:00:10 GMT", 4) == 6
+    assert fetching.auth_header("t", "a@b") == {"Authorization": "Basic YUBiOnQ="}
 
 
 def test_landed_pages(spark, tmp_path):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import columns as C
-from sievewright.sources import records
+from sievewright.sources import fetching, records
 
 
 @pytest.fixture(scope="module")
@@ -63,9 +63,9 @@ def test_the_source_is_read_through_spark(spark, server):
 
 
 def test_probe_and_failures(server):
-    assert records.probe(server[0], {})["version"] == "9.1"
+    assert fetching.Server(server[0]).probe()["version"] == "9.1"
     with pytest.raises(RuntimeError, match="404"):
-        records.fetch(f"{server[0]}/missing", {}, sleep=lambda _: None)
+        fetching.Server(server[0], pause=lambda _: None).json(f"{server[0]}/missing")
 
 
 def test_landed_comment_pages(spark, tmp_path):

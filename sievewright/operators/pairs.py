@@ -6,6 +6,7 @@ import json
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,10 @@ from ..functions import columns as C
 from ..functions import fixed
 from .scan import FINDINGS, byte_places, is_placeholder, redact, secret_hash
 
-_url, _user, _password = (re.compile(p) for p in (fixed.URL_USERINFO, fixed.USER_LINE, fixed.PASSWORD_LINE))
+# The patterns of URLs and lines, taken apart so that no two beginnings try the same characters.
+_scheme, _userinfo = re.compile(r"\b[a-z]"), re.compile("://" + fixed.URL_USERINFO.partition("://")[2])
+_not_scheme, _line = re.compile("[^a-z0-9+.-]"), re.compile(r"(?m)^[^\S\n]*(?=\S)")
+_user, _password = (re.compile("(?i)" + pattern.removeprefix(r"(?im)^\s*")) for pattern in (fixed.USER_LINE, fixed.PASSWORD_LINE))
 #: What a text with a pair has: a URL's userinfo, a password's name before its sign, or an object's start. Both engines' ideas of white space are let through.
 HINT = "(?iU)://[^:\\s/@]+:[^@\\s/]+@|(?:pass(?:word|wd)?|secret|key)[\\s\\x1C-\\x1F]*[:=]|^[\\s\\x1C-\\x1F]*\\{"
 
@@ -34,13 +38,27 @@ def encodable(text: str) -> bool:
     return True
 
 
-def _first(pattern: re.Pattern[str], text: str) -> list[re.Match[str]]:
-    out = []
-    for found in pattern.finditer(text):
-        out.append(found)
-        if len(out) == fixed.PAIR_MATCHES:
-            break
-    return out
+def url_matches(text: str) -> Iterator[re.Match[str]]:
+    """What URL_USERINFO finds: at each ``://`` with a user and a password behind it, if a scheme stands before it. The match is of what lies from there on."""
+    cursor, at = 0, text.find("://")
+    while at >= 0:
+        if at >= cursor and (found := _userinfo.match(text, at)):
+            start = at  # back over the scheme's characters, which are no other mark's
+            while start > cursor and not _not_scheme.match(text[start - 1]):
+                start -= 1
+            if (head := _scheme.search(text, start, at)) and head.end() <= at:
+                yield found
+                cursor = found.end()
+        at = text.find("://", at + 3)
+
+
+def line_matches(pattern: re.Pattern[str], text: str) -> Iterator[re.Match[str]]:
+    """What a pattern of lines finds: at the first character of a line that isn't white, whatever blank lines are before it."""
+    cursor = 0
+    for line in _line.finditer(text):
+        if line.end() >= cursor and (found := pattern.match(text, line.end())):
+            yield found
+            cursor = found.end()
 
 
 def pairs(text: str) -> list[tuple[str, str, str]]:
@@ -53,11 +71,11 @@ def pairs(text: str) -> list[tuple[str, str, str]]:
             out.append((user, password, form))
         return len(out) < fixed.PAIR_HITS
 
-    for m in _first(_url, text):
+    for m in islice(url_matches(text), fixed.PAIR_MATCHES):
         add(m[1], m[2], "url")
     at = byte_places(text)
-    users = [(at(m.start(1)), m[1]) for m in _first(_user, text)]
-    secrets = [(at(m.start(1)), m[1]) for m in _first(_password, text)]
+    users = [(at(m.start(1)), m[1]) for m in islice(line_matches(_user, text), fixed.PAIR_MATCHES)]
+    secrets = [(at(m.start(1)), m[1]) for m in islice(line_matches(_password, text), fixed.PAIR_MATCHES)]
     places = [place for place, _ in users]
     for place, password in secrets:  # password by password, each with the users in its window in order of place
         for user in users[bisect_left(places, place - fixed.PAIR_DISTANCE) : bisect_right(places, place + fixed.PAIR_DISTANCE)]:

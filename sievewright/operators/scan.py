@@ -10,10 +10,14 @@ from __future__ import annotations
 import hashlib
 import logging
 import math
+import re
+import time
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,48 +129,119 @@ def byte_places(text: str) -> Callable[[int], int]:
     return lambda i: int(places[i])
 
 
-def matches(rule: Rule, text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, value start, value end) in characters, by the cursor rule."""
-    cursor, last = 0, None
-    if rule.closing:  # no match can begin behind the last closing mark, where a lazy pattern would try every opening to the text's end
-        last = max((m.end(1) for m in rule.closing.finditer(text)), default=-1)
-    while cursor <= len(text):
-        if last is not None and cursor > last:
+#: Seconds that a user's rule may take over one text, where only an engine with a clock can bound it. Beyond that it is left out there, with a warning.
+RULE_SECONDS = 10.0
+
+
+def literal_places(rules: list[Rule]) -> Callable[[str], dict[int, list[int]] | None]:
+    """A search for the literals of all rules in one pass: rule number to the places where one of its literals begins, in order.
+
+    It looks at folded text. Where folding changes the number of characters, places can't be told, and the answer is None.
+    """
+    of: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules):
+        for literal in rule.literals:
+            of.setdefault(literal.casefold(), []).append(i)
+    automaton = ahocorasick.Automaton()
+    for literal, numbers in of.items():
+        automaton.add_word(literal, (len(literal) - 1, numbers))
+    if of:
+        automaton.make_automaton()
+
+    def places(text: str) -> dict[int, list[int]] | None:
+        folded = text.lower() if text.isascii() else text.casefold()
+        if len(folded) != len(text):
+            return None
+        found: dict[int, list[int]] = {}
+        for end, (back, numbers) in automaton.iter(folded) if of else ():
+            for i in numbers:
+                found.setdefault(i, []).append(end - back)
+        return {i: sorted(at) for i, at in found.items()}
+
+    return places
+
+
+def _anchored(rule: Rule, text: str, starts: list[int], last: int | None) -> Iterator[re.Match[str]]:
+    """Matches of a rule each of which begins at one of the places."""
+    cursor, end = 0, len(text) if last is None else last
+    if rule.tails:  # beginnings in one run share what follows it, so that is looked at once for each run
+        follows, other = rule.tails
+        stops = [m.start() for m in follows.finditer(text)]
+        breaks = [m.start() for m in other.finditer(text)] if stops else []
+        if not stops:
             return
-        rest = text[cursor:last] if cursor or last is not None else text
-        found = rule.pattern.search(rest)
+    for start in starts:
+        if start < cursor or start > end:
+            continue
+        if rule.tails:
+            at = bisect_left(breaks, start)
+            if at == len(breaks) or (i := bisect_left(stops, breaks[at])) == len(stops) or stops[i] != breaks[at]:
+                continue
+        found = (rule.first if start == cursor and rule.first else rule.pattern).match(text, start, end)
+        if found is not None:
+            yield found
+            cursor = found.end()
+
+
+def _searched(rule: Rule, text: str, last: int | None) -> Iterator[tuple[int, re.Match[str]]]:
+    """(offset, match): by a search that stays in the text where the pattern allows it, else on slices, within a time."""
+    cursor, end, until = 0, len(text) if last is None else last, time.monotonic() + RULE_SECONDS
+    while cursor <= end:
+        if rule.first is not None:
+            found, offset = rule.first.match(text, cursor, end) or rule.pattern.search(text, cursor + 1, end), 0
+        else:
+            try:
+                rest = text[cursor:end] if cursor or end < len(text) else text
+                found, offset = (rule.bounded or rule.pattern).search(rest, **({"timeout": max(0.001, until - time.monotonic())} if rule.bounded else {})), cursor
+            except TimeoutError:
+                log.warning("rule %s took more than %s s over one text and is left out there", rule.rule_id, RULE_SECONDS)
+                return
         if found is None:
             return
-        if found.end() == 0:  # an empty match at the cursor
+        if offset + found.end() <= cursor:  # an empty match at the cursor
             cursor += 1
             continue
-        a, b = found.span(rule.capture_group) if rule.capture_group <= rule.pattern.groups else found.span()
+        yield offset, found
+        cursor = offset + found.end()
+
+
+def matches(rule: Rule, text: str, starts: list[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, value start, value end) in characters, by the cursor rule. ``starts`` are the places of the rule's literals, where they are known."""
+    last = None
+    if rule.closing:  # no match can begin behind the last closing mark, where a lazy pattern would try every opening to the text's end
+        last = max((m.end(1) for m in rule.closing.finditer(text)), default=-1)
+        if last < 0:
+            return
+    found = ((0, m) for m in _anchored(rule, text, starts, last)) if starts is not None and rule.first is not None else _searched(rule, text, last)
+    for offset, m in found:
+        a, b = m.span(rule.capture_group) if rule.capture_group <= m.re.groups else m.span()
         if a < 0:
-            a, b = found.span()
-        yield cursor + found.start(), cursor + found.end(), cursor + a, cursor + b
-        cursor += found.end()
+            a, b = m.span()
+        yield offset + m.start(), offset + m.end(), offset + a, offset + b
 
 
 class Masker:
     """Snippets around the hits of one text, with no hit's value left in them.
 
-    A snippet is short, so only values that occur in its bytes can show, and those are found through the runs of four bytes
-    that they begin with. Values of fewer bytes are few, as there are few such strings, and all are tried.
+    All values are looked for in one pass over a snippet, by an automaton that is built once for a text, so neither their number nor what they
+    have in common at their beginning makes a snippet dearer.
     """
 
     def __init__(self, raw: bytes, values: list[tuple[str, str]]):
-        self.raw, self.short, self.starts = raw, [], {}
-        for value, rule_id in dict.fromkeys(values):
-            key = value.encode()
+        self.raw, self.rules = raw, {}
+        for value, rule_id in values:
             if value:
-                (self.short if len(key) < 4 else self.starts.setdefault(key[:4], [])).append((value, rule_id))
+                self.rules[value] = min(rule_id, self.rules.get(value, rule_id))
+        self.automaton = ahocorasick.Automaton()
+        for value in self.rules:
+            self.automaton.add_word(value, value)
+        if self.rules:
+            self.automaton.make_automaton()
 
     def near(self, text: str) -> list[tuple[str, str]]:
         """The values that stand in a text, longest first."""
-        raw = text.encode()
-        found = {x for i in {raw[i : i + 4] for i in range(len(raw) - 3)} for x in self.starts.get(i, ()) if x[0] in text}
-        found.update(x for x in self.short if x[0] in text)
-        return sorted(found, key=lambda x: (-len(x[0]), x))
+        found = {value for _, value in self.automaton.iter(text)} if self.rules else ()
+        return sorted(((value, self.rules[value]) for value in found), key=lambda x: (-len(x[0]), x))
 
     def snippet(self, start: int, end: int, rule_id: str, value: str) -> str:
         a, b = window(self.raw, start, end)
@@ -183,14 +258,16 @@ def masked(raw: bytes, start: int, end: int, rule_id: str, value: str, others: l
     return Masker(raw, [*others, (value, rule_id)]).snippet(start, end, rule_id, value)
 
 
-def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist: list[Entry], floor: str, drops: bool) -> list[tuple]:
+def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist: list[Entry], floor: str, drops: bool, places: Callable | None = None) -> list[tuple]:
     """Hits of all rules in one text, in rule and match order; with ``drops`` also those dropped, with the reason."""
     raw, at = text.encode(), byte_places(text)
+    known = (literal_places(rules) if places is None else places)(text)
     hits = []
     for rule_ord, rule in enumerate(rules):
-        if rule.hinted is not None and not rule.hinted.search(text):
+        starts = known.get(rule_ord, []) if known is not None and rule.literals else None
+        if starts == [] or (starts is None and rule.hinted is not None and not rule.hinted.search(text)):
             continue
-        for hit_ord, (s, e, vs, ve) in enumerate(matches(rule, text)):
+        for hit_ord, (s, e, vs, ve) in enumerate(matches(rule, text, starts)):
             value = text[vs:ve]
             bs, be, start, end = at(vs), at(ve), at(s), at(e)
             near = (lambda x, y: raw[slice(*window(raw, x, y))].decode(errors="ignore"))
@@ -198,7 +275,8 @@ def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist
             level = rule.confidence
             if why is None:
                 allowed, reason = check(allowlist, value, rule.rule_id, issue_key, path)
-                context = any(w in near(start, end).lower() for w in fixed.CONTEXT_WORDS)
+                around = near(start, end).lower()
+                context = any(w in around for w in fixed.CONTEXT_WORDS)
                 level = adjusted(rule.confidence, context, shannon(value) > fixed.ENTROPY_BOOST, is_placeholder(value))
                 if allowed:
                     why = f"allowlisted: {reason}" if reason else "allowlisted"
@@ -227,11 +305,11 @@ def scan(segments: DataFrame, rules: list[Rule] | None = None, allowlist: list[E
     could = prefilter(rules)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0].strip("`") for c in FINDINGS.split(", ")]
+        names, places = [c.split(" ")[0].strip("`") for c in FINDINGS.split(", ")], literal_places(rules)
         for batch in batches:
             rows = []
             for key, ord_, path, text, kind in zip(batch["issue_key"], batch["seg_ord"], batch["field_path"], batch["text"], batch["source_type"], strict=True):
-                for r in scan_text(text, rules, key, path, allowlist, floor, drops):
+                for r in scan_text(text, rules, key, path, allowlist, floor, drops, places):
                     rows.append((key, ord_, path, kind, 0, *r[:10], None, r[10], r[11]))
             yield pd.DataFrame(rows, columns=names)
 

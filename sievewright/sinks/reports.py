@@ -42,8 +42,8 @@ def sarif_results(found: DataFrame) -> DataFrame:
     level = F.coalesce(*(F.when(F.col("severity") == s, F.lit(v)) for s, v in LEVELS.items()), F.lit("note"))
     tags = F.array_compact(F.array(F.col("source_type"), F.col("status"), F.when(_live(), F.lit("live-validated"))))
     artifact = F.struct(
-        F.col("issue_url").alias("uri"), F.struct(F.lit("Record that contains the leaked secret").alias("text")).alias("description"),
-        F.struct(F.lit("tracker-issue").alias("artifactKind"), F.col("issue_key").alias("issueKey"), F.col("field_path").alias("fieldPath")).alias("properties"),
+        F.col("issue_url").alias("uri"), F.struct(F.lit("Tracker entry in which the value stands").alias("text")).alias("description"),
+        F.struct(F.lit("record").alias("artifactKind"), F.col("issue_key").alias("issueKey"), F.col("field_path").alias("fieldPath")).alias("properties"),
     )
     more = F.struct("finding_id", "issue_key", "field_path", "confidence", "status", "secret_hash", "detected_at", "first_seen", "times_seen", "external_validation", tags.alias("tags"))
     result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(": ", "rule_id", "redacted_secret").alias("text")).alias("message"), F.array(F.struct(F.struct(artifact.alias("artifactLocation")).alias("physicalLocation"))).alias("locations"), more.alias("properties"))
@@ -65,7 +65,7 @@ def defectdojo_rows(found: DataFrame) -> DataFrame:
     checked = F.when(ext.isNotNull(), F.concat(F.lit("\nExternal validation: valid="), ext["valid"].cast("string"), F.lit(" (source: "), F.coalesce(ext["source"], F.lit("")), F.lit(", checked_at: "), F.coalesce(ext["checked_at"], F.lit("")), F.lit(")")))
     return found.select(
         F.concat_ws(" in ", "rule_id", "issue_key").alias("title"), F.initcap("severity").alias("severity"), F.concat(description, F.coalesce(seen, F.lit("")), F.coalesce(checked, F.lit(""))).alias("description"), F.col("detected_at").alias("date"),
-        F.lit("Rotate the exposed credential, remove it from the record, and review who had access to it while it was exposed.").alias("mitigation"), F.col("issue_url").alias("references"), F.col("issue_key").alias("file_path"),
+        F.lit("Others may know this value: withdraw it, put a new one in its place, and take it out of the tracker with all its earlier versions.").alias("mitigation"), F.col("issue_url").alias("references"), F.col("issue_key").alias("file_path"),
         (~F.col("status").isin("closed", "resolved", "falsepositive")).alias("active"), _live().alias("verified"), (F.col("status") == "falsepositive").alias("false_p"), F.lit(False).alias("duplicate"), F.lit(True).alias("static_finding"),
         F.concat(C.fingerprint(F.col("secret_hash"), F.col("rule_id"), primary), F.lit("#0")).alias("unique_id_from_tool"),
         F.array_join(F.array_compact(F.array(F.lit("secret-scanner"), F.col("source_type"), F.concat(F.lit("status:"), label), F.when(_live(), F.lit("live-validated")))), ",").alias("tags"), "ord",
@@ -74,11 +74,11 @@ def defectdojo_rows(found: DataFrame) -> DataFrame:
 
 def incomplete(run: dict) -> tuple[str, str] | None:
     """Level and text of what a report says about a run that didn't finish."""
-    seen = f"{run.get('issues_scanned', 0)} of {run.get('issues_total', 0)} issues scanned, {run.get('errors_total', 0)} errors"
+    read, asked, errors = (run.get(key, 0) for key in ("issues_scanned", "issues_total", "errors_total"))
     if run["status"] == "partial":
-        return "warning", f"Partial scan ({seen}): results are incomplete; a missing finding proves nothing."
+        return "warning", f"Some of the input was left out ({read} records of {asked}, {errors} errors) and may hold more than is listed here."
     if run["status"] == "failed":
-        return "error", f"Failed scan ({seen}): results are incomplete and are no clean bill."
+        return "error", f"The run broke off after {read} records of {asked} with {errors} errors; nothing follows from what it does not list."
     return None
 
 
@@ -115,7 +115,7 @@ def write_csv(found: DataFrame, run: dict, path: Path) -> None:
 
 
 def write_sarif(found: DataFrame, run: dict, path: Path) -> None:
-    rules = [{"id": r["rule_id"], "name": r["rule_id"], "shortDescription": {"text": f"Secret leak pattern '{r['rule_id']}' matched"}, "defaultConfiguration": {"level": r["level"]}} for r in rule_levels(found).orderBy(F.col("ord").asc_nulls_last()).collect()]  # one row per rule
+    rules = [{"id": r["rule_id"], "name": r["rule_id"], "shortDescription": {"text": f"A value of the form {r['rule_id']}"}, "defaultConfiguration": {"level": r["level"]}} for r in rule_levels(found).orderBy(F.col("ord").asc_nulls_last()).collect()]  # one row per rule
     said = incomplete(run)
     invocation = {"executionSuccessful": said is None, "startTimeUtc": run.get("started_at"), "endTimeUtc": run.get("finished_at"), **({"toolExecutionNotifications": [{"level": said[0], "message": {"text": said[1]}}]} if said else {})}
     tool = {"driver": {"name": "sievewright", "version": run.get("scanner_version", ""), "rules": rules}}

@@ -5,7 +5,9 @@ The sketch of a metric is a histogram over logarithmic buckets: each value falls
 counts merges two sketches exactly, in any order; that gives map-side combination for hot sources. A group's
 sketch is its own counts plus those of PRIOR documents distributed as its language's and of PRIOR distributed as all rows, whatever
 the group's size: a small group leans on the others, a large one on itself, and nothing switches in between. A document is rejected where a
-metric lies beyond the upper fence ``q75 + REACH * max(q75 - q25, least spread)`` of its own group.
+metric lies beyond the fence of its own group: the median, and REACH times the mean of how far the quantiles TAIL lie above it. Fences
+have the scale of what they fence: rates that are mostly zero have their tail's, and no metric has a least or a usual value. Where less than
+a hundredth of a blended sketch is above its median, whatever is above it lies beyond.
 
 Everything is a DataFrame expression: no Python runs on the executors.
 
@@ -30,9 +32,9 @@ SYMBOLS = "[#*$%&|<>]"
 GAMMA, LEAST = 1.02, 1e-4
 #: Documents that a group's language, and that all rows, add to the group's own; and the parts in which such fractions are counted.
 PRIOR, PARTS = 100, 1_000_000
-REACH = 3.0
-#: Metric: the least spread that counts as one between the quartiles.
-SPREADS = {"symbol_rate": 0.02, "dup_line_rate": 0.06, "repeat_rate": 0.04, "mean_word": 0.5}
+#: The quantiles that tell a group's tail, and how many times their mean distance from the median is still within.
+TAIL, REACH = (0.75, 0.9, 0.95, 0.98, 0.99), 1.5
+METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word")
 
 
 def _covered(hashes: Column) -> Column:
@@ -99,34 +101,50 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def blended(sketches: DataFrame) -> DataFrame:
-    """The sketch of every group (lang, source) with its priors, in PARTS of a document."""
-    groups = sketches.groupBy("lang", "source", "metric").agg(F.sum("n").alias("own"))
-    prior = lambda frame, by: frame.withColumn("n", F.floor(PRIOR * PARTS * F.col("n") / F.sum("n").over(W.partitionBy(*by, "metric"))).cast("long"))
-    language, every = prior(merge(sketches, "lang"), ["lang"]).withColumnRenamed("lang", "_lang"), prior(merge(sketches), [])
-    own = sketches.select("lang", "source", "metric", "bucket", (F.col("n") * PARTS).alias("n"))
-    near = groups.join(language.withColumnRenamed("metric", "_metric"), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
-    far = groups.join(every, "metric")
-    names = ["lang", "source", "metric", "bucket", "n"]
-    return merge(own.unionByName(near.select(*names)).unionByName(far.select(*names)), "lang", "source")
+def histograms(sketches: DataFrame, *by: str) -> DataFrame:
+    """A row per group: ``h``, its sketches as an array of (metric, bucket, n), in PARTS of a document. A sketch has some hundred buckets, however much it counts."""
+    return sketches.groupBy(*by).agg(F.collect_list(F.struct("metric", "bucket", (F.col("n") * PARTS).alias("n"))).alias("h"))
 
 
-def fences(sketches: DataFrame, *by: str) -> DataFrame:
-    """By group: the upper fence of every metric. A group's histogram has a few hundred buckets at most, however many documents it counts."""
-    group = [*by, "metric"]
-    running = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sketches.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
-    value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")))
-    at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), value))
-    spread = F.coalesce(*(F.when(F.col("metric") == m, F.lit(s)) for m, s in SPREADS.items()))
-    quartiles = ranked.groupBy(*group).agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
-    fence = quartiles.withColumn("fence", F.col("q75") + REACH * F.greatest(F.col("q75") - F.col("q25"), spread))
-    return fence.groupBy(*by).agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"{m}_max") for m in SPREADS))
+def prior(sketches: DataFrame, *by: str) -> DataFrame:
+    """A row per group: ``h`` for PRIOR documents distributed as the group's, in PARTS of a document."""
+    scaled = sketches.withColumn("n", F.floor(PRIOR * PARTS * F.col("n") / F.sum("n").over(W.partitionBy(*by, "metric"))).cast("long"))
+    return scaled.groupBy(*by).agg(F.collect_list(F.struct("metric", "bucket", "n")).alias("h"))
+
+
+def fence(h: Column, metric: str) -> Column:
+    """The upper fence of a metric, read from an array of (metric, bucket, n) that may name a bucket several times; null if it has none."""
+    own = F.sort_array(F.transform(F.filter(h, lambda x: x["metric"] == metric), lambda x: F.struct(x["bucket"].alias("bucket"), x["n"].alias("n"))))
+    shares = (0.5, *TAIL)
+
+    def read(own: Column) -> Column:
+        total = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        start = F.struct(F.lit(0).cast("long").alias("upto"), *(F.lit(None).cast("int").alias(f"q{i}") for i in range(len(shares))))
+
+        def step(acc: Column, x: Column) -> Column:
+            upto = acc["upto"] + x["n"]
+            return F.struct(upto.alias("upto"), *(F.coalesce(acc[f"q{i}"], F.when(upto >= share * acc["total"], x["bucket"])).alias(f"q{i}") for i, share in enumerate(shares)), acc["total"].alias("total"))
+
+        start = F.struct(*(start[f] for f in ("upto", *(f"q{i}" for i in range(len(shares))))), total.alias("total"))
+        return F.aggregate(own, start, step)
+
+    value = lambda bucket: F.when(bucket == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), bucket.cast("double")))
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    told = let(let(own, read), lambda q: F.array(*(value(q[f"q{i}"]) for i in range(len(shares)))))
+    above = lambda v: F.aggregate(F.slice(v, 2, len(TAIL)), F.lit(0.0), lambda a, x: a + x - v[0]) / len(TAIL)
+    return F.when(F.size(own) > 0, let(told, lambda v: v[0] + REACH * above(v)))
 
 
 def thresholds(counts: DataFrame, stages) -> DataFrame:
-    """lang, source and the fences that hold for that group."""
-    return fences(blended(stages.keep(sketch(counts), "sketches")), "lang", "source")
+    """lang, source and the fences that hold for that group.
+
+    The sketches of a group, of its language and of all rows meet in one row, where they are read together: none is copied to the others' rows in a table.
+    """
+    sketches = stages.keep(sketch(counts), "sketches")
+    language = prior(merge(sketches, "lang"), "lang").withColumnsRenamed({"lang": "_lang", "h": "near"})
+    every = prior(merge(sketches)).select(F.lit(1).alias("_one"), F.col("h").alias("far"))  # one row, of a few thousand buckets at most
+    groups = histograms(sketches, "lang", "source").join(language, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_one", F.lit(1))
+    return groups.join(F.broadcast(every), "_one").select("lang", "source", F.concat("h", "near", "far").alias("h")).select("lang", "source", *(fence(F.col("h"), m).alias(f"{m}_max") for m in METRICS))
 
 
 def judge(counts: DataFrame, stages) -> DataFrame:

@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and adaptive verdict of every document."""
     return quality.quality(table(spark, sf_dir, "documents"), Stages(spark)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"{m}_max" for m in quality.SPREADS)
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"{m}_max" for m in quality.METRICS)
     )
 
 

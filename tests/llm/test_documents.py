@@ -130,10 +130,11 @@ def verdicts(rows):
             total, upto, at = sum(blend.values()), 0, {}
             for b in sorted(blend):
                 upto += blend[b]
-                for share in (0.25, 0.75):
+                for share in (0.5, *quality.TAIL):
                     if upto >= share * total:
                         at.setdefault(share, 0.0 if b == 0 else quality.LEAST * quality.GAMMA**b)
-            kept = kept and x <= at[0.75] + quality.REACH * max(at[0.75] - at[0.25], quality.SPREADS[name])
+            fence = at[0.5] + quality.REACH * sum(at[u] - at[0.5] for u in quality.TAIL) / len(quality.TAIL)
+            kept = kept and x <= fence + 1e-12
         out.append(kept)
     return out
 
@@ -173,8 +174,26 @@ def test_sketches_merge_and_bound_quantiles(spark):
     fine = quality.sketch(counts)
     whole = quality.merge(fine)
     assert by(whole, "metric", "bucket", "n") == by(quality.merge(quality.merge(fine, "lang")), "metric", "bucket", "n")
-    fence = quality.fences(whole).first()["mean_word_max"]
-    assert abs(fence - (37.5 + 3 * 25)) < 0.03 * 112.5
+    fence = quality.histograms(whole).select(quality.fence(F.col("h"), "mean_word").alias("f")).first()["f"]
+    assert abs(fence - (25 + 1.5 * (0.914 * 50 - 25))) < 0.03 * fence
+
+
+def test_groups_of_one_table_have_fences_of_their_own(spark):
+    """Two large sources whose documents differ in every metric: what is usual in one lies beyond the fence of the other."""
+    rng = random.Random(4)
+
+    def text(i, loud):
+        words_ = [f"{'abcdefghij'[: 6 if loud else 3]}{i:04d}{j:03d}" + "#" * (loud and rng.random() < 0.4) for j in range(90)]
+        lines = [" ".join(words_[k : k + 9]) for k in range(0, 90, 9)]
+        return "\n".join([*lines, *[lines[rng.randrange(9)]] * (rng.randrange(1, 3) if loud and rng.random() < 0.6 else rng.random() < 0.03)])
+
+    docs = spark.createDataFrame([(i, text(i, i % 2), "en", f"s{i % 2}") for i in range(4000)], "doc_id long, text string, lang string, source string").repartition(4)
+    got = quality.quality(docs, Stages(spark))
+    limits = {r["source"]: r for r in got.groupBy("source").agg(*(F.max(f"{m}_max").alias(m) for m in quality.METRICS)).collect()}
+    assert all(limits["s1"][m] > 1.1 * limits["s0"][m] for m in quality.METRICS), limits
+    strange = spark.createDataFrame([(9000 + k, text(5000 + 2 * k + 1, 1), "en", f"s{k % 2}") for k in range(100)], "doc_id long, text string, lang string, source string")
+    told = {r["doc_id"]: r["kept"] for r in quality.quality(docs.union(strange), Stages(spark)).where("doc_id >= 9000").collect()}
+    assert sum(told[9000 + k] for k in range(0, 100, 2)) < 5 and sum(told[9000 + k] for k in range(1, 100, 2)) > 25
 
 
 def linked_components(rows, k, percent):

@@ -4,7 +4,7 @@ A candidate is a word in which, or with the words before it, a built-in rule mat
 to a name of a secret, with or without digits, one with SHORTEST or more token characters that holds a digit, or one that starts like a known
 key. A PEM block counts as one word.
 Its features are length, transitions between characters, coverage by a dictionary, shares of character
-classes, the path, and the words around it. The forest is trained on labelled findings (at most
+classes, the path, and the words around it; words behind a value can speak for a secret, and none of them clears one. The forest is trained on labelled findings (at most
 ``LABELLED`` rows) and read out into plain arrays; scoring walks those arrays inside a DataFrame expression,
 so that finding, scoring and redacting happen row by row, in the JVM, without a shuffle.
 
@@ -45,7 +45,7 @@ TEST_PATH = "(?i)(?:test|example|sample|fixture|mock|docs?/|demo)"
 #: Common words of names, hosts and placeholders, longest first.
 DICTIONARY = "placeholder|password|example|service|release|version|invoice|sample|secret|change|number|server|domain|client|public|string|update|config|github|https|order|token|local|admin|guest|login|value|build|image|index|param|media|video|mail|user|name|host|test|data|file|date|time|http|demo|your|here|page|blog|html|json|port|com|org|net|www|key|the|and|dev|api|app|img|src|log|ref|xxx"
 BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ch|ei|ie|la|el|qu|ue|os|do"
-FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known", "ruled", "assigned", "named")
+FEATURES = ("length", "class_changes", "bigrams", "dictionary", "digits", "upper", "distinct", "hex", "dots", "at", "dashes", "colons", "test_path", "keyword", "benign", "known", "ruled", "assigned", "named", "followed")
 
 
 #: The built-in rules by where they match: a PEM block; a value assigned to a name or after a header's scheme, maybe some words before; inside a word.
@@ -151,11 +151,12 @@ def _features(c: Column, value: Column, path: Column) -> Column:
         count("[:/]").cast("double"),
         flag(F.coalesce(path, F.lit("")).rlike(TEST_PATH)),
         flag(before.rlike(KEYWORDS)),
-        flag(before.rlike(BENIGN) | c["after"].rlike(BENIGN)),
+        flag(before.rlike(BENIGN)),
         flag(value.rlike(f"^{KNOWN}")),
         flag((inside(c["word"]) != "") | (announced(c["before"], c["word"]) != "")),
         flag(assigned(c["before"], c["word"]) != ""),
         flag(named(c["before"], c["word"])),
+        flag(c["after"].rlike(KEYWORDS)),
     )
 
 
@@ -169,8 +170,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     number = lambda start, n: F.translate(part(h, start, n), "abcdef", "314159")
     dice = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
     pick = lambda k, *options: F.element_at(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), (dice(k, len(options)) + 1).cast("int"))
-    prose = pick(1, "the value of", "we saw that", "in der tat", "il y a", "para que el", "th the ing", "and then or", "")
-    later = pick(2, "and the rest", "of it", "est la", "und dann", "y luego", "ered an", "")
+    prose = pick(1, "the value of", "we saw that", "in der tat", "il y a", "para que el", "th the ing", "and then or", "", "mail the host", "for the order", "on a version")
+    # what stands behind is the same in both classes, and nothing can be learned from it but a name of a secret
+    later = pick(2, "and the rest", "of it", "est la", "und dann", "y luego", "ered an", "", "for example", "mail the host", "that.92@mail2.example.com phone", "version 2 of", "order 12 of")
     hexes = pick(3, part(h, 1, 16), part(h, 1, 18), part(h, 1, 24), part(h, 1, 32), part(h, 1, 40), h)
     mixed = pick(4, part(alnum, 1, 16), part(alnum, 1, 20), part(alnum, 1, 32), part(alnum, 1, 40), part(b64, 1, 40))
     body = pick(5, hexes, mixed)
@@ -190,7 +192,8 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     hidden = pick(32, hexes, part(long, 1, 12), short, F.concat(part(long, 1, 5), F.lit("pw"), number(1, 2)))
     secret_part = F.translate(hidden, "@:/", "xyz")
     letters = F.translate(long, "0123456789", "kqzvbjwxyg")
-    phrase = pick(41, part(letters, 1, 14), F.lower(part(letters, 3, 18)), F.concat(F.translate(part(g, 1, 7), "0123456789", "aeionrstlm"), part(letters, 9, 9)), F.concat(F.lower(part(letters, 1, 5)), F.lit("-"), F.lower(part(letters, 6, 7)), F.lit("-"), F.lower(part(letters, 14, 6))))
+    spoken = F.concat(pick(47, "blue", "summer", "river", "seven", "little", "winter", "golden"), pick(48, "", "-", "_"), pick(49, "stone", "garden", "tiger", "window", "moon", "coffee"), pick(50, "forever", "tonight", "walk", "tree", "again", ""))
+    phrase = pick(41, spoken, spoken, part(letters, 1, 14), F.lower(part(letters, 3, 18)), F.concat(F.translate(part(g, 1, 7), "0123456789", "aeionrstlm"), part(letters, 9, 9)), F.concat(F.lower(part(letters, 1, 5)), F.lit("-"), F.lower(part(letters, 6, 7)), F.lit("-"), F.lower(part(letters, 14, 6))))
     item = lambda word, before, after: F.struct(word.alias("word"), before.alias("before"), after.alias("after"))
     positive = pick(
         8,
@@ -219,6 +222,8 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         item(F.concat(key, F.regexp_replace(mark, " ", ""), quote, phrase, quote), prose, later),
         item(F.concat(quote, phrase, quote), F.concat_ws(" ", prose, F.concat(key, F.regexp_replace(mark, " $", ""))), later),
         item(F.concat(key, F.regexp_replace(mark, " ", ""), quote, part(short, 1, 6), quote), prose, later),
+        item(strong, prose, pick(46, "is the password", "as your password", "(secret)", "was the token")),
+        item(F.concat(name, F.regexp_replace(mark, " ", ""), quote, body, quote, F.lit("###")), prose, later),
     )
     folk = F.translate(part(g, 1, 8), "0123456789", "aeionrstlm")
     negative = pick(

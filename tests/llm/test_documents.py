@@ -373,7 +373,7 @@ def plain_features(value, word, before, after, path, ruled, assigned):
         n, change / n, len(re.findall(f"(?i)(?=(?:{secrets.BIGRAMS}))", value)) / n, 1 - len(re.sub(secrets.DICTIONARY, "", value.lower())) / n,
         sum(c in "0123456789" for c in value) / n, sum("A" <= c <= "Z" for c in value) / n, len(set(value)) / n, float(bool(re.fullmatch("[0-9a-fA-F]+", value))), value.count("."),
         float("@" in value), value.count("-"), value.count(":") + value.count("/"), float(bool(re.search(secrets.TEST_PATH, path or ""))), float(bool(re.search(secrets.KEYWORDS, around))),
-        float(bool(re.search(secrets.BENIGN, around) or re.search(secrets.BENIGN, after))), float(bool(re.match(secrets.KNOWN, value))), ruled, assigned, float(bool(named)),
+        float(bool(re.search(secrets.BENIGN, around))), float(bool(re.match(secrets.KNOWN, value))), ruled, assigned, float(bool(named)), float(bool(re.search(secrets.KEYWORDS, after))),
     ]
 
 
@@ -414,6 +414,15 @@ def test_secrets_on_texts_of_no_template(spark):
     assert len(touched) <= 1, touched
 
 
+def test_no_word_behind_a_value_clears_it(spark):
+    """One value before each of many words, also glued to marks: a secret whatever follows."""
+    values = ['token = "1eb9c654aa0317d2f58e4b6690c7dd33dd62ba01"', "password: hQ7zP2kL9x", "api_key=9f8e7d6c5b4a39281706f5e4"]
+    behind = ["and more of it", "that.92@mail2.example.com now", "for example", "mail the host", "order 12345", "phone 555", "version 2", "checksum of", "commit it", "### that.92@mail2.example.com", "sample card invoice", ""]
+    docs = spark.createDataFrame([(i, f"we saw {v} {b}".replace(" ###", "###"), "src1") for i, (v, b) in enumerate((v, b) for v in values for b in behind)], "doc_id long, text string, source string")
+    clean = [r["text"] for r in secrets.redact(docs, secrets.forest(spark)).orderBy("doc_id").collect()]
+    assert [t for t in clean if "1eb9c654" in t or "hQ7zP2kL9x" in t or "9f8e7d6c" in t] == []
+
+
 def test_redaction_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "password=hQ7zP2kL9x now", "a", "x", "y", "z", 5)], "doc_id long, text string, source string, found string, row string, clean string, n_chars int")
     got = secrets.redact(docs, secrets.forest(spark))

@@ -40,22 +40,22 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out
 
-#: Share of a host's pages from which on a text of a slot is listed as template, and the least number of different pages: two alike may be a page and its copy.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.2, 3
-#: Share of a host's pages from which on a slot is listed; what fewer have is judged by the page alone.
-SLOT_SHARE = 0.01
+#: Shares of a host's pages from which on a text of a slot is listed as template, and a slot at all; what fewer have is judged by the page alone.
+#: So a host's wrapper holds at most some multiple of what one page does, however many pages it has.
+TEMPLATE_SHARE, SLOT_SHARE = 0.2, 0.01
 #: Weights: of any slot, inside an article or a main part, beside those, of a template text by its share, of repeated texts, of links, and the range of length.
-BASE, ARTICLE, MAIN, BESIDE, TEMPLATE, REPEATED, LINKED, SHORTEST, LONGEST = 1.5, 4.0, 2.0, -3.0, 7.0, 4.0, 5.0, -1.0, 3.0
+BASE, ARTICLE, MAIN, BESIDE, TEMPLATE, REPEATED, LINKED, SHORTEST, LONGEST = 1.5, 4.0, 2.0, -3.0, 7.0, 4.0, 4.0, -1.0, 3.0
 #: Weights of names that speak of adverts and page furniture, and of such as main text also has. Characters of an even length.
 FURNITURE, DOUBTFUL, EVEN = -4.5, -2.0, 30
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title head".split())
+RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
-OUT_TAGS = frozenset("nav footer aside form button dialog menu label fieldset".split()) | RAW
+OUT_TAGS = frozenset("head nav footer aside form button dialog menu label fieldset".split()) | RAW
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu".split())
 _names = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
-READERS = _names(r"comments?|commentlist|repl(?:y|ies)|disqus|respond")
+#: A whole name of readers' comments: not one that only speaks of them, as of a post that has some.
+READERS = re.compile(r"(?:^|\s)(?:(?:post|page|article|user|reader|readers|site|wp|fb)[-_]?)?(?:comments?|commentlist|repl(?:y|ies)|disqus|respond)(?:[-_](?:\d+|area|list|section|thread|threads|form|box|wrap|wrapper|block|container|content|body|text|item|inner|holder|title|meta|author))*(?:$|\s)", re.I)
 FURNITURE_NAMES = _names(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscri\w*|sidebar|popup|modal|overlay|nav|navbar|navigation|breadcrumbs?|masthead|topbar|login|signup|toolbar")
 DOUBTFUL_NAMES = _names(r"notices?|alert|banner|widget|menu|footer|shar(?:e|ing)|social|related|recommend\w*|search|pag(?:er|ination)|skip|copyright")
 
@@ -113,6 +113,11 @@ def parse(page: str | None) -> tuple[list[Slot], dict[str, int], set[str]]:
         parts.clear()
         block += 1
 
+    def leave_head() -> None:
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth].name == "head":
+                del stack[depth:]
+
     def put(element: Element, text: str) -> None:
         if not element.out:
             if not parts or (parts[-1][0] is not element.judge and text.strip()):
@@ -138,6 +143,8 @@ def parse(page: str | None) -> tuple[list[Slot], dict[str, int], set[str]]:
                         del stack[depth:]
                         break
                 continue
+            if name == "body" or name in BLOCKS:  # a head may end without its end tag
+                leave_head()
             if name in BLOCKS:  # an open paragraph ends where a block begins, and a list item at the next
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].name == "p" or (stack[depth].name == name and name in ("li", "dd", "dt", "tr")):
@@ -156,6 +163,8 @@ def parse(page: str | None) -> tuple[list[Slot], dict[str, int], set[str]]:
             elif name not in VOID and not rest.endswith("/"):
                 stack.append(element)
         elif not page.startswith("<", token.start()) or token[0] == "<":
+            if token[0].strip():
+                leave_head()
             put(stack[-1], token[0])
     end()
     return found, places, again
@@ -277,15 +286,12 @@ def _wrappers(read: DataFrame) -> DataFrame:
     once = read.where("text is not null").groupBy("host", "path", "text", "sign").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
     texts = once.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links"))
     whole = once.where("path = ''").groupBy("host").agg(F.count("*").alias("pages"))
-    slots = texts.where("path <> ''").groupBy("host", "path").agg(
-        F.sum("n").alias("filled"), F.count("*").alias("different"), F.sum(F.col("chars") * F.col("n")).alias("chars"), F.sum(F.col("links") * F.col("n")).alias("links"),
-        F.collect_list(F.when(F.col("n") >= TEMPLATE_PAGES, F.struct("text", "n"))).alias("often"),
-    )
-    # slots that a hundredth of the pages fill and texts that a fifth have: a bounded number of times what one page holds
+    slots = texts.where("path <> ''").groupBy("host", "path").agg(F.sum("n").alias("filled"), F.count("*").alias("different"), F.sum(F.col("chars") * F.col("n")).alias("chars"), F.sum(F.col("links") * F.col("n")).alias("links"))
+    # shares come before anything is collected: slots that a hundredth of the pages fill and texts that a fifth have are a bounded number of times what one page holds
+    share = (F.col("n") - 1) / (F.col("pages") + 1)
+    often = texts.where("path <> '' AND n > 1").join(whole, "host").where(share >= TEMPLATE_SHARE).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text", share.alias("share")))).alias("templates"))
     many = slots.join(whole, "host").where((F.col("filled") >= 2) & (F.col("filled") >= SLOT_SHARE * F.col("pages")))
-    share = lambda t: (t["n"] - 1) / (F.col("pages") + 1)
-    often = F.transform(F.filter("often", lambda t: share(t) >= TEMPLATE_SHARE), lambda t: F.struct(F.col("path").alias("path"), t["text"].alias("text"), share(t).alias("share")))
-    known = many.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "filled", "different", "chars", "links"))).alias("slots"), F.sort_array(F.flatten(F.collect_list(often))).alias("templates"))
+    known = many.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "filled", "different", "chars", "links"))).alias("slots")).join(often, "host", "left")
     return known.select("host", F.to_json(F.struct("slots", "templates")).alias("reading"))
 
 

@@ -98,6 +98,19 @@ def test_main_text_shapes():
     assert text("no tags & none") == "no tags & none"
 
 
+def test_heads_without_an_end_and_names_that_only_speak_of_readers():
+    text, long = extraction.main_text, " ".join(f"Sentence number {i} of ten that make a paragraph." for i in range(10))
+    assert text("<html><head><title>t</title><body><p>Hello there</p>") == "Hello there"
+    assert text("<html><head><title>t</title><script>x<p>y</script><p>Hello there</p>") == "Hello there"
+    assert text("<head><meta charset=utf-8><title>a</title>Hello there") == "Hello there"
+    assert text("<html><head><style>p{}</style></head><body><header>Top</header><p>Hello there</p></body>") == "Hello there"
+    assert text(f'<body><div class="post has-comments"><p>{long}</p></div></body>') == long
+    assert text(f'<article><p class="respond-time">They took long to respond.</p><p>{long}</p></article>').startswith("They took long to respond.")
+    assert text(f'<article><p>{long}</p><p>See also <a href=/a>One</a>, <a href=/b>Two</a></p></article>').endswith("See also One, Two")
+    for name in ("comments", "comment-list", "post-comments", "comments_area", "disqus_thread", "respond", "x comment-body y", "wp-comments-12"):
+        assert text(f'<article><p>{long}</p><div class="{name}"><p>First! {long}</p></div></article>') == long, name
+
+
 def test_wrappers_and_extraction(spark):
     rows = [(i, "https://a.example/x" if i % 4 else "https://b.example/y", page(i, f"<div class=box><p>Same words here</p></div><div>{''.join(f'<p>text {i} {j}</p>' for j in range(1 + i % 4))}</div>"), "extra") for i in range(60)]
     rows += [(60, None, page(60, "<article>alone</article>"), ""), (61, "not a url", None, ""), (None, "https://a.example/z", "", ""), rows[0]]

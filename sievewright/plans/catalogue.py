@@ -36,10 +36,10 @@ def token_text(customer: DataFrame) -> DataFrame:
     left = lambda n: F.substring(h, 1, n)
     kind = F.col("c_custkey") % 5
     text = (
-        F.when(kind == 0, F.concat(F.lit("note gh"), F.lit("p_"), left(36), F.lit(" end")))
+        F.when(kind == 0, F.concat(F.lit("note ghp_"), left(36), F.lit(" end")))
         .when(kind == 1, F.concat(F.lit("user="), F.col("c_name"), F.lit("\n"), F.lit("password="), left(20)))
-        .when(kind == 2, F.concat(F.lit("glpat"), F.lit("-"), left(20), F.lit(" x")))
-        .when(kind == 3, F.concat(F.lit("key AK"), F.lit("IA"), F.translate(F.upper(left(16)), "0189", "GHIJ")))
+        .when(kind == 2, F.concat(F.lit("glpat-"), left(20), F.lit(" x")))
+        .when(kind == 3, F.concat(F.lit("key AKIA"), F.translate(F.upper(left(16)), "0189", "GHIJ")))
         .otherwise(F.concat(F.lit("postgres://svc:"), left(16), F.lit("@db.internal/app")))
     )
     return customer.select("c_custkey", text.alias("text"))
@@ -56,10 +56,10 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 TOKENS_SQL = """
 tokens AS (SELECT c_custkey, CASE c_custkey % 5
-  WHEN 0 THEN 'note gh' || 'p_' || h[1:36] || ' end'
+  WHEN 0 THEN 'note ghp_' || h[1:36] || ' end'
   WHEN 1 THEN 'user=' || c_name || chr(10) || 'password=' || h[1:20]
-  WHEN 2 THEN 'glpat' || '-' || h[1:20] || ' x'
-  WHEN 3 THEN 'key AK' || 'IA' || translate(upper(h[1:16]), '0189', 'GHIJ')
+  WHEN 2 THEN 'glpat-' || h[1:20] || ' x'
+  WHEN 3 THEN 'key AKIA' || translate(upper(h[1:16]), '0189', 'GHIJ')
   ELSE 'postgres://svc:' || h[1:16] || '@db.internal/app' END AS text
   FROM (SELECT *, sha256(c_custkey::VARCHAR) AS h FROM customer))"""
 SEGMENTS_SQL = f"""{TOKENS_SQL},
@@ -80,7 +80,7 @@ _words = "|".join(fixed.PLACEHOLDERS_CONTAINED)
 _raw = "\n  UNION ALL ".join(
     f"SELECT issue_key, field_path, source_type, '{r}' AS rule_id, '{next(b for b in BUILTIN if b.rule_id == r).severity}' AS severity, '{next(b for b in BUILTIN if b.rule_id == r).confidence}' AS base, text, unnest(regexp_extract_all(text, '{_sql_regex(r)[0]}', {_sql_regex(r)[1]})) AS value FROM seg" for r in PRESENT
 )
-_entropy = "(SELECT -sum(n / length(value) * log2(n / length(value))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c))"
+ENTROPY_SQL = "(SELECT -sum(n / length(value) * log2(n / length(value))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c))"
 #: Matches of the four rules whose drops are counted, whatever becomes of them.
 _dropped = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, text, unnest(regexp_extract_all(text, '{_sql_regex(r)[0]}', {_sql_regex(r)[1]})) AS value FROM seg" for r in ("aws_secret_access_key", "aws_access_key_id", "github_token", "gitlab_token"))
 
@@ -89,7 +89,7 @@ def _hits_sql(seg: str) -> str:
     """Hits that pass their rules, scored. Matches of assignments hold a context word themselves; other texts lie within the window."""
     return f"""{seg},
 raw AS ({_raw}),
-scored AS (SELECT *, {_entropy} AS h, rule_id = 'generic_password_assignment' OR regexp_matches(lower(text), '{"|".join(fixed.CONTEXT_WORDS)}') AS ctx FROM raw),
+scored AS (SELECT *, {ENTROPY_SQL} AS h, rule_id = 'generic_password_assignment' OR regexp_matches(lower(text), '{"|".join(fixed.CONTEXT_WORDS)}') AS ctx FROM raw),
 hits AS (SELECT issue_key, field_path, source_type, rule_id, severity,
   CASE WHEN base = 'high' THEN CASE WHEN ctx OR h > 3.5 THEN 'high' ELSE 'medium' END
        ELSE CASE WHEN ctx AND h > 3.5 THEN 'high' WHEN ctx OR h > 3.5 THEN 'medium' ELSE 'low' END END AS confidence,
@@ -102,7 +102,7 @@ hits AS (SELECT issue_key, field_path, source_type, rule_id, severity,
 HITS_SQL = _hits_sql(SEGMENTS_SQL)
 E2E_SQL = f"""{TOKENS_SQL.lstrip()}, cust AS (SELECT 'CUST-' || c_custkey AS issue_key, c_custkey AS c, c_name AS name, sha256(c_custkey::VARCHAR) AS h FROM customer),
 seg AS (SELECT 'CUST-' || c_custkey AS issue_key, 'description' AS field_path, text, 'description' AS source_type FROM tokens
-  UNION ALL SELECT issue_key, 'comment.comments[1].body', 'glpat' || '-' || h[21:40] || ' x', 'comment' FROM cust WHERE c % 3 = 0
+  UNION ALL SELECT issue_key, 'comment.comments[1].body', 'glpat-' || h[21:40] || ' x', 'comment' FROM cust WHERE c % 3 = 0
   UNION ALL SELECT issue_key, 'attachment[' || c || '.env]', 'user=' || name || chr(10) || 'password=' || h[41:60], 'attachment' FROM cust WHERE c % 7 = 0)"""
 FINGERPRINT_SQL = "'fp:' || sha256(secret_hash || chr(31) || rule_id || chr(31) || issue_key)"
 
@@ -319,7 +319,7 @@ def scan_run_e2e(spark, sf):
     comment = F.struct(F.lit(2).alias("total"), F.lit(0).alias("startAt"), F.array(F.struct(F.concat(F.lit("see "), "c_name").alias("body"))).alias("comments"))
     listed = F.array(F.struct(name.alias("filename"), F.lit("text/plain").alias("mimeType"), F.lit(100).alias("size"), F.lit("/x").alias("content")), F.struct(F.lit("a.zip").alias("filename"), F.lit("").alias("mimeType"), F.lit(1).alias("size"), F.lit("/y").alias("content")))
     records = rows.select(key, F.to_json(F.struct(F.col("text").alias("description"), comment.alias("comment"), listed.alias("attachment"))).alias("fields"))
-    later = rows.where("c_custkey % 3 = 0").select(key, F.lit(1).cast("long").alias("pos"), F.to_json(F.struct(F.concat(F.lit("glpat"), F.lit("-"), F.substring(h, 21, 20), F.lit(" x")).alias("body"))).alias("comment"))
+    later = rows.where("c_custkey % 3 = 0").select(key, F.lit(1).cast("long").alias("pos"), F.to_json(F.struct(F.concat(F.lit("glpat-"), F.substring(h, 21, 20), F.lit(" x")).alias("body"))).alias("comment"))
     bodies = rows.where("c_custkey % 7 = 0").select(key, F.lit(0).cast("long").alias("pos"), F.concat(F.lit("user="), "c_name", F.lit("\npassword="), F.substring(h, 41, 20)).alias("text"))
     config = scanner.Config(url=BASE, auth="none", query="project = CUST", scan_attachments=True, dry_run=True, store=f"{Stages(spark).root}/store")
     done = scanner.run(spark, config, records, later, bodies, datetime.fromisoformat(NOW))
@@ -348,12 +348,12 @@ ORACLES: dict[str, str] = {
         SELECT n_nationkey, unnest([0, 1, 2, 3]) AS o, unnest(['area.blank', 'area.list[0]', 'area.list[1]', 'name']) AS p, unnest(['', r_name, n_name, n_name]) AS t FROM nation JOIN region ON n_regionkey = r_regionkey)""",
     "rule_generic_password": f"WITH {HITS_SQL} SELECT issue_key, severity, confidence, secret_hash, redacted_secret FROM hits WHERE rule_id = 'generic_password_assignment'",
     "rule_aws_secret_context": f"""SELECT 'DOC-' || doc_id AS issue_key, 'aws_secret_access_key' AS rule_id, 'high' AS confidence, 'sha256:' || sha256(value) AS secret_hash FROM (
-        SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9/+]{{40}}\\b')) AS value FROM documents) WHERE {_entropy} >= 3 AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND NOT regexp_matches(lower(value), '{_words}')""",
+        SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9/+]{{40}}\\b')) AS value FROM documents) WHERE {ENTROPY_SQL} >= 3 AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 3 AND NOT regexp_matches(lower(value), '{_words}')""",
     "rule_scan_all": f"WITH {HITS_SQL} SELECT issue_key, field_path, source_type, rule_id, severity, confidence, secret_hash, redacted_secret FROM hits",
     "confidence_adjust": """SELECT base, CASE WHEN p OR base = 'low' THEN 'low' WHEN base = 'high' THEN CASE WHEN a OR b THEN 'high' ELSE 'medium' END
         ELSE CASE WHEN a AND b THEN 'high' WHEN a OR b THEN 'medium' ELSE 'low' END END AS confidence, count(*) AS n
         FROM (SELECT ['low', 'medium', 'high'][l_orderkey % 3 + 1] AS base, l_partkey % 2 = 0 AS a, l_suppkey % 2 = 0 AS b, l_linenumber = 7 AS p FROM lineitem) GROUP BY ALL""",
-    "entropy_by_value": f"WITH {TOKENS_SQL} SELECT c_custkey, round({_entropy.replace('value', 'text')}, 6) AS entropy FROM tokens",
+    "entropy_by_value": f"WITH {TOKENS_SQL} SELECT c_custkey, round({ENTROPY_SQL.replace('value', 'text')}, 6) AS entropy FROM tokens",
     "secret_hash_fingerprint": f"WITH {HITS_SQL} SELECT issue_key, rule_id, secret_hash, {FINGERPRINT_SQL} AS fingerprint, secret_hash || ':' || rule_id AS merge_key FROM hits",
     "redact_preview": "SELECT c_custkey, CASE WHEN length(c_name) < 8 THEN '[REDACTED]' ELSE c_name[1:2] || '...' || c_name[-2:] END AS name, '[REDACTED]' AS segment FROM customer",
     "snippet_masked": f"""WITH {HITS_SQL} SELECT issue_key, rule_id, replace(text, value, '[REDACTED:' || rule_id || ']') AS snippet, (CASE WHEN rule_id = 'generic_password_assignment' THEN strpos(text, 'password=') ELSE strpos(text, value) END - 1)::INTEGER AS match_start, (strpos(text, value) - 1 + strlen(value))::INTEGER AS match_end FROM hits WHERE source_type = 'customfield'""",
@@ -383,7 +383,7 @@ ORACLES: dict[str, str] = {
     "defectdojo_rows": f"""WITH {HITS_SQL}, o AS (SELECT *, min(issue_key) OVER (PARTITION BY secret_hash, rule_id) AS k FROM hits)
         SELECT DISTINCT rule_id || ' in ' || k AS title, upper(severity[1:1]) || severity[2:] AS severity, true AS active, false AS verified, 'fp:' || sha256(secret_hash || chr(31) || rule_id || chr(31) || k) || '#0' AS unique_id_from_tool, 'secret-scanner,' || source_type || ',status:new' AS tags FROM o WHERE issue_key = k""",
     "drop_reasons": f"""WITH {SEGMENTS_SQL}, m AS ({_dropped}),
-        r AS (SELECT rule_id, CASE WHEN rule_id = 'aws_secret_access_key' AND {_entropy} < 3 THEN 'min_entropy' WHEN regexp_matches(lower(value), '{_words}') THEN 'placeholder'
+        r AS (SELECT rule_id, CASE WHEN rule_id = 'aws_secret_access_key' AND {ENTROPY_SQL} < 3 THEN 'min_entropy' WHEN regexp_matches(lower(value), '{_words}') THEN 'placeholder'
           WHEN rule_id = 'aws_secret_access_key' AND length(regexp_replace(value, '[^0-9]', '', 'g')) < 3 THEN 'min_digits'
           WHEN rule_id = 'aws_secret_access_key' AND NOT regexp_matches(lower(text), 'aws_secret_access_key|aws secret|aws_secret|secret access key') THEN 'context_keywords'
           WHEN rule_id = 'aws_access_key_id' AND NOT regexp_matches(value, '^.{{4}}[A-Z2-7]{{16}}$') THEN 'validator' ELSE 'kept' END AS reason FROM m)

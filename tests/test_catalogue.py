@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sievewright.plans import catalogue
+from sievewright.plans import catalogue, runs
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -19,14 +19,17 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+QUERIES, ORACLES = {**catalogue.QUERIES, **runs.QUERIES}, {**catalogue.ORACLES, **runs.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    frame = catalogue.QUERIES[name](spark, SF)
+    frame = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in frame.collect()]
     assert len(set(frame.columns)) == len(frame.columns)
-    if name not in catalogue.ORACLES:
+    if name not in ORACLES:
         return
-    query = duck.execute(catalogue.ORACLES[name])
+    query = duck.execute(ORACLES[name])
     names = [c[0] for c in query.description]
     other = query.fetchall()
     assert sorted(names) == sorted(frame.columns)

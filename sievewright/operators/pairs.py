@@ -24,6 +24,10 @@ _user, _password = (re.compile("(?i)" + pattern.removeprefix(r"(?im)^\s*")) for
 HINT = "(?iU)://[^:\\s/@]+:[^@\\s/]+@|(?:pass(?:word|wd)?|secret|key)[\\s\\x1C-\\x1F]*[:=]|^[\\s\\x1C-\\x1F]*\\{"
 
 
+#: The forms of pairs in the order in which they are found: a pair's ``rule_ord``.
+FORMS = ("url", "proximity", "json")
+
+
 def cut(text: str, limit: int = fixed.PAIR_BYTES) -> str:
     raw = text.encode()
     return text if len(raw) <= limit else raw[:limit].decode(errors="ignore")
@@ -105,9 +109,9 @@ def detect(segments: DataFrame, floor: str = "low") -> DataFrame:
         for batch in batches:
             rows = []
             for key, ord_, path, text, kind in zip(batch["issue_key"], batch["seg_ord"], batch["field_path"], batch["text"], batch["source_type"], strict=True):
-                for i, (user, password, _) in enumerate(pairs(text)):
+                for i, (user, password, form) in enumerate(pairs(text)):
                     shown = user if password not in user else "[REDACTED:credential_pair]"
-                    rows.append((key, ord_, path, kind, 1, 0, i, "credential_pair", "high", "high", redact(password), secret_hash(password), f"username={shown} password=[REDACTED:credential_pair]", 0, 0, shown, [], None))
+                    rows.append((key, ord_, path, kind, 1, FORMS.index(form), i, "credential_pair", "high", "high", redact(password), secret_hash(password), f"username={shown} password=[REDACTED:credential_pair]", 0, 0, shown, [], None))
             yield pd.DataFrame(rows, columns=names)
 
     wanted = segments.select("issue_key", "seg_ord", "field_path", "text", "source_type").where(F.col("text").rlike(HINT))

@@ -2,12 +2,12 @@
 
 ``reconcile`` takes the current findings, the stored table, the scanned keys and the external validations, and
 gives the new stored table and the report. Nothing is updated in place: the caller writes the new snapshot (``Store``),
-which makes a run that failed half-way repeatable.
+which makes a run that failed half-way repeatable. Rows of buckets that a scan doesn't touch are neither read for it nor written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -22,10 +22,67 @@ PLACES = "array<struct<issue_key: string, field_path: string, source_type: strin
 EXTERNAL = "struct<valid: boolean, source: string, checked_at: string>"
 
 
+#: Hexadecimal digits of a fingerprint that name its bucket of the stored table.
+DIGITS = 2
+
+
+class Buckets:
+    """The stored findings: buckets of fingerprints, each in the latest scan (or micro-batch) that changed it.
+
+    A scan writes the buckets that it touches into a folder of its own (``<number>/bucket=<digits>``) and reads every bucket from
+    the folders before it. So one that is run again overwrites what it wrote and starts from the same state, none
+    rewrites buckets that it doesn't change, and one that fails half-way (no ``_SUCCESS``) leaves the state before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = DIGITS):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        where = self._path(path)
+        return [f.getPath().getName() for f in self._files.listStatus(where)] if self._files.exists(where) else []
+
+    def folders(self, before: int | None = None) -> dict[str, str]:
+        """bucket: its folder, from the complete batches before one (all of them by default)."""
+        out = {}
+        for number in sorted(int(n) for n in self._names(self.path)):
+            names = self._names(f"{self.path}/{number}")
+            if (before is None or number < before) and "_SUCCESS" in names:
+                out.update({n.removeprefix("bucket="): f"{self.path}/{number}/{n}" for n in names if n.startswith("bucket=")})
+        return out
+
+    def read(self, folders: dict[str, str], names: list[str] | None = None) -> DataFrame:
+        """The rows of all buckets, or of those named; columns that an older folder lacks are null."""
+        paths = [path for name, path in folders.items() if names is None or name in names]
+        return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
+
+    def touched(self, found: DataFrame, keys: DataFrame, folders: dict[str, str]) -> list[str]:
+        """The buckets, at most 16 ** DIGITS, of what was found and of what is stored open for the scanned records."""
+        known = self.read(folders).where("status <> 'closed'").join(keys, "issue_key", "left_semi")
+        return [r["b"] for r in expanded(found).select(self.bucket().alias("b")).union(known.select(self.bucket())).distinct().collect()]
+
+    def bucket(self) -> Column:
+        return F.substring("fingerprint", 4, self.digits)
+
+    def write(self, after: DataFrame, number: int) -> None:
+        columns = [c.split(" ")[0] for c in STORED.split(", ")]
+        after.select(*columns, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{number}")
+
+    def tidy(self, number: int) -> None:
+        """Folders of buckets that were superseded before scan ``number`` - 1 go; readers of the state before may still be there."""
+        needed = {*self.folders().values(), *self.folders(number).values()}
+        for old in self._names(self.path):
+            for name in self._names(f"{self.path}/{old}") if int(old) < number else ():
+                if name.startswith("bucket=") and f"{self.path}/{old}/{name}" not in needed:
+                    self._files.delete(self._path(f"{self.path}/{old}/{name}"), True)
+
+
 class Store:
-    """The tables of past scans as Parquet snapshots below one folder; a missing table is empty, so opening creates nothing that could be half there.
+    """The tables of past scans below one folder; a missing table is empty, so opening creates nothing that could be half there.
 
-    A snapshot is a folder of its own and becomes the table when it is complete (its ``_SUCCESS`` file), so a failed scan leaves the last one.
+    Findings lie in ``Buckets``, of which a scan writes those that it touches. The small tables (validations, scans) are Parquet snapshots: a
+    snapshot is a folder of its own and becomes the table when it is complete (its ``_SUCCESS`` file), so a failed scan leaves the last one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -34,6 +91,7 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.mkdirs(self._path(self.path))
+        self.findings = Buckets(spark, f"{self.path}/findings")
 
     def snapshots(self, name: str) -> list[int]:
         where = self._path(f"{self.path}/{name}")
@@ -41,17 +99,30 @@ class Store:
         return sorted(n for n in numbers if self._files.exists(self._path(f"{self.path}/{name}/{n}/_SUCCESS")))
 
     def read(self, name: str) -> DataFrame:
-        """The latest snapshot, in the table's own columns; those that an older one lacks are null."""
+        """The table as the last complete scan left it, in its own columns; those that an older one lacks are null."""
+        if name == "findings":
+            return self.findings.read(self.findings.folders())
         known = self.snapshots(name)
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{known[-1]}") if known else self.spark.createDataFrame([], TABLES[name])
 
     def replace(self, name: str, frame: DataFrame) -> None:
-        """Writes the next snapshot; the one before stays for readers, older ones go."""
+        """Writes the next snapshot of a small table; the one before stays for readers, older ones go."""
         known = self.snapshots(name)
         frame.select(*(c.split(" ")[0] for c in TABLES[name].split(", "))).write.mode("overwrite").parquet(f"{self.path}/{name}/{(known or [0])[-1] + 1}")
         for old in known[:-1]:
             self._files.delete(self._path(f"{self.path}/{name}/{old}"), True)
 
+    def affected(self, found: DataFrame, keys: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that a scan can change: all that ``reconcile`` needs, and all that ``merge`` writes again."""
+        folders = self.findings.folders()
+        return self.findings.read(folders, self.findings.touched(found, keys, folders))
+
+    def merge(self, after: DataFrame) -> None:
+        """Writes the buckets that ``reconcile`` gives for ``affected`` rows; the others stay where they are."""
+        number = (self.snapshots("findings") or [0])[-1] + 1
+        self.findings.write(after, number)
+        self.findings.tidy(number)
+
 
 def expanded(found: DataFrame) -> DataFrame:
     """A row per location with its fingerprint."""

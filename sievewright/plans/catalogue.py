@@ -200,7 +200,7 @@ def pairs_url(spark, sf):
 
 
 def pairs_proximity(spark, sf):
-    return P.detect(segments(spark, sf)).where("snippet not like 'username=svc %'").select("issue_key", "username", F.col("secret_hash").alias("password_hash"))
+    return P.detect(segments(spark, sf)).where(F.col("rule_ord") == P.FORMS.index("proximity")).select("issue_key", "username", F.col("secret_hash").alias("password_hash"))
 
 
 def pairs_json(spark, sf):

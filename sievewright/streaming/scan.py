@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import findings, pairs, scan, store
+from ..operators.store import Buckets
 from ..sources.stages import Stages
 
 
@@ -22,50 +22,10 @@ def process(segments: DataFrame, base_url: str, rules=None, allowlist=(), floor:
     return findings.merged(findings.findings(scan.scan(segments, rules, allowlist, floor), pairs.detect(segments, floor), base_url))
 
 
-#: Hexadecimal digits of a fingerprint that name its bucket of the stored table.
-DIGITS = 2
-
-
-class Buckets:
-    """The stored table of a streaming scan: buckets of fingerprints, each in the latest micro-batch that changed it.
-
-    A micro-batch writes the buckets that it touches into a folder of its own (``<batch>/bucket=<digits>``) and reads every bucket from
-    the folders before it. So a batch that is run again overwrites what it wrote and starts from the same state, and no batch
-    rewrites buckets that it doesn't change.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, digits: int = DIGITS):
-        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, path: str) -> list[str]:
-        where = self._path(path)
-        return [f.getPath().getName() for f in self._files.listStatus(where)] if self._files.exists(where) else []
-
-    def folders(self, before: int | None = None) -> dict[str, str]:
-        """bucket: its folder, from the complete batches before one (all of them by default)."""
-        out = {}
-        for number in sorted(int(n) for n in self._names(self.path)):
-            names = self._names(f"{self.path}/{number}")
-            if (before is None or number < before) and "_SUCCESS" in names:
-                out.update({n.removeprefix("bucket="): f"{self.path}/{number}/{n}" for n in names if n.startswith("bucket=")})
-        return out
-
-    def read(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(store.STORED).parquet(*folders) if folders else self.spark.createDataFrame([], store.STORED)
-
-    def bucket(self) -> Column:
-        return F.substring("fingerprint", 4, self.digits)
-
-    def write(self, after: DataFrame, number: int) -> None:
-        after.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{number}")
-
-
 def stored(spark: SparkSession, table: str) -> DataFrame:
     """The stored table as the last complete micro-batch left it."""
     buckets = Buckets(spark, table)
-    return buckets.read(list(buckets.folders().values()))
+    return buckets.read(buckets.folders())
 
 
 def run(segments: DataFrame, table: str, base_url: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -78,11 +38,8 @@ def run(segments: DataFrame, table: str, base_url: str, checkpoint: str, availab
         batch = stages.keep(batch, "batch")
         found, keys = stages.keep(process(batch, base_url), "found"), batch.select("issue_key").distinct()
         folders = buckets.folders(number)
-        # at most 16 ** DIGITS names: of what was found, and of what is stored for the batch's records
-        touched = store.expanded(found).select(buckets.bucket().alias("b")).union(buckets.read(list(folders.values())).join(keys, "issue_key", "left_semi").select(buckets.bucket())).distinct()
-        names = [r["b"] for r in touched.collect()]
-        live = spark.createDataFrame([], store.LIVE)
-        after, _ = store.reconcile(found, buckets.read([folders[n] for n in names if n in folders]), keys, live, f"batch-{number}", datetime.now(UTC).isoformat(timespec="seconds"))
+        names, live = buckets.touched(found, keys, folders), spark.createDataFrame([], store.LIVE)
+        after, _ = store.reconcile(found, buckets.read(folders, names), keys, live, f"batch-{number}", datetime.now(UTC).isoformat(timespec="seconds"))
         buckets.write(after, number)
         stages.clear()
 

@@ -291,27 +291,54 @@ def scan_text(text: str, rules: list[Rule], issue_key: str, path: str, allowlist
     ]
 
 
-def scan(segments: DataFrame, rules: list[Rule] | None = None, allowlist: list[Entry] | tuple = (), floor: str = "low", drops: bool = False) -> DataFrame:
+class Budget:
+    """How much of its cap a record has left, as its segments come by in one task: behind a full one, the record's later segments are not looked at.
+
+    Only what the same task has kept from earlier segments counts, so nothing is left out that could be among the first. A record's segments mostly come together and in
+    order, as they are written; where one comes before its turn, the count starts anew.
+    """
+
+    def __init__(self, cap: int | None):
+        self.cap, self.key, self.last, self.kept = cap, None, -1, 0
+
+    def left(self, key: str, place: int) -> bool:
+        if key != self.key or place <= self.last:
+            self.key, self.kept = key, 0
+        self.last = place
+        return self.cap is None or self.kept < self.cap
+
+    def spend(self, n: int) -> None:
+        self.kept += n
+
+
+def kernel(rules: list[Rule], allowlist: list[Entry], floor: str, drops: bool, cap: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What a task does with its segments."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, places, budget = [c.split(" ")[0].strip("`") for c in FINDINGS.split(", ")], literal_places(rules), Budget(cap)
+        for batch in batches:
+            rows = []
+            for key, ord_, path, text, kind in zip(batch["issue_key"], batch["seg_ord"], batch["field_path"], batch["text"], batch["source_type"], strict=True):
+                if not budget.left(key, ord_):
+                    continue
+                found = scan_text(text, rules, key, path, allowlist, floor, drops, places)
+                budget.spend(sum(r[11] is None for r in found))
+                rows.extend((key, ord_, path, kind, 0, *r[:10], None, r[10], r[11]) for r in found)
+            yield pd.DataFrame(rows, columns=names)
+
+    return each
+
+
+def scan(segments: DataFrame, rules: list[Rule] | None = None, allowlist: list[Entry] | tuple = (), floor: str = "low", drops: bool = False, cap: int | None = None) -> DataFrame:
     """Hits in segments (issue_key, seg_ord, field_path, text, source_type), masked.
 
     Texts that no rule can match are filtered in the JVM before anything is sent to Python; rules and the
-    allowlist travel with the function, as they are a driver's configuration.
+    allowlist travel with the function, as they are a driver's configuration. With ``cap``, segments behind that many kept hits of their record may be left out.
     """
     rules = rule_set() if rules is None else rules
     for rule in rules:
         if rule.validator is not None and rule.validator not in VALIDATORS:
             log.warning("rule %s: no validator is called %s, so all its values pass", rule.rule_id, rule.validator)
-    allowlist = list(allowlist)
     could = prefilter(rules)
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, places = [c.split(" ")[0].strip("`") for c in FINDINGS.split(", ")], literal_places(rules)
-        for batch in batches:
-            rows = []
-            for key, ord_, path, text, kind in zip(batch["issue_key"], batch["seg_ord"], batch["field_path"], batch["text"], batch["source_type"], strict=True):
-                for r in scan_text(text, rules, key, path, allowlist, floor, drops, places):
-                    rows.append((key, ord_, path, kind, 0, *r[:10], None, r[10], r[11]))
-            yield pd.DataFrame(rows, columns=names)
-
     wanted = segments.select("issue_key", "seg_ord", "field_path", "text", "source_type").where(F.col("text").isNotNull())
-    return (wanted.where(F.col("text").rlike(could)) if could else wanted).mapInPandas(kernel, FINDINGS)
+    return (wanted.where(F.col("text").rlike(could)) if could else wanted).mapInPandas(kernel(rules, list(allowlist), floor, drops, cap), FINDINGS)

@@ -207,3 +207,27 @@ def test_a_stranger_in_the_middle_is_a_near_miss(rule_id):
 def test_validators_are_a_registry_that_accepts_unknown_names():
     assert set(scan.VALIDATORS) == {"aws_key_checksum", "jwt_structure", "github_token_checksum"}
     assert scan.valid("nonsense", "x") and scan.valid(None, "x") and not scan.valid("jwt_structure", "a.b")
+
+
+def test_segments_behind_a_full_record_are_not_looked_at(monkeypatch):
+    """The first hits of a record are the same with and without the early stop, wherever batches begin and whatever comes before its turn."""
+    import pandas as pd
+
+    looked = []
+    whole = scan.scan_text
+    monkeypatch.setattr(scan, "scan_text", lambda text, *rest: looked.append(text) or whole(text, *rest))
+    rows = [(f"K-{i // 12}", i % 12, f"token = value{i}f8e7d6c5b4a and secret: other{i}f8e7d6c5b4a") for i in range(60)]
+    rows[30], rows[33] = rows[33], rows[30]
+    frame = pd.DataFrame([(k, o, "d", t, "description") for k, o, t in rows], columns=["issue_key", "seg_ord", "field_path", "text", "source_type"])
+
+    def first(cap, told):
+        run = scan.kernel(list(rules.BUILTIN), [], "low", False, told)
+        hits = pd.concat(run(iter([frame.iloc[i : i + 7] for i in range(0, 60, 7)])))
+        return hits.sort_values(["issue_key", "seg_ord", "detector_ord", "rule_ord", "hit_ord"]).groupby("issue_key").head(cap)[["issue_key", "seg_ord", "rule_id", "secret_hash"]].values.tolist()
+
+    for cap in (1, 5, 8, 1000):
+        looked.clear()
+        expected, every = first(cap, None), len(looked)
+        looked.clear()
+        assert first(cap, cap) == expected
+        assert len(looked) < every / 2 or cap > 5

@@ -57,10 +57,10 @@ def anchors(own: np.ndarray) -> np.ndarray:
     return np.arange(len(inside)) + inside.argmin(axis=1)
 
 
-def text_id(words: list[bytes]) -> tuple[str, int]:
-    """The SHA-256 of the words joined by one space, and 64 bits of it as an id."""
-    digest = hashlib.sha256(b" ".join(words))
-    return digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True)
+def text_id(words: list[bytes]) -> tuple[str, str]:
+    """The SHA-256 of the words joined by one space, and 128 bits of it as an id."""
+    digest = hashlib.sha256(b" ".join(words)).hexdigest()
+    return digest, digest[:32]
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -71,7 +71,7 @@ def read(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, sha, cls and the distinct anchors of every row; a worker gives the anchors of equal texts once."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[str] = set()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -85,7 +85,7 @@ def read(docs: DataFrame) -> DataFrame:
                 rows.append((doc, len(words), sha, cls, found))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "sha", "cls", "anchors"]).astype({"doc_id": "int64"})
 
-    return docs.mapInPandas(each, "doc_id long, n_words long, sha string, cls long, anchors array<long>")
+    return docs.mapInPandas(each, "doc_id long, n_words long, sha string, cls string, anchors array<long>")
 
 
 def runs(docs: DataFrame, shared: list, bits: int) -> DataFrame:
@@ -115,9 +115,9 @@ def runs(docs: DataFrame, shared: list, bits: int) -> DataFrame:
                 marked = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                 ends = np.append(starts[1:], len(at))
                 out.extend((int(key), doc, cls, start, end - start, b" ".join(words[start : end + LENGTH - 1]).decode()) for key, start, end, m in zip(keys.view(np.int64), starts.tolist(), ends.tolist(), marked, strict=True) if m)
-            yield pd.DataFrame(out, columns=["anchor", "doc", "cls", "start", "count", "words"]).astype(dict.fromkeys(("anchor", "doc", "cls", "start", "count"), "int64"))
+            yield pd.DataFrame(out, columns=["anchor", "doc", "cls", "start", "count", "words"]).astype(dict.fromkeys(("anchor", "doc", "start", "count"), "int64"))
 
-    return docs.mapInPandas(each, "anchor long, doc long, cls long, start long, count long, words string")
+    return docs.mapInPandas(each, "anchor long, doc long, cls string, start long, count long, words string")
 
 
 def sorted_suffixes(words: list[list[str]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,9 +170,9 @@ def long_prefixes(rows: DataFrame) -> DataFrame:
                 for i in range(count):
                     digest = xxhash.xxh3_128_intdigest(raw[edges[i] : edges[i + LENGTH] - 1])
                     out.append(((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), doc, cls, start + i))
-            yield pd.DataFrame(out, columns=["f1", "f2", "doc", "cls", "pos"]).astype("int64")
+            yield pd.DataFrame(out, columns=["f1", "f2", "doc", "cls", "pos"]).astype(dict.fromkeys(("f1", "f2", "doc", "pos"), "int64"))
 
-    return rows.mapInPandas(each, "f1 long, f2 long, doc long, cls long, pos long")
+    return rows.mapInPandas(each, "f1 long, f2 long, doc long, cls string, pos long")
 
 
 def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
     often = stages.keep(often, "often")  # at most one for each SPLIT suffixes
     trees = max(1, -(-(size["bytes"] or 0) // TREE))
     short = found.join(often, "anchor", "left_anti").withColumn("tree", F.pmod(F.xxhash64("anchor"), F.lit(trees)))
-    below = short.groupBy("tree").applyInPandas(subtree, "doc long, cls long, pos long")
+    below = short.groupBy("tree").applyInPandas(subtree, "doc long, cls string, pos long")
     many, suffixes = stages.kept(long_prefixes(found.join(often, "anchor", "left_semi")), "long-prefixes", {"n": F.count("*")})
     nodes = stages.keep(many.groupBy("f1", "f2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "nodes")
     # the fullest nodes, HEAVY at most, are told to every task, so that none gathers their suffixes; the others are met by a shuffle
@@ -216,10 +216,10 @@ def remove_repeats(docs: DataFrame, stages: Stages) -> DataFrame:
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 out.append((doc, cls, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pd.DataFrame(out, columns=["_doc", "_cls", "n_cut", "cut_sha", "kept"]).astype({"_doc": "int64", "_cls": "int64", "n_cut": "int64"})
+            yield pd.DataFrame(out, columns=["_doc", "_cls", "n_cut", "cut_sha", "kept"]).astype({"_doc": "int64", "n_cut": "int64"})
 
     texts = maybe_among(docs, "doc_id", removed, "doc", cuts["n"]).distinct()
-    done = texts.join(removed, F.col("doc_id") == F.col("doc")).mapInPandas(cut, "_doc long, _cls long, n_cut long, cut_sha string, kept string")
+    done = texts.join(removed, F.col("doc_id") == F.col("doc")).mapInPandas(cut, "_doc long, _cls string, n_cut long, cut_sha string, kept string")
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     joined = rows.select("doc_id", "n_words", "sha", "cls").join(first, "sha").join(done, (F.col("doc_id") == F.col("_doc")) & (F.col("cls") == F.col("_cls")), "left")
     copy = (F.col("n_words") >= LENGTH) & (F.col("first") < F.col("doc_id"))

@@ -105,6 +105,14 @@ QUERIES = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both_ways AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM both_ways JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
     "op6_substring_dedup": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
         first AS (SELECT run, min(doc_id) AS d FROM runs GROUP BY run),
@@ -123,4 +131,17 @@ ORACLES: dict[str, str] = {
         g AS (SELECT t, count(*) AS group_size, max(n) AS most FROM d GROUP BY t),
         k AS (SELECT t, min(doc_id) AS keep_id FROM d JOIN g USING (t) WHERE n = most GROUP BY t)
         SELECT doc_id, keep_id, group_size, n = most AND doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t) JOIN k USING (t)""",
+    "op13_spelling_variants": """WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256))::BIGINT AS i)),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL),
+        bytes AS (SELECT r, n, hex(encode(d || ':' || r)) AS x FROM runs),
+        crc AS (SELECT r, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h FROM bytes, tab),
+        cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM crc),
+        words AS (SELECT w, sum(n)::BIGINT AS n FROM cut WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+        k AS (SELECT w, n, substr(w, 1, i - 1) AS a, substr(w, i + 1) AS b FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+        less AS (SELECT DISTINCT k.w AS w, v.w AS v FROM k JOIN words v ON v.w = a || b),
+        near AS (SELECT x.w AS w, y.w AS v FROM k x JOIN k y ON x.a || '*' || x.b = y.a || '*' || y.b AND x.w <> y.w UNION SELECT w, v FROM less UNION SELECT v, w FROM less),
+        best AS (SELECT near.w, count(*) AS n_near, arg_min(v, (-words.n, v)) AS v, max(words.n) AS m FROM near JOIN words ON words.w = v GROUP BY near.w),
+        forms AS (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * words.n THEN v END AS form, CASE WHEN m >= 2 * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
+        way AS (SELECT w, w AS z FROM forms UNION ALL SELECT way.w, form FROM way JOIN forms ON forms.w = z WHERE form IS NOT NULL)
+        SELECT w AS word, form, z AS root, n, n_near, form_n FROM forms JOIN (SELECT way.w, z FROM way JOIN forms ON forms.w = z WHERE form IS NULL) USING (w)""",
 }

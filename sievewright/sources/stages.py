@@ -30,16 +30,17 @@ class Stages:
     """Intermediate tables written to the shared folder, so that no lost executor takes a result with it.
 
     ``keep`` writes a DataFrame and returns it read back: the lineage is cut and nothing is computed twice.
-    ``drop`` deletes a table as soon as what follows it is written; ``clear`` deletes all that are left.
+    ``drop`` deletes a table as soon as what follows it is written; ``clear`` deletes all that are left. ``compression`` is
+    that of the tables, for work that holds many of them at once; without it they have the session's.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, compression: str | None = None):
+        self.spark, self.options = spark, {"compression": compression} if compression else {}
         self.root = f"{workdir(spark)}/{uuid.uuid4().hex}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        frame.write.parquet(path)
+        frame.write.options(**self.options).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back.kept_at = path
         return back

@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import urllib.parse
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions import fixed
 from .fetching import Server, auth_header
 
 RECORD = "issue_key string, id string, fields string"
@@ -41,10 +43,10 @@ def field_list(text: str) -> list[str]:
 
 
 class Pages(InputPartition):
-    """Pages that one task asks for, one after the other: (start, records wanted) each."""
+    """Pages that one task asks for, one after the other: (start, records wanted) each; a stream's also have the query of their batch."""
 
-    def __init__(self, pages: list[tuple[int, int]]):
-        self.pages = pages
+    def __init__(self, pages: list[tuple[int, int]], query: str = ""):
+        self.pages, self.query = pages, query
 
 
 class RecordReader(DataSourceReader):
@@ -72,10 +74,45 @@ class RecordReader(DataSourceReader):
                 yield issue.get("key", ""), str(issue.get("id", "")), json.dumps(issue.get("fields", {}), sort_keys=True)
 
 
+MINUTE = "%Y-%m-%d %H:%M"
+
+
+class RecordStream(DataSourceStreamReader):
+    """Records as a stream: an offset is the minute up to which their updates were asked for.
+
+    A micro-batch asks for those updated since a few minutes before its start, as a server may show a record late; so records come
+    more than once, with the same time of update. ``since`` is where a first batch begins, ``clock`` a minute that stands for now.
+    """
+
+    def __init__(self, options: dict):
+        self.options = {**options}
+        self.since, self.clock = options.get("since", "1970-01-01 00:00"), options.get("clock", "")
+
+    def initialOffset(self) -> dict:
+        return {"minute": self.since}
+
+    def latestOffset(self) -> dict:
+        return {"minute": self.clock or f"{datetime.now(UTC):{MINUTE}}"}
+
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        if start["minute"] >= end["minute"]:
+            return []
+        back = datetime.strptime(start["minute"], MINUTE) - timedelta(minutes=fixed.OVERLAP_MINUTES)
+        query = f'({self.options.get("query", "")}) AND updated >= "{back:{MINUTE}}" AND updated < "{end["minute"]}"'
+        return [Pages(part.pages, query) for part in RecordReader({**self.options, "query": query}).partitions()]
+
+    def read(self, part: Pages) -> Iterator[tuple]:
+        return RecordReader({**self.options, "query": part.query}).read(part)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept on the server."""
+
+
 class RecordSource(DataSource):
     """``spark.read.format("paged-records").option("url", ...)`` after ``spark.dataSource.register(RecordSource)``.
 
     ``concurrency`` bounds the requests in flight: the pages are dealt to as many partitions. Without it, each page is a partition.
+    ``spark.readStream`` reads the same source as a stream of updates.
     """
 
     @classmethod
@@ -87,3 +124,6 @@ class RecordSource(DataSource):
 
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options)
+
+    def streamReader(self, schema) -> RecordStream:
+        return RecordStream(self.options)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import findings, pairs, scan, store
+from .. import scanner
+from ..functions import fixed
+from ..operators import allowlist, findings, pairs, rules, scan, store
 from ..operators.store import Buckets
+from ..sources import records as sources
 from ..sources.stages import Stages
 
 
@@ -45,3 +49,46 @@ def run(segments: DataFrame, table: str, base_url: str, checkpoint: str, availab
 
     writer = segments.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_records(spark: SparkSession, config: scanner.Config, **options: str) -> DataFrame:
+    """Updated records of a query as a stream, each version once.
+
+    Batches overlap by some minutes, so a version of a record (its key and time of update) that comes again within them is dropped by state
+    that a watermark bounds. ``options`` are the source's, such as ``since``.
+    """
+    spark.dataSource.register(sources.RecordSource)
+    asked = scanner.record_options(config, " ".join(config.query.split())) | options
+    rows = spark.readStream.format("paged-records").options(**asked).load().select("issue_key", "fields", F.get_json_object("fields", "$.updated").alias("updated"))
+    at = F.coalesce(F.try_to_timestamp("updated"), F.current_timestamp())
+    return rows.withColumn("at", at).withWatermark("at", f"{2 * fixed.OVERLAP_MINUTES} minutes").dropDuplicatesWithinWatermark(["issue_key", "updated"])
+
+
+def run_records(spark: SparkSession, config: scanner.Config, checkpoint: str, available_now: bool = True, **options: str) -> StreamingQuery:
+    """Starts the scan of a stream of records into the tables of ``config.store_path()``.
+
+    Every micro-batch is a whole scan of its records: later comments and attachments are fetched, findings are merged and reconciled with the stored
+    buckets and validations, and a row of the batch is added to the scans. Of records with unread parts nothing is closed.
+    """
+    tables = store.Store(spark, config.store_path())
+    rule_list = rules.rule_set(rules.read_rules(config.rules) if config.rules else ())
+    allowed = allowlist.read_allowlist(config.allowlist) if config.allowlist else []
+
+    def one(batch: DataFrame, number: int) -> None:
+        stages, now = Stages(spark), datetime.now(UTC)
+        stamp = now.isoformat(timespec="seconds")
+        records = stages.keep(batch.select("issue_key", "fields"), "records")
+        (whole, _, found), failed = scanner.sliced(config, records, None, None, True, now, rule_list, allowed, stages)
+        found = stages.keep(findings.merged(found), "merged")
+        unread = whole.where("error IS NOT NULL").select("issue_key").distinct().withColumn("unread", F.lit(True))
+        keys = records.select("issue_key").distinct().join(unread, "issue_key", "left").select("issue_key", F.col("unread").isNull().alias("complete"))
+        folders = tables.findings.folders(number)
+        names = tables.findings.touched(found, keys, folders)
+        after, _ = store.reconcile(found, tables.findings.read(folders, names), keys, tables.read("live_validations"), f"batch-{number}", stamp)
+        tables.findings.write(after, number)
+        row = (f"batch-{number}", stamp, datetime.now(UTC).isoformat(timespec="seconds"), "partial" if failed else "success", config.url, config.query, records.count(), found.count())
+        tables.replace("scans", store.audit(tables.read("scans"), spark.createDataFrame([row], store.SCANS)))
+        stages.clear()
+
+    writer = read_records(spark, config, **options).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -142,9 +142,10 @@ def thresholds(counts: DataFrame, stages) -> DataFrame:
     """
     sketches = stages.keep(sketch(counts), "sketches")
     language = prior(merge(sketches, "lang"), "lang").withColumnsRenamed({"lang": "_lang", "h": "near"})
-    every = prior(merge(sketches)).select(F.lit(1).alias("_one"), F.col("h").alias("far"))  # one row, of a few thousand buckets at most
-    groups = histograms(sketches, "lang", "source").join(language, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_one", F.lit(1))
-    return groups.join(F.broadcast(every), "_one").select("lang", "source", F.concat("h", "near", "far").alias("h")).select("lang", "source", *(fence(F.col("h"), m).alias(f"{m}_max") for m in METRICS))
+    held = (F.size("h") >= 0).alias("_held")  # what all rows of both sides have in common
+    every = prior(merge(sketches)).select(held, F.col("h").alias("far"))  # one row, of a few thousand buckets at most
+    groups = histograms(sketches, "lang", "source").select("*", held).join(language, F.col("lang").eqNullSafe(F.col("_lang")))
+    return groups.join(F.broadcast(every), "_held").select("lang", "source", F.concat("h", "near", "far").alias("h")).select("lang", "source", *(fence(F.col("h"), m).alias(f"{m}_max") for m in METRICS))
 
 
 def judge(counts: DataFrame, stages) -> DataFrame:

@@ -33,12 +33,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are repeated or left out, so that each source's words come near its target. A row without words is taken no time."""
+    """Rows are repeated or left out, so that each source's words come near its target. A row without words is taken no time; repeated rows are rows of their own, and rows of one source and size are told apart by a hash of id and text."""
     return mixing.applied(docs, Stages(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences. A null text is an empty document."""
+    """Every document's pieces and their places in sequences. A null text is an empty document; repeated rows are packed each, and pieces of one length are interchangeable."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), Stages(spark))
 
 

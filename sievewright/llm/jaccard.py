@@ -239,14 +239,14 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     labels = components(links, stages)
     placed = classes.join(labels.hint("merge").withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
     placed = stages.keep(placed, "placed")
-    stages.drop(links)
+    stages.drop(links, groups)
 
     # second pass: all that lies in one bucket but not yet in one component
     pairs = _across(shared, placed, stages, percent)
     found = _linked(pairs, docs, classes, stages, k, percent)
     comp = lambda end: placed.select(F.col("cls").alias(end), F.col("comp").alias(f"c{end}"))
     joined = components(found.join(comp("a").hint("merge"), "a").join(comp("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), stages)
-    stages.drop(found, shared)
+    stages.drop(found, pairs)
 
     final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("d1", "d2", "first_doc", F.coalesce("label", "comp").alias("label"))
     least = final.groupBy("label").agg(F.min("first_doc").alias("component"))
@@ -272,13 +272,17 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _across(shared: DataFrame, placed: DataFrame, stages: Stages, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that pass the filters, from units (a group's members in one component) that meet in a bucket."""
+    """Pairs (a, b) of classes in different components that pass the filters, from units (a group's members in one component) that meet in a bucket.
+
+    The buckets are dropped as soon as they are read, and so is what is made of them: they are the largest tables.
+    """
     units = placed.groupBy("grp", "comp").agg(*_bounds())
     sides = shared.select("shingle", "grp", "n", "pos").join(placed.select("grp", "comp").distinct().hint("merge"), "grp")
     place = F.col("pos").cast("long") * F.lit(1 << 40) + F.pmod("grp", F.lit(1 << 40))
     marks = sides.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("comp", place).alias("main")).where("c0 <> c1").select("shingle", "main")
     sides = sides.join(marks.hint("merge"), "shingle").join(units.hint("merge"), ["grp", "comp"])
     sides = stages.keep(sides, "sides")
+    stages.drop(shared)
     side = lambda tag, rows: rows.select("shingle", *(F.col(c).alias(f"{tag}{c}") for c in ("grp", "n", "pos", "comp", "main", *LOW, *HIGH)))
     # of two units outside the main component, one order of the pair is enough
     once = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_comp") < F.col("y_comp")))
@@ -286,7 +290,9 @@ def _across(shared: DataFrame, placed: DataFrame, stages: Stages, percent: int)
     met = met.where(_close("x_n", "y_n", _apart("x_", "y_"), percent)).select("x_grp", "x_comp", "y_grp", "y_comp").distinct()
     member = lambda tag, name: placed.select(F.col("grp").alias(f"{tag}grp"), F.col("comp").alias(f"{tag}comp"), F.col("cls").alias(name), F.col("n").alias(f"{tag}n"), *(F.col(b).alias(f"{tag}{b}") for b in MAP))
     expanded = met.join(member("x_", "a").hint("merge"), ["x_grp", "x_comp"]).join(member("y_", "b").hint("merge"), ["y_grp", "y_comp"])
-    return expanded.where(_close("x_n", "y_n", _differing("x_", "y_"), percent)).select("a", "b").distinct()
+    pairs = stages.keep(expanded.where(_close("x_n", "y_n", _differing("x_", "y_"), percent)).select("a", "b").distinct(), "across")
+    stages.drop(sides)
+    return pairs
 
 
 def one_of_each(docs: DataFrame, stages: Stages, k: int = 5, percent: int = 80) -> DataFrame:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sievewright.operators import segments
+from sievewright.operators import pairs, rules, scan, segments
 
 LISTED = "issue_key string, pos long, name string, mime string, size long, url string, base string"
 
@@ -33,3 +33,25 @@ def test_budget_of_a_record_with_very_many_attachments(spark):
     began = time.monotonic()
     assert [tuple(r) for r in segments.budgeted(listed, 200, 20, 1000).groupBy("outcome").count().orderBy("outcome").collect()] == [("failed", 59_991), ("scan", 9)]
     assert time.monotonic() - began < 40
+
+
+def test_a_search_for_words_lets_through_what_the_hints_do(spark):
+    built_in = rules.rule_set()
+    words = [w for rule in built_in for w in (*rule.literals, *rule.marks)]
+    odd = [c for word in ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key") for c in (word.upper(), word.replace("s", "ſ"), word.replace("k", "K"), word.replace("i", "İ"), word.replace("i", "ı"))]
+    tails = ["", "=abcdefgh1", " : x", "ABCDEFGHIJKLMNOP", "12345678:x", " KEY-----\n-----END RSA PRIVATE KEY-----", "svc:pw@db/x"]
+    texts = [f"{before}{word}{tail}" for word in [*words, *odd, "aws secret", "AWS_ſecret", "secret-access-key", "12345678", "{", "  {"] for tail in tails for before in ("", "é straße ", "İ")]
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "text string")
+    hinted = rows.where(F.col("text").rlike(rules.prefilter(built_in)))
+    passed = rows.where(rules.could_match(F.col("text"), built_in))
+    matched = {t for t in texts if any(next(scan.matches(rule, t), None) for rule in built_in)}
+    assert len(matched) > 100 and matched <= {r["text"] for r in passed.collect()} <= {r["text"] for r in hinted.collect()}
+    assert {r["text"] for r in rows.where(rules.could_match(F.col("text"), [r for r in built_in if "(?i" in r.hint])).collect()} == {r["text"] for r in rows.where(F.col("text").rlike(rules.prefilter([r for r in built_in if "(?i" in r.hint]))).collect()}
+    paired = rows.where(F.col("text").rlike(pairs.HINT))
+    assert {r["text"] for r in rows.where(pairs.could_pair(F.col("text"))).collect()} == {r["text"] for r in paired.collect()}
+
+
+def test_hits_are_looked_for_by_all_cores(spark):
+    few = spark.range(1, 200, 1, 1).select(F.concat(F.lit("K-"), "id").alias("issue_key"), F.lit(0).cast("long").alias("seg_ord"), F.lit("d").alias("field_path"), F.concat(F.lit("token = x9f8e7d6c5b4a"), "id").alias("text"), F.lit("description").alias("source_type"))
+    for found in (scan.scan(few), pairs.detect(few.withColumn("text", F.concat(F.lit("postgres://svc:pw"), "issue_key", F.lit("@db/x"))))):
+        assert found.count() == 199 and found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4

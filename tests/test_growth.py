@@ -1,10 +1,13 @@
 """Work that has to grow no faster than its input."""
 
+import json
 import time
 
 from pyspark.sql import functions as F
 
+from sievewright import scanner
 from sievewright.operators import pairs, rules, scan, segments
+from sievewright.sources.stages import Stages
 
 LISTED = "issue_key string, pos long, name string, mime string, size long, url string, base string"
 
@@ -55,3 +58,16 @@ def test_hits_are_looked_for_by_all_cores(spark):
     few = spark.range(1, 200, 1, 1).select(F.concat(F.lit("K-"), "id").alias("issue_key"), F.lit(0).cast("long").alias("seg_ord"), F.lit("d").alias("field_path"), F.concat(F.lit("token = x9f8e7d6c5b4a"), "id").alias("text"), F.lit("description").alias("source_type"))
     for found in (scan.scan(few), pairs.detect(few.withColumn("text", F.concat(F.lit("postgres://svc:pw"), "issue_key", F.lit("@db/x"))))):
         assert found.count() == 199 and found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_payloads_are_read_once_for_comments_and_attachments(spark):
+    fields = json.dumps({"comment": {"total": 3, "startAt": 0, "comments": [{"body": "a"}]}, "attachment": [{"filename": f"{i}.log", "size": 9, "content": "/x"} for i in range(3)]})
+    records = spark.createDataFrame([(f"K-{i}", fields) for i in range(5)] + [("K-9", "no json"), ("K-8", None)], "issue_key string, fields string")
+    comments = spark.createDataFrame([(f"K-{i}", i % 3, json.dumps({"body": "b"})) for i in range(5)], "issue_key string, pos long, comment string")
+    bodies = spark.createDataFrame([(f"K-{i}", i % 3, "text") for i in range(4)], "issue_key string, pos long, text string")
+    config = scanner.Config(url="https://t.example", scan_attachments=True)
+    plain, kept = (scanner.text_segments(config, records, comments, bodies, keep) for keep in (segments.as_it_is, Stages(spark).keep))
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" in plan(plain[0]) and "get_json_object" not in plan(kept[0]) and "get_json_object" not in plan(kept[1])
+    for one, other in zip(plain, kept, strict=True):
+        assert sorted(map(repr, one.select(*sorted(one.columns)).collect())) == sorted(map(repr, other.select(*sorted(one.columns)).collect()))

@@ -26,6 +26,11 @@ def process(segments: DataFrame, base_url: str, rules=None, allowlist=(), floor:
     return findings.merged(findings.findings(scan.scan(segments, rules, allowlist, floor), pairs.detect(segments, floor), base_url))
 
 
+def dealt(segments: DataFrame) -> DataFrame:
+    """A batch dealt out to all cores, each record's segments together: few files, or few row groups in them, leave its texts to a few tasks."""
+    return segments.repartition(2 * segments.sparkSession.sparkContext.defaultParallelism, "issue_key")
+
+
 def stored(spark: SparkSession, table: str) -> DataFrame:
     """The stored table as the last complete micro-batch left it."""
     buckets = Buckets(spark, table)
@@ -39,7 +44,7 @@ def run(segments: DataFrame, table: str, base_url: str, checkpoint: str, availab
 
     def one(batch: DataFrame, number: int) -> None:
         stages = Stages(spark)
-        batch = stages.keep(batch, "batch")
+        batch = stages.keep(dealt(batch), "batch")
         found, keys = stages.keep(process(batch, base_url), "found"), batch.select("issue_key").distinct()
         folders = buckets.folders(number)
         names, live = buckets.touched(found, keys, folders), spark.createDataFrame([], store.LIVE)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievewright import scanner
 from sievewright.operators import pairs, rules, scan, segments
 from sievewright.sources.stages import Stages
+from sievewright.streaming import scan as stream
 
 LISTED = "issue_key string, pos long, name string, mime string, size long, url string, base string"
 
@@ -71,3 +72,13 @@ def test_payloads_are_read_once_for_comments_and_attachments(spark):
     assert "get_json_object" in plan(plain[0]) and "get_json_object" not in plan(kept[0]) and "get_json_object" not in plan(kept[1])
     for one, other in zip(plain, kept, strict=True):
         assert sorted(map(repr, one.select(*sorted(one.columns)).collect())) == sorted(map(repr, other.select(*sorted(one.columns)).collect()))
+
+
+def test_a_batch_of_one_file_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(1, 200, 1, 1).select(F.concat(F.lit("K-"), F.col("id") % 90).alias("issue_key"), F.lit(0).cast("long").alias("seg_ord"), F.lit("d").alias("field_path"), F.lit("token = x9f8e7d6c5b4a").alias("text"), F.lit("description").alias("source_type")).write.parquet(str(tmp_path / "in"))
+    told, process = [], stream.process
+    monkeypatch.setattr(stream, "process", lambda batch, *rest: told.append(batch.groupBy(F.input_file_name().alias("f")).agg(F.collect_set("issue_key").alias("keys")).collect()) or process(batch, *rest))
+    query = stream.run(stream.read_segments(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), str(tmp_path / "table"), "https://t.example", str(tmp_path / "checkpoint"))
+    assert query.awaitTermination(120) and len(told) == 1 and len(told[0]) >= 4
+    keys = [key for row in told[0] for key in row["keys"]]
+    assert len(keys) == len(set(keys)) == 90

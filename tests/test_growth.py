@@ -1,6 +1,7 @@
 """Work that has to grow no faster than its input."""
 
 import json
+import math
 import time
 
 from pyspark.sql import functions as F
@@ -82,3 +83,25 @@ def test_a_batch_of_one_file_is_dealt_to_all_cores(spark, tmp_path, monkeypatch)
     assert query.awaitTermination(120) and len(told) == 1 and len(told[0]) >= 4
     keys = [key for row in told[0] for key in row["keys"]]
     assert len(keys) == len(set(keys)) == 90
+
+
+def test_texts_of_one_row_group_are_searched_by_all_cores(spark, tmp_path):
+    rows = spark.range(1, 400, 1, 1).select(F.concat(F.lit("K-"), "id").alias("issue_key"), F.lit(0).cast("long").alias("seg_ord"), F.lit("d").alias("field_path"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("token = x9f8e7d6c5b4a"), "id")).otherwise(F.lit("nothing")).alias("text"), F.lit("description").alias("source_type"))
+    rows.write.parquet(str(tmp_path / "in"))
+    one = spark.read.parquet(str(tmp_path / "in"))
+    plan = scan.scan(one, spread=True)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.lower().partition("repartition")
+    assert below and "spark_partition_id" in above and "spark_partition_id" not in below and "contains" not in below
+    found = scan.scan(one, spread=True)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, scan.scan(one).collect())) and found.count() == 199
+
+
+def test_few_values_are_masked_as_many_are():
+    few, text = [("x9f8e7d6", "a"), ("9f8e", "b"), ("", "c")], "k x9f8e7d6 9f8e x9f8e7d6 é 0a1b2c3d"
+    more = few + [(f"not in it {i}", "d") for i in range(9)]
+    one, other = scan.Masker(text.encode(), few), scan.Masker(text.encode(), more)
+    assert one.automaton is None and other.automaton is not None and one.near(text) == other.near(text) == [("x9f8e7d6", "a"), ("9f8e", "b")]
+    assert one.snippet(2, 10, "a", "x9f8e7d6") == other.snippet(2, 10, "a", "x9f8e7d6")
+    for value in ("abcabc12", "éa" * 120, "ab1" * 200):
+        assert abs(scan.shannon(value) + sum(value.count(c) / len(value) * math.log2(value.count(c) / len(value)) for c in set(value))) < 1e-9

@@ -14,15 +14,19 @@ passage seldom become candidates.
   nearest leader and of the nearest of the BEFORE groups just before it in one of its buckets (by position, size and id; nearest by a
   64-bit sketch first, then by bitmap). A bucket's leader is the group in which the bucket's element comes first: of a group of near
   copies the most typical. Components of those links stand for what is already connected.
-* Second pass: the members of a group that lie in one component are a unit. In every bucket the units outside its main component
+* Merging: the members of a group that lie in one component are a unit. Units of a large bucket are dealt by a hash to slots of SLOT
+  units on average, and those of different components that meet in a slot are compared; of two components the nearest such pair is
+  verified. Two large components with many links between them become one here, by work in proportion to the bucket.
+* Second pass: in every bucket the units outside its main component
   are paired with all units of other components, those of the same group included; pairs that pass the filters are
   expanded to their members, which pass the bitmap filter again and are verified. Any link between components appears here, so none is
   lost; pairs inside a component, which would grow with the square of a group of near copies, are never formed.
 
 How frequent shingles are is learned from all documents: chunks of documents report shingles that occur in several of
 them, those counts are added, and their logarithms are written into a table of LEVELS hashed cells, one byte each (a fixed bound). The
-table changes only the order, so what it says never changes the result. Buckets of frequent shingles are salted in the first pass; in the
-second, a bucket is on both sides of a plain inner join, which Spark splits where it is skewed.
+table changes only the order, so what it says never changes the result. Buckets of frequent shingles are salted in the first pass, each
+anew, so that groups which one bucket parts meet in another; in the second, a bucket is on both sides of a plain inner join, which Spark
+splits where it is skewed.
 
 Sets and prefixes are told apart by 128-bit digests; shingles are compared by 64-bit hashes when candidates are made, and links are
 verified on the texts' shingles themselves.
@@ -57,6 +61,8 @@ CHUNK, REPORTED = 4_000_000, 2
 BITS, LONGS = 512, 8
 #: Groups just before it in a bucket among which the first pass looks for one like it. It decides only what the second pass is left with.
 BEFORE = 16
+#: Units that meet in a slot of a large bucket, on average, and the groups from which on a bucket is large. It decides only what the second pass is left with.
+SLOT = 16
 #: Logarithm of a frequency from which on a bucket is salted.
 SALTED = 10
 #: Postings of a frequent shingle in one task, on average.
@@ -218,14 +224,14 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     # buckets with more than one set
     parts = max(1, -(-counted["n"] // PART))
     posted = groups.select("grp", "n", "light", "sketch", (F.col("members") > 1).alias("several"), F.posexplode("prefix").alias("pos", "shingle"))
-    posted = posted.select("shingle", "grp", "n", "pos", "sketch", "several", F.when(F.col("pos") >= F.col("light"), F.pmod("grp", F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
+    posted = posted.select("shingle", "grp", "n", "pos", "sketch", "several", F.when(F.col("pos") >= F.col("light"), F.pmod(F.xxhash64("grp", "shingle"), F.lit(parts)).cast("int") + 1).otherwise(0).alias("part"))
     bucket, here = W.partitionBy("shingle", "part").orderBy("pos", "n", "grp"), F.struct("grp", "n", "pos")
     seen = F.collect_list(F.struct("sketch", "grp", "n", "pos")).over(bucket.rowsBetween(-BEFORE, -1))
-    shared = posted.withColumns({"leader": F.first(here).over(bucket.rowsBetween(W.unboundedPreceding, 0)), "seen": seen, "more": F.lead("grp").over(bucket)})
+    shared = posted.withColumns({"leader": F.first(here).over(bucket.rowsBetween(W.unboundedPreceding, 0)), "seen": seen, "more": F.lead("grp").over(bucket), "large": (F.col("part") > 0) | (F.row_number().over(bucket) > SLOT)})
     shared = shared.where("size(seen) > 0 or more is not null or several or (part > 0 and %d > 1)" % parts)
     near = F.array_min(F.transform("seen", lambda o: F.struct(F.bit_count(o["sketch"].bitwiseXOR(F.col("sketch"))).alias("differ"), o["grp"].alias("grp"), o["n"].alias("n"), o["pos"].alias("pos"))))
     near = F.when(near.isNotNull(), F.struct(near["grp"].alias("grp"), near["n"].alias("n"), near["pos"].alias("pos")))
-    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "leader", near.alias("near")), "buckets")
+    shared = stages.keep(shared.select("shingle", "grp", "n", "pos", "large", "leader", near.alias("near")), "buckets")
 
     # first pass: groups against the nearest leader and the nearest group before, members against their group's first
     other = shared.select("grp", "n", "pos", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("leader").alias("o")), F.struct(F.lit(1).alias("kind"), F.col("near").alias("o"))))).select("*", F.col("o.n").alias("o_n"), F.col("o.pos").alias("o_pos"))
@@ -240,12 +246,12 @@ def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int
     placed = classes.join(labels.hint("merge").withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
     placed = stages.keep(placed, "placed")
     stages.drop(links)
+    placed = _merged(shared, placed, docs, classes, stages, k, percent)
 
     # second pass: all that lies in one bucket but not yet in one component
     pairs = _across(shared, placed, stages, percent)
     found = _linked(pairs, docs, classes, stages, k, percent)
-    comp = lambda end: placed.select(F.col("cls").alias(end), F.col("comp").alias(f"c{end}"))
-    joined = components(found.join(comp("a").hint("merge"), "a").join(comp("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), stages)
+    joined = _joined(found, placed, stages)
     stages.drop(found, shared)
 
     final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("d1", "d2", "first_doc", F.coalesce("label", "comp").alias("label"))
@@ -271,6 +277,33 @@ def _apart(x: str, y: str) -> Column:
     return total
 
 
+def _merged(shared: DataFrame, placed: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stages, k: int, percent: int) -> DataFrame:
+    """``placed`` after components that meet in a slot of a large bucket and are linked there became one; a unit is stood for by its first class."""
+    large, counted = stages.kept(shared.where("large").select("shingle").distinct(), "large", {"n": F.count("*")})
+    if not counted["n"]:
+        return placed
+    units = placed.groupBy("grp", "comp").agg(F.min(F.struct("cls", *MAP)).alias("first")).select("grp", "comp", "first.*")
+    sides = stages.keep(shared.select("shingle", "grp", "n", "pos").join(large, "shingle", "left_semi").join(units.hint("merge"), "grp"), "sides")
+    marks = sides.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / SLOT).alias("slots"))
+    marks = stages.keep(marks.where("c0 <> c1").select("shingle", "slots"), "marks")  # written, so that the join with them can be split
+    dealt = sides.join(marks, "shingle").withColumn("slot", F.pmod(F.xxhash64("shingle", "cls"), "slots"))
+    side = lambda tag: dealt.select("shingle", "slot", *(F.col(c).alias(f"{tag}{c}") for c in ("cls", "n", "pos", "comp", *MAP)))
+    differ = _differing("x_", "y_")
+    met = side("x_").join(side("y_").hint("merge"), ["shingle", "slot"]).where((F.col("x_comp") < F.col("y_comp")) & _passes("x_n", "x_pos", "y_n", "y_pos", percent) & _close("x_n", "y_n", differ, percent))
+    nearest = met.groupBy("x_comp", "y_comp").agg(F.min(F.struct(differ.alias("differ"), "x_cls", "y_cls")).alias("pair"))
+    links = _linked(nearest.select(F.col("pair.x_cls").alias("a"), F.col("pair.y_cls").alias("b")), docs, classes, stages, k, percent)
+    joined = _joined(links, placed, stages).withColumnRenamed("id", "comp")
+    merged = stages.keep(placed.join(joined.hint("merge"), "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label"), "placed")
+    stages.drop(large, sides, marks, links, placed)
+    return merged
+
+
+def _joined(links: DataFrame, placed: DataFrame, stages: Stages) -> DataFrame:
+    """(id, label) of the components that links between classes join."""
+    comp = lambda end: placed.select(F.col("cls").alias(end), F.col("comp").alias(f"c{end}"))
+    return components(links.join(comp("a").hint("merge"), "a").join(comp("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), stages)
+
+
 def _across(shared: DataFrame, placed: DataFrame, stages: Stages, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that pass the filters, from units (a group's members in one component) that meet in a bucket."""
     units = placed.groupBy("grp", "comp").agg(*_bounds())

@@ -241,6 +241,24 @@ def test_jaccard_chain_of_near_copies(spark):
     assert by(got, "doc_id", "n_shingles", "component_id") == linked_components(made, 3, 90)
 
 
+def test_a_group_of_near_copies_in_salted_buckets_is_one_before_all_pairs_are_formed(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALTED", 2)
+    monkeypatch.setattr(jaccard, "PART", 8)
+    across, pairs = jaccard._across, []
+
+    def counted(*given):
+        pairs.append(across(*given).cache())
+        return pairs[-1]
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    base = [f"v{i}" for i in range(150)]
+    made = [(i, " ".join([*base[: i % 147 + 1], f"edit{i}", *base[i % 147 + 2 :]])) for i in range(200)]  # all linked
+    made += [(200 + i, " ".join([*base[:10], f"a{i}", *base[11:40], f"b{i}", *base[41:90], f"c{i}", *base[91:]])) for i in range(20)]  # with none
+    got = jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"), Stages(spark), 3, 90)
+    assert by(got, "doc_id", "n_shingles", "component_id") == linked_components(made, 3, 90)
+    assert pairs[0].count() <= 2 * len(made)  # over 10000 where the parts of buckets never meet
+
+
 def test_one_of_each(spark, docs, no_docs):
     kept = jaccard.one_of_each(docs, Stages(spark))
     assert kept.columns == docs.columns

@@ -9,6 +9,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright import scanner
 from sievewright.functions import columns as C
 from sievewright.sources import fetching, records
 
@@ -62,6 +63,40 @@ def test_the_source_is_read_through_spark(spark, server):
     assert {r["issue_key"] for r in frame.collect()} == {f"K-{i}" for i in range(7)} and frame.rdd.getNumPartitions() == 4
 
 
+@pytest.fixture
+def no_records(spark, monkeypatch):
+    """The source before a tracker that shows no record, without a server."""
+
+    class Nothing:
+        def json(self, url):
+            return {"total": 0, "issues": []}
+
+    class Source(records.RecordSource):
+        def reader(self, schema):
+            made = records.RecordReader(self.options)
+            made.server = Nothing()
+            return made
+
+    kept = records.RecordSource
+    monkeypatch.setattr(records, "RecordSource", Source)
+    monkeypatch.setattr(fetching.Server, "probe", lambda self: {})
+    spark.dataSource.register(Source)
+    yield
+    spark.dataSource.register(kept)
+
+
+def test_a_query_without_records_is_read_through_spark(spark, no_records):
+    frame = spark.read.format("paged-records").options(url="http://tracker.invalid/search", query="q", pageSize="2", concurrency="2").load()
+    assert frame.columns == ["issue_key", "id", "fields"] and frame.collect() == []
+
+
+def test_a_run_without_records_succeeds(spark, no_records, tmp_path):
+    config = scanner.Config(url="http://tracker.invalid", auth="none", query="q", incremental=True, scan_attachments=True, state_dir=str(tmp_path / "state"), report_dir=str(tmp_path / "reports"))
+    done = scanner.run(spark, config)
+    assert (done.run["status"], done.run["issues_scanned"], done.run["errors_total"]) == ("success", 0, 0)
+    assert done.findings.count() == 0 and (tmp_path / "state" / "checkpoint.json").exists()
+
+
 def test_probe_and_failures(server):
     assert fetching.Server(server[0]).probe()["version"] == "9.1"
     with pytest.raises(RuntimeError, match="404"):

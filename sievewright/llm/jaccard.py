@@ -44,6 +44,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -106,33 +107,42 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """The logarithm of how often a shingle was counted over all documents, by hashed cell (the largest where several meet)."""
+def repeated(chunk: np.ndarray) -> pa.RecordBatch:
+    """The shingles that occur REPORTED times or more in a chunk, and how often; sorts the chunk."""
+    chunk.sort()
+    same = np.zeros(len(chunk) + 1, bool)  # as the one before
+    np.equal(chunk[1:], chunk[:-1], out=same[1:-1])
+    edges = np.flatnonzero(same[1:] != same[:-1])  # the first and the last place of every run of two or more
+    counts = edges[1::2] - edges[::2] + 1
+    often = counts >= REPORTED
+    return pa.RecordBatch.from_arrays([pa.array(chunk[edges[::2][often]].view(np.int64)), pa.array(counts[often], pa.int64())], names=["shingle", "n"])
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
 
-        def counted() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= REPORTED
-            return pd.DataFrame({"shingle": values[often].view(np.int64), "n": counts[often].astype(np.int64)})
+def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """The logarithm of how often a shingle was counted over all documents, by hashed cell (the largest where several meet)."""
 
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a chunk is one array that is sorted where it lies: a worker holds it once
+        held, n = np.empty(CHUNK, np.uint64), 0
         for batch in batches:
-            for text in batch["text"]:
-                held.append(shingles(shingle_words(text), k))
-                n += len(held[-1])
-                if n >= CHUNK:
-                    yield counted()
-                    held, n = [], 0
+            for text in batch.column("text"):
+                own = shingles(shingle_words(text.as_py()), k)
+                if n + len(own) > len(held):
+                    yield repeated(held[:n])
+                    n = 0
+                if len(own) > len(held):
+                    held = np.empty(len(own), np.uint64)
+                held[n : n + len(own)] = own
+                n += len(own)
         if n:
-            yield counted()
+            yield repeated(held[:n])
 
     def rows(group: pd.DataFrame) -> pd.DataFrame:
         cells = np.zeros(CELLS, np.uint8)
         np.maximum.at(cells, group["cell"].to_numpy(), group["level"].to_numpy().astype(np.uint8))
         return pd.DataFrame({"row": group["row"].iloc[:1], "cells": [cells.tobytes()]})
 
-    sums = docs.select("text").mapInPandas(report, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(report, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     at = F.col("shingle").bitwiseAND(F.lit(LEVELS - 1))
     levels = sums.groupBy(F.shiftright(at, 14).cast("int").alias("row"), at.bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level"))
     table = np.zeros(LEVELS, np.uint8)
@@ -186,21 +196,21 @@ def profiles(docs: DataFrame, k: int, percent: int, table: Broadcast) -> DataFra
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts have the similarity, held against each other shingle by shingle."""
 
-    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
             linked = []
-            for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
+            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
                 if a != last:
-                    last, own = a, exact_shingles(shingle_words(ta), k)
-                other = exact_shingles(shingle_words(tb), k)
+                    last, own = a, exact_shingles(shingle_words(ta.as_py()), k)
+                other = exact_shingles(shingle_words(tb.as_py()), k)
                 both = len(own & other)
                 linked.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield batch.loc[linked, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInPandas(hold, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(hold, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, stages: Stages, k: int = 3, percent: int = 90) -> DataFrame:
@@ -368,16 +378,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stage
 def _texts(docs: DataFrame, wanted: DataFrame, n: int, k: int) -> DataFrame:
     """(cls, text): a text of each wanted class. Where keys of rows meet, the digest tells which is meant."""
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows share a key and so meet in one task
         for batch in batches:
             right = []
-            for cls, d1, d2, text in zip(batch["cls"], batch["d1"], batch["d2"], batch["text"], strict=True):
-                right.append(cls not in seen and digest(shingles(shingle_words(text), k).tobytes()) == (d1, d2))
+            for cls, d1, d2, text in zip(*(batch.column(c).to_pylist() for c in ("cls", "d1", "d2")), batch.column("text"), strict=True):
+                right.append(cls not in seen and digest(shingles(shingle_words(text.as_py()), k).tobytes()) == (d1, d2))
                 if right[-1]:
                     seen.add(cls)
-            yield batch.loc[right, ["cls", "text"]]
+            yield batch.select(["cls", "text"]).filter(pa.array(right, pa.bool_()))
 
     rows = maybe_among(docs.where("text is not null").select("row_key", "text"), "row_key", wanted, "first_key", n)
     met = rows.join(wanted.hint("merge"), F.col("row_key") == F.col("first_key"))
-    return met.select("cls", "d1", "d2", "text").mapInPandas(own, "cls long, text string")
+    return met.select("cls", "d1", "d2", "text").mapInArrow(own, "cls long, text string")

@@ -16,13 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stages, id_in, id_out
 
-#: Words that a worker remembers at most.
-REMEMBERED = 600_000
+#: Words whose count, and words whose ids, a worker remembers at most (twice as many with those at a line's start). Workers outlive
+#: a query and take what they remember along.
+REMEMBERED, REMEMBERED_IDS = 600_000, 300_000
+#: A row for each piece of a document.
+PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 _models: dict = {}
 
@@ -84,7 +88,7 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.encode(self.before + word), dtype="<u4").tobytes()
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED_IDS:
             self[word] = ids
         return ids
 
@@ -203,18 +207,18 @@ def document_pieces(docs: DataFrame, tokenizer: str, length: int, end: int) -> D
     Only documents beyond ``length`` are cut; then all pieces are full but the first.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last = model(ByteIds, tokenizer), int(end).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                all_ids = ids(text) + last
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                all_ids = ids(text.as_py()) + last
                 n = len(all_ids) // 4
                 at, piece, size = 0, 0, (n - 1) % length + 1
                 while at < n:
                     rows.append((doc, piece, at, size, zlib.crc32(all_ids[4 * at : 4 * (at + size)])))
                     at, piece, size = at + size, piece + 1, length
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "int64", "piece": "int32"})
+            yield pa.RecordBatch.from_arrays([pa.array([row[at] for row in rows], field.type) for at, field in enumerate(PIECE)], schema=PIECE)
 
-    made = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return made.withColumn("doc_id", id_out())

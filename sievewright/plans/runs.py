@@ -145,10 +145,10 @@ def levels_and_queries(spark, sf):
 
 
 def streaming_states(spark, sf):
-    """All segments as a stream, a few files at a time; a record's segments come together. The stored table that is left."""
+    """All segments as a stream, a few files at a time; a record's segments come together and their texts are whole. The stored table that is left."""
     stages = Stages(spark)
     landed = f"{stages.root}/landed"
-    segments(spark, sf).repartition(6, "issue_key").write.parquet(landed)
+    segments(spark, sf, max_kb=None).repartition(6, "issue_key").write.parquet(landed)
     schema = "issue_key string, seg_ord long, field_path string, text string, source_type string"
     query = stream.run(stream.read_segments(spark, landed, schema, 2), f"{stages.root}/table", BASE, f"{stages.root}/checkpoint")
     query.awaitTermination()

@@ -22,8 +22,8 @@ def read_segments(spark: SparkSession, path: str, schema, files_per_batch: int =
 
 
 def process(segments: DataFrame, base_url: str, rules=None, allowlist=(), floor: str = "low") -> DataFrame:
-    """Merged findings of a set of segments."""
-    return findings.merged(findings.findings(scan.scan(segments, rules, allowlist, floor), pairs.detect(segments, floor), base_url))
+    """Merged findings of a set of segments, all of each record."""
+    return findings.merged(findings.findings(scan.scan(segments, rules, allowlist, floor), pairs.detect(segments, floor), base_url, cap=None))
 
 
 def dealt(segments: DataFrame) -> DataFrame:

@@ -62,6 +62,18 @@ def test_hits_are_looked_for_by_all_cores(spark):
         assert found.count() == 199 and found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
 
 
+def test_pairs_are_handed_on_in_parts_and_cut_by_a_cap_alone(spark, monkeypatch):
+    text = "".join(f"a://u{i}:pw{i}@h\n" for i in range(700)) + "user=abc\npassword=def\n"
+    rows = spark.createDataFrame([(f"K-{i}", 0, "d", t, "description") for i, t in enumerate((text, "user=a\npassword=b", text))], "issue_key string, seg_ord long, field_path string, text string, source_type string")
+    places = lambda found: sorted(tuple(r) for r in found.select("issue_key", "rule_ord", "hit_ord", "username").collect())
+    whole = places(pairs.detect(rows))
+    assert whole == sorted([("K-1", 1, 0, "a"), *((f"K-{k}", int(n == 700), n, f"u{n}" if n < 700 else "abc") for k in (0, 2) for n in range(701))])
+    for cap in (1, 300, 5000):
+        assert places(pairs.detect(rows, cap=cap)) == [r for r in whole if r[2] < cap]
+    monkeypatch.setattr(pairs, "ROWS", 3)
+    assert places(pairs.detect(rows)) == whole
+
+
 def test_payloads_are_read_once_for_comments_and_attachments(spark):
     fields = json.dumps({"comment": {"total": 3, "startAt": 0, "comments": [{"body": "a"}]}, "attachment": [{"filename": f"{i}.log", "size": 9, "content": "/x"} for i in range(3)]})
     records = spark.createDataFrame([(f"K-{i}", fields) for i in range(5)] + [("K-9", "no json"), ("K-8", None)], "issue_key string, fields string")

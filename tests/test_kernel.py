@@ -107,6 +107,15 @@ def test_pairs():
     assert len(pairs.pairs("user=a\npassword=b\n" * 50_000)) == fixed.PAIR_HITS
 
 
+def test_every_pair_of_a_text():
+    far = "x" * fixed.PAIR_BYTES
+    assert pairs.pairs(far + " https://bob:s3cret99@host") == [("bob", "s3cret99", "url")]
+    assert pairs.pairs(far + "\nuser=a\npassword=p1") == [("a", "p1", "proximity")]
+    assert pairs.pairs(f'{{"user": "u", "note": "{far}", "password": "pw1"}}') == [("u", "pw1", "json")]
+    lines = "".join(f"user=u{i}\npassword=p{i}\n{' ' * 200}\n" for i in range(5000))
+    assert list(pairs.every_pair(lines)) == [(f"u{i}", f"p{i}", "proximity") for i in range(5000)]
+
+
 def test_hostile_texts_end_soon():
     began = time.time()
     scan.scan_text("-----BEGIN RSA PRIVATE" + " KEY-----\n" + "x" * 50, rules.rule_set(), "K", "d", [], "low", False)
